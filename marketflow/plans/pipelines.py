@@ -1,0 +1,27 @@
+"""End-to-end compositions of the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from marketflow.operators import silver
+from marketflow.sources.prices import trailing_prices
+
+
+def process_funds(raw_funds: DataFrame, prices: DataFrame, tiebreak: Sequence[str] = (),
+                  period: str | None = "1 year", as_of=None, compat: bool = False,
+                  risk_free: float = 0.0, bucket_seconds: int | None = silver.DEFAULT_BUCKET_SECONDS,
+                  reference_names: bool = False) -> DataFrame:
+    """Raw fund records -> cleaned funds enriched with price metrics.
+
+    clean (D1-D5) -> symbols (D6) -> trailing prices of those symbols (A9) ->
+    per-symbol metrics (D7-D13) -> left join (D14).  Nothing is collected:
+    the symbol set restricts the prices by a semi join.
+    """
+    funds = silver.clean_funds(raw_funds, compat=compat)
+    symbols = silver.distinct_symbols(funds)
+    hist = trailing_prices(prices, symbols, period=period, as_of=as_of)
+    metrics = silver.symbol_metrics(hist, tiebreak=tiebreak, risk_free=risk_free, bucket_seconds=bucket_seconds)
+    return silver.enrich(funds, metrics, reference_names=reference_names)
