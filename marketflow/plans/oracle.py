@@ -71,3 +71,110 @@ def metrics_cte(name: str, returns: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+V_INVESTORS = """v_investors AS (
+  SELECT c_custkey AS investor_id, c_acctbal / 100.0 AS risk_aversion, c_mktsegment AS segment FROM customer)"""
+
+
+def bracket_sql(r: str) -> str:
+    return (f"CASE WHEN {r} IS NULL OR isnan({r}) THEN NULL WHEN {r} <= 1 THEN 1 WHEN {r} <= 5 THEN 2 "
+            f"WHEN {r} <= 10 THEN 3 WHEN {r} <= 15 THEN 4 WHEN {r} <= 20 THEN 5 WHEN {r} <= 30 THEN 6 "
+            f"WHEN {r} <= 50 THEN 7 ELSE 8 END")
+
+
+def bracket_return_sql(r: str) -> str:
+    b = bracket_sql(r)
+    return (f"(CASE {b} WHEN 1 THEN 0.08 WHEN 2 THEN 0.07 WHEN 3 THEN 0.06 WHEN 4 THEN 0.05 WHEN 5 THEN 0.04 "
+            f"WHEN 6 THEN 0.03 WHEN 7 THEN 0.02 WHEN 8 THEN 0.01 ELSE 0.05 END)::DOUBLE")
+
+
+# FIXED VALUES (same as marketflow.constants.RISK_BRACKETS), long form.
+ALLOCATION_VALUES = """allocation(bracket, asset_class, weight, pos) AS (VALUES
+  (1, 'Stocks', 0.8, 0), (1, 'Commodities', 0.05, 1), (1, 'ETFs', 0.05, 2), (1, 'Mutual Funds', 0.05, 3),
+  (1, 'Bonds', 0.05, 4), (1, 'Cash', 0.0, 5),
+  (2, 'Stocks', 0.6, 0), (2, 'Commodities', 0.1, 1), (2, 'ETFs', 0.2, 2), (2, 'Mutual Funds', 0.05, 3),
+  (2, 'Bonds', 0.05, 4), (2, 'Cash', 0.0, 5),
+  (3, 'Stocks', 0.5, 0), (3, 'Commodities', 0.1, 1), (3, 'ETFs', 0.15, 2), (3, 'Mutual Funds', 0.1, 3),
+  (3, 'Bonds', 0.15, 4), (3, 'Cash', 0.0, 5),
+  (4, 'Stocks', 0.4, 0), (4, 'Commodities', 0.05, 1), (4, 'ETFs', 0.2, 2), (4, 'Mutual Funds', 0.1, 3),
+  (4, 'Bonds', 0.15, 4), (4, 'Cash', 0.1, 5),
+  (5, 'Stocks', 0.3, 0), (5, 'Commodities', 0.05, 1), (5, 'ETFs', 0.2, 2), (5, 'Mutual Funds', 0.2, 3),
+  (5, 'Bonds', 0.1, 4), (5, 'Cash', 0.05, 5),
+  (6, 'Stocks', 0.2, 0), (6, 'Commodities', 0.0, 1), (6, 'ETFs', 0.2, 2), (6, 'Mutual Funds', 0.2, 3),
+  (6, 'Bonds', 0.1, 4), (6, 'Cash', 0.1, 5),
+  (7, 'Stocks', 0.1, 0), (7, 'Commodities', 0.0, 1), (7, 'ETFs', 0.2, 2), (7, 'Mutual Funds', 0.2, 3),
+  (7, 'Bonds', 0.2, 4), (7, 'Cash', 0.1, 5),
+  (8, 'Stocks', 0.0, 0), (8, 'Commodities', 0.0, 1), (8, 'ETFs', 0.3, 2), (8, 'Mutual Funds', 0.3, 3),
+  (8, 'Bonds', 0.2, 4), (8, 'Cash', 0.2, 5))"""
+
+V_GOALS = f"""v_goals AS (
+  SELECT o_orderkey AS goal_id, o_custkey AS investor_id,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE lower(substr(o_orderpriority, 3, 100)) END AS goal,
+         greatest(c_acctbal, 0.0) AS initial_investment,
+         o_totalprice / 1000.0 AS contribution,
+         CASE WHEN o_orderstatus = 'F' THEN 'annual' ELSE 'monthly' END AS contribution_period,
+         CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 1000.0 / 12.0 ELSE o_totalprice / 1000.0 END
+           AS monthly_contribution,
+         {bracket_return_sql('c_acctbal / 100.0')} AS annual_return,
+         o_totalprice AS target_value, CAST(o_orderkey % 6 AS INTEGER) AS time_horizon
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+V_GOALS_EVAL = """v_eval AS (
+  SELECT *, is_specific AND is_measurable AND is_time AND future_value >= target_value AS is_achievable
+  FROM (SELECT *, coalesce(goal <> '', false) AS is_specific,
+               coalesce(target_value > 0 AND (monthly_contribution > 0 OR initial_investment > 0), false)
+                 AS is_measurable,
+               coalesce(time_horizon > 0, false) AS is_time,
+               CASE WHEN annual_return / 12.0 = 0
+                    THEN initial_investment + monthly_contribution * (time_horizon * 12.0)
+                    ELSE initial_investment * pow(1 + annual_return / 12.0, time_horizon * 12.0)
+                         + monthly_contribution * (pow(1 + annual_return / 12.0, time_horizon * 12.0) - 1)
+                           / (annual_return / 12.0) END AS future_value
+        FROM v_goals) s)"""
+
+V_SESSION = """v_session AS (
+  SELECT user_id AS conv_id, ts, event_id, event_type,
+         CASE event_type WHEN 'signup' THEN 'initialize' WHEN 'purchase' THEN 'goal_achievable'
+           WHEN 'view' THEN 'goal_text' WHEN 'click' THEN 'preferences_confirmed' WHEN 'error' THEN 'reset' END
+           AS intent
+  FROM events)"""
+
+V_FORMS = """v_forms AS (
+  SELECT c_custkey AS investor_id, CAST(20 + c_nationkey * 2 AS VARCHAR) AS age,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'No high school degree' WHEN 'BUILDING' THEN 'Bachelor degree'
+           WHEN 'FURNITURE' THEN 'Master degree' WHEN 'MACHINERY' THEN 'PhD' ELSE lower(c_mktsegment) END
+           AS education,
+         (['Entrepreneur', 'Managerial', 'Salarial', 'Unemployed', 'Retired'])[c_nationkey % 5 + 1] AS occupation,
+         CAST(c_nationkey % 4 AS VARCHAR) AS kids,
+         CASE WHEN c_acctbal < 0 THEN '—' ELSE CAST(c_acctbal AS VARCHAR) END AS income,
+         CAST(c_acctbal * 3 AS VARCHAR) AS net_worth_income,
+         CAST(c_custkey % 4 + 1 AS VARCHAR) AS risk, CAST(c_custkey % 2 AS VARCHAR) AS married,
+         c_acctbal / 100.0 AS TrueRiskTol
+  FROM customer)"""
+
+V_FEATURES = """v_features AS (
+  SELECT investor_id,
+         TRY_CAST(age AS DOUBLE) AS age,
+         CASE education WHEN 'No high school degree' THEN 1 WHEN 'Bachelor degree' THEN 2 WHEN 'Master degree' THEN 3
+           WHEN 'PhD' THEN 4 ELSE 0 END AS education,
+         CASE occupation WHEN 'Entrepreneur' THEN 1 WHEN 'Managerial' THEN 2 WHEN 'Salarial' THEN 3
+           WHEN 'Unemployed' THEN 4 ELSE 0 END AS occupation,
+         TRY_CAST(kids AS DOUBLE) AS kids, TRY_CAST(income AS DOUBLE) AS income,
+         TRY_CAST(net_worth_income AS DOUBLE) AS net_worth, TRY_CAST(risk AS INTEGER) AS risk,
+         TRY_CAST(married AS INTEGER) AS married, TrueRiskTol
+  FROM v_forms)"""
+
+V_PREDICTIONS = """v_pred AS (
+  SELECT c_custkey AS investor_id, c_acctbal / 100.0 AS label, 'scaled_balance' AS model, 0 AS ordinal,
+         c_acctbal * 0.009 AS prediction FROM customer
+  UNION ALL
+  SELECT c_custkey, c_acctbal / 100.0, 'nation_level', 1, c_nationkey * 2.0 FROM customer
+  UNION ALL
+  SELECT c_custkey, c_acctbal / 100.0, 'constant', 2, 45.0 FROM customer)"""
+
+V_REGISTRY = """v_registry AS (
+  SELECT 'model_' || substr(o_orderpriority, 1, 1) AS model_name, o_orderkey AS version,
+         CASE o_orderstatus WHEN 'F' THEN 'Production' WHEN 'O' THEN 'Staging' ELSE 'Archived' END AS stage,
+         'models:/model_' || substr(o_orderpriority, 1, 1) || '/' || CAST(o_orderkey AS VARCHAR) AS model_uri
+  FROM orders)"""

@@ -189,3 +189,176 @@ SELECT symbol, ts, l_orderkey, l_linenumber, round(adj_close, 6) AS adj_close FR
 def q_a9(spark, sf):
     symbols = silver.distinct_symbols(silver.clean_funds(V.funds_raw(spark, sf)))
     return rounded(trailing_prices(V.prices(spark, sf), symbols, period="1 year"))
+
+
+# ----------------------------------------------------------- goals & risk --
+
+from marketflow.operators import features as E  # noqa: E402
+from marketflow.operators import goals as G  # noqa: E402
+from marketflow.operators import sessions as S  # noqa: E402
+
+
+@register("f1_risk_bracket", O.with_(O.V_INVESTORS) + f"""
+SELECT investor_id, round(risk_aversion, 6) AS risk_aversion, {O.bracket_sql('risk_aversion')} AS bracket,
+       round({O.bracket_return_sql('risk_aversion')}, 6) AS annual_return
+FROM v_investors""")
+def q_f1(spark, sf):
+    return rounded(G.with_risk_bracket(V.investors(spark, sf)).select("investor_id", "risk_aversion", "bracket",
+                                                                       "annual_return"))
+
+
+@register("f2_allocation", O.with_(O.V_INVESTORS, O.ALLOCATION_VALUES) + f"""
+SELECT i.investor_id, a.bracket, round(s.weight_sum, 6) AS weight_sum, a.asset_class, round(a.weight::DOUBLE, 6) AS weight
+FROM v_investors i
+JOIN allocation a ON a.bracket = {O.bracket_sql('i.risk_aversion')}
+JOIN (SELECT bracket, sum(weight)::DOUBLE AS weight_sum FROM allocation GROUP BY bracket) s ON s.bracket = a.bracket""")
+def q_f2(spark, sf):
+    return rounded(G.allocation_long(V.investors(spark, sf)))
+
+
+_GOALS_SQL = O.with_(O.V_GOALS, O.V_GOALS_EVAL)
+
+
+@register("f3_smt_flags", _GOALS_SQL + "SELECT goal_id, is_specific, is_measurable, is_time FROM v_eval")
+def q_f3(spark, sf):
+    return G.smt_flags(V.goals(spark, sf)).select("goal_id", "is_specific", "is_measurable", "is_time")
+
+
+@register("f4_future_value", _GOALS_SQL + "SELECT goal_id, round(future_value, 4) AS future_value FROM v_eval")
+def q_f4(spark, sf):
+    from marketflow.functions.finance import future_value
+    g = V.goals(spark, sf)
+    fv = future_value("initial_investment", "monthly_contribution", "annual_return", "time_horizon")
+    return g.select("goal_id", F.round(fv, 4).alias("future_value"))
+
+
+@register("f5_achievable", _GOALS_SQL + "SELECT goal_id, is_achievable FROM v_eval")
+def q_f5(spark, sf):
+    return G.evaluate_goals(V.goals(spark, sf)).select("goal_id", "is_achievable")
+
+
+@register("f6_goal_outcome", _GOALS_SQL + """
+SELECT goal_id, CASE WHEN is_achievable THEN 'smart' ELSE 'not_smart' END AS outcome,
+       CASE WHEN NOT is_specific THEN 'specific' WHEN NOT is_measurable THEN 'measurable'
+            WHEN NOT is_time THEN 'time' WHEN NOT is_achievable THEN 'achievable' END AS failed_criterion
+FROM v_eval""")
+def q_f6(spark, sf):
+    return G.evaluate_goals(V.goals(spark, sf)).select("goal_id", "outcome", "failed_criterion")
+
+
+@register("f7_goal_text", _GOALS_SQL + """
+SELECT goal_id, printf('Achievable: %s, Future Value: %.2f', CASE WHEN is_achievable THEN 'True' ELSE 'False' END,
+                       coalesce(future_value, 0.0)) AS achievable_text
+FROM v_eval""")
+def q_f7(spark, sf):
+    return G.evaluate_goals(V.goals(spark, sf)).select("goal_id", "achievable_text")
+
+
+@register("f8_to_monthly", O.with_(O.V_GOALS) + """
+SELECT goal_id, contribution, contribution_period, monthly_contribution FROM v_goals""")
+def q_f8(spark, sf):
+    # exact IEEE arithmetic on both sides: compared unrounded
+    return V.goals(spark, sf).select("goal_id", "contribution", "contribution_period", "monthly_contribution")
+
+
+@register("f9_transcript", f"""
+SELECT conv_id, '{G.HISTORY_PREFIX}' || string_agg(text, '' ORDER BY turn) AS history, count(*) AS n_answers
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
+def q_f9(spark, sf):
+    return G.transcript(V.table(spark, sf, "conversations"))
+
+
+@register("f10_session_state", O.with_(O.V_SESSION) + """
+SELECT conv_id, event_id, ts, intent,
+  coalesce(max(intent = 'initialize') OVER w, false) AS introduction_state,
+  coalesce(max(intent = 'goal_achievable') OVER w, false) AS profiling_state,
+  coalesce(last_value(CASE WHEN intent = 'preferences_confirmed' THEN true WHEN intent = 'reset' THEN false END
+           IGNORE NULLS) OVER w, false) AS preferences_state,
+  CASE WHEN intent = 'initialize' THEN 'initialize'
+       WHEN intent IN ('goal_achievable', 'goal_text')
+            AND coalesce(max(intent = 'goal_achievable') OVER wb, false) THEN 'fallback'
+       WHEN intent IN ('goal_achievable', 'goal_text') THEN 'check_smart'
+       WHEN intent = 'preferences_confirmed' THEN 'preferences_confirmation'
+       WHEN intent = 'reset' THEN 'reset_preferences' END AS route
+FROM v_session
+WINDOW w AS (PARTITION BY conv_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       wb AS (PARTITION BY conv_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def q_f10(spark, sf):
+    st = S.session_state(V.session_events(spark, sf), order=("ts", "event_id"))
+    return st.select("conv_id", "event_id", "ts", "intent", "introduction_state", "profiling_state",
+                     "preferences_state", "route")
+
+
+@register("f11_needs_confirmation", f"""
+SELECT conv_id, turn, coalesce(contains(lower(text), '{G.CONFIRM_PHRASE}'), false) AS needs_confirmation
+FROM conversations WHERE role = 'assistant'""")
+def q_f11(spark, sf):
+    conv = V.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return G.needs_confirmation(conv).select("conv_id", "turn", "needs_confirmation")
+
+
+# ------------------------------------------------------ investor features --
+
+_FEATURES_SQL = O.with_(O.V_FORMS, O.V_FEATURES)
+
+
+@register("e1_encode_categories", _FEATURES_SQL + "SELECT investor_id, education, occupation FROM v_features")
+def q_e1(spark, sf):
+    return E.encode_form(V.forms(spark, sf)).select("investor_id", "education", "occupation")
+
+
+@register("e2_cast_form", _FEATURES_SQL + """
+SELECT investor_id, round(age, 6) AS age, round(kids, 6) AS kids, round(income, 6) AS income,
+       round(net_worth, 6) AS net_worth, risk, married FROM v_features""")
+def q_e2(spark, sf):
+    return rounded(E.encode_form(V.forms(spark, sf)).select("investor_id", "age", "kids", "income", "net_worth",
+                                                            "risk", "married"))
+
+
+@register("e4_feature_order", _FEATURES_SQL + """
+SELECT investor_id, round(age, 6) AS age, education, occupation, round(kids, 6) AS kids,
+       round(income, 6) AS income, round(net_worth, 6) AS net_worth, risk, married,
+       round(TrueRiskTol, 6) AS TrueRiskTol FROM v_features""")
+def q_e4(spark, sf):
+    return rounded(E.feature_order(E.encode_form(V.forms(spark, sf)), keep=("investor_id",)))
+
+
+def _scaled_sql():
+    cols = []
+    for c in E.FEATURE_COLUMNS:
+        cols.append(f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / "
+                    f"coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1.0), 6) AS {c}")
+    return _FEATURES_SQL + "SELECT investor_id, " + ", ".join(cols) + " FROM v_features"
+
+
+@register("e6_scale", _scaled_sql())
+def q_e6(spark, sf):
+    feats = E.encode_form(V.forms(spark, sf))
+    sc = E.fit_scaler(feats)
+    return rounded(E.scale(feats, sc).select("investor_id", *E.FEATURE_COLUMNS))
+
+
+@register("e10_regression_error", O.with_(O.V_PREDICTIONS) + """
+SELECT model, round(avg(pow(label - prediction, 2)), 6) AS mse, count(*) AS n,
+       round(sqrt(avg(pow(label - prediction, 2))), 6) AS rmse
+FROM v_pred GROUP BY model""")
+def q_e10(spark, sf):
+    return rounded(E.regression_error(V.predictions(spark, sf)))
+
+
+@register("e11_pick_best", O.with_(O.V_PREDICTIONS) + """
+SELECT arg_min(model, mse * 10 + ordinal) AS best_model, round(min(mse), 6) AS best_mse
+FROM (SELECT model, any_value(ordinal) AS ordinal, avg(pow(label - prediction, 2)) AS mse
+      FROM v_pred GROUP BY model) e""")
+def q_e11(spark, sf):
+    p = V.predictions(spark, sf)
+    err = E.regression_error(p, group=("model", "ordinal"))
+    return rounded(E.pick_best(err))
+
+
+@register("e12_latest_version", O.with_(O.V_REGISTRY) + """
+SELECT model_name, max(version) AS latest_version, arg_max(model_uri, version) AS model_uri
+FROM v_registry WHERE stage IN ('None', 'Staging', 'Production') GROUP BY model_name""")
+def q_e12(spark, sf):
+    from marketflow.constants import MODEL_STAGES
+    return E.latest_version(V.registry(spark, sf), stages=MODEL_STAGES)

@@ -55,3 +55,113 @@ def prices_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_PRICES_EV: symbol = user, ts, adj_close = value ((user, ts) unique)."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").cast("string").alias("symbol"), "ts", F.col("value").alias("adj_close"))
+
+
+def investors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_INVESTORS: risk aversion = account balance / 100 (all eight brackets occur)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("investor_id"),
+                    (F.col("c_acctbal") / F.lit(100.0)).alias("risk_aversion"),
+                    F.col("c_mktsegment").alias("segment"))
+
+
+# Segment -> education label; HOUSEHOLD stays unmapped (encodes to 0).
+_EDU_BY_SEGMENT = {"AUTOMOBILE": "No high school degree", "BUILDING": "Bachelor degree",
+                   "FURNITURE": "Master degree", "MACHINERY": "PhD"}
+_OCC_BY_NATION_MOD = ["Entrepreneur", "Managerial", "Salarial", "Unemployed", "Retired"]
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_FORMS: the web form of each customer, every field as text.
+
+    Negative balances give a malformed income (``"—"``) so the parser's NULL
+    path is exercised.
+    """
+    c = table(spark, sf_dir, "customer")
+    edu = F.coalesce(F.create_map(*[x for k, v in _EDU_BY_SEGMENT.items() for x in (F.lit(k), F.lit(v))])
+                     [F.col("c_mktsegment")], F.lower("c_mktsegment"))
+    occ = F.element_at(F.array(*[F.lit(x) for x in _OCC_BY_NATION_MOD]),
+                       (F.col("c_nationkey") % 5 + 1).cast("int"))
+    return c.select(
+        F.col("c_custkey").alias("investor_id"),
+        (F.lit(20) + F.col("c_nationkey") * 2).cast("string").alias("age"),
+        edu.alias("education"),
+        occ.alias("occupation"),
+        (F.col("c_nationkey") % 4).cast("string").alias("kids"),
+        F.when(F.col("c_acctbal") < 0, F.lit("—")).otherwise(F.col("c_acctbal").cast("string")).alias("income"),
+        (F.col("c_acctbal") * 3).cast("string").alias("net_worth_income"),
+        (F.col("c_custkey") % 4 + 1).cast("string").alias("risk"),
+        (F.col("c_custkey") % 2).cast("string").alias("married"),
+        (F.col("c_acctbal") / F.lit(100.0)).alias("TrueRiskTol"),
+    )
+
+
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_GOALS: one goal per order of a customer.
+
+    goal text from the order priority ('' for NOT SPECIFIED), initial =
+    max(balance, 0), contribution = total / 1000 (annual for status F),
+    target = total, horizon = order key mod 6 years (0 occurs), rate from
+    the customer's risk bracket.
+    """
+    from marketflow.functions.finance import bracket_return
+    from marketflow.operators.goals import to_monthly
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    g = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
+    period = F.when(F.col("o_orderstatus") == "F", F.lit("annual")).otherwise(F.lit("monthly"))
+    contribution = F.col("o_totalprice") / F.lit(1000.0)
+    return g.select(
+        F.col("o_orderkey").alias("goal_id"),
+        F.col("o_custkey").alias("investor_id"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(""))
+         .otherwise(F.lower(F.substring("o_orderpriority", 3, 100))).alias("goal"),
+        F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("initial_investment"),
+        contribution.alias("contribution"),
+        period.alias("contribution_period"),
+        to_monthly(contribution, period).alias("monthly_contribution"),
+        bracket_return(F.col("c_acctbal") / F.lit(100.0)).alias("annual_return"),
+        F.col("o_totalprice").alias("target_value"),
+        (F.col("o_orderkey") % 6).cast("int").alias("time_horizon"),
+    )
+
+
+_INTENT_BY_EVENT = {"signup": "initialize", "purchase": "goal_achievable", "view": "goal_text",
+                    "click": "preferences_confirmed", "error": "reset"}
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_SESSION: events of each user as chat intents."""
+    ev = table(spark, sf_dir, "events")
+    intent = F.create_map(*[x for k, v in _INTENT_BY_EVENT.items() for x in (F.lit(k), F.lit(v))])
+    return ev.select(F.col("user_id").alias("conv_id"), "ts", "event_id", "event_type",
+                     intent[F.col("event_type")].alias("intent"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_PREDICTIONS: three fixed scoring rules per customer against the
+    risk tolerance label (label = balance / 100)."""
+    c = table(spark, sf_dir, "customer")
+    y = F.col("c_acctbal") / F.lit(100.0)
+    models = F.array(
+        F.struct(F.lit("scaled_balance").alias("model"), F.lit(0).alias("ordinal"),
+                 (F.col("c_acctbal") * F.lit(0.009)).alias("prediction")),
+        F.struct(F.lit("nation_level").alias("model"), F.lit(1).alias("ordinal"),
+                 (F.col("c_nationkey") * F.lit(2.0)).alias("prediction")),
+        F.struct(F.lit("constant").alias("model"), F.lit(2).alias("ordinal"),
+                 F.lit(45.0).alias("prediction")),
+    )
+    return c.select(F.col("c_custkey").alias("investor_id"), y.alias("label"), F.inline(models))
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_REGISTRY: model versions; name by priority class, stage by status."""
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("model_"), F.substring("o_orderpriority", 1, 1))
+    return o.select(
+        name.alias("model_name"),
+        F.col("o_orderkey").alias("version"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Production"))
+         .when(F.col("o_orderstatus") == "O", F.lit("Staging")).otherwise(F.lit("Archived")).alias("stage"),
+        F.concat(F.lit("models:/"), name, F.lit("/"), F.col("o_orderkey").cast("string")).alias("model_uri"),
+    )
