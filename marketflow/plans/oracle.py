@@ -178,3 +178,42 @@ V_REGISTRY = """v_registry AS (
          CASE o_orderstatus WHEN 'F' THEN 'Production' WHEN 'O' THEN 'Staging' ELSE 'Archived' END AS stage,
          'models:/model_' || substr(o_orderpriority, 1, 1) || '/' || CAST(o_orderkey AS VARCHAR) AS model_uri
   FROM orders)"""
+
+
+V_MESSAGES = """v_messages AS (
+  SELECT event_id, ts,
+         CASE WHEN event_type = 'error' THEN 'not json ' || CAST(event_id AS VARCHAR)
+              ELSE json_object('type', event_type, 'data', '[' || props || ']')::VARCHAR END AS value
+  FROM events)"""
+
+SECTORS_LIST = ("['Materials', 'Finance', 'Technology', 'Healthcare', 'Industrials', 'Consumer Defensive', "
+                "'Utilities', 'Energy', 'Consumer Cyclical', 'Real Estate', 'Communication Services']")
+
+V_STOCK_ROWS = f"""v_stock AS (
+  SELECT s_suppkey AS row_id, lower(n_name) AS feed,
+         'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, CAST(s_acctbal AS VARCHAR) AS real_time_price,
+         CAST(s_nationkey - 12 AS VARCHAR) AS change, CAST(s_nationkey - 12 AS VARCHAR) || '%' AS percent_change,
+         CAST(s_suppkey * 1000 AS VARCHAR) AS volume, CAST(s_suppkey * 900 AS VARCHAR) AS avg_vol_3months,
+         CAST((s_suppkey + 1) * 1000003 AS VARCHAR) AS market_cap,
+         CASE WHEN s_acctbal < 0 THEN '—' ELSE CAST(s_nationkey AS VARCHAR) END AS pe_ratio,
+         '' AS country, ({SECTORS_LIST})[s_suppkey % 11 + 1] AS sector
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+V_LI_ROWS = r"""v_li AS (
+  SELECT page_id, row_pos, row_html,
+         list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
+                        lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
+  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+        FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS l FROM pages) p) q)"""
+
+V_MIXED_ROWS = r"""v_mixed AS (
+  SELECT page_id, row_pos, row_html,
+         list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
+                        lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
+  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+        FROM (SELECT page_id, regexp_extract_all(html, '<(?:li|p)>(.*?)</(?:li|p)>', 1) AS l FROM pages) p) q)"""
+
+V_PARA_ROWS = r"""v_para AS (
+  SELECT page_id, row_pos, trim(regexp_replace(row_html, '<[^>]*>', '', 'g')) AS para
+  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+        FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1) AS l FROM pages) p) q)"""

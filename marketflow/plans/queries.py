@@ -362,3 +362,348 @@ FROM v_registry WHERE stage IN ('None', 'Staging', 'Production') GROUP BY model_
 def q_e12(spark, sf):
     from marketflow.constants import MODEL_STAGES
     return E.latest_version(V.registry(spark, sf), stages=MODEL_STAGES)
+
+
+# ---------------------------------------------------- envelope & bronze ----
+
+from marketflow.constants import HEAVY_SECTORS, LIGHT_SECTORS, STOCK_LAYOUT  # noqa: E402
+from marketflow.operators import pages as B  # noqa: E402
+from marketflow.operators import quality as C  # noqa: E402
+from marketflow.sources import envelope as A  # noqa: E402
+
+_EVENT_RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                              T.StructField("props", T.StringType())])
+PUBLISH_TEST_BYTES = 64 * 1024  # small limit so every feed is split in several messages
+
+
+@register("a2_decode_envelope", O.with_(O.V_MESSAGES) + """
+SELECT event_id,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.type') END AS message_type,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.data') END AS data
+FROM v_messages""")
+def q_a2(spark, sf):
+    return A.decode_envelope(V.messages(spark, sf), keep=("event_id",))
+
+
+def _published(spark, sf):
+    ev = V.table(spark, sf, "events")
+    return A.publish_feed(ev, "event_type", ["event_id", "user_id", "props"], max_bytes=PUBLISH_TEST_BYTES)
+
+
+@register("a5_publish_feed", """
+SELECT event_type AS message_type, count(*) AS n_records,
+       sum(strlen(json_object('event_id', event_id, 'user_id', user_id, 'props', props)::VARCHAR)) AS n_bytes,
+       true AS all_fit
+FROM events GROUP BY event_type""")
+def q_a5(spark, sf):
+    p = _published(spark, sf)
+    return p.groupBy("message_type").agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"),
+                                         F.bool_and("fits").alias("all_fit"))
+
+
+@register("d16_unnest_bronze", "SELECT event_type AS message_type, event_id, user_id, props FROM events")
+def q_d16(spark, sf):
+    bronze = A.decode_envelope(_published(spark, sf))
+    return silver.unnest_bronze(bronze, None, _EVENT_RECORD)
+
+
+@register("d16_unnest_messages", O.with_(O.V_MESSAGES) + """
+SELECT json_extract_string(value, '$.type') AS message_type,
+       CAST(json_extract(json_extract_string(value, '$.data'), '$[0].k') AS BIGINT) AS k
+FROM v_messages WHERE json_valid(value)""")
+def q_d16b(spark, sf):
+    bronze = A.decode_envelope(V.messages(spark, sf))
+    return silver.unnest_bronze(bronze, None, T.StructType([T.StructField("k", T.LongType())]))
+
+
+@register("d16_bronze_rejects", O.with_(O.V_MESSAGES) + "SELECT event_id FROM v_messages WHERE NOT json_valid(value)")
+def q_d16c(spark, sf):
+    bronze = A.decode_envelope(V.messages(spark, sf), keep=("event_id",))
+    return silver.bronze_rejects(bronze, T.StructType([T.StructField("k", T.LongType())])).select("event_id")
+
+
+# --------------------------------------------------------------- quality --
+
+def _stock_rows(spark, sf):
+    cells = V.stock_cells(spark, sf)
+    named = B.apply_layout(cells, {"stocks": STOCK_LAYOUT}, F.lit("stocks"), keep=("row_id", "feed"))
+    return named
+
+
+@register("b10_apply_layout", O.with_(O.V_STOCK_ROWS) + """
+SELECT row_id, feed, symbol, name, real_time_price, change, percent_change, volume, avg_vol_3months,
+       market_cap, pe_ratio, country, sector FROM v_stock""")
+def q_b10(spark, sf):
+    return _stock_rows(spark, sf)
+
+
+@register("b11_add_constants", O.with_(O.V_STOCK_ROWS) + """
+SELECT row_id, feed AS country, 'screener' AS source,
+       CASE WHEN feed = 'nation_0' THEN 'US' ELSE 'INTL' END AS market FROM v_stock""")
+def q_b11(spark, sf):
+    df = B.add_constants(_stock_rows(spark, sf), {"country": F.col("feed"), "source": "screener"})
+    df = df.withColumn("market", F.when(F.col("feed") == "nation_0", F.lit("US")).otherwise(F.lit("INTL")))
+    return df.select("row_id", "country", "source", "market")
+
+
+def _conform_sql():
+    from marketflow.schemas import STOCK
+    cols, fails = [], []
+    for f in STOCK.fields:
+        src = "feed" if f.name == "country" else f.name
+        typ = {"DoubleType()": "DOUBLE", "IntegerType()": "INTEGER", "StringType()": "VARCHAR"}[repr(f.dataType)]
+        e = src if typ == "VARCHAR" else f"TRY_CAST({src} AS {typ})"
+        cols.append(f"{'round(' + e + ', 6)' if typ == 'DOUBLE' else e} AS {f.name}")
+        fails.append(f"CASE WHEN {e} IS NULL THEN '{f.name}' END")
+    failed = "concat_ws(',', " + ", ".join(fails) + ")"
+    return (O.with_(O.V_STOCK_ROWS) + "SELECT row_id, " + ", ".join(cols) +
+            f", {failed} AS failed_fields, {failed} = '' AS is_valid FROM v_stock")
+
+
+@register("c1_conform", _conform_sql())
+def q_c1(spark, sf):
+    df = B.add_constants(_stock_rows(spark, sf), {"country": F.col("feed")})
+    return rounded(C.conform(df, "stock", keep=("row_id",)))
+
+
+_PAYLOAD_KEYS = ["age", "education", "occupation", "kids", "income", "net_worth", "risk"]
+
+
+@register("c2_check_keys", f"""
+WITH p AS (
+  SELECT c_custkey AS investor_id,
+         CASE WHEN c_mktsegment = 'HOUSEHOLD'
+              THEN json_object({", ".join(f"'{k}', c_nationkey" for k in _PAYLOAD_KEYS)}, 'spouse', 1)
+              ELSE json_object({", ".join(f"'{k}', c_nationkey" for k in _PAYLOAD_KEYS)}, 'married', 1) END::VARCHAR
+           AS payload
+  FROM customer),
+k AS (SELECT investor_id, json_keys(payload) AS keys FROM p)
+SELECT investor_id,
+       array_to_string(list_sort(list_filter({E.FEATURE_COLUMNS!r}, lambda x: NOT list_contains(keys, x))), ',')
+         AS missing,
+       array_to_string(list_sort(list_filter(keys, lambda x: NOT list_contains({E.FEATURE_COLUMNS!r}, x))), ',')
+         AS extra
+FROM k""".replace('"', "'") + "")
+def q_c2(spark, sf):
+    c = V.table(spark, sf, "customer")
+    base = [F.col("c_nationkey").alias(k) for k in _PAYLOAD_KEYS]
+    payload = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.to_json(F.struct(*base, F.lit(1).alias("spouse")))) \
+               .otherwise(F.to_json(F.struct(*base, F.lit(1).alias("married"))))
+    df = c.select(F.col("c_custkey").alias("investor_id"), payload.alias("payload"))
+    return C.check_keys(df).select("investor_id", "missing", "extra")
+
+
+_ALLOWED_TYPES = ["CLICK", "PURCHASE", "SIGNUP", "VIEW"]
+
+
+@register("c3_check_member", O.with_(O.V_MESSAGES) + f"""
+SELECT event_id, message_type,
+       coalesce(upper(message_type) IN ({", ".join(repr(t) for t in _ALLOWED_TYPES)}), false) AS accepted
+FROM (SELECT event_id, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.type') END AS message_type
+      FROM v_messages) m""")
+def q_c3(spark, sf):
+    dec = A.decode_envelope(V.messages(spark, sf), keep=("event_id",))
+    ok, bad = C.check_member(spark, dec, "message_type", [t.lower() for t in _ALLOWED_TYPES], fold="upper")
+    return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))) \
+             .select("event_id", "message_type", "accepted")
+
+
+@register("c4_keep_new", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value, props FROM events
+WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'click'""")
+def q_c4(spark, sf):
+    ev = V.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    existing = (ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+                  .withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1)
+                                        .otherwise(F.col("value"))))
+    new = C.keep_new(ev.drop("ts"), existing.drop("ts"), keys=["event_id"])
+    return rounded(new)
+
+
+@register("c5_gold", ORACLE["d14_enrich"].replace(
+    "FROM v_clean c LEFT JOIN m ON c.symbol = m.symbol",
+    """FROM v_clean c LEFT JOIN m ON c.symbol = m.symbol
+WHERE m.total_return_pct IS NOT NULL AND NOT isnan(m.total_return_pct) AND m.std_dev IS NOT NULL
+  AND NOT isnan(m.std_dev) AND m.sharpe_ratio IS NOT NULL AND NOT isnan(m.sharpe_ratio)
+  AND c.adjusted_expense_ratio >= 0 AND c.asset_under_management >= 0"""))
+def q_c5(spark, sf):
+    funds = silver.clean_funds(V.funds_raw(spark, sf))
+    metrics = silver.symbol_metrics(V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK)
+    return rounded(C.gold(silver.enrich(funds, metrics)))
+
+
+# ------------------------------------------------------------------ pages --
+
+def _li_rows(spark, sf):
+    return B.extract_rows(V.pages(spark, sf), row_pattern=B.LIST_ROW, cell_pattern=B.LINK_CELL)
+
+
+@register("b1_extract_rows", O.with_(O.V_LI_ROWS) + """
+SELECT page_id, row_pos, len(cells) AS n_cells, array_to_string(cells, '|') AS cells_text FROM v_li""")
+def q_b1(spark, sf):
+    r = _li_rows(spark, sf)
+    return r.select("page_id", "row_pos", F.size("cells").alias("n_cells"),
+                    F.array_join("cells", "|").alias("cells_text"))
+
+
+_NAME_RE = "<a[^>]*>(.*?)</a>"
+_HREF_RE = 'href="([^"]*)"'
+
+
+def _named_li(spark, sf):
+    return B.extract_name_symbol(_li_rows(spark, sf), name_pattern=_NAME_RE, symbol_pattern=_HREF_RE)
+
+
+_NAMED_SQL = O.with_(O.V_LI_ROWS, f"""v_named AS (
+  SELECT page_id, row_pos, cells,
+         trim(regexp_replace(regexp_extract(row_html, '{_NAME_RE}', 1), '<[^>]*>', '', 'g')) AS name,
+         trim(regexp_replace(regexp_extract(row_html, '{_HREF_RE}', 1), '<[^>]*>', '', 'g')) AS symbol
+  FROM v_li)""")
+
+
+@register("b2_extract_name_symbol", _NAMED_SQL + """
+SELECT page_id, row_pos, name, symbol FROM v_named WHERE name <> '' AND symbol <> ''""")
+def q_b2(spark, sf):
+    return _named_li(spark, sf).select("page_id", "row_pos", "name", "symbol")
+
+
+@register("b3_zip_headers", O.with_(O.V_LI_ROWS) + """
+SELECT page_id, row_pos, (['label', 'extra'])[i] AS key, cells[i] AS value
+FROM v_li, range(1, 3) t(i) WHERE i <= len(cells)""")
+def q_b3(spark, sf):
+    z = B.zip_headers(_li_rows(spark, sf), ["label", "extra"])
+    return z.select("page_id", "row_pos", F.explode("record").alias("key", "value"))
+
+
+@register("b4_drop_bad_rows", O.with_(O.V_MIXED_ROWS) + """
+SELECT page_id, row_pos, len(cells) AS n_cells FROM v_mixed WHERE len(cells) > 0""")
+def q_b4(spark, sf):
+    rows = B.extract_rows(V.pages(spark, sf), row_pattern=r"<(?:li|p)>(.*?)</(?:li|p)>", cell_pattern=B.LINK_CELL)
+    kept, _rej = B.drop_bad_rows(rows)
+    return kept.select("page_id", "row_pos", F.size("cells").alias("n_cells"))
+
+
+_TIER_BY_REGION = ["usa", "big", "medium", "small", "frontier"]  # 'frontier' has no caps: rejected
+
+
+def _crawl(spark, sf):
+    n = V.table(spark, sf, "nation")
+    tier = F.element_at(F.array(*[F.lit(t) for t in _TIER_BY_REGION]), (F.col("n_regionkey") + 1).cast("int"))
+    countries = n.select(F.lower("n_name").alias("country"), tier.alias("tier"))
+    sectors = (V.table(spark, sf, "part").select(F.col("p_type").alias("sector")).distinct()
+               .withColumn("sector_class", F.when(F.col("sector") < "N", F.lit("heavy")).otherwise(F.lit("light"))))
+    url = F.concat(F.lit("https://screener.example/"), F.col("country"), F.lit("/"), F.lower("sector"),
+                   F.lit("?offset={i}&count=250"))
+    return B.crawl_plan(countries, sectors, B.tier_caps(spark), url_template=url)
+
+
+_CRAWL_SQL = """WITH countries AS (
+  SELECT lower(n_name) AS country, (['usa', 'big', 'medium', 'small', 'frontier'])[n_regionkey + 1] AS tier
+  FROM nation),
+caps(tier, sector_class, max_pages) AS (VALUES ('usa', 'heavy', 5), ('usa', 'light', 5), ('big', 'heavy', 5),
+  ('big', 'light', 5), ('medium', 'heavy', 5), ('medium', 'light', 4), ('small', 'heavy', 4), ('small', 'light', 3)),
+sectors AS (SELECT DISTINCT p_type AS sector, CASE WHEN p_type < 'N' THEN 'heavy' ELSE 'light' END AS sector_class
+            FROM part),
+plan AS (SELECT c.country, c.tier, s.sector, s.sector_class, k.max_pages,
+                'https://screener.example/' || c.country || '/' || lower(s.sector) || '?offset={i}&count=250'
+                  AS url_template
+         FROM countries c JOIN caps k ON c.tier = k.tier JOIN sectors s ON s.sector_class = k.sector_class)
+"""
+
+
+@register("b12_crawl_plan", _CRAWL_SQL + "SELECT country, tier, sector, sector_class, max_pages, url_template FROM plan")
+def q_b12(spark, sf):
+    plan, _rej = _crawl(spark, sf)
+    return plan.select("country", "tier", "sector", "sector_class", "max_pages", "url_template")
+
+
+@register("b12_crawl_rejects", _CRAWL_SQL + "SELECT country, tier FROM countries WHERE tier NOT IN (SELECT tier FROM caps)")
+def q_b12r(spark, sf):
+    _plan, rej = _crawl(spark, sf)
+    return rej.select("country", "tier")
+
+
+@register("b5_page_offsets", _CRAWL_SQL + """
+SELECT country, sector, page, page * 250 AS offset, replace(url_template, '{i}', CAST(page * 250 AS VARCHAR)) AS url
+FROM plan, range(0, 5) t(page) WHERE page < max_pages""")
+def q_b5(spark, sf):
+    plan, _rej = _crawl(spark, sf)
+    return B.page_offsets(plan).select("country", "sector", "page", "offset", "url")
+
+
+_HOST_RE = "^https?://([^/?#]+)"
+
+
+@register("b6_until_empty_page", f"""
+WITH p AS (SELECT regexp_extract(url, '{_HOST_RE}', 1) AS feed, page_id,
+                  NOT regexp_matches(html, '<li><a href="/[A-Z]') AS is_empty FROM pages),
+w AS (SELECT *, sum(CASE WHEN is_empty THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY page_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen,
+             row_number() OVER (PARTITION BY feed ORDER BY page_id) AS rk FROM p)
+SELECT feed, page_id FROM w WHERE seen = 0 AND rk <= 3""")
+def q_b6(spark, sf):
+    p = V.pages(spark, sf).select(F.regexp_extract("url", _HOST_RE, 1).alias("feed"), F.col("page_id").alias("page"),
+                                  (~F.col("html").rlike('<li><a href="/[A-Z]')).alias("is_empty"))
+    return B.until_empty_page(p, cap=3).select("feed", F.col("page").alias("page_id"))
+
+
+@register("b7_dedupe_first", _NAMED_SQL + """
+SELECT name, page_id, row_pos, symbol FROM (
+  SELECT name, page_id, row_pos, symbol,
+         row_number() OVER (PARTITION BY name ORDER BY page_id, row_pos) AS rn
+  FROM v_named WHERE name <> '' AND symbol <> '') x WHERE rn = 1""")
+def q_b7(spark, sf):
+    return B.dedupe_first(_named_li(spark, sf).select("name", "page_id", "row_pos", "symbol"))
+
+
+def _para_rows(spark, sf):
+    r = B.extract_rows(V.pages(spark, sf), row_pattern=r"<p>(.*?)</p>", cell_pattern=r"^(.*)$")
+    from marketflow.functions.text import strip_tags
+    return r.select("page_id", "row_pos", strip_tags("row_html").alias("para"))
+
+
+@register("b8_merge_tabs", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
+SELECT t0.page_id AS feed, t0.row_pos AS pos, coalesce(substr(t1.para, 1, 20), t0.cells[1]) AS name,
+       t0.cells[1] AS link_text, length(t1.para) AS para_len
+FROM v_li t0 LEFT JOIN v_para t1 ON t0.page_id = t1.page_id AND t0.row_pos = t1.row_pos""")
+def q_b8(spark, sf):
+    tab0 = _li_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
+                                      F.get("cells", 0).alias("name"), F.get("cells", 0).alias("link_text"))
+    tab1 = _para_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
+                                        F.substring("para", 1, 20).alias("name"), F.length("para").alias("para_len"))
+    return B.merge_tabs([tab0, tab1])
+
+
+@register("b9_union_feeds", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
+SELECT 'nav' AS category, page_id, row_pos, cells[1] AS text, len(cells) AS n_links, 'pages' AS fund_type FROM v_li
+UNION ALL
+SELECT 'article', page_id, row_pos, para, NULL, 'pages' FROM v_para""")
+def q_b9(spark, sf):
+    nav = _li_rows(spark, sf).select("page_id", "row_pos", F.get("cells", 0).alias("text"),
+                                     F.size("cells").alias("n_links"))
+    art = _para_rows(spark, sf).select("page_id", "row_pos", F.col("para").alias("text"))
+    out = B.union_feeds({"nav": nav, "article": art}, tags={"fund_type": "pages"})
+    return out.select("category", "page_id", "row_pos", "text", "n_links", "fund_type")
+
+
+@register("b13_cache", _CRAWL_SQL + """,
+writes AS (SELECT 'nation_' || CAST(p_partkey % 23 AS VARCHAR) || '_' || lower(p_type) AS cache_key,
+                  'https://screener.example/q/' || CAST(p_partkey AS VARCHAR) || '?offset={i}&count=250' AS url,
+                  p_partkey AS written_at FROM part),
+cache AS (SELECT cache_key, arg_max(url, written_at) AS url FROM writes GROUP BY cache_key)
+SELECT r.cache_key, c.url, c.url IS NOT NULL AS hit
+FROM (SELECT lower(country) || '_' || lower(sector) AS cache_key FROM plan) r LEFT JOIN cache c
+  ON r.cache_key = c.cache_key""")
+def q_b13(spark, sf):
+    plan, _rej = _crawl(spark, sf)
+    p = V.table(spark, sf, "part")
+    writes = p.select(
+        F.concat(F.lit("nation_"), (F.col("p_partkey") % 23).cast("string"), F.lit("_"),
+                 F.lower("p_type")).alias("cache_key"),
+        F.concat(F.lit("https://screener.example/q/"), F.col("p_partkey").cast("string"),
+                 F.lit("?offset={i}&count=250")).alias("url"),
+        F.col("p_partkey").alias("written_at"))
+    cache = B.cache_upsert(writes)
+    req = plan.select(B.cache_key("country", "sector").alias("cache_key"))
+    looked, _miss = B.cache_lookup(req, cache)
+    return looked.select("cache_key", "url", "hit")

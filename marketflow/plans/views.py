@@ -165,3 +165,45 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderstatus") == "O", F.lit("Staging")).otherwise(F.lit("Archived")).alias("stage"),
         F.concat(F.lit("models:/"), name, F.lit("/"), F.col("o_orderkey").cast("string")).alias("model_uri"),
     )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_MESSAGES: one envelope per event, ``data`` = JSON array text of its
+    props; error events arrive as text that is not JSON."""
+    ev = table(spark, sf_dir, "events")
+    good = F.to_json(F.struct(F.col("event_type").alias("type"),
+                              F.concat(F.lit("["), F.col("props"), F.lit("]")).alias("data")))
+    value = F.when(F.col("event_type") == "error", F.concat(F.lit("not json "), F.col("event_id").cast("string")))
+    return ev.select("event_id", "ts", value.otherwise(good).alias("value"))
+
+
+# Sector list used by the stock views: heavy then light (FIXED VALUES in constants).
+def _sector_of(idx: "F.Column") -> "F.Column":
+    from marketflow.constants import HEAVY_SECTORS, LIGHT_SECTORS
+    return F.element_at(F.array(*[F.lit(s) for s in HEAVY_SECTORS + LIGHT_SECTORS]), (idx % 11 + 1).cast("int"))
+
+
+def stock_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_STOCK_CELLS: a scraped stock screener row per supplier, cells as
+    text in the screener's column order; the feed is the country."""
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    j = s.join(n, s["s_nationkey"] == n["n_nationkey"], "inner")
+    cells = F.array(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")),
+        F.col("s_name"),
+        F.col("s_acctbal").cast("string"),
+        (F.col("s_nationkey") - 12).cast("string"),
+        F.concat((F.col("s_nationkey") - 12).cast("string"), F.lit("%")),
+        (F.col("s_suppkey") * 1000).cast("string"),
+        (F.col("s_suppkey") * 900).cast("string"),
+        ((F.col("s_suppkey") + 1) * 1000003).cast("string"),
+        F.when(F.col("s_acctbal") < 0, F.lit("—")).otherwise(F.col("s_nationkey").cast("string")),
+        F.lit(""),
+        _sector_of(F.col("s_suppkey")),
+    )
+    return j.select(F.col("s_suppkey").alias("row_id"), F.lower("n_name").alias("feed"), cells.alias("cells"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
