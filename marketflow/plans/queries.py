@@ -707,3 +707,118 @@ def q_b13(spark, sf):
     req = plan.select(B.cache_key("country", "sector").alias("cache_key"))
     looked, _miss = B.cache_lookup(req, cache)
     return looked.select("cache_key", "url", "hit")
+
+
+# ----------------------------------------------------- files & models -----
+
+from marketflow.constants import SURVEY_RENAMES  # noqa: E402
+from marketflow.operators import models as M  # noqa: E402
+from marketflow.session import scratch_path  # noqa: E402
+from marketflow.sources import files as FS  # noqa: E402
+from marketflow.sources.prices import commodity_series  # noqa: E402
+
+
+@register("a4_read_ndjson", """
+SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer""")
+def q_a4(spark, sf):
+    path = scratch_path(spark, "ndjson-customer")
+    FS.write_ndjson(V.table(spark, sf, "customer"), path)  # A6
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    return rounded(FS.read_ndjson(spark, path, schema=schema))  # A4
+
+
+_SURVEY_OUT = {v: k for k, v in SURVEY_RENAMES.items()}
+
+
+@register("a7_read_survey_csv", O.with_(O.V_FORMS, O.V_FEATURES) + """
+SELECT investor_id, round(age, 6) AS age, education, occupation, round(kids, 6) AS kids,
+       round(income, 6) AS income, round(net_worth, 6) AS net_worth, risk, married,
+       round(TrueRiskTol, 6) AS TrueRiskTol FROM v_features""")
+def q_a7(spark, sf):
+    feats = E.feature_order(E.encode_form(V.forms(spark, sf)), keep=("investor_id",))
+    survey = feats.withColumnsRenamed(_SURVEY_OUT).withColumn("LIFECL07", F.lit(1)).withColumn("WSAVED07", F.lit(2))
+    path = scratch_path(spark, "survey-csv")
+    FS.write_csv(survey, path)  # A8
+    schema = ("investor_id long, AGE07 double, EDCL07 int, OCCAT107 int, KIDS07 double, INCOME07 double, "
+              "NETWORTH07 double, RISK07 int, MARRIED07 int, TrueRiskTol double, LIFECL07 int, WSAVED07 int")
+    back = FS.read_survey_csv(spark, path, schema=schema)  # A7
+    return rounded(E.feature_order(E.rename_survey(back), keep=("investor_id",)))  # E3, E4
+
+
+@register("a10_commodity_series", """
+SELECT event_type AS commodity, CAST(ts AS DATE) AS date, round(value, 6) AS value FROM events""")
+def q_a10(spark, sf):
+    ev = V.table(spark, sf, "events")
+    point = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("value"))
+    body = F.to_json(F.struct(F.array(point).alias("data")))
+    resp = ev.select(F.col("event_type").alias("commodity"), body.alias("body"))
+    return rounded(commodity_series(resp))
+
+
+def _features_labelled(spark, sf):
+    f = E.feature_order(E.encode_form(V.forms(spark, sf)), keep=("investor_id",))
+    return f.withColumnRenamed("TrueRiskTol", "label")
+
+
+@register("e5_split")
+def q_e5(spark, sf):
+    f = _features_labelled(spark, sf)
+    tr, te = E.split(f, "investor_id")
+    return tr.select("investor_id", F.lit("train").alias("part")).unionByName(
+        te.select("investor_id", F.lit("test").alias("part")))
+
+
+def _stats_sql():
+    parts = []
+    for c in E.FEATURE_COLUMNS:
+        parts.append(f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, "
+                     f"round(stddev_pop(CAST({c} AS DOUBLE)), 6) AS sd FROM v_features")
+    return _FEATURES_SQL + "\nUNION ALL\n".join(parts)
+
+
+@register("e7_scaler_roundtrip", _stats_sql())
+def q_e7(spark, sf):
+    feats = E.encode_form(V.forms(spark, sf))
+    path = scratch_path(spark, "scaler")
+    E.save_scaler(E.fit_scaler(feats), path)
+    return rounded(E.scaler_long(E.load_scaler(spark, path)))
+
+
+@register("e8_train")
+def q_e8(spark, sf):
+    f = _features_labelled(spark, sf)
+    tr, te = E.split(f, "investor_id")
+    sc = E.fit_scaler(tr)
+    trs, tes = E.scale(tr, sc), E.scale(te, sc)
+    out = None
+    for i, kind in enumerate(M.MODEL_KINDS):
+        params = {"n_estimators": 30, "max_depth": 5}
+        m = M.train(trs, kind, params=params)
+        pred = M.predict(m, tes.dropna()).withColumn("model", F.lit(kind)).withColumn("ordinal", F.lit(i))
+        err = E.regression_error(pred, group=("model", "ordinal"))
+        out = err if out is None else out.unionByName(err)
+    return rounded(out)
+
+
+@register("e9_tune")
+def q_e9(spark, sf):
+    f = _features_labelled(spark, sf)
+    tr, _te = E.split(f, "investor_id")
+    tr = E.scale(tr, E.fit_scaler(tr))
+    model, params, mse = M.tune(tr, "forest", trials=M.random_trials("forest", n=3), folds=3)
+    return spark.createDataFrame([("forest", str(sorted(params.items())), float(mse))],
+                                 "model string, params string, cv_mse double")
+
+
+@register("e13_score")
+def q_e13(spark, sf):
+    f = _features_labelled(spark, sf)
+    tr, _te = E.split(f, "investor_id")
+    sc = E.fit_scaler(tr)
+    model = M.train(E.scale(tr, sc), "forest", params={"n_estimators": 30, "max_depth": 6})
+    payload = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                                   for c in E.FEATURE_COLUMNS]))
+    scored, _bad = M.score_payloads(f.select("investor_id", payload.alias("payload")), sc, model,
+                                    keep=("investor_id",))
+    return G.with_risk_bracket(scored, "risk_aversion_estimate").select(
+        "investor_id", "risk_aversion_estimate", "bracket", "annual_return")
