@@ -711,7 +711,7 @@ def q_b13(spark, sf):
 
 # ----------------------------------------------------- files & models -----
 
-from marketflow.constants import SURVEY_RENAMES  # noqa: E402
+from marketflow.constants import MODEL_GRID, SURVEY_RENAMES  # noqa: E402
 from marketflow.operators import models as M  # noqa: E402
 from marketflow.session import scratch_path  # noqa: E402
 from marketflow.sources import files as FS  # noqa: E402
@@ -805,7 +805,10 @@ def q_e9(spark, sf):
     f = _features_labelled(spark, sf)
     tr, _te = E.split(f, "investor_id")
     tr = E.scale(tr, E.fit_scaler(tr))
-    model, params, mse = M.tune(tr, "forest", trials=M.random_trials("forest", n=3), folds=3)
+    # two points of the training config grid (forest: 50 / 100 trees, depth 10)
+    grid = [{"n_estimators": n, "max_depth": d} for n in MODEL_GRID["RandomForest"]["n_estimators"][:2]
+            for d in MODEL_GRID["RandomForest"]["max_depth"][1:2]]
+    model, params, mse = M.tune(tr, "forest", trials=grid, folds=3)
     return spark.createDataFrame([("forest", str(sorted(params.items())), float(mse))],
                                  "model string, params string, cv_mse double")
 
