@@ -101,47 +101,70 @@ def total_return(first, last) -> Column:
     return F.try_divide(last - first, first) * F.lit(100.0)
 
 
+def _lagged(prices: DataFrame, key: str, order: Sequence[str], price: str,
+            bucket_seconds: int | None) -> DataFrame:
+    """Every price row with ``prev_price`` and two flags: ``_sym_first``
+    (first row of its symbol) and ``_sym_last`` (last row of its symbol).
+
+    ``bucket_seconds=None``: one window partitioned by the symbol.  With a
+    bucket width, rows with a NULL symbol are dropped (they form no series).
+
+    Otherwise the lag runs in two levels so a hot symbol is spread over many
+    tasks and only one full shuffle happens:
+
+    1. one window over (symbol, time bucket) gives the lag inside the bucket
+       and the bucket's first/last-row flags;
+    2. an aggregate of those rows (already partitioned by symbol and bucket,
+       so no new shuffle) keeps one row per (symbol, bucket): the bucket's
+       last price.  On that small table a window over
+       the symbol gives every bucket the last price of the previous non-empty
+       bucket (the ``carry``), and whether it is the symbol's first / last
+       bucket;
+    3. the carry is joined back on (symbol, bucket), the key the big side is
+       already partitioned by; a bucket's first row takes the carry as its
+       previous price.
+    """
+    base = prices.select(key, *order, price)
+    if bucket_seconds is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        return (base.withColumn("prev_price", F.lag(price).over(w))
+                    .withColumn("_sym_first", F.row_number().over(w) == 1)
+                    .withColumn("_sym_last", F.lead(F.lit(1)).over(w).isNull()))
+    bucket = F.floor(F.unix_seconds(F.col(ts_of(order)).cast("timestamp")) / F.lit(int(bucket_seconds)))
+    # Rows without a symbol carry no series; dropping them up front also keeps
+    # both consumers of the shuffle identical, so Spark reuses the exchange.
+    base = base.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket)
+    w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
+    rows = (base.withColumn("_prev", F.lag(price).over(w1))
+                .withColumn("_first", F.row_number().over(w1) == 1)
+                .withColumn("_last", F.lead(F.lit(1)).over(w1).isNull()))
+    wb = Window.partitionBy(key).orderBy("_bucket")
+    carry = (rows.groupBy(key, "_bucket").agg(F.max(F.when(F.col("_last"), F.col(price))).alias("_blast"))
+                 .withColumn("_carry", F.lag("_blast").over(wb))
+                 .withColumn("_has_prev", F.lag(F.lit(1)).over(wb).isNotNull())
+                 .withColumn("_last_bucket", F.lead(F.lit(1)).over(wb).isNull())
+                 .select(key, "_bucket", "_carry", "_has_prev", "_last_bucket"))
+    j = rows.join(carry, [key, "_bucket"], "left")
+    return (j.withColumn("prev_price", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
+             .withColumn("_sym_first", F.col("_first") & ~F.col("_has_prev"))
+             .withColumn("_sym_last", F.col("_last") & F.col("_last_bucket")))
+
+
+def ts_of(order: Sequence[str]) -> str:
+    return order[0]
+
+
 def daily_returns(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close",
                   tiebreak: Sequence[str] = (), bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Change of each price against the previous row of its symbol.
 
     Output: key, ts, tie-breakers, price, ``prev_price``, ``daily_return``
     (``price / prev_price - 1``; NULL for a symbol's first row or a zero
-    previous price).
-
-    ``bucket_seconds=None`` is the plain plan: one window partitioned by the
-    symbol (one exchange).  With a bucket width the lag runs in two levels so a
-    hot symbol is spread over many tasks:
-
-    1. window over (symbol, time bucket): lag inside the bucket, plus first /
-       last flags;
-    2. the first and last row of every bucket (at most two rows per bucket)
-       form a small edge table; a window over the symbol on that table gives
-       each bucket's first row the last price of the previous non-empty
-       bucket.
-
-    Both plans give the same rows.
+    previous price).  See ``_lagged`` for the skew-safe two-level plan
+    (``bucket_seconds``) and the plain one (``None``); both give the same rows.
     """
     order = [ts, *tiebreak]
-    base = prices.select(key, *order, price)
-    if bucket_seconds is None:
-        w = Window.partitionBy(key).orderBy(*order)
-        out = base.withColumn("prev_price", F.lag(price).over(w))
-    else:
-        bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(int(bucket_seconds)))
-        w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
-        rows = (base.withColumn("_bucket", bucket)
-                .withColumn("_prev", F.lag(price).over(w1))
-                .withColumn("_first", F.row_number().over(w1) == 1)
-                .withColumn("_last", F.lead(F.lit(1)).over(w1).isNull()))
-        inner = rows.filter(~F.col("_first")).select(key, *order, price, F.col("_prev").alias("prev_price"))
-        w2 = Window.partitionBy(key).orderBy(*order)
-        edges = (rows.filter(F.col("_first") | F.col("_last"))
-                 .select(key, *order, price, "_first")
-                 .withColumn("prev_price", F.lag(price).over(w2))
-                 .filter(F.col("_first"))
-                 .select(key, *order, price, "prev_price"))
-        out = inner.unionByName(edges)
+    out = _lagged(prices, key, order, price, bucket_seconds).select(key, *order, price, "prev_price")
     return out.withColumn("daily_return", F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0))
 
 
@@ -153,15 +176,18 @@ def symbol_metrics(prices: DataFrame, key: str = "symbol", ts: str = "ts", price
     Columns: key, first_price, last_price, total_return_pct (D8),
     mean_return (D11), std_dev (D10, sample deviation), sharpe_ratio (D12,
     ``(mean - rf) / sd``, NULL when sd is 0 or undefined), n_returns.
+    First and last prices come from row flags, so the final aggregate only
+    holds fixed-width buffers (hash aggregate with map-side partials).
     """
-    r = daily_returns(prices, key, ts, price, tiebreak, bucket_seconds)
-    order = _order_struct([ts, *tiebreak])
+    order = [ts, *tiebreak]
+    r = _lagged(prices, key, order, price, bucket_seconds)
+    ret = F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0)
     g = r.groupBy(key).agg(
-        F.min_by(price, order).alias("first_price"),
-        F.max_by(price, order).alias("last_price"),
-        F.avg("daily_return").alias("mean_return"),
-        F.stddev_samp("daily_return").alias("std_dev"),
-        F.count("daily_return").alias("n_returns"),
+        F.max(F.when(F.col("_sym_first"), F.col(price))).alias("first_price"),
+        F.max(F.when(F.col("_sym_last"), F.col(price))).alias("last_price"),
+        F.avg(ret).alias("mean_return"),
+        F.stddev_samp(ret).alias("std_dev"),
+        F.count(ret).alias("n_returns"),
     )
     return (g.withColumn("total_return_pct", total_return("first_price", "last_price"))
              .withColumn("sharpe_ratio",
