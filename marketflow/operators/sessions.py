@@ -37,32 +37,73 @@ ROUTE_INITIALIZE = "initialize"
 ROUTE_RESET = "reset_preferences"
 
 
+DEFAULT_BUCKET_SECONDS = 86400
+
+
 def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str] = ("ts",),
-                  intent: str = "intent") -> DataFrame:
+                  intent: str = "intent", bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """flags after every event of each conversation, and the route taken.
 
-    Running windows over the conversation: a flag set once stays set
-    (running max), the preferences flag is the last explicit set/clear
-    (``last(..., ignorenulls)``).  All window expressions share one
-    partitioning, so the plan has one exchange.
+    A flag set once stays set (running max); the preferences flag is the
+    last explicit set/clear (``last(..., ignorenulls)``).
+
+    ``bucket_seconds=None`` runs the running windows over the whole
+    conversation (one exchange).  With a bucket width (first ``order``
+    column is the event time) the windows run per (conversation, time
+    bucket), so a very long conversation is spread over many tasks; the state
+    at the end of every bucket goes into a small per-bucket table, a window
+    over the conversation carries it into the next buckets, and a join on
+    (conversation, bucket) - the partitioning the big side already has -
+    combines both.  Both forms give the same rows.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     i = F.col(intent)
     pref_set = F.when(i == PREFERENCES, F.lit(True)).when(i == RESET, F.lit(False))
-    profiling_before = F.coalesce(F.max(i == GOAL_ACHIEVABLE).over(before), F.lit(False))
     goal = (i == GOAL_ACHIEVABLE) | (i == GOAL_TEXT)
-    return (events
-            .withColumn("introduction_state", F.coalesce(F.max(i == INITIALIZE).over(upto), F.lit(False)))
-            .withColumn("profiling_state", F.coalesce(F.max(i == GOAL_ACHIEVABLE).over(upto), F.lit(False)))
-            .withColumn("preferences_state", F.coalesce(F.last(pref_set, ignorenulls=True).over(upto), F.lit(False)))
-            .withColumn("route",
-                        F.when(i == INITIALIZE, F.lit(ROUTE_INITIALIZE))
-                         .when(goal & profiling_before, F.lit(ROUTE_FALLBACK))
-                         .when(goal, F.lit(ROUTE_CHECK_SMART))
-                         .when(i == PREFERENCES, F.lit(ROUTE_PREFERENCES))
-                         .when(i == RESET, F.lit(ROUTE_RESET))))
+    if bucket_seconds is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        df = (events
+              .withColumn("introduction_state", F.coalesce(F.max(i == INITIALIZE).over(upto), F.lit(False)))
+              .withColumn("profiling_state", F.coalesce(F.max(i == GOAL_ACHIEVABLE).over(upto), F.lit(False)))
+              .withColumn("preferences_state",
+                          F.coalesce(F.last(pref_set, ignorenulls=True).over(upto), F.lit(False)))
+              .withColumn("_prof_before", F.coalesce(F.max(i == GOAL_ACHIEVABLE).over(before), F.lit(False))))
+    else:
+        bucket = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / F.lit(int(bucket_seconds)))
+        base = events.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket)
+        w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
+        upto = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = w1.rowsBetween(Window.unboundedPreceding, -1)
+        rows = (base.withColumn("_intro", F.max(i == INITIALIZE).over(upto))
+                    .withColumn("_prof", F.max(i == GOAL_ACHIEVABLE).over(upto))
+                    .withColumn("_prof_b", F.max(i == GOAL_ACHIEVABLE).over(before))
+                    .withColumn("_pref", F.last(pref_set, ignorenulls=True).over(upto))
+                    .withColumn("_is_last", F.lead(F.lit(1)).over(w1).isNull()))
+        wb = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carry = (rows.groupBy(key, "_bucket").agg(
+                     F.max(F.when(F.col("_is_last"), F.col("_intro"))).alias("_b_intro"),
+                     F.max(F.when(F.col("_is_last"), F.col("_prof"))).alias("_b_prof"),
+                     F.max(F.when(F.col("_is_last"), F.col("_pref"))).alias("_b_pref"))
+                 .withColumn("_c_intro", F.max("_b_intro").over(wb))
+                 .withColumn("_c_prof", F.max("_b_prof").over(wb))
+                 .withColumn("_c_pref", F.last("_b_pref", ignorenulls=True).over(wb))
+                 .select(key, "_bucket", "_c_intro", "_c_prof", "_c_pref"))
+        j = rows.join(carry, [key, "_bucket"], "left")
+        c_intro = F.coalesce(F.col("_c_intro"), F.lit(False))
+        c_prof = F.coalesce(F.col("_c_prof"), F.lit(False))
+        df = (j.withColumn("introduction_state", c_intro | F.coalesce(F.col("_intro"), F.lit(False)))
+               .withColumn("profiling_state", c_prof | F.coalesce(F.col("_prof"), F.lit(False)))
+               .withColumn("preferences_state", F.coalesce(F.col("_pref"), F.col("_c_pref"), F.lit(False)))
+               .withColumn("_prof_before", c_prof | F.coalesce(F.col("_prof_b"), F.lit(False)))
+               .drop("_bucket", "_intro", "_prof", "_prof_b", "_pref", "_is_last", "_c_intro", "_c_prof", "_c_pref"))
+    return (df.withColumn("route",
+                          F.when(i == INITIALIZE, F.lit(ROUTE_INITIALIZE))
+                           .when(goal & F.col("_prof_before"), F.lit(ROUTE_FALLBACK))
+                           .when(goal, F.lit(ROUTE_CHECK_SMART))
+                           .when(i == PREFERENCES, F.lit(ROUTE_PREFERENCES))
+                           .when(i == RESET, F.lit(ROUTE_RESET)))
+              .drop("_prof_before"))
 
 
 def final_state(states: DataFrame, key: str = "conv_id", order: Sequence[str] = ("ts",)) -> DataFrame:

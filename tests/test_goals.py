@@ -69,16 +69,34 @@ def test_session_transitions(spark):
         ["initialize", "goal_text", "goal_achievable", "goal_achievable", "preferences_confirmed", "reset",
          "preferences_confirmed"])]
     df = spark.createDataFrame(ev, "conv_id long, ts long, intent string")
-    out = S.session_state(df).orderBy("ts").collect()
+    out = S.session_state(df, bucket_seconds=None).orderBy("ts").collect()
     assert [r.route for r in out] == ["initialize", "check_smart", "check_smart", "fallback",
                                       "preferences_confirmation", "reset_preferences", "preferences_confirmation"]
     assert [r.profiling_state for r in out] == [False, False, True, True, True, True, True]
     assert [r.preferences_state for r in out] == [False, False, False, False, True, False, True]
     assert all(r.introduction_state for r in out)
-    fin = S.final_state(S.session_state(df)).collect()[0]
+    fin = S.final_state(S.session_state(df, bucket_seconds=None)).collect()[0]
     assert (fin.introduction_state, fin.profiling_state, fin.preferences_state, fin.n_events) == (True, True, True, 7)
 
 
 def test_needs_confirmation(spark):
     df = spark.createDataFrame([("Do you CONFIRM these preferences [x]",), ("no",), (None,)], "text string")
     assert [r.needs_confirmation for r in G.needs_confirmation(df).collect()] == [True, False, False]
+
+
+def test_session_bucketed_equals_plain(spark):
+    import random
+    from datetime import datetime, timedelta
+    rnd = random.Random(5)
+    intents = ["initialize", "goal_text", "goal_achievable", "preferences_confirmed", "reset", None]
+    base = datetime(2024, 1, 1)
+    rows = [(c, base + timedelta(minutes=rnd.randint(0, 60 * 24 * 20)), e, rnd.choice(intents))
+            for c in range(8) for e in range(c * 1000, c * 1000 + rnd.randint(1, 150))]
+    df = spark.createDataFrame(rows, "conv_id long, ts timestamp, event_id long, intent string")
+    cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
+    want = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=None)
+                  .select(*cols).collect()))
+    for b in (3600, 86400, 7 * 86400):
+        got = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=b)
+                     .select(*cols).collect()))
+        assert got == want
