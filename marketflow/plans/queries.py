@@ -825,3 +825,71 @@ def q_e13(spark, sf):
                                     keep=("investor_id",))
     return G.with_risk_bracket(scored, "risk_aversion_estimate").select(
         "investor_id", "risk_aversion_estimate", "bracket", "annual_return")
+
+
+# -------------------------------------------------------------- streaming --
+
+from marketflow.streaming import bronze as SB  # noqa: E402
+from marketflow.streaming import sessions as SS  # noqa: E402
+
+
+@register("a3_bronze_stream", O.with_(O.V_MESSAGES) + """
+SELECT CASE WHEN json_valid(value) THEN json_extract_string(value, '$.type') END AS message_type,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.data') END AS data
+FROM v_messages""")
+def q_a3(spark, sf):
+    """A1 -> A2 -> A3 as a bounded stream: envelope text files -> bronze JSON
+    partitioned by message type, several micro-batches."""
+    src, sink, ck = (scratch_path(spark, n) for n in ("bronze-src", "bronze", "bronze-ckpt"))
+    V.messages(spark, sf).select("value").repartition(4).write.text(src)
+    q = SB.bronze_stream(spark, sink, ck, source_fmt="text", source_path=src,
+                         source_options={"maxFilesPerTrigger": "1"}, available_now=True)
+    q.awaitTermination()
+    return spark.read.schema("data string, message_type string").json(sink)
+
+
+@register("c4_keep_new_stream", """
+SELECT event_id, user_id, event_type,
+       round(CASE WHEN event_type = 'click' THEN value + 1 ELSE value END, 6) AS value, props FROM events
+WHERE ts < TIMESTAMP '2024-01-15'
+UNION ALL
+SELECT event_id, user_id, event_type, round(value, 6) AS value, props FROM events
+WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'click'""")
+def q_c4s(spark, sf):
+    """C4 exact, streaming: an early snapshot, then the full snapshot re-sent
+    with changed clicks; only unseen or changed records reach the sink."""
+    ev = V.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    early = (ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+               .withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1)
+                                     .otherwise(F.col("value"))))
+    src, sink, ck = (scratch_path(spark, n) for n in ("keepnew-src", "keepnew", "keepnew-ckpt"))
+    early.drop("ts").coalesce(2).write.parquet(f"{src}/b1")   # batch 1: two files
+    ev.drop("ts").coalesce(2).write.parquet(f"{src}/b2")      # batch 2: two files, written later
+    schema = "event_id long, user_id long, event_type string, value double, props string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    SB.keep_new_stream(stream, sink, ck, keys=["event_id"], available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
+
+
+@register("f10_session_stream", ORACLE["f10_session_state"].replace(
+    "SELECT conv_id, event_id, ts, intent,", "SELECT conv_id, event_id, intent,"))
+def q_f10s(spark, sf):
+    """F10 with keyed streaming state: the session events as three time-ordered
+    files, one micro-batch each; output written to a parquet sink."""
+    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
+    src, sink, ck = (scratch_path(spark, n) for n in ("sess-src", "sess", "sess-ckpt"))
+    cuts = ["2024-01-11", "2024-01-21"]
+    ts = F.col("ts")
+    parts = [ts < F.lit(cuts[0]).cast("timestamp_ntz"),
+             (ts >= F.lit(cuts[0]).cast("timestamp_ntz")) & (ts < F.lit(cuts[1]).cast("timestamp_ntz")),
+             ts >= F.lit(cuts[1]).cast("timestamp_ntz")]
+    for k, cond in enumerate(parts):
+        ev.filter(cond).write.parquet(f"{src}/part{k}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    q = (SS.session_state_stream(stream).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
+                                           "profiling_state", "preferences_state", "route")
