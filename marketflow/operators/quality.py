@@ -64,6 +64,14 @@ def _fold(c, fold: str | None):
     return c
 
 
+def member_flag(df: DataFrame, column: str, allowed: Sequence[str], fold: str | None = None,
+                out: str = "accepted") -> DataFrame:
+    """C3 as one pass: a boolean column for membership in a literal list
+    (an ``IN`` expression inside the scan stage, no join); NULL -> false."""
+    values = sorted({(v.upper() if fold == "upper" else v.lower() if fold == "lower" else v) for v in allowed})
+    return df.withColumn(out, F.coalesce(_fold(F.col(column), fold).isin(values), F.lit(False)))
+
+
 def check_member(spark: SparkSession, df: DataFrame, column: str, allowed: Sequence[str] | DataFrame,
                  fold: str | None = None, allowed_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by membership in an allowed set.

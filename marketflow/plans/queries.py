@@ -503,9 +503,8 @@ FROM (SELECT event_id, CASE WHEN json_valid(value) THEN json_extract_string(valu
       FROM v_messages) m""")
 def q_c3(spark, sf):
     dec = A.decode_envelope(V.messages(spark, sf), keep=("event_id",))
-    ok, bad = C.check_member(spark, dec, "message_type", [t.lower() for t in _ALLOWED_TYPES], fold="upper")
-    return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))) \
-             .select("event_id", "message_type", "accepted")
+    return C.member_flag(dec, "message_type", [t.lower() for t in _ALLOWED_TYPES], fold="upper") \
+            .select("event_id", "message_type", "accepted")
 
 
 @register("c4_keep_new", """

@@ -65,6 +65,8 @@ def test_check_member_folding(spark):
     ok2, _ = C.check_member(spark, spark.createDataFrame([("France",), ("Peru",)], "c string"), "c", allowed,
                             fold="lower")
     assert [r.c for r in ok2.collect()] == ["France"]
+    flags = [r.accepted for r in C.member_flag(df, "c", ["WTI", "BRENT"], fold="upper").collect()]
+    assert flags == [True, True, False, False]
 
 
 def test_keep_new_passes_changed_and_unseen(spark):
