@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
+
 INITIALIZE = "initialize"
 GOAL_ACHIEVABLE = "goal_achievable"
 GOAL_TEXT = "goal_text"
@@ -37,20 +39,24 @@ ROUTE_INITIALIZE = "initialize"
 ROUTE_RESET = "reset_preferences"
 
 
-DEFAULT_BUCKET_SECONDS = 86400
+DEFAULT_BUCKET_SECONDS = "auto"
 
 
 def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str] = ("ts",),
-                  intent: str = "intent", bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  intent: str = "intent", bucket_seconds=DEFAULT_BUCKET_SECONDS,
+                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """flags after every event of each conversation, and the route taken.
 
     A flag set once stays set (running max); the preferences flag is the
     last explicit set/clear (``last(..., ignorenulls)``).
 
     ``bucket_seconds=None`` runs the running windows over the whole
-    conversation (one exchange).  With a bucket width (first ``order``
-    column is the event time) the windows run per (conversation, time
-    bucket), so a very long conversation is spread over many tasks; the state
+    conversation (one exchange).  ``"auto"`` (default) splits only
+    conversations with more than ``hot_rows`` events into time buckets (plain
+    plan when there are none); an int uses fixed-width buckets.  In the
+    bucketed form (first ``order`` column is the event time) the windows run
+    per (conversation, time bucket), so a very long conversation is spread
+    over many tasks; the state
     at the end of every bucket goes into a small per-bucket table, a window
     over the conversation carries it into the next buckets, and a join on
     (conversation, bucket) - the partitioning the big side already has -
@@ -59,7 +65,11 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
     i = F.col(intent)
     pref_set = F.when(i == PREFERENCES, F.lit(True)).when(i == RESET, F.lit(False))
     goal = (i == GOAL_ACHIEVABLE) | (i == GOAL_TEXT)
-    if bucket_seconds is None:
+    bucketed = None
+    if bucket_seconds is not None:
+        bucketed = plan_buckets(events.filter(F.col(key).isNotNull()), key, order[0], bucket_seconds,
+                                hot_rows, rows_per_bucket)
+    if bucketed is None:
         w = Window.partitionBy(key).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,8 +80,7 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
                           F.coalesce(F.last(pref_set, ignorenulls=True).over(upto), F.lit(False)))
               .withColumn("_prof_before", F.coalesce(F.max(i == GOAL_ACHIEVABLE).over(before), F.lit(False))))
     else:
-        bucket = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / F.lit(int(bucket_seconds)))
-        base = events.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket)
+        base = bucketed
         w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
         upto = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         before = w1.rowsBetween(Window.unboundedPreceding, -1)

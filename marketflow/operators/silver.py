@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketflow.functions.text import percent_to_number, scale_amount
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
 
 FUND_COLUMNS = ["adjusted_expense_ratio", "asset_under_management", "category", "fund_type", "name", "symbol"]
 METRIC_COLUMNS = ["total_return_pct", "std_dev", "sharpe_ratio"]
@@ -22,8 +23,9 @@ REFERENCE_METRIC_NAMES = {
     "std_dev": "Standard Deviation",
     "sharpe_ratio": "Sharpe Ratio",
 }
-# Default time bucket of the two-level lag (see ``daily_returns``).
-DEFAULT_BUCKET_SECONDS = 30 * 86400
+# Default bucketing of the per-symbol lag: buckets only for hot symbols
+# (see ``_lagged`` and ``operators.series``).
+DEFAULT_BUCKET_SECONDS = "auto"
 
 
 # ---------------------------------------------------------------- D1-D5 ----
@@ -102,12 +104,17 @@ def total_return(first, last) -> Column:
 
 
 def _lagged(prices: DataFrame, key: str, order: Sequence[str], price: str,
-            bucket_seconds: int | None) -> DataFrame:
+            bucket_seconds, hot_rows: int = DEFAULT_HOT_ROWS,
+            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Every price row with ``prev_price`` and two flags: ``_sym_first``
     (first row of its symbol) and ``_sym_last`` (last row of its symbol).
 
-    ``bucket_seconds=None``: one window partitioned by the symbol.  With a
-    bucket width, rows with a NULL symbol are dropped (they form no series).
+    ``bucket_seconds=None``: one window partitioned by the symbol.
+    ``"auto"`` (default): one cheap aggregate finds symbols with more than
+    ``hot_rows`` rows; without any, the plain plan runs, otherwise only those
+    symbols are split into time buckets (see ``operators.series``).  An int
+    uses fixed-width buckets for every symbol.  In the bucketed forms rows
+    with a NULL symbol are dropped (they form no series).
 
     Otherwise the lag runs in two levels so a hot symbol is spread over many
     tasks and only one full shuffle happens:
@@ -125,15 +132,18 @@ def _lagged(prices: DataFrame, key: str, order: Sequence[str], price: str,
        previous price.
     """
     base = prices.select(key, *order, price)
-    if bucket_seconds is None:
+    # Rows without a symbol carry no series; dropping them up front also keeps
+    # both consumers of the shuffle identical, so Spark reuses the exchange.
+    bucketed = None
+    if bucket_seconds is not None:
+        bucketed = plan_buckets(base.filter(F.col(key).isNotNull()), key, ts_of(order), bucket_seconds,
+                                hot_rows, rows_per_bucket)
+    if bucketed is None:
         w = Window.partitionBy(key).orderBy(*order)
         return (base.withColumn("prev_price", F.lag(price).over(w))
                     .withColumn("_sym_first", F.row_number().over(w) == 1)
                     .withColumn("_sym_last", F.lead(F.lit(1)).over(w).isNull()))
-    bucket = F.floor(F.unix_seconds(F.col(ts_of(order)).cast("timestamp")) / F.lit(int(bucket_seconds)))
-    # Rows without a symbol carry no series; dropping them up front also keeps
-    # both consumers of the shuffle identical, so Spark reuses the exchange.
-    base = base.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket)
+    base = bucketed
     w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
     rows = (base.withColumn("_prev", F.lag(price).over(w1))
                 .withColumn("_first", F.row_number().over(w1) == 1)
@@ -155,7 +165,8 @@ def ts_of(order: Sequence[str]) -> str:
 
 
 def daily_returns(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close",
-                  tiebreak: Sequence[str] = (), bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  tiebreak: Sequence[str] = (), bucket_seconds=DEFAULT_BUCKET_SECONDS,
+                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Change of each price against the previous row of its symbol.
 
     Output: key, ts, tie-breakers, price, ``prev_price``, ``daily_return``
@@ -164,13 +175,15 @@ def daily_returns(prices: DataFrame, key: str = "symbol", ts: str = "ts", price:
     (``bucket_seconds``) and the plain one (``None``); both give the same rows.
     """
     order = [ts, *tiebreak]
-    out = _lagged(prices, key, order, price, bucket_seconds).select(key, *order, price, "prev_price")
+    out = _lagged(prices, key, order, price, bucket_seconds, hot_rows, rows_per_bucket) \
+        .select(key, *order, price, "prev_price")
     return out.withColumn("daily_return", F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0))
 
 
 def symbol_metrics(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close",
                    tiebreak: Sequence[str] = (), risk_free: float = 0.0,
-                   bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                   bucket_seconds=DEFAULT_BUCKET_SECONDS, hot_rows: int = DEFAULT_HOT_ROWS,
+                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """D7-D13 in one aggregate over the daily returns of every symbol.
 
     Columns: key, first_price, last_price, total_return_pct (D8),
@@ -180,7 +193,7 @@ def symbol_metrics(prices: DataFrame, key: str = "symbol", ts: str = "ts", price
     holds fixed-width buffers (hash aggregate with map-side partials).
     """
     order = [ts, *tiebreak]
-    r = _lagged(prices, key, order, price, bucket_seconds)
+    r = _lagged(prices, key, order, price, bucket_seconds, hot_rows, rows_per_bucket)
     ret = F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0)
     g = r.groupBy(key).agg(
         F.max(F.when(F.col("_sym_first"), F.col(price))).alias("first_price"),

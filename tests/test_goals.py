@@ -96,7 +96,7 @@ def test_session_bucketed_equals_plain(spark):
     cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
     want = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=None)
                   .select(*cols).collect()))
-    for b in (3600, 86400, 7 * 86400):
-        got = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=b)
-                     .select(*cols).collect()))
+    for b in (3600, 86400, 7 * 86400, "auto"):
+        got = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=b, hot_rows=60,
+                                                rows_per_bucket=20).select(*cols).collect()))
         assert got == want

@@ -71,9 +71,12 @@ def test_bucketed_lag_equals_plain_lag(spark):
     p = _prices(spark, data)
     cols = ["symbol", "ts", "adj_close", "prev_price", "daily_return"]
     a = silver.daily_returns(p, bucket_seconds=None).select(*cols).collect()
-    for b in (86400, 7 * 86400, 90 * 86400):
-        got = silver.daily_returns(p, bucket_seconds=b).select(*cols).collect()
+    for b in (86400, 7 * 86400, 90 * 86400, "auto"):
+        got = silver.daily_returns(p, bucket_seconds=b, hot_rows=50, rows_per_bucket=30).select(*cols).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, a))
+    m_plain = silver.symbol_metrics(p, bucket_seconds=None).collect()
+    m_auto = silver.symbol_metrics(p, hot_rows=50, rows_per_bucket=30).collect()
+    assert sorted(map(tuple, m_plain)) == sorted(map(tuple, m_auto))
 
 
 def test_plain_metrics_plan_has_one_exchange(spark):
