@@ -138,3 +138,32 @@ def latest_version(registry: DataFrame, stages: Sequence[str] | None = None, nam
     df = registry if stages is None else registry.filter(F.col(stage).isin(list(stages)))
     return df.groupBy(name).agg(F.max(version).alias("latest_version"),
                                 F.max_by(F.col(uri), F.col(version)).alias("model_uri"))
+
+
+RUN_SCHEMA = ("run_id string, model_name string, version long, stage string, params string, mse double, "
+              "rmse double, model_uri string")
+
+
+def log_run(spark: SparkSession, registry_path: str, model_name: str, params: Mapping, mse: float,
+            model_uri: str, stage: str = "None", run_id: str | None = None) -> DataFrame:
+    """Append one run to a registry table (parquet) with the next version
+    number of the model; returns the appended row.
+
+    The registry is an append-only table in shared storage; ``latest_version``
+    reads it back.  Versions come from the table itself (max + 1), so
+    concurrent writers should use distinct model names.
+    """
+    import json
+    import math
+    import uuid
+    try:
+        reg = spark.read.parquet(registry_path)
+        row = reg.filter(F.col("model_name") == model_name).agg(F.max("version").alias("v")).collect()[0]
+        version = (row.v or 0) + 1
+    except Exception:  # noqa: BLE001 - no registry yet
+        version = 1
+    rec = [(run_id or uuid.uuid4().hex, model_name, int(version), stage, json.dumps(dict(params), sort_keys=True),
+            float(mse), math.sqrt(float(mse)), model_uri)]
+    df = spark.createDataFrame(rec, RUN_SCHEMA)
+    df.write.mode("append").parquet(registry_path)
+    return df

@@ -89,3 +89,22 @@ def publish_feed(records: DataFrame, type_col: str, record_cols: Sequence[str] |
     value = F.to_json(F.struct(F.col("message_type").alias("type"), data.alias("data")))
     return (packed.select("message_type", "chunk", "n_records", "n_bytes", value.alias("value"))
                   .withColumn("fits", F.octet_length("value") <= F.lit(int(max_bytes))))
+
+
+def write_messages(packed: DataFrame, fmt: str = "kafka", path: str | None = None, topic: str | None = None,
+                   servers: str | None = None, mode: str = "append",
+                   max_bytes: int = MAX_MESSAGE_BYTES_PRODUCER) -> None:
+    """A5 sink: send packed envelopes (``publish_feed`` output) to Kafka, or
+    write them as text lines (one envelope per line) for a file-fed stream.
+
+    Messages above ``max_bytes`` are refused rather than sent truncated.
+    """
+    big = packed.filter(F.octet_length("value") > F.lit(int(max_bytes))).limit(1).count()
+    if big:
+        raise ValueError(f"a packed message exceeds {max_bytes} bytes; lower fill or raise the limit")
+    out = packed.select(F.col("message_type").alias("key"), F.col("value"))
+    if fmt == "kafka":
+        (out.write.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("topic", topic).save())
+    else:
+        out.select("value").write.mode(mode).text(path)

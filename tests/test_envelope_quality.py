@@ -89,3 +89,13 @@ def test_scalar_stats_plan_has_no_cartesian(spark):
     plan = E.scale(df, E.fit_scaler(df, ["age", "risk"]), ["age", "risk"])._jdf.queryExecution() \
             .executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_write_messages_files(spark, scratch):
+    recs = spark.range(0, 50).select(F.lit("feed").alias("t"), F.col("id"))
+    packed = A.publish_feed(recs, "t", ["id"], max_bytes=400)
+    A.write_messages(packed, fmt="text", path=scratch + "/out", max_bytes=400)
+    back = A.decode_envelope(spark.read.text(scratch + "/out"))
+    assert back.filter("message_type = 'feed'").count() == packed.count()
+    with pytest.raises(ValueError):
+        A.write_messages(packed, fmt="text", path=scratch + "/out2", max_bytes=10)

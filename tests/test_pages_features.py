@@ -118,3 +118,14 @@ def test_pick_best_tie_and_latest_version(spark):
                                 "model_name string, version int, stage string, model_uri string")
     r = E.latest_version(reg, ["None", "Staging", "Production"]).collect()[0]
     assert (r.latest_version, r.model_uri) == (2, "u2")
+
+
+def test_log_run_versions(spark, scratch):
+    reg = scratch + "/registry"
+    E.log_run(spark, reg, "BestModel", {"n": 1}, 4.0, "models:/BestModel/1")
+    E.log_run(spark, reg, "BestModel", {"n": 2}, 1.0, "models:/BestModel/2", stage="Production")
+    E.log_run(spark, reg, "Other", {}, 2.0, "models:/Other/1")
+    r = {x.model_name: x for x in E.latest_version(spark.read.parquet(reg)).collect()}
+    assert r["BestModel"].latest_version == 2 and r["Other"].latest_version == 1
+    rows = spark.read.parquet(reg).filter("model_name = 'BestModel' AND version = 2").collect()
+    assert rows[0].rmse == 1.0
