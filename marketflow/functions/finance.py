@@ -24,26 +24,39 @@ def risk_bracket(risk) -> Column:
 
 
 def bracket_return(risk) -> Column:
-    """Expected annual return of the risk bracket; 0.05 when none matches."""
-    b = risk_bracket(risk)
-    expr = None
-    for bid, _lo, _hi, ret, _w in RISK_BRACKETS:
-        expr = F.when(b == bid, F.lit(ret)) if expr is None else expr.when(b == bid, F.lit(ret))
-    return expr.otherwise(F.lit(DEFAULT_ANNUAL_RETURN))
+    """Expected annual return of the risk bracket; 0.05 when none matches.
+
+    The bracket id indexes a literal array, so the bracket CASE is evaluated
+    once per row.
+    """
+    return bracket_lookup_return(risk_bracket(risk))
+
+
+def bracket_lookup_return(bracket: Column) -> Column:
+    """Return of a bracket id; 0.05 for NULL (the index is guarded: a NULL
+    ``element_at`` index is not relied on)."""
+    returns = F.array(*[F.lit(float(ret)) for _bid, _lo, _hi, ret, _w in RISK_BRACKETS])
+    return F.when(bracket.isNull(), F.lit(DEFAULT_ANNUAL_RETURN)).otherwise(F.element_at(returns, bracket))
+
+
+def _allocation_table() -> Column:
+    rows = []
+    for _bid, _lo, _hi, _ret, weights in RISK_BRACKETS:
+        rows.append(F.array(*[F.struct(F.lit(a).alias("asset_class"), F.lit(float(w)).alias("weight"))
+                              for a, w in zip(ASSET_CLASSES, weights)]))
+    return F.array(*rows)
 
 
 def allocation_array(risk) -> Column:
-    """``array<struct<asset_class string, weight double>>`` of the bracket.
+    """``array<struct<asset_class string, weight double>>`` of the bracket;
+    NULL when no bracket.  A pure expression (no lookup join): the eight
+    weight vectors are one literal array indexed by the bracket id."""
+    return bracket_lookup_allocation(risk_bracket(risk))
 
-    A pure expression (no lookup join): the eight weight vectors are literals.
-    """
-    b = risk_bracket(risk)
-    expr = None
-    for bid, _lo, _hi, _ret, weights in RISK_BRACKETS:
-        arr = F.array(*[F.struct(F.lit(a).alias("asset_class"), F.lit(float(w)).alias("weight"))
-                        for a, w in zip(ASSET_CLASSES, weights)])
-        expr = F.when(b == bid, arr) if expr is None else expr.when(b == bid, arr)
-    return expr
+
+def bracket_lookup_allocation(bracket: Column) -> Column:
+    """Allocation array of a bracket id; NULL for a NULL id."""
+    return F.when(bracket.isNotNull(), F.element_at(_allocation_table(), bracket))
 
 
 def allocation_map(risk) -> Column:

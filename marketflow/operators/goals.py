@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.constants import CONFIRM_PHRASE, HISTORY_PREFIX  # noqa: F401 (re-exported)
-from marketflow.functions.finance import (allocation_array, bracket_return, future_value,
+from marketflow.functions.finance import (bracket_lookup_allocation, bracket_lookup_return, future_value,
                                           risk_bracket)
 from marketflow.functions.text import contains_phrase
 from marketflow.functions.util import as_col
@@ -19,7 +19,8 @@ from marketflow.functions.util import as_col
 
 def with_risk_bracket(df: DataFrame, risk: str = "risk_aversion") -> DataFrame:
     """F1: bracket id and expected annual return (0.05 when no bracket)."""
-    return df.withColumns({"bracket": risk_bracket(risk), "annual_return": bracket_return(risk)})
+    out = df.withColumn("bracket", risk_bracket(risk))
+    return out.withColumn("annual_return", bracket_lookup_return(F.col("bracket")))
 
 
 def allocation_long(df: DataFrame, risk: str = "risk_aversion", keep=("investor_id",),
@@ -29,10 +30,10 @@ def allocation_long(df: DataFrame, risk: str = "risk_aversion", keep=("investor_
     ``weight_sum`` exposes the brackets whose weights do not add up to 1;
     ``rescale=True`` divides by it.  Investors without a bracket get no rows.
     """
-    arr = allocation_array(risk)
+    b = df.select(*keep, risk_bracket(risk).alias("bracket"))
+    arr = bracket_lookup_allocation(F.col("bracket"))
     total = F.aggregate(F.transform(arr, lambda x: x["weight"]), F.lit(0.0), lambda a, b: a + b)
-    out = (df.select(*keep, risk_bracket(risk).alias("bracket"), total.alias("weight_sum"),
-                     F.inline(arr)))
+    out = b.select(*keep, "bracket", total.alias("weight_sum"), F.inline(arr))
     if rescale:
         out = out.withColumn("weight", F.col("weight") / F.col("weight_sum"))
     return out
