@@ -92,6 +92,22 @@ def scale(df: DataFrame, scaler: DataFrame, features: Sequence[str] = FEATURE_CO
     return df.withColumns(cols)
 
 
+def scale_with_values(df: DataFrame, stats: Mapping[str, float | None],
+                      features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """E6 with the fitted statistics as literals (``{f"{c}__mean": .., f"{c}__sd": ..}``).
+
+    For streaming plans, which cannot hold a batch scalar subquery: the
+    fitted scaler is two numbers per feature, a fixed-size model parameter.
+    """
+    cols = {}
+    for c in features:
+        m = stats.get(f"{c}__mean")
+        sd = stats.get(f"{c}__sd")
+        sd1 = 1.0 if sd is None or sd == 0 else float(sd)
+        cols[c] = (F.col(c).cast("double") - F.lit(m).cast("double")) / F.lit(sd1)
+    return df.withColumns(cols)
+
+
 def scaler_long(scaler: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Fitted scaler as ``(feature, mean, sd)`` rows for storage."""
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__mean").alias("mean"),

@@ -119,5 +119,9 @@ def score_payloads(payloads: DataFrame, scaler: DataFrame, model: PipelineModel,
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in features])
     parsed = ok.select(*keep, F.from_json(F.col(payload), schema).alias("_f")).select(*keep, "_f.*")
     ordered = E.feature_order(parsed, target=None, keep=keep, features=features)
-    scaled = E.scale(ordered, scaler, features)
+    if payloads.isStreaming:
+        # one-row fitted scaler (2 numbers per feature) applied as literals
+        scaled = E.scale_with_values(ordered, scaler.first().asDict(), features)
+    else:
+        scaled = E.scale(ordered, scaler, features)
     return predict(model, scaled, "risk_aversion_estimate"), bad

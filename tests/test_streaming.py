@@ -89,3 +89,48 @@ def test_apply_intent_table():
     assert s == (True, True, False) and r == S.ROUTE_CHECK_SMART
     s, r = apply_intent(s, S.GOAL_TEXT)
     assert r == S.ROUTE_FALLBACK
+
+
+def test_score_payloads_stream_equals_batch(spark, scratch):
+    from marketflow.constants import FEATURE_COLUMNS
+    from marketflow.operators import features as E
+    from marketflow.operators import models as M
+    rows = [(i, *[float((i * (k + 3)) % 17) for k in range(8)], float(i % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, ["id", *FEATURE_COLUMNS, "label"])
+    sc = E.fit_scaler(df)
+    model = M.train(E.scale(df, sc), "forest", params={"n_estimators": 5, "max_depth": 3})
+    payload = F.to_json(F.struct(*[F.col(c) for c in FEATURE_COLUMNS]))
+    pay = df.select("id", payload.alias("payload"))
+    pay = pay.unionByName(spark.createDataFrame([(999, '{"age": 1}')], "id long, payload string"))
+    batch, bad = M.score_payloads(pay, sc, model, keep=("id",))
+    assert bad.count() == 1
+    src = os.path.join(scratch, "pay")
+    pay.coalesce(2).write.parquet(src)
+    stream = spark.readStream.schema(pay.schema).parquet(src)
+    scored, _ = M.score_payloads(stream, sc, model, keep=("id",))
+    sink = os.path.join(scratch, "scored")
+    q = (scored.select("id", "risk_aversion_estimate").writeStream.format("parquet")
+         .option("checkpointLocation", os.path.join(scratch, "ck2")).trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    got = {r.id: r.risk_aversion_estimate for r in spark.read.parquet(sink).collect()}
+    want = {r.id: r.risk_aversion_estimate for r in batch.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_keep_new_bounded_stream(spark, scratch):
+    from marketflow.streaming.bronze import keep_new_bounded
+    src = os.path.join(scratch, "kb")
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    snap = [(k, f"v{k}", t0 + timedelta(minutes=k)) for k in range(10)]
+    spark.createDataFrame(snap, "k long, v string, ts timestamp").coalesce(1).write.parquet(src + "/a")
+    spark.createDataFrame(snap + [(3, "changed", t0 + timedelta(minutes=30))],
+                          "k long, v string, ts timestamp").coalesce(1).write.parquet(src + "/b")
+    stream = (spark.readStream.schema("k long, v string, ts timestamp").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    out = keep_new_bounded(stream, ["k"], "ts", "1 day", content=["v"])
+    sink = os.path.join(scratch, "kb_out")
+    q = (out.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "kb_ck"))
+         .trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    assert spark.read.parquet(sink).count() == 11     # the re-sent copies are dropped within the delay
