@@ -32,18 +32,18 @@ def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT
     is hot.
 
     One partial aggregate over (key, ts) - a small shuffle of one row per
-    key and task - written to the checkpoint folder so the plan that uses it
-    does not recompute it.  This runs a job when called.
+    key and task.  When hot keys exist the table is written to the
+    checkpoint folder so the plan that uses it does not recompute it.  This
+    runs a job when called.
     """
     s = _seconds(ts)
     stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(s).alias("_t0"), F.max(s).alias("_t1"))
                .filter(F.col("_n") > F.lit(int(hot_rows)))
                .select(key, F.greatest(F.lit(1e-6), (F.col("_t1") - F.col("_t0") + F.lit(1.0))
-                                       * F.lit(float(rows_per_bucket)) / F.col("_n")).alias("_width"))
-               .checkpoint(eager=True))
-    if stats.limit(1).count() == 0:
+                                       * F.lit(float(rows_per_bucket)) / F.col("_n")).alias("_width")))
+    if stats.isEmpty():          # the common case: no hot key, nothing to keep
         return None
-    return stats
+    return stats.checkpoint(eager=True)
 
 
 def with_buckets(df: DataFrame, key: str, ts: str, widths: DataFrame | None = None,
