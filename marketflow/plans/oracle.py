@@ -203,17 +203,17 @@ V_LI_ROWS = r"""v_li AS (
   SELECT page_id, row_pos, row_html,
          list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
                         lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
-  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+  FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
         FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS l FROM pages) p) q)"""
 
 V_MIXED_ROWS = r"""v_mixed AS (
   SELECT page_id, row_pos, row_html,
          list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
                         lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
-  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+  FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
         FROM (SELECT page_id, regexp_extract_all(html, '<(?:li|p)>(.*?)</(?:li|p)>', 1) AS l FROM pages) p) q)"""
 
 V_PARA_ROWS = r"""v_para AS (
   SELECT page_id, row_pos, trim(regexp_replace(row_html, '<[^>]*>', '', 'g')) AS para
-  FROM (SELECT page_id, unnest(l) AS row_html, generate_subscripts(l, 1) - 1 AS row_pos
+  FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
         FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1) AS l FROM pages) p) q)"""

@@ -392,7 +392,7 @@ def _published(spark, sf):
 
 @register("a5_publish_feed", """
 SELECT event_type AS message_type, count(*) AS n_records,
-       sum(strlen(json_object('event_id', event_id, 'user_id', user_id, 'props', props)::VARCHAR)) AS n_bytes,
+       CAST(sum(strlen(json_object('event_id', event_id, 'user_id', user_id, 'props', props)::VARCHAR)) AS BIGINT) AS n_bytes,
        true AS all_fit
 FROM events GROUP BY event_type""")
 def q_a5(spark, sf):
@@ -538,7 +538,7 @@ def _li_rows(spark, sf):
 
 
 @register("b1_extract_rows", O.with_(O.V_LI_ROWS) + """
-SELECT page_id, row_pos, len(cells) AS n_cells, array_to_string(cells, '|') AS cells_text FROM v_li""")
+SELECT page_id, row_pos, CAST(len(cells) AS INTEGER) AS n_cells, array_to_string(cells, '|') AS cells_text FROM v_li""")
 def q_b1(spark, sf):
     r = _li_rows(spark, sf)
     return r.select("page_id", "row_pos", F.size("cells").alias("n_cells"),
@@ -575,7 +575,7 @@ def q_b3(spark, sf):
 
 
 @register("b4_drop_bad_rows", O.with_(O.V_MIXED_ROWS) + """
-SELECT page_id, row_pos, len(cells) AS n_cells FROM v_mixed WHERE len(cells) > 0""")
+SELECT page_id, row_pos, CAST(len(cells) AS INTEGER) AS n_cells FROM v_mixed WHERE len(cells) > 0""")
 def q_b4(spark, sf):
     rows = B.extract_rows(V.pages(spark, sf), row_pattern=r"<(?:li|p)>(.*?)</(?:li|p)>", cell_pattern=B.LINK_CELL)
     kept, _rej = B.drop_bad_rows(rows)
@@ -623,7 +623,8 @@ def q_b12r(spark, sf):
 
 
 @register("b5_page_offsets", _CRAWL_SQL + """
-SELECT country, sector, page, page * 250 AS offset, replace(url_template, '{i}', CAST(page * 250 AS VARCHAR)) AS url
+SELECT country, sector, CAST(page AS INTEGER) AS page, CAST(page * 250 AS INTEGER) AS offset,
+       replace(url_template, '{i}', CAST(page * 250 AS VARCHAR)) AS url
 FROM plan, range(0, 5) t(page) WHERE page < max_pages""")
 def q_b5(spark, sf):
     plan, _rej = _crawl(spark, sf)
@@ -663,7 +664,7 @@ def _para_rows(spark, sf):
 
 @register("b8_merge_tabs", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
 SELECT t0.page_id AS feed, t0.row_pos AS pos, coalesce(substr(t1.para, 1, 20), t0.cells[1]) AS name,
-       t0.cells[1] AS link_text, length(t1.para) AS para_len
+       t0.cells[1] AS link_text, CAST(length(t1.para) AS INTEGER) AS para_len
 FROM v_li t0 LEFT JOIN v_para t1 ON t0.page_id = t1.page_id AND t0.row_pos = t1.row_pos""")
 def q_b8(spark, sf):
     tab0 = _li_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
@@ -674,9 +675,10 @@ def q_b8(spark, sf):
 
 
 @register("b9_union_feeds", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
-SELECT 'nav' AS category, page_id, row_pos, cells[1] AS text, len(cells) AS n_links, 'pages' AS fund_type FROM v_li
+SELECT 'nav' AS category, page_id, row_pos, cells[1] AS text, CAST(len(cells) AS INTEGER) AS n_links,
+       'pages' AS fund_type FROM v_li
 UNION ALL
-SELECT 'article', page_id, row_pos, para, NULL, 'pages' FROM v_para""")
+SELECT 'article', page_id, row_pos, para, CAST(NULL AS INTEGER), 'pages' FROM v_para""")
 def q_b9(spark, sf):
     nav = _li_rows(spark, sf).select("page_id", "row_pos", F.get("cells", 0).alias("text"),
                                      F.size("cells").alias("n_links"))

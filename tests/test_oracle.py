@@ -44,6 +44,11 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    from tools.check_types import SPARK_TO_DUCK
+    rel = con.sql(SQL[name])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
