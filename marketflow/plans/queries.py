@@ -894,3 +894,16 @@ def q_f10s(spark, sf):
     q.awaitTermination()
     return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
                                            "profiling_state", "preferences_state", "route")
+
+
+@register("profile_investors")
+def q_profile(spark, sf):
+    """SURVEY §3.3 end to end: forms -> model risk -> bracket; goals with the
+    bracket rate -> outcome (rows-only: the model is trained here)."""
+    from marketflow.plans.pipelines import profile_investors
+    f = _features_labelled(spark, sf)
+    tr, _te = E.split(f, "investor_id")
+    sc = E.fit_scaler(tr)
+    model = M.train(E.scale(tr, sc), "forest", params={"n_estimators": 20, "max_depth": 5})
+    _inv, _alloc, ev = profile_investors(V.forms(spark, sf), V.goals(spark, sf), sc, model)
+    return ev.select("goal_id", "investor_id", "annual_return", "future_value", "outcome", "failed_criterion")
