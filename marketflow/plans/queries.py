@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from marketflow.operators import silver
 from marketflow.plans import oracle as O
 from marketflow.plans import views as V
-from marketflow.plans.pipelines import process_funds
+from marketflow.plans.jobs import process_funds
 from marketflow.sources.prices import trailing_prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -900,7 +900,7 @@ def q_f10s(spark, sf):
 def q_profile(spark, sf):
     """SURVEY §3.3 end to end: forms -> model risk -> bracket; goals with the
     bracket rate -> outcome (rows-only: the model is trained here)."""
-    from marketflow.plans.pipelines import profile_investors
+    from marketflow.plans.jobs import profile_investors
     f = _features_labelled(spark, sf)
     tr, _te = E.split(f, "investor_id")
     sc = E.fit_scaler(tr)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from marketflow.operators import silver
-from marketflow.plans.pipelines import process_funds
+from marketflow.plans.jobs import process_funds
 
 
 def rows(df, *cols):
