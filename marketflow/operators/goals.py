@@ -115,6 +115,26 @@ def transcript(turns: DataFrame, key: str = "conv_id", order: str = "turn", text
         F.count(F.lit(1)).alias("n_answers"))
 
 
+def transcript_parts(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text",
+                     role: str | None = "role", answer_role: str = "assistant",
+                     turns_per_part: int = 1000) -> DataFrame:
+    """F9 with bounded groups: the answers of each conversation as ordered parts.
+
+    Turns are grouped by ``floor(turn / turns_per_part)``, so no group holds
+    more than ``turns_per_part`` turns however long a conversation is.  The
+    history is the starting text followed by the conversation's ``text``
+    parts in ``part`` order, the same string ``transcript`` builds in one row.
+    """
+    df = turns
+    if role is not None:
+        df = df.filter(F.col(role) == answer_role)
+    part = F.floor(F.col(order) / F.lit(int(turns_per_part))).cast("long")
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return df.groupBy(key, part.alias("part")).agg(
+        F.array_join(F.transform(items, lambda x: x["t"]), "").alias("text"),
+        F.count(F.lit(1)).alias("n_answers"))
+
+
 def needs_confirmation(df: DataFrame, text: str = "text", phrase: str = CONFIRM_PHRASE) -> DataFrame:
     """an answer asks to confirm preferences (any case)."""
     return df.withColumn("needs_confirmation", F.coalesce(contains_phrase(text, phrase), F.lit(False)))

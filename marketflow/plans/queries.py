@@ -289,6 +289,14 @@ def q_f10(spark, sf):
                      "preferences_state", "route")
 
 
+@register("f9_transcript_parts", """
+SELECT conv_id, CAST(floor(turn / 100) AS BIGINT) AS part, string_agg(text, '' ORDER BY turn) AS text,
+       count(*) AS n_answers
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id, CAST(floor(turn / 100) AS BIGINT)""")
+def q_f9p(spark, sf):
+    return G.transcript_parts(V.table(spark, sf, "conversations"), turns_per_part=100)
+
+
 @register("f11_needs_confirmation", f"""
 SELECT conv_id, turn, coalesce(contains(lower(text), '{G.CONFIRM_PHRASE}'), false) AS needs_confirmation
 FROM conversations WHERE role = 'assistant'""")

@@ -62,6 +62,8 @@ def test_transcript_orders_turns(spark):
                                (2, 5, "assistant", "z")], "conv_id long, turn long, role string, text string")
     out = {r.conv_id: r.history for r in G.transcript(t).collect()}
     assert out[1] == G.HISTORY_PREFIX + "ab" and out[2] == G.HISTORY_PREFIX + "z"
+    parts = sorted((r.conv_id, r.part, r.text) for r in G.transcript_parts(t, turns_per_part=1).collect())
+    assert parts == [(1, 0, "a"), (1, 2, "b"), (2, 5, "z")]
 
 
 def test_session_transitions(spark):
