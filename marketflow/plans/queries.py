@@ -672,27 +672,32 @@ def _para_rows(spark, sf):
 
 @register("b8_merge_tabs", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
 SELECT t0.page_id AS feed, t0.row_pos AS pos, coalesce(substr(t1.para, 1, 20), t0.cells[1]) AS name,
-       t0.cells[1] AS link_text, CAST(length(t1.para) AS INTEGER) AS para_len
+       t0.cells[1] AS link_text, coalesce(CAST(length(t1.para) AS INTEGER), 0) AS para_len,
+       t1.para IS NOT NULL AS has_para
 FROM v_li t0 LEFT JOIN v_para t1 ON t0.page_id = t1.page_id AND t0.row_pos = t1.row_pos""")
 def q_b8(spark, sf):
     tab0 = _li_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
                                       F.get("cells", 0).alias("name"), F.get("cells", 0).alias("link_text"))
     tab1 = _para_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
                                         F.substring("para", 1, 20).alias("name"), F.length("para").alias("para_len"))
-    return B.merge_tabs([tab0, tab1])
+    tab1 = tab1.withColumn("has_para", F.lit(True))
+    m = B.merge_tabs([tab0, tab1])
+    return m.select("feed", "pos", "name", "link_text", F.coalesce("para_len", F.lit(0)).alias("para_len"),
+                    F.coalesce("has_para", F.lit(False)).alias("has_para"))
 
 
 @register("b9_union_feeds", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
 SELECT 'nav' AS category, page_id, row_pos, cells[1] AS text, CAST(len(cells) AS INTEGER) AS n_links,
        'pages' AS fund_type FROM v_li
 UNION ALL
-SELECT 'article', page_id, row_pos, para, CAST(NULL AS INTEGER), 'pages' FROM v_para""")
+SELECT 'article', page_id, row_pos, para, CAST(0 AS INTEGER), 'pages' FROM v_para""")
 def q_b9(spark, sf):
     nav = _li_rows(spark, sf).select("page_id", "row_pos", F.get("cells", 0).alias("text"),
                                      F.size("cells").alias("n_links"))
     art = _para_rows(spark, sf).select("page_id", "row_pos", F.col("para").alias("text"))
     out = B.union_feeds({"nav": nav, "article": art}, tags={"fund_type": "pages"})
-    return out.select("category", "page_id", "row_pos", "text", "n_links", "fund_type")
+    return out.select("category", "page_id", "row_pos", "text", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                      "fund_type")
 
 
 @register("b13_cache", _CRAWL_SQL + """,
@@ -755,13 +760,14 @@ def q_a7(spark, sf):
 
 
 @register("a10_commodity_series", """
-SELECT event_type AS commodity, CAST(ts AS DATE) AS date, round(value, 6) AS value FROM events""")
+SELECT event_type AS commodity, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(value, 6) AS value FROM events""")
 def q_a10(spark, sf):
     ev = V.table(spark, sf, "events")
     point = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("value"))
     body = F.to_json(F.struct(F.array(point).alias("data")))
     resp = ev.select(F.col("event_type").alias("commodity"), body.alias("body"))
-    return rounded(commodity_series(resp))
+    out = commodity_series(resp)
+    return rounded(out.withColumn("date", F.col("date").cast("string")))   # ISO text for the comparison
 
 
 def _features_labelled(spark, sf):

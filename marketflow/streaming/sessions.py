@@ -58,6 +58,8 @@ def session_state_stream(events: DataFrame, key: str = "conv_id") -> DataFrame:
     Events of one conversation must arrive in order across micro-batches
     (within a batch they are sorted by ts, event_id).
     """
+    from marketflow.session import ship_package
+    ship_package(events.sparkSession)
     ev = events.select(key, "ts", "event_id", "intent")
     return ev.groupBy(key).applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                                   GroupStateTimeout.NoTimeout)
