@@ -91,3 +91,21 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(path)
     sc._marketflow_shipped = True
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings that size partitions for a given input volume.
+
+    Shuffle partitions start at input / target (AQE then coalesces small
+    ones and splits skewed ones); scan splits and the advisory size use the
+    same target so a task's working set stays well inside executor memory.
+    Pass the result as ``extra`` to ``get_spark`` or to ``spark-submit --conf``.
+    """
+    n = max(1, min(max_partitions, -(-int(input_bytes) // int(target_partition_bytes))))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(int(target_partition_bytes) * 4),
+    }
