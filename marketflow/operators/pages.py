@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from marketflow.constants import ROWS_PER_STOCK_PAGE, TIER_PAGE_CAPS
 from marketflow.functions.text import strip_tags
 from marketflow.operators.joins import broadcast_if_small
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
 
 TABLE_ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
 TABLE_CELL = r"(?s)<td[^>]*>(.*?)</td>"
@@ -83,17 +84,41 @@ def page_offsets(plan: DataFrame, url_template: str = "url_template", max_pages:
 
 
 def until_empty_page(pages: DataFrame, feed: str = "feed", page: str = "page", is_empty: str = "is_empty",
-                     cap: int | None = None) -> DataFrame:
+                     cap: int | None = None, bucket_seconds="auto", hot_rows: int = DEFAULT_HOT_ROWS,
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Keep the pages of each feed before its first empty page, and at
-    most ``cap`` pages.  A feed is one paginated listing, itself bounded by
-    the site's page cap, so one window over the feed is used."""
-    w = Window.partitionBy(feed).orderBy(page)
-    seen_empty = F.sum(F.when(F.col(is_empty), 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = pages.withColumn("_seen_empty", seen_empty)
+    most ``cap`` pages (in page order).
+
+    Plain form: one window over the feed.  A feed with more than ``hot_rows``
+    pages (``"auto"``), or every feed (an int width over the page order), is
+    split into page-range buckets: rank and empty count run inside each
+    bucket, and the counts of all earlier buckets are carried in from a small
+    per-bucket table joined back on (feed, bucket).
+    """
+    base = pages.filter(F.col(feed).isNotNull())
+    bucketed = None if bucket_seconds is None else plan_buckets(base, feed, page, bucket_seconds,
+                                                                 hot_rows, rows_per_bucket)
+    empty = F.when(F.col(is_empty), 1).otherwise(0)
+    if bucketed is None:
+        w = Window.partitionBy(feed).orderBy(page)
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = pages.withColumn("_seen_empty", F.sum(empty).over(run)).withColumn("_rank", F.row_number().over(w))
+    else:
+        w1 = Window.partitionBy(feed, "_bucket").orderBy(page)
+        run = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = bucketed.withColumn("_e_in", F.sum(empty).over(run)).withColumn("_r_in", F.row_number().over(w1))
+        wb = Window.partitionBy(feed).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carry = (rows.groupBy(feed, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(empty).alias("_e"))
+                     .withColumn("_c_n", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+                     .withColumn("_c_e", F.coalesce(F.sum("_e").over(wb), F.lit(0)))
+                     .select(feed, "_bucket", "_c_n", "_c_e"))
+        df = (rows.join(carry, [feed, "_bucket"], "left")
+                  .withColumn("_seen_empty", F.col("_c_e") + F.col("_e_in"))
+                  .withColumn("_rank", F.col("_c_n") + F.col("_r_in"))
+                  .drop("_bucket", "_e_in", "_r_in", "_c_n", "_c_e"))
     if cap is not None:
-        df = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
-    return df.filter(F.col("_seen_empty") == 0).drop("_seen_empty")
+        df = df.filter(F.col("_rank") <= cap)
+    return df.filter(F.col("_seen_empty") == 0).drop("_seen_empty", "_rank")
 
 
 def dedupe_first(rows: DataFrame, key: str = "name", order: Sequence[str] = ("page_id", "row_pos")) -> DataFrame:

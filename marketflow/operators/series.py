@@ -21,7 +21,14 @@ DEFAULT_ROWS_PER_BUCKET = 100_000
 MAX_HOT_KEYS_BROADCAST = 200_000
 
 
-def _seconds(ts: str) -> Column:
+_TIME_TYPES = ("timestamp", "timestamp_ntz", "date")
+
+
+def _seconds(ts: str, df: DataFrame | None = None) -> Column:
+    """Order position as a number: seconds for time columns, the value itself
+    for numeric order columns (page numbers, turns)."""
+    if df is not None and dict(df.dtypes).get(ts) not in _TIME_TYPES:
+        return F.col(ts).cast("double")
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
@@ -36,7 +43,7 @@ def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT
     checkpoint folder so the plan that uses it does not recompute it.  This
     runs a job when called.
     """
-    s = _seconds(ts)
+    s = _seconds(ts, df)
     stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(s).alias("_t0"), F.max(s).alias("_t1"))
                .filter(F.col("_n") > F.lit(int(hot_rows)))
                .select(key, F.greatest(F.lit(1e-6), (F.col("_t1") - F.col("_t0") + F.lit(1.0))
@@ -51,11 +58,11 @@ def with_buckets(df: DataFrame, key: str, ts: str, widths: DataFrame | None = No
     """Adds ``_bucket``: fixed-width time buckets (``bucket_seconds``), or the
     per-key widths of ``hot_key_widths`` (other keys: bucket 0)."""
     if widths is None:
-        b = F.floor(_seconds(ts) / F.lit(float(bucket_seconds)))
+        b = F.floor(_seconds(ts, df) / F.lit(float(bucket_seconds)))
         return df.withColumn("_bucket", b)
     w = broadcast_if_small(widths, MAX_HOT_KEYS_BROADCAST)
     j = df.join(w, key, "left")
-    b = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(F.floor(_seconds(ts) / F.col("_width")))
+    b = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(F.floor(_seconds(ts, df) / F.col("_width")))
     return j.withColumn("_bucket", b).drop("_width")
 
 

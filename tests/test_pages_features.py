@@ -38,6 +38,17 @@ def test_page_offsets_and_until_empty(spark):
                                   "feed string, page int, is_empty boolean")
     out = sorted((r.feed, r.page) for r in B.until_empty_page(pages, cap=2).collect())
     assert out == [("f", 1), ("f", 2), ("g", 1), ("g", 2)]
+    import random
+    rnd = random.Random(7)
+    rows = [("hot", p, rnd.random() < 0.01) for p in range(1, 400)] + \
+           [(f"f{i}", p, rnd.random() < 0.2) for i in range(10) for p in range(1, 30)]
+    big = spark.createDataFrame(rows, "feed string, page int, is_empty boolean")
+    for cap in (None, 5, 150):
+        want = sorted(map(tuple, B.until_empty_page(big, cap=cap, bucket_seconds=None).collect()))
+        for b in (7, "auto"):
+            got = sorted(map(tuple, B.until_empty_page(big, cap=cap, bucket_seconds=b, hot_rows=100,
+                                                       rows_per_bucket=25).collect()))
+            assert got == want
 
 
 def test_dedupe_first_and_merge_tabs(spark):
