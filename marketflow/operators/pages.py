@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketflow.constants import ROWS_PER_STOCK_PAGE, TIER_PAGE_CAPS
+from marketflow.constants import (FEED_CONSTANTS, FEED_LAYOUTS, FEED_LAYOUTS_COMPAT, ROWS_PER_STOCK_PAGE,
+                                  TIER_PAGE_CAPS)
 from marketflow.functions.text import strip_tags
 from marketflow.operators.joins import broadcast_if_small
 from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
@@ -216,6 +217,23 @@ def add_constants(df: DataFrame, constants: Mapping[str, object] | None = None,
     return out
 
 
+def apply_fund_layout(rows: DataFrame, feed: str = "fund_type", cells: str = "cells",
+                      keep: Sequence[str] = ("name", "symbol", "category", "fund_type"),
+                      compat: bool = False, on_unknown: str = "error") -> DataFrame:
+    """B10 for the seven fund feeds: the td cells of each row named by its
+    feed's column layout (``compat=True``: the bond layout that upstream laid
+    over US index and actively managed funds)."""
+    layouts = FEED_LAYOUTS_COMPAT if compat else FEED_LAYOUTS
+    return apply_layout(rows, layouts, feed, cells=cells, keep=keep, on_unknown=on_unknown)
+
+
+def add_fund_constants(df: DataFrame, feed: str = "fund_type") -> DataFrame:
+    """B11 for the fund feeds: ``region`` and ``funds_repartition_strategy``
+    literals of each feed (NULL for feeds without them)."""
+    by_feed = {f: {"region": r, "funds_repartition_strategy": st} for f, (r, st) in FEED_CONSTANTS.items()}
+    return add_constants(df, by_feed=by_feed, feed=feed)
+
+
 def tier_caps(spark: SparkSession, caps=TIER_PAGE_CAPS) -> DataFrame:
     """Page cap per (tier, sector class); a fixed eight-row table."""
     rows = [(t, "heavy", h) for t, h, _l in caps] + [(t, "light", lo) for t, _h, lo in caps]

@@ -140,3 +140,22 @@ def test_log_run_versions(spark, scratch):
     assert r["BestModel"].latest_version == 2 and r["Other"].latest_version == 1
     rows = spark.read.parquet(reg).filter("model_name = 'BestModel' AND version = 2").collect()
     assert rows[0].rmse == 1.0
+
+
+def test_fund_layouts_constants_and_conform(spark):
+    from marketflow.operators import quality as C
+    cells = ["Gold", "4.1%", "3.9%", "6.2", "1.5", "2.5", "0.45", "1200"]
+    rows = spark.createDataFrame([("Core", "Bond_Funds", "Fund A", "FA", cells),
+                                  ("Large", "Equity_US_Index_Funds", "Fund B", "FB", ["Large Blend"] + cells[:7])],
+                                 "category string, fund_type string, name string, symbol string, cells array<string>")
+    named = B.add_fund_constants(B.apply_fund_layout(rows))
+    r = {x.fund_type: x for x in named.collect()}
+    assert r["Bond_Funds"].medalist_rating == "Gold" and r["Bond_Funds"].asset_under_management == "1200"
+    assert r["Bond_Funds"].region == "US Bonds" and r["Bond_Funds"].funds_repartition_strategy == "Bonds"
+    assert r["Equity_US_Index_Funds"].morningstar_category == "Large Blend"
+    assert r["Equity_US_Index_Funds"].funds_repartition_strategy == "Index_Funds"
+    compat = {x.fund_type: x for x in B.apply_fund_layout(rows, compat=True).collect()}
+    assert compat["Equity_US_Index_Funds"].medalist_rating == "Large Blend"      # upstream mislabelling kept
+    typed = C.conform(named.filter("fund_type = 'Bond_Funds'").withColumn("ttm_yield", F.lit("3.9")),
+                      "bond_fund").collect()[0]
+    assert typed.ttm_yield == 3.9 and "sec_30_day_yield" in typed.failed_fields    # "4.1%" is not a number
