@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketflow.constants import (FEED_CONSTANTS, FEED_LAYOUTS, FEED_LAYOUTS_COMPAT, ROWS_PER_STOCK_PAGE,
+from marketflow.constants import (BOND_QUOTE_HEADERS, COUNTRY_TIERS, ETF_TABS, FEED_CONSTANTS, FEED_LAYOUTS,
+                                  FEED_LAYOUTS_COMPAT, HEAVY_SECTORS, LIGHT_SECTORS, ROWS_PER_STOCK_PAGE,
                                   TIER_PAGE_CAPS)
 from marketflow.functions.text import strip_tags
 from marketflow.operators.joins import broadcast_if_small
@@ -234,6 +235,28 @@ def add_fund_constants(df: DataFrame, feed: str = "fund_type") -> DataFrame:
     return add_constants(df, by_feed=by_feed, feed=feed)
 
 
+def zip_bond_quotes(rows: DataFrame, cells: str = "cells", out: str = "record") -> DataFrame:
+    """B3 for the bond quote tables: cells paired with the fixed headers."""
+    return zip_headers(rows, BOND_QUOTE_HEADERS, cells=cells, out=out)
+
+
+def etf_tab(rows: DataFrame, tab: int, feed: str = "feed", pos: str = "pos", cells: str = "cells") -> DataFrame:
+    """One ETF screener tab as named columns (``ETF_TABS[tab]``), ready for
+    ``merge_tabs`` on (feed, pos) or on ``Name``."""
+    names = ETF_TABS[tab]
+    return rows.select(feed, pos, *[F.get(F.col(cells), i).alias(n) for i, n in enumerate(names)])
+
+
+def reference_crawl_inputs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(countries, sectors) of the stock crawl configuration: the twenty
+    countries with their tier, the eleven sectors with their class.  Fixed
+    tables of known size."""
+    countries = [(c, tier) for tier, cs in COUNTRY_TIERS.items() for c in cs]
+    sectors = [(x, "heavy") for x in HEAVY_SECTORS] + [(x, "light") for x in LIGHT_SECTORS]
+    return (F.broadcast(spark.createDataFrame(countries, "country string, tier string")),
+            F.broadcast(spark.createDataFrame(sectors, "sector string, sector_class string")))
+
+
 def tier_caps(spark: SparkSession, caps=TIER_PAGE_CAPS) -> DataFrame:
     """Page cap per (tier, sector class); a fixed eight-row table."""
     rows = [(t, "heavy", h) for t, h, _l in caps] + [(t, "light", lo) for t, _h, lo in caps]

@@ -159,3 +159,25 @@ def test_fund_layouts_constants_and_conform(spark):
     typed = C.conform(named.filter("fund_type = 'Bond_Funds'").withColumn("ttm_yield", F.lit("3.9")),
                       "bond_fund").collect()[0]
     assert typed.ttm_yield == 3.9 and "sec_30_day_yield" in typed.failed_fields    # "4.1%" is not a number
+
+
+def test_reference_configs(spark):
+    countries, sectors = B.reference_crawl_inputs(spark)
+    plan, rej = B.crawl_plan(countries, sectors, B.tier_caps(spark))
+    assert plan.count() == 20 * 11 and rej.count() == 0
+    # ≤ 13,750 rows per country: 11 sectors x 5 pages x 250 rows at most
+    per = plan.groupBy("country").agg(F.sum("max_pages").alias("p")).collect()
+    assert max(r.p for r in per) * 250 <= 13750
+    caps = {(r.country, r.sector_class): r.max_pages for r in plan.select("country", "sector_class", "max_pages")
+            .distinct().collect()}
+    assert caps[("usa", "light")] == 5 and caps[("uk", "light")] == 4 and caps[("japan", "heavy")] == 4
+    bonds = spark.createDataFrame([(["", "Germany", "2.3", "0.01", "0.1", "0.2", "0.5", "Jan/1"],), (["x", "US"],)],
+                                  "cells array<string>")
+    recs = [r.record for r in B.zip_bond_quotes(bonds).collect()]
+    assert recs[0]["Country"] == "Germany" and recs[0]["Date"] == "Jan/1" and recs[1] == {"": "x", "Country": "US"}
+    t0 = B.etf_tab(spark.createDataFrame([("f", 0, ["E1", "SYM", "10", "1%", "0.2", "Eq"])],
+                                         "feed string, pos int, cells array<string>"), 0)
+    t1 = B.etf_tab(spark.createDataFrame([("f", 0, ["E1", "0.1", "0.2", "0.3", "0.4", "0.5"])],
+                                         "feed string, pos int, cells array<string>"), 1)
+    m = B.merge_tabs([t0, t1]).collect()[0]
+    assert m["Symbol"] == "SYM" and m["6-Month Yield"] == "0.5"
