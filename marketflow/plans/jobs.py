@@ -59,3 +59,29 @@ def profile_investors(forms: DataFrame, goals: DataFrame, scaler: DataFrame, mod
     own = F.col(goal_rate) if goal_rate and goal_rate in goals.columns else F.lit(None).cast("double")
     g = g.withColumn("annual_return", F.coalesce(own, F.col("_bracket_return"), F.lit(0.05))).drop("_bracket_return")
     return investors, allocations, G.evaluate_goals(g)
+
+
+def write_bronze_batch(messages: DataFrame, path: str, mode: str = "append") -> None:
+    """Decoded envelopes (``message_type``, ``data``) as a bronze table
+    partitioned by message type (the batch twin of the bronze stream)."""
+    messages.select("message_type", "data").write.mode(mode).partitionBy("message_type").json(path)
+
+
+def read_bronze(spark, path: str, message_types=None) -> DataFrame:
+    """Bronze rows of the given message types; the filter on the partition
+    column prunes whole directories at planning time."""
+    from pyspark.sql import functions as F
+    df = spark.read.schema("data string, message_type string").json(path)
+    if message_types is not None:
+        df = df.filter(F.col("message_type").isin(list(message_types)))
+    return df
+
+
+def silver_from_bronze(spark, bronze_path: str, prices: DataFrame, message_types=None,
+                       tiebreak: Sequence[str] = (), **kwargs) -> DataFrame:
+    """D16 -> D15: unnest the fund feeds of bronze into raw fund records and
+    run the silver job on them (the link upstream left out)."""
+    from marketflow.schemas import RAW_FUND
+    bronze = read_bronze(spark, bronze_path, message_types)
+    raw = silver.unnest_bronze(bronze, None, RAW_FUND).drop("message_type")
+    return process_funds(raw, prices, tiebreak=tiebreak, **kwargs)

@@ -921,3 +921,17 @@ def q_profile(spark, sf):
     model = M.train(E.scale(tr, sc), "forest", params={"n_estimators": 20, "max_depth": 5})
     _inv, _alloc, ev = profile_investors(V.forms(spark, sf), V.goals(spark, sf), sc, model)
     return ev.select("goal_id", "investor_id", "annual_return", "future_value", "outcome", "failed_criterion")
+
+
+@register("medallion_funds", FLAGSHIP_SQL)
+def q_medallion(spark, sf):
+    """Raw fund records -> envelopes per fund type (A5) -> decoded (A2) ->
+    bronze table partitioned by message type -> unnested (D16) -> silver
+    job (D15).  The round trip is lossless, so the result equals d15."""
+    from marketflow.plans.jobs import silver_from_bronze, write_bronze_batch
+    from marketflow.schemas import RAW_FUND
+    raw = V.funds_raw(spark, sf)
+    packed = A.publish_feed(raw, "fund_type", [f.name for f in RAW_FUND.fields])
+    path = scratch_path(spark, "bronze-funds")
+    write_bronze_batch(A.decode_envelope(packed), path)
+    return rounded(silver_from_bronze(spark, path, V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK))

@@ -32,3 +32,13 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     li = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "l_shipdate" in ln and "l_orderkey" in ln][0]
     assert "l_quantity" not in li and "l_comment" not in li      # only the needed columns are read
     assert "l_shipdate" in li.split("DataFilters:")[1]          # the trailing-year bound reaches the scan
+
+
+def test_bronze_read_prunes_partitions(spark, scratch):
+    from marketflow.plans.jobs import read_bronze, write_bronze_batch
+    msgs = spark.createDataFrame([("bonds", "[]"), ("usa", "[]"), ("Bond_Funds", "[]")], "message_type string, data string")
+    write_bronze_batch(msgs, scratch + "/bronze")
+    df = read_bronze(spark, scratch + "/bronze", ["Bond_Funds"])
+    assert [r.message_type for r in df.collect()] == ["Bond_Funds"]
+    scan = [ln for ln in _plan(df).splitlines() if "FileScan" in ln][0]
+    assert "PartitionFilters: [" in scan and "message_type" in scan.split("PartitionFilters:")[1]
