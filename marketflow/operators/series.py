@@ -70,9 +70,12 @@ def plan_buckets(df: DataFrame, key: str, ts: str, bucket_seconds, hot_rows: int
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame | None:
     """Resolve a ``bucket_seconds`` argument: ``None`` -> plain plan (returns
     None); an int -> fixed-width buckets; ``"auto"`` -> buckets only for hot
-    keys, or the plain plan when there are none."""
+    keys, or the plain plan when there are none; a DataFrame -> hot-key
+    widths computed beforehand (``hot_key_widths``), e.g. on a cheaper superset."""
     if bucket_seconds is None:
         return None
+    if isinstance(bucket_seconds, DataFrame):
+        return with_buckets(df, key, ts, widths=bucket_seconds)
     if bucket_seconds == "auto":
         widths = hot_key_widths(df, key, ts, hot_rows, rows_per_bucket)
         if widths is None:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from marketflow.operators import silver
+from marketflow.operators.series import hot_key_widths
 from marketflow.sources.prices import trailing_prices
 
 
 def process_funds(raw_funds: DataFrame, prices: DataFrame, tiebreak: Sequence[str] = (),
                   period: str | None = "1 year", as_of=None, compat: bool = False,
-                  risk_free: float = 0.0, bucket_seconds: int | None = silver.DEFAULT_BUCKET_SECONDS,
+                  risk_free: float = 0.0, bucket_seconds=silver.DEFAULT_BUCKET_SECONDS,
                   reference_names: bool = False) -> DataFrame:
     """Raw fund records -> cleaned funds enriched with price metrics.
 
@@ -23,6 +24,13 @@ def process_funds(raw_funds: DataFrame, prices: DataFrame, tiebreak: Sequence[st
     funds = silver.clean_funds(raw_funds, compat=compat)
     symbols = silver.distinct_symbols(funds)
     hist = trailing_prices(prices, symbols, period=period, as_of=as_of)
+    if isinstance(bucket_seconds, str) and bucket_seconds == "auto":
+        # hot symbols are found on the time-filtered price scan (a pruned,
+        # pushed-down read), not on the semi-joined frame, so the detection
+        # job does not run the semi join a second time
+        window = trailing_prices(prices, None, period=period, as_of=as_of).select("symbol", "ts")
+        widths = hot_key_widths(window.filter("symbol IS NOT NULL"), "symbol", "ts")
+        bucket_seconds = widths        # None (no hot symbol) selects the plain plan
     metrics = silver.symbol_metrics(hist, tiebreak=tiebreak, risk_free=risk_free, bucket_seconds=bucket_seconds)
     return silver.enrich(funds, metrics, reference_names=reference_names)
 

@@ -105,3 +105,15 @@ def test_unnest_bronze_quarantines_error_objects(spark):
     sch = T.StructType([T.StructField("k", T.LongType())])
     assert sorted(r.k for r in silver.unnest_bronze(b, "bonds", sch).collect()) == [1, 2]
     assert silver.bronze_rejects(b, sch).count() == 2
+
+
+def test_precomputed_hot_widths(spark):
+    from marketflow.operators.series import hot_key_widths
+    data = [("hot", d, float(d % 13 + 1)) for d in range(300)] + [("c", d, 1.0 + d) for d in range(5)]
+    p = _prices(spark, data)
+    widths = hot_key_widths(p, "symbol", "ts", hot_rows=100, rows_per_bucket=40)
+    assert widths is not None and [r.symbol for r in widths.collect()] == ["hot"]
+    a = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=None).collect()))
+    b = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=widths).collect()))
+    assert a == b
+    assert hot_key_widths(p, "symbol", "ts", hot_rows=1000) is None
