@@ -35,11 +35,10 @@ def scale_amount(c, compat: bool = False) -> Column:
     pattern = r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
     number = F.regexp_replace(F.regexp_extract(c, pattern, 1), ",", "").try_cast("double")
     unit = F.lower(F.regexp_extract(c, pattern, 2))
-    scale = None
-    for name, mult in _UNIT_SCALE.items():
-        scale = (F.when(unit == name, F.lit(mult)) if scale is None
-                 else scale.when(unit == name, F.lit(mult)))
-    return number * scale
+    # one lookup in a literal map (folded to a constant), so the unit regex
+    # runs once per row rather than once per unit compared
+    scale = F.create_map(*[x for name, mult in _UNIT_SCALE.items() for x in (F.lit(name), F.lit(mult))])
+    return number * F.try_element_at(scale, unit)
 
 
 def strip_tags(c) -> Column:
