@@ -1,15 +1,16 @@
 """Chat session state as keyed streaming state (F10, stream form).
 
 ``applyInPandasWithState`` keeps one small state row per conversation
-(three flags and the last event order); each micro-batch's events of a
-conversation are applied in order with the same transition table as the
-batch operator (``marketflow.operators.sessions``).
+(three flags); each micro-batch's events of a conversation are sorted by
+time and applied with the same transition table as the batch operator
+(``marketflow.operators.sessions``), as running ORs and a forward fill.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,19 +38,54 @@ def apply_intent(state: tuple[bool, bool, bool], intent: str) -> tuple[tuple[boo
     return (intro, prof, pref), None
 
 
+def apply_events(state: tuple[bool, bool, bool], intents) -> tuple[tuple[bool, bool, bool], dict]:
+    """``apply_intent`` over a time-ordered sequence of intents, vectorised.
+
+    Flags set once stay set (running OR), preferences follow the last set or
+    clear, and a goal intent routes to fallback when profiling was set before
+    it.  Returns the state after the last event and the per-event columns.
+    """
+    intro0, prof0, pref0 = (bool(x) for x in state)
+    it = pd.Series(intents, dtype=object)
+    init = (it == S.INITIALIZE).to_numpy()
+    ach = (it == S.GOAL_ACHIEVABLE).to_numpy()
+    goal = ach | (it == S.GOAL_TEXT).to_numpy()
+    pref_on = (it == S.PREFERENCES).to_numpy()
+    reset = (it == S.RESET).to_numpy()
+    intro = np.logical_or.accumulate(init) | intro0 if len(it) else init
+    prof = np.logical_or.accumulate(ach) | prof0 if len(it) else ach
+    prof_before = np.concatenate([[prof0], prof[:-1]]) if len(it) else prof
+    pref = (pd.Series(np.where(pref_on, 1.0, np.where(reset, 0.0, np.nan))).ffill()
+              .fillna(1.0 if pref0 else 0.0).to_numpy() == 1.0)
+    route = np.select([init, goal & prof_before, goal, pref_on, reset],
+                      [S.ROUTE_INITIALIZE, S.ROUTE_FALLBACK, S.ROUTE_CHECK_SMART, S.ROUTE_PREFERENCES,
+                       S.ROUTE_RESET], default=None).astype(object)
+    last = (bool(intro[-1]), bool(prof[-1]), bool(pref[-1])) if len(it) else (intro0, prof0, pref0)
+    return last, {"introduction_state": intro, "profiling_state": prof, "preferences_state": pref,
+                  "route": route}
+
+
+# Output rows per pandas frame handed back to Spark.
+_OUT_ROWS = 10_000
+
+
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cur = state.get if state.exists else (False, False, False)
-    cur = tuple(bool(x) for x in cur)
-    conv = key[0]
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        rows = []
-        for event_id, intent in zip(pdf["event_id"].tolist(), pdf["intent"].tolist()):
-            cur, route = apply_intent(cur, intent)
-            rows.append((conv, event_id, intent, cur[0], cur[1], cur[2], route))
-        state.update(cur)
-        yield pd.DataFrame(rows, columns=["conv_id", "event_id", "intent", "introduction_state",
-                                          "profiling_state", "preferences_state", "route"])
+    # Spark groups a key's rows but does not order them, and hands them over
+    # in Arrow chunks: the key's events of this micro-batch are sorted
+    # together before the flags run.  Their number is bounded by the trigger
+    # size (maxFilesPerTrigger / maxBytesPerTrigger).
+    cur = tuple(bool(x) for x in state.get) if state.exists else (False, False, False)
+    frames = [p for p in pdfs if len(p)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable",
+                                                          ignore_index=True)
+    cur, cols = apply_events(cur, pdf["intent"].to_numpy(object))
+    state.update(cur)
+    out = pd.DataFrame({"conv_id": key[0], "event_id": pdf["event_id"].to_numpy(), "intent": pdf["intent"],
+                        **cols})
+    for start in range(0, len(out), _OUT_ROWS):
+        yield out.iloc[start:start + _OUT_ROWS]
 
 
 def session_state_stream(events: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marketflow.operators import sessions as S
 from marketflow.sources.envelope import decode_envelope
 from marketflow.streaming.bronze import bronze_stream, keep_new_stream
-from marketflow.streaming.sessions import apply_intent, session_state_stream
+from marketflow.streaming.sessions import apply_events, apply_intent, session_state_stream
 
 
 def _write_lines(path, lines):
@@ -91,6 +91,58 @@ def test_apply_intent_table():
     assert r == S.ROUTE_FALLBACK
 
 
+def test_apply_events_equals_step_by_step():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    names = [S.INITIALIZE, S.GOAL_ACHIEVABLE, S.GOAL_TEXT, S.PREFERENCES, S.RESET, "other"]
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.tuples(st.booleans(), st.booleans(), st.booleans()), st.lists(st.sampled_from(names), max_size=30))
+    def check(start, intents):
+        s, routes, states = start, [], []
+        for i in intents:
+            s, r = apply_intent(s, i)
+            routes.append(r)
+            states.append(s)
+        last, cols = apply_events(start, intents)
+        assert last == s
+        assert list(cols["route"]) == routes
+        got = list(zip(*(map(bool, cols[c]) for c in ("introduction_state", "profiling_state",
+                                                      "preferences_state"))))
+        assert got == states
+
+    check()
+
+
+def test_session_stream_hot_key_chunks_out_of_order(spark, scratch):
+    """A key with more events than an Arrow chunk holds, stored newest first:
+    the chunks reach the state function out of time order."""
+    src = os.path.join(scratch, "hot-events")
+    intents = ["goal_text", "initialize", "preferences_confirmed", "goal_achievable", "reset", "goal_text",
+               "preferences_confirmed", "goal_achievable"]
+    rows = [(c, t, t * 10 + c, intents[(t * 3 + c) % len(intents)]) for c in range(2) for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, ts long, event_id long, intent string")
+    for k in range(2):
+        df.filter((F.col("ts") >= k * 30) & (F.col("ts") < (k + 1) * 30)).orderBy(F.col("ts").desc()) \
+          .coalesce(1).write.parquet(os.path.join(src, f"f{k}"))
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+        q = (session_state_stream(stream).writeStream.format("memory").queryName("sess_hot")
+             .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ck-hot")).start())
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
+    got = sorted(map(tuple, spark.sql("SELECT * FROM sess_hot").select(*cols).collect()))
+    want = sorted(map(tuple, S.session_state(df, order=("ts", "event_id")).select(*cols).collect()))
+    assert len(got) == 120
+    assert got == want
+
+
 def test_score_payloads_stream_equals_batch(spark, scratch):
     from marketflow.constants import FEATURE_COLUMNS
     from marketflow.operators import features as E
