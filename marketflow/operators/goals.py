@@ -99,20 +99,21 @@ def goal_summary(goal: str = "goal", initial: str = "initial_investment", monthl
 
 def transcript(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text",
                role: str | None = "role", answer_role: str = "assistant",
-               prefix: str = HISTORY_PREFIX) -> DataFrame:
+               prefix: str = HISTORY_PREFIX, turns_per_part: int = 1000) -> DataFrame:
     """the starting text followed by the answers of each conversation in
     turn order.
 
-    Turns are sorted inside each conversation's group (``array_sort`` of
-    ``(turn, text)`` structs), never on the driver.
+    Two levels, so no group sorts more than ``turns_per_part`` turns: the
+    answers are first joined per (conversation, part) by ``transcript_parts``
+    (spread over tasks however long a conversation is), then the part texts
+    are concatenated in part order.  The one row per conversation holds its
+    whole history, the operator's result.
     """
-    df = turns
-    if role is not None:
-        df = df.filter(F.col(role) == answer_role)
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.groupBy(key).agg(
-        F.concat(F.lit(prefix), F.array_join(F.transform(parts, lambda x: x["t"]), "")).alias("history"),
-        F.count(F.lit(1)).alias("n_answers"))
+    parts = transcript_parts(turns, key, order, text, role, answer_role, turns_per_part)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("part").alias("p"), F.col("text").alias("t"))))
+    return parts.groupBy(key).agg(
+        F.concat(F.lit(prefix), F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("history"),
+        F.sum("n_answers").alias("n_answers"))
 
 
 def transcript_parts(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text",

@@ -66,6 +66,15 @@ def test_transcript_orders_turns(spark):
     assert parts == [(1, 0, "a"), (1, 2, "b"), (2, 5, "z")]
 
 
+def test_transcript_same_for_any_part_size(spark):
+    rows = [(c, t, "assistant" if t % 3 else "user", f"<{c}.{t}>") for c in range(3) for t in range(25)]
+    t = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string")
+    want = {c: G.HISTORY_PREFIX + "".join(f"<{c}.{k}>" for k in range(25) if k % 3) for c in range(3)}
+    for size in (1, 4, 1000):
+        out = {r.conv_id: (r.history, r.n_answers) for r in G.transcript(t, turns_per_part=size).collect()}
+        assert out == {c: (h, 16) for c, h in want.items()}
+
+
 def test_session_transitions(spark):
     ev = [(1, i, intent) for i, intent in enumerate(
         ["initialize", "goal_text", "goal_achievable", "goal_achievable", "preferences_confirmed", "reset",
