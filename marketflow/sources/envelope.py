@@ -61,7 +61,8 @@ def publish_feed(records: DataFrame, type_col: str, record_cols: Sequence[str] |
     Each record becomes its JSON text.  A first aggregate measures the bytes
     of every feed (partial per task, one row per feed, written to the
     checkpoint folder); from it every feed gets ``ceil(bytes / (fill *
-    max_bytes))`` chunks and each record a chunk by hash.  A chunk then holds
+    max_bytes))`` chunks and each record a chunk by hash of its text and row
+    id.  A chunk then holds
     about ``fill * max_bytes`` bytes, so no group collects more than one
     message's worth of rows even when one feed holds most of the data.
 
@@ -79,7 +80,10 @@ def publish_feed(records: DataFrame, type_col: str, record_cols: Sequence[str] |
                  .select("message_type", "_n_chunks")
                  .checkpoint(eager=True))
     totals = broadcast_if_small(totals, max_types_broadcast)
-    chunk = F.pmod(F.xxhash64(F.col("_json"), F.lit(seed)), F.col("_n_chunks"))
+    # The row id in the hash spreads repeated identical records too.  It is
+    # not deterministic, so on a lost task Spark re-runs the whole map stage
+    # rather than mixing two assignments.
+    chunk = F.pmod(F.xxhash64(F.col("_json"), F.monotonically_increasing_id(), F.lit(seed)), F.col("_n_chunks"))
     packed = (rec.join(totals, rec["message_type"].eqNullSafe(totals["message_type"]), "inner")
                  .select(rec["message_type"], chunk.alias("chunk"), "_json", "_bytes")
                  .groupBy("message_type", "chunk")

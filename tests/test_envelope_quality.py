@@ -20,6 +20,15 @@ def test_decode_envelope_cases(spark):
     assert out[3].message_type is None and out[3].data == "[]"
 
 
+def test_publish_feed_spreads_identical_records(spark):
+    recs = spark.range(3000).select(F.lit("hot").alias("feed"), F.lit(7).alias("id"),
+                                    F.lit("x" * 40).alias("pad"))
+    limit = 4096
+    packed = A.publish_feed(recs, "feed", ["id", "pad"], max_bytes=limit).collect()
+    assert sum(r.n_records for r in packed) == 3000
+    assert all(r.fits for r in packed) and len(packed) > 20
+
+
 def test_publish_feed_bounds_and_round_trip(spark):
     recs = spark.range(0, 3000).select(
         F.when(F.col("id") < 2000, F.lit("hot")).otherwise(F.lit("cold")).alias("feed"),
