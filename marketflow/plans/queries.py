@@ -887,6 +887,25 @@ def q_c4s(spark, sf):
     return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
 
 
+@register("c4_keep_new_state", ORACLE["c4_keep_new_stream"])
+def q_c4st(spark, sf):
+    """C4 exact, streaming, with keyed state (RocksDB): the same two
+    snapshots as ``c4_keep_new_stream``; seen (key, content) pairs live in
+    the state store instead of being re-read from the sink."""
+    ev = V.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    early = (ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+               .withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1)
+                                     .otherwise(F.col("value"))))
+    src, sink, ck = (scratch_path(spark, n) for n in ("keepstate-src", "keepstate", "keepstate-ckpt"))
+    early.drop("ts").coalesce(2).write.parquet(f"{src}/b1")
+    ev.drop("ts").coalesce(2).write.parquet(f"{src}/b2")
+    schema = "event_id long, user_id long, event_type string, value double, props string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    SB.keep_new_state_stream(stream, sink, ck, keys=["event_id"], available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
+
+
 @register("f10_session_stream", ORACLE["f10_session_state"].replace(
     "SELECT conv_id, event_id, ts, intent,", "SELECT conv_id, event_id, intent,"))
 def q_f10s(spark, sf):

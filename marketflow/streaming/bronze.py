@@ -74,6 +74,56 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
     return w.start()
 
 
+# Spark's RocksDB state store: state on local disk of the executors with
+# incremental checkpoints to the checkpoint folder, so it is not bounded by
+# executor memory.
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_new_state(df: DataFrame, keys: Sequence[str], content: Sequence[str] | None = None) -> DataFrame:
+    """C4 (stream, exact, keyed state): a record passes the first time its
+    (key, content hash) is seen, in any micro-batch.
+
+    Streaming ``dropDuplicates`` without a watermark: the state store keeps
+    one entry per seen (key, hash) and each row costs one state lookup, so a
+    micro-batch does not re-read what was stored before (``keep_new_stream``
+    does).  The state is partitioned by the hash of (key, hash), so a hot key
+    with many versions is spread too.
+    """
+    cols = list(content) if content is not None else [c for c in df.columns if c not in keys]
+    return (df.withColumn("_content_hash", F.xxhash64(*[F.col(c) for c in cols]))
+              .dropDuplicates([*keys, "_content_hash"]).drop("_content_hash"))
+
+
+def keep_new_state_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequence[str],
+                          content: Sequence[str] | None = None, fmt: str = "parquet",
+                          available_now: bool = False, provider: str | None = ROCKSDB_PROVIDER) -> StreamingQuery:
+    """``keep_new_state`` into an append file sink with a checkpoint.
+
+    ``provider`` is the state store the query starts with (RocksDB by
+    default; ``None`` keeps the session's).  A restart from the checkpoint
+    resumes with the stored state and the file sink's commit log, so no
+    record is written twice.
+    """
+    spark = df.sparkSession
+    prev = spark.conf.get(_PROVIDER_CONF, None)
+    if provider:
+        spark.conf.set(_PROVIDER_CONF, provider)
+    try:
+        w = (keep_new_state(df, keys, content).writeStream.outputMode("append").format(fmt)
+             .option("checkpointLocation", checkpoint))
+        if available_now:
+            w = w.trigger(availableNow=True)
+        return w.start(sink_path)
+    finally:
+        if provider:
+            if prev is None:
+                spark.conf.unset(_PROVIDER_CONF)
+            else:
+                spark.conf.set(_PROVIDER_CONF, prev)
+
+
 def keep_new_bounded(df: DataFrame, keys: Sequence[str], event_time: str, delay: str,
                      content: Sequence[str] | None = None) -> DataFrame:
     """C4 (stream, bounded state): ``dropDuplicatesWithinWatermark`` on key +

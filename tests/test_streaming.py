@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketflow.operators import sessions as S
 from marketflow.sources.envelope import decode_envelope
-from marketflow.streaming.bronze import bronze_stream, keep_new_stream
+from marketflow.streaming.bronze import bronze_stream, keep_new_state_stream, keep_new_stream
 from marketflow.streaming.sessions import apply_events, apply_intent, session_state_stream
 
 
@@ -60,6 +60,29 @@ def test_keep_new_stream_exact(spark, scratch):
     assert out.filter("k = 3").count() == 2
 
 
+def test_keep_new_state_exact_and_restarts(spark, scratch):
+    src, sink, ckpt = (os.path.join(scratch, d) for d in ("src-st", "sink-st", "ckpt-st"))
+    schema = "k long, v string"
+    snap1 = [(i, f"v{i}") for i in range(20)] * 2                      # duplicates inside one batch
+    snap2 = [(i, f"v{i}" if i != 3 else "changed") for i in range(25)]     # re-sent snapshot
+    spark.createDataFrame(snap1, schema).coalesce(1).write.parquet(os.path.join(src, "b1"))
+    spark.createDataFrame(snap2, schema).coalesce(1).write.parquet(os.path.join(src, "b2"))
+
+    def run():
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+        keep_new_state_stream(stream, sink, ckpt, keys=["k"], available_now=True).awaitTermination()
+
+    run()
+    out = spark.read.parquet(sink)
+    assert out.count() == 26                     # 20 + 5 new keys + 1 changed record
+    assert out.filter("k = 3").count() == 2
+    # restart from the checkpoint: the same snapshot again plus one new key
+    spark.createDataFrame(snap2 + [(99, "new")], schema).coalesce(1).write.parquet(os.path.join(src, "b3"))
+    run()
+    assert spark.read.parquet(sink).count() == 27
+
+
 def test_session_stream_equals_batch(spark, scratch):
     src = os.path.join(scratch, "events")
     intents = ["initialize", "goal_text", "goal_achievable", "goal_achievable", "preferences_confirmed",
