@@ -67,29 +67,34 @@ def ship_package(spark: SparkSession) -> None:
 
     Operators that run Python on executors (keyed streaming state) pickle
     functions of this package by reference.  When the package is not
-    installed on the cluster, a zip of it is written to the shared checkpoint
-    folder and added with ``addPyFile``, Spark's way to ship code.
+    installed on the cluster, a zip of it is built in memory, written to the
+    shared checkpoint folder through the Hadoop file system (any scheme the
+    cluster reads) and added with ``addPyFile``, Spark's way to ship code.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_marketflow_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    local_base = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in local_base:            # remote shared storage: build locally, let Spark ship it
-        import tempfile
-        local_base = tempfile.mkdtemp(prefix="marketflow-pkg-")
-    os.makedirs(local_base, exist_ok=True)
-    path = os.path.join(local_base, f"marketflow-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketflow-code/marketflow-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(hpath).toString()))
     sc._marketflow_shipped = True
 
 
