@@ -929,6 +929,27 @@ def q_f10s(spark, sf):
                                            "profiling_state", "preferences_state", "route")
 
 
+@register("f10_session_batches", ORACLE["f10_session_stream"])
+def q_f10b(spark, sf):
+    """F10 on a stream, each micro-batch run by the skew-safe batch operator
+    seeded with the carried state table: the session events as three
+    time-ordered files, one micro-batch each."""
+    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
+    src, sink, state, ck = (scratch_path(spark, n) for n in ("sessb-src", "sessb", "sessb-state", "sessb-ckpt"))
+    cuts = ["2024-01-11", "2024-01-21"]
+    ts = F.col("ts")
+    parts = [ts < F.lit(cuts[0]).cast("timestamp_ntz"),
+             (ts >= F.lit(cuts[0]).cast("timestamp_ntz")) & (ts < F.lit(cuts[1]).cast("timestamp_ntz")),
+             ts >= F.lit(cuts[1]).cast("timestamp_ntz")]
+    for k, cond in enumerate(parts):
+        ev.filter(cond).write.parquet(f"{src}/part{k}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    SS.session_state_batches(stream, sink, state, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
+                                           "profiling_state", "preferences_state", "route")
+
+
 @register("profile_investors")
 def q_profile(spark, sf):
     """SURVEY §3.3 end to end: forms -> model risk -> bracket; goals with the

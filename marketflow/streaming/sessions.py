@@ -4,6 +4,10 @@
 (three flags); each micro-batch's events of a conversation are sorted by
 time and applied with the same transition table as the batch operator
 (``marketflow.operators.sessions``), as running ORs and a forward fill.
+
+``session_state_batches`` is the form without per-key Python: every
+micro-batch runs the batch operator (skew-safe time buckets), seeded with
+the carried state table.
 """
 
 from __future__ import annotations
@@ -12,7 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketflow.operators import sessions as S
@@ -99,3 +106,68 @@ def session_state_stream(events: DataFrame, key: str = "conv_id") -> DataFrame:
     ev = events.select(key, "ts", "event_id", "intent")
     return ev.groupBy(key).applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                                   GroupStateTimeout.NoTimeout)
+
+
+def _seed_events(prior: DataFrame, types: dict, key: str, order, intent: str) -> DataFrame:
+    """The carried state of each conversation as at most three leading events
+    (NULL order values sort first in the windows).  Their own order does not
+    matter: each only sets a flag."""
+    arr = F.array_compact(F.array(F.when(F.col("introduction"), F.lit(S.INITIALIZE)),
+                                  F.when(F.col("profiling"), F.lit(S.GOAL_ACHIEVABLE)),
+                                  F.when(F.col("preferences"), F.lit(S.PREFERENCES))))
+    return prior.select(key, F.explode(arr).alias(intent)).select(
+        key, *[F.lit(None).cast(types[c]).alias(c) for c in order], intent, F.lit(False).alias("_real"))
+
+
+def _read_or_none(spark, path: str):
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:   # nothing stored yet
+        return None
+
+
+def session_state_batches(events: DataFrame, sink_path: str, state_path: str, checkpoint: str,
+                          key: str = "conv_id", order=("ts", "event_id"), intent: str = "intent",
+                          available_now: bool = False, bucket_seconds=S.DEFAULT_BUCKET_SECONDS,
+                          hot_rows: int = S.DEFAULT_HOT_ROWS,
+                          rows_per_bucket: int = S.DEFAULT_ROWS_PER_BUCKET) -> StreamingQuery:
+    """F10 on a stream with every micro-batch run by the batch operator.
+
+    No conversation is handled by one task: a micro-batch goes through
+    ``operators.sessions.session_state`` (time buckets for hot
+    conversations), seeded with the state each of its conversations had
+    after the previous batch.  The state is a table of one row per
+    conversation (three flags), stored per batch id under ``state_path``;
+    the rows go to ``sink_path`` per batch id.  Both are written with dynamic
+    partition overwrite, so a batch re-run after a failure replaces its own
+    output and reads the same previous state.
+    """
+    order = list(order)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        ev = batch.select(key, *order, intent).withColumn("_real", F.lit(True))
+        types = {c: ev.schema[c].dataType for c in order}
+        prior = _read_or_none(spark, f"{state_path}/_batch_id={batch_id - 1}") if batch_id > 0 else None
+        if prior is not None:
+            seeds = _seed_events(prior.join(ev.select(key).distinct(), key, "left_semi"), types, key, order, intent)
+            ev = ev.unionByName(seeds)
+        out = (S.session_state(ev, key, order, intent, bucket_seconds, hot_rows, rows_per_bucket)
+                .filter(F.col("_real")).drop("_real"))
+        (out.withColumn("_batch_id", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite").partitionBy("_batch_id").parquet(sink_path))
+        written = spark.read.parquet(f"{sink_path}/_batch_id={batch_id}")
+        changed = (S.final_state(written, key, order)
+                   .select(key, F.col("introduction_state").alias("introduction"),
+                           F.col("profiling_state").alias("profiling"),
+                           F.col("preferences_state").alias("preferences")))
+        snap = changed if prior is None else \
+            prior.join(changed.select(key), key, "left_anti").unionByName(changed)
+        (snap.withColumn("_batch_id", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").partitionBy("_batch_id").parquet(state_path))
+
+    w = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

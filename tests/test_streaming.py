@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from marketflow.operators import sessions as S
 from marketflow.sources.envelope import decode_envelope
 from marketflow.streaming.bronze import bronze_stream, keep_new_state_stream, keep_new_stream
-from marketflow.streaming.sessions import apply_events, apply_intent, session_state_stream
+from marketflow.streaming.sessions import (apply_events, apply_intent, session_state_batches,
+                                           session_state_stream)
 
 
 def _write_lines(path, lines):
@@ -104,6 +105,37 @@ def test_session_stream_equals_batch(spark, scratch):
     assert got == want
 
 
+def test_session_batches_equals_batch_with_hot_keys_and_restart(spark, scratch):
+    src, sink, state, ck = (os.path.join(scratch, d) for d in ("sb-src", "sb-out", "sb-state", "sb-ck"))
+    intents = ["goal_text", "initialize", "preferences_confirmed", "goal_achievable", "reset", "goal_text",
+               "preferences_confirmed", "goal_achievable", "reset"]
+    rows = [(c, t, t * 10 + c, intents[(t * (c + 2)) % len(intents)]) for c in range(4) for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, ts long, event_id long, intent string") \
+              .withColumn("ts", F.timestamp_seconds("ts"))
+
+    def run():
+        stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+        session_state_batches(stream, sink, state, ck, available_now=True, hot_rows=5,
+                              rows_per_bucket=3).awaitTermination()
+
+    cuts = [0, 7, 19, 30]
+    for k in range(3):   # three time slices -> three micro-batches
+        df.filter((F.col("event_id") >= cuts[k] * 10) & (F.col("event_id") < cuts[k + 1] * 10)) \
+          .coalesce(1).write.parquet(os.path.join(src, f"f{k}"))
+    run()
+    df.filter(F.col("event_id") >= 300).coalesce(1).write.parquet(os.path.join(src, "f3"))
+    run()                # restart from the checkpoint with the last slice
+    cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
+    got = sorted(map(tuple, spark.read.parquet(sink).select(*cols).collect()))
+    want = sorted(map(tuple, S.session_state(df, order=("ts", "event_id"), bucket_seconds=None)
+                                  .select(*cols).collect()))
+    assert len(got) == 160
+    assert got == want
+    last = spark.read.parquet(state).filter("_batch_id = 3").count()
+    assert last == 4
+
+
 def test_apply_intent_table():
     s = (False, False, False)
     s, r = apply_intent(s, S.INITIALIZE)
