@@ -83,13 +83,15 @@ def scale(df: DataFrame, scaler: DataFrame, features: Sequence[str] = FEATURE_CO
     no join or cross product is planned.
     """
     stats = scaler.select(F.struct(*scaler.columns).alias("s")).scalar()
+    # projected once as a column: the subquery is planned and run once,
+    # every feature reads its fields
     cols = {}
     for c in features:
-        m = stats.getField(f"{c}__mean")
-        sd = stats.getField(f"{c}__sd")
+        m = F.col("_scaler").getField(f"{c}__mean")
+        sd = F.col("_scaler").getField(f"{c}__sd")
         sd1 = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
         cols[c] = (F.col(c).cast("double") - m) / sd1
-    return df.withColumns(cols)
+    return df.withColumn("_scaler", stats).withColumns(cols).drop("_scaler")
 
 
 def scale_with_values(df: DataFrame, stats: Mapping[str, float | None],
