@@ -39,7 +39,7 @@ def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT
     is hot.
 
     One partial aggregate over (key, ts) - a small shuffle of one row per
-    key and task.  When hot keys exist the table is written to the
+    key and task.  When hot keys exist their table is written below the
     checkpoint folder so the plan that uses it does not recompute it.  This
     runs a job when called.
     """
@@ -48,9 +48,15 @@ def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT
                .filter(F.col("_n") > F.lit(int(hot_rows)))
                .select(key, F.greatest(F.lit(1e-6), (F.col("_t1") - F.col("_t0") + F.lit(1.0))
                                        * F.lit(float(rows_per_bucket)) / F.col("_n")).alias("_width")))
-    if stats.isEmpty():          # the common case: no hot key, nothing to keep
+    if stats.isEmpty():          # the common case: no hot key, one pass
         return None
-    return stats.checkpoint(eager=True)
+    # Hot keys (at most N / hot_rows rows): written once as a one-file table
+    # in the shared scratch folder (one more pass; an RDD checkpoint would
+    # take two), so the plan that uses it does not recompute it.
+    from marketflow.session import scratch_path
+    path = scratch_path(df.sparkSession, "hot-keys")
+    stats.repartition(1).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def with_buckets(df: DataFrame, key: str, ts: str, widths: DataFrame | None = None,
