@@ -53,10 +53,8 @@ def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT
     # Hot keys (at most N / hot_rows rows): written once as a one-file table
     # in the shared scratch folder (one more pass; an RDD checkpoint would
     # take two), so the plan that uses it does not recompute it.
-    from marketflow.session import scratch_path
-    path = scratch_path(df.sparkSession, "hot-keys")
-    stats.repartition(1).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    from marketflow.session import materialize
+    return materialize(stats, "hot-keys")
 
 
 def with_buckets(df: DataFrame, key: str, ts: str, widths: DataFrame | None = None,

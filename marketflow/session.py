@@ -62,6 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/marketflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str, partitions: int = 1):
+    """Write a small derived table once below the shared checkpoint folder and
+    return it read back: cuts the lineage with one job (an eager RDD
+    checkpoint runs two) and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(partitions).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``marketflow`` importable by Python workers (once per context).
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from marketflow.constants import MAX_MESSAGE_BYTES_PRODUCER
 from marketflow.operators.joins import broadcast_if_small
+from marketflow.session import materialize
 
 ENVELOPE_SCHEMA = T.StructType([
     T.StructField("type", T.StringType(), True),
@@ -75,10 +76,9 @@ def publish_feed(records: DataFrame, type_col: str, record_cols: Sequence[str] |
                          F.to_json(F.struct(*[F.col(c) for c in cols])).alias("_json"))
     rec = rec.withColumn("_bytes", F.octet_length("_json"))
     target = max(1, int(max_bytes * fill))
-    totals = (rec.groupBy("message_type").agg(F.sum("_bytes").alias("_total"))
-                 .withColumn("_n_chunks", F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(target))))
-                 .select("message_type", "_n_chunks")
-                 .checkpoint(eager=True))
+    totals = materialize(rec.groupBy("message_type").agg(F.sum("_bytes").alias("_total"))
+                            .withColumn("_n_chunks", F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(target))))
+                            .select("message_type", "_n_chunks"), "feed-totals")
     totals = broadcast_if_small(totals, max_types_broadcast)
     # The row id in the hash spreads repeated identical records too.  It is
     # not deterministic, so on a lost task Spark re-runs the whole map stage
