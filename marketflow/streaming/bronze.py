@@ -59,14 +59,14 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
             stored = spark.read.format(fmt).load(sink_path).filter(F.col("_batch_id") < batch_id)
             new = keep_new(batch, stored.drop("_batch_id"), keys, content)
         except AnalysisException:  # nothing written yet
             new = keep_new(batch, batch.limit(0), keys, content)
         (new.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").partitionBy("_batch_id").format(fmt).save(sink_path))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_batch_id").format(fmt).save(sink_path))
 
     w = df.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:

@@ -146,7 +146,6 @@ def session_state_batches(events: DataFrame, sink_path: str, state_path: str, ch
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         ev = batch.select(key, *order, intent).withColumn("_real", F.lit(True))
         types = {c: ev.schema[c].dataType for c in order}
         prior = _read_or_none(spark, f"{state_path}/_batch_id={batch_id - 1}") if batch_id > 0 else None
@@ -156,7 +155,8 @@ def session_state_batches(events: DataFrame, sink_path: str, state_path: str, ch
         out = (S.session_state(ev, key, order, intent, bucket_seconds, hot_rows, rows_per_bucket)
                 .filter(F.col("_real")).drop("_real"))
         (out.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").partitionBy("_batch_id").parquet(sink_path))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_batch_id").parquet(sink_path))
         written = spark.read.parquet(f"{sink_path}/_batch_id={batch_id}")
         changed = (S.final_state(written, key, order)
                    .select(key, F.col("introduction_state").alias("introduction"),
@@ -165,7 +165,8 @@ def session_state_batches(events: DataFrame, sink_path: str, state_path: str, ch
         snap = changed if prior is None else \
             prior.join(changed.select(key), key, "left_anti").unionByName(changed)
         (snap.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-             .write.mode("overwrite").partitionBy("_batch_id").parquet(state_path))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_batch_id").parquet(state_path))
 
     w = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
