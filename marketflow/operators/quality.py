@@ -91,20 +91,26 @@ def check_member(spark: SparkSession, df: DataFrame, column: str, allowed: Seque
 
 
 def keep_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str],
-             content: Sequence[str] | None = None, dedupe_batch: bool = True) -> DataFrame:
+             content: Sequence[str] | None = None, dedupe_batch: bool = True,
+             keep_hash: bool = False) -> DataFrame:
     """C4 (batch): records whose (key, content hash) is not stored yet.
 
     A re-sent snapshot passes only changed or unseen records.  The content
     hash is ``xxhash64`` of the content columns; the anti join is a shuffle
     join on (keys, hash), which AQE splits when a key is hot.
     """
-    cols = list(content) if content is not None else [c for c in incoming.columns if c not in keys]
+    cols = (list(content) if content is not None
+            else [c for c in incoming.columns if c not in keys and c != "_content_hash"])
     h = F.xxhash64(*[F.col(c) for c in cols])
     inc = incoming.withColumn("_content_hash", h)
     if dedupe_batch:
         inc = inc.dropDuplicates([*keys, "_content_hash"])
-    seen = existing.select(*keys, h.alias("_content_hash"))
-    return inc.join(seen, [*keys, "_content_hash"], "left_anti").drop("_content_hash")
+    # a stored table that keeps the hash (``keep_new_stream``'s sink) is read
+    # as keys + hash only
+    seen = (existing.select(*keys, "_content_hash") if "_content_hash" in existing.columns
+            else existing.select(*keys, h.alias("_content_hash")))
+    out = inc.join(seen, [*keys, "_content_hash"], "left_anti")
+    return out if keep_hash else out.drop("_content_hash")
 
 
 def gold(enriched: DataFrame, metrics: Sequence[str] = ("total_return_pct", "std_dev", "sharpe_ratio"),

@@ -52,7 +52,8 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
     """C4 (stream, exact): pass only records not stored in the sink yet.
 
     Each micro-batch is anti-joined (key + content hash) against everything
-    the sink holds from earlier batches and written to its own
+    the sink holds from earlier batches - the sink keeps ``_content_hash``,
+    so only keys and hashes are read back - and written to its own
     ``_batch_id`` partition with dynamic partition overwrite, so a batch
     re-run after a failure replaces its own output and never duplicates.
     State is the sink itself: exact, and not bounded by memory.
@@ -61,9 +62,9 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
         spark = batch.sparkSession
         try:
             stored = spark.read.format(fmt).load(sink_path).filter(F.col("_batch_id") < batch_id)
-            new = keep_new(batch, stored.drop("_batch_id"), keys, content)
+            new = keep_new(batch, stored.select(*keys, "_content_hash"), keys, content, keep_hash=True)
         except AnalysisException:  # nothing written yet
-            new = keep_new(batch, batch.limit(0), keys, content)
+            new = keep_new(batch, batch.limit(0), keys, content, keep_hash=True)
         (new.withColumn("_batch_id", F.lit(batch_id).cast("long"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("_batch_id").format(fmt).save(sink_path))
