@@ -117,3 +117,19 @@ def test_precomputed_hot_widths(spark):
     b = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=widths).collect()))
     assert a == b
     assert hot_key_widths(p, "symbol", "ts", hot_rows=1000) is None
+
+
+def test_hot_key_buckets_are_bounded(spark):
+    """One symbol holds a third of all rows: after bucketing no (symbol,
+    bucket) group is much larger than ``rows_per_bucket``, and the other
+    symbols keep a single bucket."""
+    from pyspark.sql import functions as F
+    from marketflow.operators.series import hot_key_widths, with_buckets
+    data = [("hot", d, 1.0) for d in range(3000)]
+    data += [(f"s{i}", d, 1.0) for i in range(200) for d in range(30)]
+    p = _prices(spark, data)
+    widths = hot_key_widths(p, "symbol", "ts", hot_rows=1000, rows_per_bucket=200)
+    sizes = with_buckets(p, "symbol", "ts", widths=widths).groupBy("symbol", "_bucket").count()
+    hot = sizes.filter("symbol = 'hot'").agg(F.max("count").alias("mx"), F.count("*").alias("n")).collect()[0]
+    assert hot.mx <= 2 * 200 and hot.n >= 3000 // 400
+    assert sizes.filter("symbol != 'hot'").groupBy("symbol").count().filter("count > 1").count() == 0
