@@ -110,7 +110,7 @@ ALLOCATION_VALUES = """allocation(bracket, asset_class, weight, pos) AS (VALUES
 
 V_GOALS = f"""v_goals AS (
   SELECT o_orderkey AS goal_id, o_custkey AS investor_id,
-         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE lower(substr(o_orderpriority, 3, 100)) END AS goal,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE lower(regexp_replace(o_orderpriority, '^[0-9]+-', '')) END AS goal,
          greatest(c_acctbal, 0.0) AS initial_investment,
          o_totalprice / 1000.0 AS contribution,
          CASE WHEN o_orderstatus = 'F' THEN 'annual' ELSE 'monthly' END AS contribution_period,
@@ -174,9 +174,9 @@ V_PREDICTIONS = """v_pred AS (
   SELECT c_custkey, c_acctbal / 100.0, 'constant', 2, 45.0 FROM customer)"""
 
 V_REGISTRY = """v_registry AS (
-  SELECT 'model_' || substr(o_orderpriority, 1, 1) AS model_name, o_orderkey AS version,
+  SELECT 'model_' || regexp_extract(o_orderpriority, '^([0-9]+)', 1) AS model_name, o_orderkey AS version,
          CASE o_orderstatus WHEN 'F' THEN 'Production' WHEN 'O' THEN 'Staging' ELSE 'Archived' END AS stage,
-         'models:/model_' || substr(o_orderpriority, 1, 1) || '/' || CAST(o_orderkey AS VARCHAR) AS model_uri
+         'models:/model_' || regexp_extract(o_orderpriority, '^([0-9]+)', 1) || '/' || CAST(o_orderkey AS VARCHAR) AS model_uri
   FROM orders)"""
 
 

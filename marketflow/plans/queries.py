@@ -671,7 +671,7 @@ def _para_rows(spark, sf):
 
 
 @register("b8_merge_tabs", O.with_(O.V_LI_ROWS, O.V_PARA_ROWS) + """
-SELECT t0.page_id AS feed, t0.row_pos AS pos, coalesce(substr(t1.para, 1, 20), t0.cells[1]) AS name,
+SELECT t0.page_id AS feed, t0.row_pos AS pos, coalesce(t1.para, t0.cells[1]) AS name,
        t0.cells[1] AS link_text, coalesce(CAST(length(t1.para) AS INTEGER), 0) AS para_len,
        t1.para IS NOT NULL AS has_para
 FROM v_li t0 LEFT JOIN v_para t1 ON t0.page_id = t1.page_id AND t0.row_pos = t1.row_pos""")
@@ -679,7 +679,7 @@ def q_b8(spark, sf):
     tab0 = _li_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
                                       F.get("cells", 0).alias("name"), F.get("cells", 0).alias("link_text"))
     tab1 = _para_rows(spark, sf).select(F.col("page_id").alias("feed"), F.col("row_pos").alias("pos"),
-                                        F.substring("para", 1, 20).alias("name"), F.length("para").alias("para_len"))
+                                        F.col("para").alias("name"), F.length("para").alias("para_len"))
     tab1 = tab1.withColumn("has_para", F.lit(True))
     m = B.merge_tabs([tab0, tab1])
     return m.select("feed", "pos", "name", "link_text", F.coalesce("para_len", F.lit(0)).alias("para_len"),

@@ -115,7 +115,7 @@ def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("goal_id"),
         F.col("o_custkey").alias("investor_id"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(""))
-         .otherwise(F.lower(F.substring("o_orderpriority", 3, 100))).alias("goal"),
+         .otherwise(F.lower(F.regexp_replace("o_orderpriority", r"^[0-9]+-", ""))).alias("goal"),
         F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("initial_investment"),
         contribution.alias("contribution"),
         period.alias("contribution_period"),
@@ -157,7 +157,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_REGISTRY: model versions; name by priority class, stage by status."""
     o = table(spark, sf_dir, "orders")
-    name = F.concat(F.lit("model_"), F.substring("o_orderpriority", 1, 1))
+    name = F.concat(F.lit("model_"), F.regexp_extract("o_orderpriority", r"^([0-9]+)", 1))
     return o.select(
         name.alias("model_name"),
         F.col("o_orderkey").alias("version"),
