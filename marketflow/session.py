@@ -62,12 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/marketflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str, partitions: int = 1):
-    """Write a small derived table once below the shared checkpoint folder and
+def materialize(df, name: str, partitions: int | None = 1):
+    """Write a derived table once below the shared checkpoint folder and
     return it read back: cuts the lineage with one job (an eager RDD
-    checkpoint runs two) and survives lost executors."""
+    checkpoint runs two) and survives lost executors.  ``partitions=1``
+    suits small tables; ``None`` keeps the partitioning of large ones."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(partitions).write.parquet(path)
+    (df if partitions is None else df.repartition(partitions)).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -101,8 +101,12 @@ def write_messages(packed: DataFrame, fmt: str = "kafka", path: str | None = Non
     """A5 sink: send packed envelopes (``publish_feed`` output) to Kafka, or
     write them as text lines (one envelope per line) for a file-fed stream.
 
-    Messages above ``max_bytes`` are refused rather than sent truncated.
+    Messages above ``max_bytes`` are refused rather than sent truncated:
+    the packed messages are written once to the shared folder, checked, and
+    only then sent, so the packing runs once and nothing is sent when a
+    message is too large.
     """
+    packed = materialize(packed.select("message_type", "value"), "packed-messages", partitions=None)
     big = packed.filter(F.octet_length("value") > F.lit(int(max_bytes))).limit(1).count()
     if big:
         raise ValueError(f"a packed message exceeds {max_bytes} bytes; lower fill or raise the limit")
