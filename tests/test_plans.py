@@ -1,5 +1,7 @@
 """Physical-plan checks: no cross products, no Python in batch plans, broadcasts where fixed."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +44,21 @@ def test_bronze_read_prunes_partitions(spark, scratch):
     assert [r.message_type for r in df.collect()] == ["Bond_Funds"]
     scan = [ln for ln in _plan(df).splitlines() if "FileScan" in ln][0]
     assert "PartitionFilters: [" in scan and "message_type" in scan.split("PartitionFilters:")[1]
+
+
+def test_ship_package_and_materialize_use_the_checkpoint_folder(spark):
+    import glob
+    from marketflow.session import ensure_checkpoint_dir, materialize, ship_package
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    ship_package(spark)
+    ship_package(spark)                       # once per context
+    if getattr(spark.sparkContext, "_marketflow_shipped", False):
+        zips = glob.glob(os.path.join(local, "marketflow-code", "marketflow-*.zip"))
+        assert zips
+        import zipfile
+        with zipfile.ZipFile(sorted(zips, key=os.path.getmtime)[-1]) as z:
+            assert "marketflow/operators/silver.py" in z.namelist()
+    t = materialize(spark.range(10).withColumnRenamed("id", "k"), "test-table")
+    assert sorted(r.k for r in t.collect()) == list(range(10))
+    assert t.inputFiles() and all(local in f for f in t.inputFiles())
