@@ -922,8 +922,9 @@ def q_f10s(spark, sf):
         ev.filter(cond).write.parquet(f"{src}/part{k}")
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    q = (SS.session_state_stream(stream).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
+    with SB.state_store(spark):        # keyed state in RocksDB, not in executor heap
+        q = (SS.session_state_stream(stream).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
     q.awaitTermination()
     return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
                                            "profiling_state", "preferences_state", "route")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,24 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 _PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None = ROCKSDB_PROVIDER):
+    """Start stateful queries inside this block with ``provider`` as their
+    state store (``None`` keeps the session's); the session setting is
+    restored afterwards.  A query keeps the provider it first ran with."""
+    prev = spark.conf.get(_PROVIDER_CONF, None)
+    if provider:
+        spark.conf.set(_PROVIDER_CONF, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            if prev is None:
+                spark.conf.unset(_PROVIDER_CONF)
+            else:
+                spark.conf.set(_PROVIDER_CONF, prev)
+
+
 def keep_new_state(df: DataFrame, keys: Sequence[str], content: Sequence[str] | None = None) -> DataFrame:
     """C4 (stream, exact, keyed state): a record passes the first time its
     (key, content hash) is seen, in any micro-batch.
@@ -107,22 +126,12 @@ def keep_new_state_stream(df: DataFrame, sink_path: str, checkpoint: str, keys:
     resumes with the stored state and the file sink's commit log, so no
     record is written twice.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get(_PROVIDER_CONF, None)
-    if provider:
-        spark.conf.set(_PROVIDER_CONF, provider)
-    try:
-        w = (keep_new_state(df, keys, content).writeStream.outputMode("append").format(fmt)
-             .option("checkpointLocation", checkpoint))
-        if available_now:
-            w = w.trigger(availableNow=True)
+    w = (keep_new_state(df, keys, content).writeStream.outputMode("append").format(fmt)
+         .option("checkpointLocation", checkpoint))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    with state_store(df.sparkSession, provider):
         return w.start(sink_path)
-    finally:
-        if provider:
-            if prev is None:
-                spark.conf.unset(_PROVIDER_CONF)
-            else:
-                spark.conf.set(_PROVIDER_CONF, prev)
 
 
 def keep_new_bounded(df: DataFrame, keys: Sequence[str], event_time: str, delay: str,
