@@ -241,3 +241,14 @@ def test_keep_new_bounded_stream(spark, scratch):
          .trigger(availableNow=True).start(sink))
     q.awaitTermination()
     assert spark.read.parquet(sink).count() == 11     # the re-sent copies are dropped within the delay
+
+
+def test_state_store_restores_session_setting(spark):
+    from marketflow.streaming.bronze import ROCKSDB_PROVIDER, state_store
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    with state_store(spark):
+        assert spark.conf.get(conf) == ROCKSDB_PROVIDER
+    assert spark.conf.get(conf, None) == before
+    with state_store(spark, None):
+        assert spark.conf.get(conf, None) == before
