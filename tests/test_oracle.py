@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marketflow.plans.queries import ORACLE
 from marketflow.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = ORACLE
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="testdata not present")
 
 

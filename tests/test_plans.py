@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from marketflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -17,7 +18,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_batch_plan_has_no_cartesian_and_no_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
