@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from marketflow.llm.common import unpacked  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from marketflow.llm.common import ROW, unpacked, without_rids  # noqa: E402
+from marketflow.llm.decontam import find_spans  # noqa: E402
+from marketflow.llm.mixing import mix_sources  # noqa: E402
 from marketflow.llm.quality import quality_rules  # noqa: E402
+from marketflow.llm.shards import histogram_shards  # noqa: E402
+from marketflow.llm.simhash import drop_near_duplicates  # noqa: E402
 from marketflow.session import materialize  # noqa: E402
 
 
@@ -26,9 +32,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    rows, found = find_spans(docs, benchmark)
+    return unpacked(without_rids(rows, found, "contaminated-rows"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    got = mix_sources(docs).filter("copies > 0")
+    return unpacked(got.select(ROW, F.explode(F.array_repeat(F.lit(1), F.col("copies")))))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ``shard`` (0 to 7, near equal bytes) and ``slot``."""
+    got = histogram_shards(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 1, 8)
+    return unpacked(got, shard=F.col("shard"), slot=F.col("slot"))
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("benchmark_decontamination", decontaminate),
+          ("mix_to_weights", mix), ("histogram_shards", shard)]
 
-#: The hashes of the first stage have no SQL counterpart; tests compare with a brute-force version.
+#: The hashes of the first two stages have no SQL counterpart; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

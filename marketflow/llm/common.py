@@ -48,8 +48,18 @@ def packed(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *cols)
 
 
-def unpacked(df: DataFrame, *cols: Column) -> DataFrame:
-    """The packed columns again, then ``cols``; a clashing input column gives way."""
-    own = {c._jc.toString().split(" AS ")[-1].strip("`").lower() for c in cols}
-    names = [f.name for f in df.schema[ROW].dataType.fields]
-    return df.select(*[F.col(ROW).getField(n).alias(n) for n in names if n.lower() not in own], *cols)
+def unpacked(df: DataFrame, **added: Column) -> DataFrame:
+    """The packed columns again, then ``added``; a clashing input column gives way."""
+    names = [f.name for f in df.schema[ROW].dataType.fields if f.name.lower() not in added]
+    return df.select(*[F.col(ROW).getField(n).alias(n) for n in names], *[c.alias(n) for n, c in added.items()])
+
+
+BROADCAST_RIDS = 1_000_000     # 8 MB of row numbers at most
+
+
+def without_rids(rows: DataFrame, rids: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose ``RID`` isn't in ``rids``; the list is broadcast behind a
+    check of its length, else both sides are joined on the unique number."""
+    listed = materialize(rids.select(RID), name, partitions=None)
+    small = listed.count() <= BROADCAST_RIDS
+    return rows.join(F.broadcast(listed) if small else listed, RID, "left_anti")

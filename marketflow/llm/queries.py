@@ -35,3 +35,59 @@ def op1_quality_rules(spark, sf_dir):
     got = quality_rules(docs, table(spark, sf_dir, "labels"))
     return got.select(F.col("__row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@register("op2_histogram_shards")
+def op2_histogram_shards(spark, sf_dir):
+    from marketflow.llm.shards import histogram_shards
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    got = histogram_shards(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 1, 8,
+                           carry=[F.col("doc_id"), F.crc32(text).alias("text_crc32")])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), "size", F.col("__row.text_crc32").alias("text_crc32"),
+                      F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op3_simhash_groups")
+def op3_simhash_groups(spark, sf_dir):
+    from marketflow.llm.simhash import near_duplicates
+    got = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"),
+                      F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op4_mix_sources")
+def op4_mix_sources(spark, sf_dir):
+    from marketflow.llm.mixing import mix_sources
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    got = mix_sources(docs, carry=["doc_id", "source"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
+                      F.col("__row.source").alias("source"), "copies")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op5_decontaminate", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS g
+       FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, n, s, w[s : s + n - 1] AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT dw.r, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
+it AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)""")
+def op5_decontaminate(spark, sf_dir):
+    from marketflow.llm.decontam import contamination
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), "n_words", "n_hit",
+                      F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
