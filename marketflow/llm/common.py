@@ -12,7 +12,8 @@ Conventions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketflow.session import materialize
@@ -63,3 +64,28 @@ def without_rids(rows: DataFrame, rids: DataFrame, name: str) -> DataFrame:
     listed = materialize(rids.select(RID), name, partitions=None)
     small = listed.count() <= BROADCAST_RIDS
     return rows.join(F.broadcast(listed) if small else listed, RID, "left_anti")
+
+
+def hash_bitmap(spark: SparkSession, table: DataFrame, column: str, min_bits: int = 16, max_bits: int = 27):
+    """Test for membership of 64-bit hashes in ``table.column``, without false
+    negatives: a bitmap over the hashes' top bits, at most 2**max_bits of them
+    (16 MB) whatever the table's size, gathered as or-ed words and broadcast."""
+    bits = min(max(int(table.count() * 32).bit_length(), min_bits), max_bits)
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    found = (table.groupBy(F.shiftright(slot, 5).alias("word"))
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 31 as int))")).alias("set")))
+    got = found.toPandas()                              # at most 2**(max_bits - 5) rows
+    words = np.zeros(1 << (bits - 5), np.uint32)
+    words[got["word"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(words)
+
+    def known(hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.uint64, copy=False) >> np.uint64(64 - bits)
+        return (shared.value[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+    return known
+
+
+def with_rids(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``rows`` whose ``RID`` is in ``listed`` (a stored table of row numbers)."""
+    small = listed.count() <= BROADCAST_RIDS
+    return rows.join(F.broadcast(listed) if small else listed, RID, "left_semi")

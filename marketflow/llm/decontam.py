@@ -11,9 +11,9 @@ k-gram is compared word by word.
 Items of fewer than ``WINDOW`` words are one window of all their words (k-gram
 length and window length are then both the item's length).
 
-The document side first asks a bitmap of the benchmark's hashes (bounded by
-``MAX_BITS`` whatever the benchmark's size; a false positive costs a candidate,
-nothing is lost), so only words around possible hits are ever shuffled.
+The document side first asks a bitmap of the benchmark's hashes (bounded
+whatever the benchmark's size; a false positive costs a candidate, nothing is
+lost), so only words around possible hits are ever shuffled.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import RID, ROW, stored_rows
+from marketflow.llm.common import RID, ROW, hash_bitmap, stored_rows
 from marketflow.session import materialize, ship_package
 
 WINDOW = 10
 K = 5
-MIN_BITS, MAX_BITS = 16, 27
 BROADCAST_ROWS = 50_000        # benchmark fingerprints of some 300 bytes: 15 MB at most
 SALTS = 16
 
@@ -88,18 +87,6 @@ def _rows(words, length, window, k, keep=None):
     return out
 
 
-def _bitmap(items: DataFrame, n: int):
-    """Bitmap over the top bits of the benchmark's hashes; at most 2**MAX_BITS bits."""
-    bits = min(max(int(n * 32).bit_length(), MIN_BITS), MAX_BITS)
-    slot = F.shiftrightunsigned("hash", 64 - bits)
-    found = (items.groupBy(F.shiftright(slot, 5).alias("word"))
-             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 31 as int))")).alias("set")))
-    got = found.toPandas()                              # at most 2**(MAX_BITS - 5) rows
-    words = np.zeros(1 << (bits - 5), np.uint32)
-    words[got["word"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).astype(np.uint32)
-    return bits, words
-
-
 def benchmark_prints(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """``item_id`` and the fingerprint columns, one row per fingerprint of a text."""
     @F.pandas_udf(HITS)
@@ -128,12 +115,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None =
     items = materialize(benchmark_prints(benchmark, window, k), "benchmark-prints", partitions=None)
     n = items.count()
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())    # at most `window` values
-    bits, bitmap = _bitmap(items, n)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def known(g: np.ndarray) -> np.ndarray:
-        slot = g >> np.uint64(64 - bits)
-        return (shared.value[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
+    known = hash_bitmap(spark, items, "hash")
 
     @F.pandas_udf(f"struct<n_words:bigint,hits:{HITS}>")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -91,3 +91,41 @@ def op5_decontaminate(spark, sf_dir):
     return got.select(F.col("__row.doc_id").alias("doc_id"), "n_words", "n_hit",
                       F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    from marketflow.llm.toxicity import id_fold, toxicity
+    got = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"),
+                      F.coalesce(id_fold(F.col("__row.doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "clauses")
+
+
+@register("op9_personal_data")
+def op9_personal_data(spark, sf_dir):
+    from marketflow.llm.pii import KINDS, personal_data
+    got = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), *[F.col(f"pii.n_{k}").alias(f"n_{k}") for k in KINDS],
+                      F.sha2(F.col("pii.base"), 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))
+
+
+@register("op7_recurring_lines")
+def op7_recurring_lines(spark, sf_dir):
+    from marketflow.llm.lines import recurring_lines
+    got = recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+                      F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
+@register("op8_repeated_passages")
+def op8_repeated_passages(spark, sf_dir):
+    from marketflow.llm.passages import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    from marketflow.llm.licenses import scan_licenses
+    got = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"),
+                      F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"))
