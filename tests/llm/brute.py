@@ -109,3 +109,69 @@ def targets(sizes, cap=3):
 
 def sha(ids):
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+                 "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                 "card": r"[0-9]([\x20-]?[0-9])+",
+                 "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for kind, pattern in BASE_PATTERNS.items():
+        for m in re.finditer(pattern, t or ""):
+            d = "".join(c for c in m.group() if c in "0123456789")
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                  "card": 16 <= len(d) <= 19 and _luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def plain_words(t):
+    return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+
+
+def shingles(t, k=5):
+    w = plain_words(t)
+    return {" ".join(w[i:i + k]) for i in range(len(w) - k + 1)}
+
+
+def recurring(texts, min_docs, depth=3, min_tokens=3, constant=0.5):
+    """Per text: numbers of the lines that the log-template tree drops."""
+    def leaf(x):
+        return (len(x), *["<*>" if re.search("[0-9]", t) else t for t in x[:depth]])
+    split = {t: [line.split() for line in t.split("\n")] for t in set(texts) if t is not None}
+    seen = collections.defaultdict(set)
+    for t, lines in split.items():
+        for x in lines:
+            if len(x) >= min_tokens:
+                seen[leaf(x)].add(t)
+    good = {k for k, v in seen.items() if len(v) >= min_docs}
+    held = collections.defaultdict(set)
+    for t, lines in split.items():
+        for x in lines:
+            if len(x) >= min_tokens and leaf(x) in good:
+                held[leaf(x), tuple(x)].add(t)
+    times = collections.Counter()
+    for (k, x), ts in held.items():
+        for p, tok in enumerate(x):
+            times[k, p, tok] += len(ts)
+
+    def template(k, x):
+        return tuple((p, tok) for p, tok in enumerate(x) if times[k, p, tok] >= min_docs)
+    shapes = collections.Counter()
+    for (k, x), ts in held.items():
+        if template(k, x) and len(template(k, x)) >= constant * len(x):
+            shapes[k, template(k, x)] += len(ts)
+    bad = {(k, x) for (k, x) in held if shapes.get((k, template(k, x)), 0) >= min_docs}
+    return [[] if t is None else [i for i, x in enumerate(split[t]) if (leaf(x), tuple(x)) in bad] for t in texts]
