@@ -41,9 +41,44 @@ def scale_amount(c, compat: bool = False) -> Column:
     return number * F.try_element_at(scale, unit)
 
 
+# Named character references seen in the pages (HTML's own names); "&amp;" comes last, so that
+# an escaped reference such as "&amp;lt;" becomes "&lt;" and no more.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9",
+            "&reg;": "\u00ae", "&middot;": "\u00b7", "&ndash;": "\u2013", "&mdash;": "\u2014",
+            "&hellip;": "\u2026", "&euro;": "\u20ac", "&amp;": "&"}
+
+
+def _code_point(ref: Column) -> Column:
+    """Character of a numeric reference's body (``39`` or ``x27``)."""
+    digits = F.when(F.lower(ref).startswith("x"), F.lower(F.substring(ref, 2, 8))).otherwise(
+        F.lower(F.conv(ref, 10, 16)))
+    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+
+def decode_entities(c) -> Column:
+    """Text as displayed: numeric and named character references resolved.
+
+    The text is cut at ``&#``; a piece that starts with a valid reference body
+    gives its character, any other keeps its ``&#``.
+    """
+    pattern = r"^([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+    pieces = F.split(as_col(c), "&#")
+
+    def piece(x, i):
+        ref = F.regexp_extract(x, pattern, 1)
+        return (F.when(i == 0, x).when(ref == "", F.concat(F.lit("&#"), x))
+                 .otherwise(F.concat(_code_point(ref), F.substr(x, F.length(ref) + F.lit(2)))))
+    out = F.when(as_col(c).contains("&#"), F.array_join(F.transform(pieces, piece), "")).otherwise(as_col(c))
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def strip_tags(c) -> Column:
-    """Drop markup tags and surrounding white space of an HTML fragment."""
-    return F.trim(F.regexp_replace(as_col(c), r"<[^>]*>", ""))
+    """An HTML fragment as displayed: markup dropped, character references
+    resolved, line breaks and surrounding white space reduced."""
+    plain = F.regexp_replace(F.regexp_replace(as_col(c), r"<[^>]*>", ""), r"[ \t]*[\r\n]+[ \t]*", " ")
+    return F.trim(decode_entities(plain))
 
 
 def contains_phrase(c, phrase: str) -> Column:

@@ -11,6 +11,7 @@ from marketflow.constants import (EDUCATION_CODES, FEATURE_COLUMNS, FORM_FIELDS,
                                   SPLIT_SEED, SURVEY_DROP_COLUMNS, SURVEY_RENAMES, SURVEY_TARGET,
                                   TEST_FRACTION)
 from marketflow.functions.util import as_col
+from marketflow.session import path_exists
 
 
 def encode_label(c, mapping: Mapping[str, int], default: int = 0) -> Column:
@@ -54,12 +55,14 @@ def feature_order(df: DataFrame, target: str | None = SURVEY_TARGET, keep: Seque
 
 def split(df: DataFrame, id_col: str, test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
           buckets: int = 10000) -> tuple[DataFrame, DataFrame]:
-    """E5: deterministic train/test split by a hash bucket of the row id.
+    """E5: deterministic train/test split by a hash bucket of the row id (the
+    first 32 bits of the MD5 of ``seed:id``, so any engine can repeat it).
 
     Stable under repartitioning and re-execution (unlike ``randomSplit``),
     which matters when an executor is lost and a stage is recomputed.
     """
-    b = F.pmod(F.xxhash64(F.col(id_col), F.lit(int(seed))), F.lit(buckets))
+    text = F.concat(F.lit(f"{int(seed)}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    b = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(buckets)
     is_test = b < F.lit(int(round(test_fraction * buckets)))
     return df.filter(~is_test), df.filter(is_test)
 
@@ -169,17 +172,16 @@ def log_run(spark: SparkSession, registry_path: str, model_name: str, params: Ma
 
     The registry is an append-only table in shared storage; ``latest_version``
     reads it back.  Versions come from the table itself (max + 1), so
-    concurrent writers should use distinct model names.
+    concurrent writers should use distinct model names.  Only a missing table
+    starts at version 1; a table that can't be read is an error.
     """
     import json
     import math
     import uuid
-    try:
-        reg = spark.read.parquet(registry_path)
-        row = reg.filter(F.col("model_name") == model_name).agg(F.max("version").alias("v")).collect()[0]
-        version = (row.v or 0) + 1
-    except Exception:  # noqa: BLE001 - no registry yet
-        version = 1
+    version = 1
+    if path_exists(spark, registry_path):
+        newest = spark.read.parquet(registry_path).filter(F.col("model_name") == model_name).agg(F.max("version")).first()[0]
+        version = (newest or 0) + 1
     rec = [(run_id or uuid.uuid4().hex, model_name, int(version), stage, json.dumps(dict(params), sort_keys=True),
             float(mse), math.sqrt(float(mse)), model_uri)]
     df = spark.createDataFrame(rec, RUN_SCHEMA)

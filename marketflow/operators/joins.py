@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Join helpers: only literal tables are broadcast by hand; AQE chooses elsewhere."""
 
 from __future__ import annotations
 
@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
-
-    The check runs ``limit(max_rows + 1).count()``, so it stops reading early
-    on a large side; beyond the bound the caller's join stays a shuffle join
-    (with AQE's skew handling).  Meant for dimension-like tables whose size
-    is not fixed by construction.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def fixed_table(spark, rows, schema) -> DataFrame:
     """A small lookup table from literal rows (size fixed by construction,
     so it may always be broadcast)."""

@@ -1,9 +1,11 @@
 """Risk-aversion models with MLlib.
 
 Forest -> ``RandomForestRegressor``; the two boosted models ->
-``GBTRegressor`` (with a validation column for early stopping).  They are
-MLlib's distributed trainers, not the original libraries, so scores are
-comparable in kind, not equal in value.
+``GBTRegressor``.  They are MLlib's distributed trainers, not the original
+libraries, so scores are comparable in kind, not equal in value.  The boosted
+models differ in their defaults: ``boosted_a`` takes large steps on all rows,
+``boosted_b`` small steps on row samples, and stops early when given a
+validation column.
 """
 
 from __future__ import annotations
@@ -28,20 +30,36 @@ from marketflow.operators import quality as C
 MODEL_KINDS = ("forest", "boosted_a", "boosted_b")
 
 
+# Defaults of each kind where a trial names no value.
+_DEFAULTS = {
+    "forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
+    "boosted_a": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0},
+    "boosted_b": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.03, "subsample": 0.8},
+}
+MAX_DEPTH = 30                 # MLlib's own limit
+
+
 def _estimator(kind: str, label: str, seed: int, params: Mapping | None = None):
-    p = dict(params or {})
+    """MLlib estimator of a model kind.
+
+    ``max_depth`` None means as deep as MLlib goes (30); more than that is an
+    error.  MLlib has no minimum for splitting a node, only for its children:
+    a node of fewer than ``min_samples_split`` rows is kept whole by asking
+    for at least half as many rows in each child.
+    """
+    p = {**_DEFAULTS[kind], **(params or {})}
+    depth = MAX_DEPTH if p["max_depth"] is None else int(p["max_depth"])
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is above MLlib's limit of {MAX_DEPTH}")
     if kind == "forest":
-        depth = p.get("max_depth")
-        return RandomForestRegressor(
-            featuresCol="features", labelCol=label, seed=seed,
-            numTrees=int(p.get("n_estimators", 100)),
-            maxDepth=min(int(depth), 30) if depth is not None else 30,
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)))
-    est = GBTRegressor(featuresCol="features", labelCol=label, seed=seed,
-                       maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 6)),
-                       stepSize=float(p.get("learning_rate", 0.1)))
+        leaf = max(int(p["min_samples_leaf"]), -(-int(p["min_samples_split"]) // 2))
+        return RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, numTrees=int(p["n_estimators"]),
+                                     maxDepth=depth, minInstancesPerNode=leaf)
+    est = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, maxIter=int(p["n_estimators"]), maxDepth=depth,
+                       stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]))
     if p.get("validation_col"):
-        est = est.setValidationIndicatorCol(p["validation_col"]).setValidationTol(float(p.get("validation_tol", 0.01)))
+        est = est.setValidationIndicatorCol(p["validation_col"])
+        est.set(est.validationTol, float(p.get("validation_tol", 0.01)))
     return est
 
 
@@ -88,8 +106,9 @@ def tune(df: DataFrame, kind: str = "forest", label: str = "label", features: Se
     for t in trials:
         e = _estimator(kind, label, seed, t)
         maps.append({base.getParam(p.name): e.getOrDefault(p) for p in e.params
-                     if e.isDefined(p) and p.name in ("numTrees", "maxDepth", "minInstancesPerNode",
-                                                       "maxIter", "stepSize")})
+                     if e.isDefined(p) and p.name in ("numTrees", "maxDepth", "minInstancesPerNode", "maxIter",
+                                                       "stepSize", "subsamplingRate", "validationIndicatorCol",
+                                                       "validationTol")})
     cv = CrossValidator(estimator=Pipeline(stages=[asm, base]), estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
                         numFolds=folds, parallelism=parallelism, seed=seed)

@@ -11,19 +11,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from marketflow.constants import (BOND_QUOTE_HEADERS, COUNTRY_TIERS, ETF_TABS, FEED_CONSTANTS, FEED_LAYOUTS,
-                                  FEED_LAYOUTS_COMPAT, HEAVY_SECTORS, LIGHT_SECTORS, ROWS_PER_STOCK_PAGE,
+from marketflow.constants import (BOND_QUOTE_HEADERS, COUNTRY_TIERS, ETF_FIELD_NAMES, ETF_TABS, FEED_CONSTANTS, FEED_LAYOUTS,
+                                  FEED_LAYOUTS_COMPAT, FUND_RECORD_NAMES, HEAVY_SECTORS, LIGHT_SECTORS, ROWS_PER_STOCK_PAGE,
                                   TIER_PAGE_CAPS)
 from marketflow.functions.text import strip_tags
-from marketflow.operators.joins import broadcast_if_small
-from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
+from marketflow.schemas import RAW_FUND
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, join_carry, plan_buckets
 
 TABLE_ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
 TABLE_CELL = r"(?s)<td[^>]*>(.*?)</td>"
-LIST_ROW = r"<li>(.*?)</li>"
-LINK_CELL = r"<a[^>]*>(.*?)</a>"
+LIST_ROW = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
+LINK_CELL = r"(?s)<a[^>]*>(.*?)</a>"
 
 
 def extract_rows(pages: DataFrame, html: str = "html", row_pattern: str = TABLE_ROW,
@@ -97,9 +96,7 @@ def until_empty_page(pages: DataFrame, feed: str = "feed", page: str = "page", i
     bucket, and the counts of all earlier buckets are carried in from a small
     per-bucket table joined back on (feed, bucket).
     """
-    base = pages.filter(F.col(feed).isNotNull())
-    bucketed = None if bucket_seconds is None else plan_buckets(base, feed, page, bucket_seconds,
-                                                                 hot_rows, rows_per_bucket)
+    bucketed = plan_buckets(pages, feed, [page], bucket_seconds, hot_rows, rows_per_bucket)
     empty = F.when(F.col(is_empty), 1).otherwise(0)
     if bucketed is None:
         w = Window.partitionBy(feed).orderBy(page)
@@ -114,7 +111,7 @@ def until_empty_page(pages: DataFrame, feed: str = "feed", page: str = "page", i
                      .withColumn("_c_n", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
                      .withColumn("_c_e", F.coalesce(F.sum("_e").over(wb), F.lit(0)))
                      .select(feed, "_bucket", "_c_n", "_c_e"))
-        df = (rows.join(carry, [feed, "_bucket"], "left")
+        df = (join_carry(rows, carry, feed)
                   .withColumn("_seen_empty", F.col("_c_e") + F.col("_e_in"))
                   .withColumn("_rank", F.col("_c_n") + F.col("_r_in"))
                   .drop("_bucket", "_e_in", "_r_in", "_c_n", "_c_e"))
@@ -228,6 +225,18 @@ def apply_fund_layout(rows: DataFrame, feed: str = "fund_type", cells: str = "ce
     return apply_layout(rows, layouts, feed, cells=cells, keep=keep, on_unknown=on_unknown)
 
 
+def fund_records(named: DataFrame, names=FUND_RECORD_NAMES) -> DataFrame:
+    """Laid-out fund rows (``apply_fund_layout``) as raw fund records: columns
+    that a feed calls differently take the record's name, and each row keeps
+    the one that its feed's layout has."""
+    out = named
+    for layout_name, record_name in names.items():
+        if layout_name in out.columns:
+            both = ([F.col(record_name)] if record_name in out.columns else []) + [F.col(layout_name)]
+            out = out.withColumn(record_name, F.coalesce(*both))
+    return out.select(*[f.name for f in RAW_FUND.fields])
+
+
 def add_fund_constants(df: DataFrame, feed: str = "fund_type") -> DataFrame:
     """B11 for the fund feeds: ``region`` and ``funds_repartition_strategy``
     literals of each feed (NULL for feeds without them)."""
@@ -240,10 +249,12 @@ def zip_bond_quotes(rows: DataFrame, cells: str = "cells", out: str = "record")
     return zip_headers(rows, BOND_QUOTE_HEADERS, cells=cells, out=out)
 
 
-def etf_tab(rows: DataFrame, tab: int, feed: str = "feed", pos: str = "pos", cells: str = "cells") -> DataFrame:
+def etf_tab(rows: DataFrame, tab: int, feed: str = "feed", pos: str = "pos", cells: str = "cells",
+            typed: bool = False) -> DataFrame:
     """One ETF screener tab as named columns (``ETF_TABS[tab]``), ready for
-    ``merge_tabs`` on (feed, pos) or on ``Name``."""
-    names = ETF_TABS[tab]
+    ``merge_tabs`` on (feed, pos) or on ``Name``.  ``typed=True`` uses the field
+    names of the typed ETF record (C1)."""
+    names = [ETF_FIELD_NAMES[n] for n in ETF_TABS[tab]] if typed else ETF_TABS[tab]
     return rows.select(feed, pos, *[F.get(F.col(cells), i).alias(n) for i, n in enumerate(names)])
 
 
@@ -273,13 +284,10 @@ def crawl_plan(countries: DataFrame, sectors: DataFrame, caps: DataFrame,
     tier, then caps -> sectors on class), no cross product.  A country whose
     tier has no caps is rejected.
     """
-    caps_b = broadcast_if_small(caps)
-    sectors_b = broadcast_if_small(sectors)
-    c_caps = countries.join(caps_b, "tier", "inner")
-    plan = c_caps.join(sectors_b, "sector_class", "inner")
+    plan = countries.join(caps, "tier", "inner").join(sectors, "sector_class", "inner")
     if url_template is not None:
         plan = plan.withColumn("url_template", url_template)
-    rejected = countries.join(caps_b.select("tier").distinct(), "tier", "left_anti")
+    rejected = countries.join(caps.select("tier"), "tier", "left_anti")
     return plan, rejected
 
 
@@ -306,8 +314,3 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "cache_key",
                       .withColumn("hit", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
     misses = requests.join(cache.select(key), key, "left_anti")
     return looked, misses
-
-
-def pages_schema() -> T.StructType:
-    return T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-                         T.StructField("html", T.StringType())])

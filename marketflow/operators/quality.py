@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketflow.constants import FEATURE_COLUMNS
-from marketflow.operators.joins import broadcast_if_small
 from marketflow.schemas import MODELS
 
 
@@ -76,12 +75,12 @@ def check_member(spark: SparkSession, df: DataFrame, column: str, allowed: Seque
                  fold: str | None = None, allowed_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by membership in an allowed set.
 
-    A literal list is a fixed-size table and is broadcast; an allowed-set
-    DataFrame is broadcast only after its size is checked.  ``fold`` applies
+    A literal list is a fixed-size table and is broadcast; for an allowed-set
+    DataFrame AQE chooses by its measured size.  ``fold`` applies
     ``upper``/``lower`` to both sides first.
     """
     if isinstance(allowed, DataFrame):
-        aset = broadcast_if_small(allowed.select(_fold(F.col(allowed_col), fold).alias("_member")).distinct())
+        aset = allowed.select(_fold(F.col(allowed_col), fold).alias("_member")).distinct()
     else:
         values = sorted({(v.upper() if fold == "upper" else v.lower() if fold == "lower" else v) for v in allowed})
         aset = F.broadcast(spark.createDataFrame([(v,) for v in values], "_member string"))

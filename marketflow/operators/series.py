@@ -1,88 +1,94 @@
-"""Hot-key detection for per-key ordered computations (lag, running state).
+"""Hot-key splitting for per-key ordered computations (lag, running state).
 
 A window partitioned by a key puts all rows of that key into one task.  When
-one key may hold a large share of the data, its rows are split into time
-buckets; every other key keeps a single bucket so the common case stays the
-plain one-window plan.
+one key may hold a large share of the data, its rows are split into buckets
+that follow each other in the key's order; every other key keeps a single
+bucket, so the common case stays the plain one-window plan.  Rows with a NULL
+key or NULL order values are rows like any other in both forms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.operators.joins import broadcast_if_small
+from marketflow.session import materialize
 
-# A key with more rows than this is split into time buckets ...
+# A key with more rows than this is split ...
 DEFAULT_HOT_ROWS = 1_000_000
-# ... of about this many rows each.
+# ... into buckets of about this many rows each.
 DEFAULT_ROWS_PER_BUCKET = 100_000
 # At most N / hot_rows keys can be hot; beyond this many the join stays a shuffle join.
 MAX_HOT_KEYS_BROADCAST = 200_000
 
-
 _TIME_TYPES = ("timestamp", "timestamp_ntz", "date")
+# Bucket of rows without an order value: before all others, as in the windows.
+_NULL_BUCKET = -(1 << 62)
 
 
-def _seconds(ts: str, df: DataFrame | None = None) -> Column:
+def _seconds(ts: str, df: DataFrame) -> Column:
     """Order position as a number: seconds for time columns, the value itself
     for numeric order columns (page numbers, turns)."""
-    if df is not None and dict(df.dtypes).get(ts) not in _TIME_TYPES:
+    if dict(df.dtypes).get(ts) not in _TIME_TYPES:
         return F.col(ts).cast("double")
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
-def hot_key_widths(df: DataFrame, key: str, ts: str, hot_rows: int = DEFAULT_HOT_ROWS,
-                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the bucket width (seconds) that
-    gives them about ``rows_per_bucket`` rows per bucket; ``None`` when no key
-    is hot.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame | None:
+    """Keys (NULL included) with more than ``hot_rows`` rows and their counts
+    ``_n``; ``None`` when there are none.
 
-    One partial aggregate over (key, ts) - a small shuffle of one row per
-    key and task.  When hot keys exist their table is written below the
-    checkpoint folder so the plan that uses it does not recompute it.  This
-    runs a job when called.
+    One partial aggregate, a shuffle of one row per key and task; its result
+    is written once below the checkpoint folder.  This runs a job when called.
     """
-    s = _seconds(ts, df)
-    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(s).alias("_t0"), F.max(s).alias("_t1"))
-               .filter(F.col("_n") > F.lit(int(hot_rows)))
-               .select(key, F.greatest(F.lit(1e-6), (F.col("_t1") - F.col("_t0") + F.lit(1.0))
-                                       * F.lit(float(rows_per_bucket)) / F.col("_n")).alias("_width")))
-    if stats.isEmpty():          # the common case: no hot key, one pass
-        return None
-    # Hot keys (at most N / hot_rows rows): written once as a one-file table
-    # in the shared scratch folder (one more pass; an RDD checkpoint would
-    # take two), so the plan that uses it does not recompute it.
-    from marketflow.session import materialize
-    return materialize(stats, "hot-keys")
-
-
-def with_buckets(df: DataFrame, key: str, ts: str, widths: DataFrame | None = None,
-                 bucket_seconds: int | None = None) -> DataFrame:
-    """Adds ``_bucket``: fixed-width time buckets (``bucket_seconds``), or the
-    per-key widths of ``hot_key_widths`` (other keys: bucket 0)."""
-    if widths is None:
-        b = F.floor(_seconds(ts, df) / F.lit(float(bucket_seconds)))
-        return df.withColumn("_bucket", b)
-    w = broadcast_if_small(widths, MAX_HOT_KEYS_BROADCAST)
-    j = df.join(w, key, "left")
-    b = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(F.floor(_seconds(ts, df) / F.col("_width")))
-    return j.withColumn("_bucket", b).drop("_width")
-
-
-def plan_buckets(df: DataFrame, key: str, ts: str, bucket_seconds, hot_rows: int = DEFAULT_HOT_ROWS,
+    found = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(int(hot_rows))),
+                        "hot-keys", partitions=None)
+    return None if found.isEmpty() else found
+
+
+def split_hot(df: DataFrame, key: str, order: Sequence[str], hot: DataFrame,
+              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``_bucket``: 0 for cold keys; rows of hot keys are range-partitioned
+    by (key, order), and the partition number is the bucket.
+
+    The ranges are quantiles of the whole order tuple, so a burst of events in
+    one second is split by the tie-breakers.  Only rows that are equal in key
+    and every order column stay together.  The hot rows are written once with
+    their bucket, so all readers see the same cut.
+    """
+    n = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    listed = hot.select(F.col(key).alias("_hot_key"))
+    listed = F.broadcast(listed) if n[0] <= MAX_HOT_KEYS_BROADCAST else listed
+    same = df[key].eqNullSafe(listed["_hot_key"])
+    buckets = max(2, -(-int(n[1]) // int(rows_per_bucket)))
+    split = (df.join(listed, same, "left_semi").repartitionByRange(buckets, key, *order)
+               .withColumn("_bucket", F.spark_partition_id().cast("long")))
+    split = materialize(split, "hot-rows", partitions=None)
+    cold = df.join(listed, same, "left_anti").withColumn("_bucket", F.lit(0).cast("long"))
+    return cold.unionByName(split)
+
+
+def plan_buckets(df: DataFrame, key: str, order: Sequence[str], bucket_seconds, hot_rows: int = DEFAULT_HOT_ROWS,
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame | None:
     """Resolve a ``bucket_seconds`` argument: ``None`` -> plain plan (returns
-    None); an int -> fixed-width buckets; ``"auto"`` -> buckets only for hot
-    keys, or the plain plan when there are none; a DataFrame -> hot-key
-    widths computed beforehand (``hot_key_widths``), e.g. on a cheaper superset."""
+    None); an int -> fixed-width buckets of the first order column for every
+    key; ``"auto"`` -> buckets only for hot keys, or the plain plan when there
+    are none; a DataFrame -> hot keys found beforehand (``hot_keys``)."""
     if bucket_seconds is None:
         return None
     if isinstance(bucket_seconds, DataFrame):
-        return with_buckets(df, key, ts, widths=bucket_seconds)
+        return split_hot(df, key, order, bucket_seconds, rows_per_bucket)
     if bucket_seconds == "auto":
-        widths = hot_key_widths(df, key, ts, hot_rows, rows_per_bucket)
-        if widths is None:
-            return None
-        return with_buckets(df, key, ts, widths=widths)
-    return with_buckets(df, key, ts, bucket_seconds=int(bucket_seconds))
+        hot = hot_keys(df, key, hot_rows)
+        return None if hot is None else split_hot(df, key, order, hot, rows_per_bucket)
+    b = F.floor(_seconds(order[0], df) / F.lit(float(bucket_seconds)))
+    return df.withColumn("_bucket", F.coalesce(b, F.lit(_NULL_BUCKET)))
+
+
+def join_carry(rows: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the carried columns of their (key, bucket); NULL keys match."""
+    c = carry.withColumnsRenamed({key: "_carry_key", "_bucket": "_carry_bucket"})
+    on = rows[key].eqNullSafe(c["_carry_key"]) & (rows["_bucket"] == c["_carry_bucket"])
+    return rows.join(c, on, "left").drop("_carry_key", "_carry_bucket")

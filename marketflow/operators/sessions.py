@@ -11,9 +11,12 @@ goal, achievable       -               true       -
 goal, profiling true   - (fallback)    -          -
 preferences confirmed  -               -          true
 reset                  -               -          false
+any other              -               -          -
 =====================  ==============  =========  ===========
 
-"-" keeps the value.  Every flag starts false.
+"-" keeps the value.  Every flag starts false.  Any other intent is answered
+by the fallback route while profiling is false and by no route (NULL) after;
+a NULL intent has no route.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, join_carry, plan_buckets
 
 INITIALIZE = "initialize"
 GOAL_ACHIEVABLE = "goal_achievable"
@@ -65,10 +68,7 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
     i = F.col(intent)
     pref_set = F.when(i == PREFERENCES, F.lit(True)).when(i == RESET, F.lit(False))
     goal = (i == GOAL_ACHIEVABLE) | (i == GOAL_TEXT)
-    bucketed = None
-    if bucket_seconds is not None:
-        bucketed = plan_buckets(events.filter(F.col(key).isNotNull()), key, order[0], bucket_seconds,
-                                hot_rows, rows_per_bucket)
+    bucketed = plan_buckets(events, key, order, bucket_seconds, hot_rows, rows_per_bucket)
     if bucketed is None:
         w = Window.partitionBy(key).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,7 +98,7 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
                  .withColumn("_c_prof", F.max("_b_prof").over(wb))
                  .withColumn("_c_pref", F.last("_b_pref", ignorenulls=True).over(wb))
                  .select(key, "_bucket", "_c_intro", "_c_prof", "_c_pref"))
-        j = rows.join(carry, [key, "_bucket"], "left")
+        j = join_carry(rows, carry, key)
         c_intro = F.coalesce(F.col("_c_intro"), F.lit(False))
         c_prof = F.coalesce(F.col("_c_prof"), F.lit(False))
         df = (j.withColumn("introduction_state", c_intro | F.coalesce(F.col("_intro"), F.lit(False)))
@@ -111,7 +111,8 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
                            .when(goal & F.col("_prof_before"), F.lit(ROUTE_FALLBACK))
                            .when(goal, F.lit(ROUTE_CHECK_SMART))
                            .when(i == PREFERENCES, F.lit(ROUTE_PREFERENCES))
-                           .when(i == RESET, F.lit(ROUTE_RESET)))
+                           .when(i == RESET, F.lit(ROUTE_RESET))
+                           .when(i.isNotNull() & ~F.col("_prof_before"), F.lit(ROUTE_FALLBACK)))
               .drop("_prof_before"))
 
 

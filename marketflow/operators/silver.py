@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketflow.functions.text import percent_to_number, scale_amount
-from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, plan_buckets
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, join_carry, plan_buckets
 
 FUND_COLUMNS = ["adjusted_expense_ratio", "asset_under_management", "category", "fund_type", "name", "symbol"]
 METRIC_COLUMNS = ["total_return_pct", "std_dev", "sharpe_ratio"]
@@ -105,77 +105,71 @@ def total_return(first, last) -> Column:
 
 def _lagged(prices: DataFrame, key: str, order: Sequence[str], price: str,
             bucket_seconds, hot_rows: int = DEFAULT_HOT_ROWS,
-            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, fill: bool = False) -> DataFrame:
     """Every price row with ``prev_price`` and two flags: ``_sym_first``
     (first row of its symbol) and ``_sym_last`` (last row of its symbol).
 
     ``bucket_seconds=None``: one window partitioned by the symbol.
-    ``"auto"`` (default): one cheap aggregate finds symbols with more than
+    ``"auto"`` (default): one aggregate finds symbols with more than
     ``hot_rows`` rows; without any, the plain plan runs, otherwise only those
-    symbols are split into time buckets (see ``operators.series``).  An int
-    uses fixed-width buckets for every symbol.  In the bucketed forms rows
-    with a NULL symbol are dropped (they form no series).
-
-    Otherwise the lag runs in two levels so a hot symbol is spread over many
-    tasks and only one full shuffle happens:
-
-    1. one window over (symbol, time bucket) gives the lag inside the bucket
-       and the bucket's first/last-row flags;
-    2. an aggregate of those rows (already partitioned by symbol and bucket,
-       so no new shuffle) keeps one row per (symbol, bucket): the bucket's
-       last price.  On that small table a window over
-       the symbol gives every bucket the last price of the previous non-empty
-       bucket (the ``carry``), and whether it is the symbol's first / last
-       bucket;
-    3. the carry is joined back on (symbol, bucket), the key the big side is
-       already partitioned by; a bucket's first row takes the carry as its
-       previous price.
+    symbols are split into buckets (see ``operators.series``).  An int uses
+    fixed-width time buckets for every symbol.  All forms give the same rows;
+    rows with a NULL symbol are one series.
+
+    ``fill=True`` carries the last known price of the symbol over NULL prices
+    first.
+
+    In the bucketed forms the lag runs in two levels, so a hot symbol is
+    spread over many tasks: a window over (symbol, bucket) gives the lag
+    inside the bucket; one row per bucket with its last price goes into a
+    small table, where a window over the symbol finds what the previous
+    buckets hand on (the ``carry``); the carry is joined back on (symbol,
+    bucket), the key the big side is already partitioned by.
     """
     base = prices.select(key, *order, price)
-    # Rows without a symbol carry no series; dropping them up front also keeps
-    # both consumers of the shuffle identical, so Spark reuses the exchange.
-    bucketed = None
-    if bucket_seconds is not None:
-        bucketed = plan_buckets(base.filter(F.col(key).isNotNull()), key, ts_of(order), bucket_seconds,
-                                hot_rows, rows_per_bucket)
+    bucketed = plan_buckets(base, key, order, bucket_seconds, hot_rows, rows_per_bucket)
+    parts = [key] if bucketed is None else [key, "_bucket"]
+    w = Window.partitionBy(*parts).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = base if bucketed is None else bucketed
+    if fill:
+        rows = rows.withColumn(price, F.last(price, ignorenulls=True).over(upto))
+    rows = (rows.withColumn("_prev", F.lag(price).over(w))
+                .withColumn("_first", F.row_number().over(w) == 1)
+                .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
     if bucketed is None:
-        w = Window.partitionBy(key).orderBy(*order)
-        return (base.withColumn("prev_price", F.lag(price).over(w))
-                    .withColumn("_sym_first", F.row_number().over(w) == 1)
-                    .withColumn("_sym_last", F.lead(F.lit(1)).over(w).isNull()))
-    base = bucketed
-    w1 = Window.partitionBy(key, "_bucket").orderBy(*order)
-    rows = (base.withColumn("_prev", F.lag(price).over(w1))
-                .withColumn("_first", F.row_number().over(w1) == 1)
-                .withColumn("_last", F.lead(F.lit(1)).over(w1).isNull()))
+        return rows.withColumnsRenamed({"_prev": "prev_price", "_first": "_sym_first", "_last": "_sym_last"})
     wb = Window.partitionBy(key).orderBy("_bucket")
+    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
+    handed = F.last("_blast", ignorenulls=True).over(earlier) if fill else F.lag("_blast").over(wb)
     carry = (rows.groupBy(key, "_bucket").agg(F.max(F.when(F.col("_last"), F.col(price))).alias("_blast"))
-                 .withColumn("_carry", F.lag("_blast").over(wb))
+                 .withColumn("_carry", handed)
                  .withColumn("_has_prev", F.lag(F.lit(1)).over(wb).isNotNull())
                  .withColumn("_last_bucket", F.lead(F.lit(1)).over(wb).isNull())
                  .select(key, "_bucket", "_carry", "_has_prev", "_last_bucket"))
-    j = rows.join(carry, [key, "_bucket"], "left")
-    return (j.withColumn("prev_price", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
+    j = join_carry(rows, carry, key)
+    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
+    if fill:        # a bucket may start with NULL prices: the carry stands for them too
+        prev = F.coalesce(prev, F.col("_carry"))
+        j = j.withColumn(price, F.coalesce(F.col(price), F.col("_carry")))
+    return (j.withColumn("prev_price", prev)
              .withColumn("_sym_first", F.col("_first") & ~F.col("_has_prev"))
              .withColumn("_sym_last", F.col("_last") & F.col("_last_bucket")))
 
 
-def ts_of(order: Sequence[str]) -> str:
-    return order[0]
-
-
 def daily_returns(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close",
                   tiebreak: Sequence[str] = (), bucket_seconds=DEFAULT_BUCKET_SECONDS,
-                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+                  fill: bool = False) -> DataFrame:
     """Change of each price against the previous row of its symbol.
 
     Output: key, ts, tie-breakers, price, ``prev_price``, ``daily_return``
     (``price / prev_price - 1``; NULL for a symbol's first row or a zero
-    previous price).  See ``_lagged`` for the skew-safe two-level plan
-    (``bucket_seconds``) and the plain one (``None``); both give the same rows.
+    previous price).  ``fill=True`` carries the last price over gaps.  See
+    ``_lagged`` for the plain and the bucketed plan; both give the same rows.
     """
     order = [ts, *tiebreak]
-    out = _lagged(prices, key, order, price, bucket_seconds, hot_rows, rows_per_bucket) \
+    out = _lagged(prices, key, order, price, bucket_seconds, hot_rows, rows_per_bucket, fill) \
         .select(key, *order, price, "prev_price")
     return out.withColumn("daily_return", F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0))
 
@@ -232,26 +226,45 @@ def enrich(funds: DataFrame, metrics: DataFrame, key: str = "symbol", reference_
     return out
 
 
+def bronze_records(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
+                   type_col: str = "message_type", data_col: str = "data") -> DataFrame:
+    """Every record of the JSON-array payloads with its typed fields,
+    ``_record`` (its text) and ``_failed`` (fields that have a value which
+    doesn't parse, comma separated; ``*`` for an element that is no object)."""
+    df = bronze if message_type is None else bronze.filter(F.col(type_col) == message_type)
+    items = F.from_json(F.col(data_col), T.ArrayType(T.StringType()))
+    df = (df.filter(F.ltrim(F.col(data_col)).startswith("["))
+            .select(F.col(type_col).alias(type_col), F.explode(items).alias("_record")))
+    raw = F.from_json("_record", T.MapType(T.StringType(), T.StringType()))
+    df = df.select(type_col, "_record", raw.alias("_raw"), F.from_json("_record", record_schema).alias("_r"))
+    failed = [F.when(F.col("_r").getField(f.name).isNull() & F.try_element_at("_raw", F.lit(f.name)).isNotNull(), F.lit(f.name))
+              for f in record_schema.fields]
+    bad = F.when(F.col("_raw").isNull(), F.lit("*")).otherwise(F.concat_ws(",", *failed))
+    return df.select(type_col, "_r.*", "_record", bad.alias("_failed"))
+
+
 def unnest_bronze(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
                   type_col: str = "message_type", data_col: str = "data") -> DataFrame:
     """One bronze message type -> typed record rows.
 
     Only payloads that are JSON arrays are expanded (an error object sent as
-    data would otherwise parse as one all-NULL record); see
-    ``bronze_rejects`` for the rest.
+    data would otherwise parse as one all-NULL record), and only records all
+    of whose fields parse; see ``bronze_rejects`` and ``record_rejects`` for
+    the rest.
     """
-    df = bronze
-    if message_type is not None:
-        df = df.filter(F.col(type_col) == message_type)
-    arr = F.from_json(F.col(data_col), T.ArrayType(record_schema))
-    return (df.filter(F.ltrim(F.col(data_col)).startswith("["))
-              .select(F.col(type_col).alias(type_col), F.explode(arr).alias("_r"))
-              .select(type_col, "_r.*"))
+    return bronze_records(bronze, message_type, record_schema, type_col, data_col).filter("_failed = ''").drop("_record", "_failed")
+
+
+def record_rejects(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
+                   type_col: str = "message_type", data_col: str = "data") -> DataFrame:
+    """Records with a field that doesn't parse: type, ``record`` text, ``failed_fields`` (quarantine)."""
+    got = bronze_records(bronze, message_type, record_schema, type_col, data_col).filter("_failed <> ''")
+    return got.select(type_col, F.col("_record").alias("record"), F.col("_failed").alias("failed_fields"))
 
 
 def bronze_rejects(bronze: DataFrame, record_schema: T.StructType, type_col: str = "message_type",
                    data_col: str = "data") -> DataFrame:
     """Messages whose payload is not a JSON array of records (quarantine)."""
-    arr = F.from_json(F.col(data_col), T.ArrayType(record_schema))
+    arr = F.from_json(F.col(data_col), T.ArrayType(T.StringType()))
     bad = F.col(data_col).isNull() | ~F.ltrim(F.col(data_col)).startswith("[") | arr.isNull()
     return bronze.filter(bad)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from marketflow.operators import silver
-from marketflow.operators.series import hot_key_widths
+from marketflow.operators.series import DEFAULT_HOT_ROWS
+from marketflow.session import materialize
 from marketflow.sources.prices import trailing_prices
 
 
@@ -18,19 +19,25 @@ def process_funds(raw_funds: DataFrame, prices: DataFrame, tiebreak: Sequence[st
     """Raw fund records -> cleaned funds enriched with price metrics.
 
     clean (D1-D5) -> symbols (D6) -> trailing prices of those symbols (A9) ->
-    per-symbol metrics (D7-D13) -> left join (D14).  Nothing is collected:
-    the symbol set restricts the prices by a semi join.
+    per-symbol metrics (D7-D13) -> left join (D14).  The symbol set restricts
+    the prices by a semi join.  The cleaned funds are written once and read
+    twice; the prices are read twice (newest time and hot symbols in one
+    aggregate, then the metrics).  The first two steps run when called.
     """
-    funds = silver.clean_funds(raw_funds, compat=compat)
+    from pyspark.sql import functions as F
+
+    funds = materialize(silver.clean_funds(raw_funds, compat=compat), "clean-funds", partitions=None)
     symbols = silver.distinct_symbols(funds)
-    hist = trailing_prices(prices, symbols, period=period, as_of=as_of)
     if isinstance(bucket_seconds, str) and bucket_seconds == "auto":
-        # hot symbols are found on the time-filtered price scan (a pruned,
-        # pushed-down read), not on the semi-joined frame, so the detection
-        # job does not run the semi join a second time
-        window = trailing_prices(prices, None, period=period, as_of=as_of).select("symbol", "ts")
-        widths = hot_key_widths(window.filter("symbol IS NOT NULL"), "symbol", "ts")
-        bucket_seconds = widths        # None (no hot symbol) selects the plain plan
+        # one pass over the prices finds the newest time and the row counts of
+        # symbols (over all history, an upper bound of the trailing ones)
+        seen = materialize(prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_newest")),
+                           "price-counts", partitions=None)
+        if as_of is None and period is not None:
+            as_of = seen.agg(F.max("_newest")).first()[0]
+        hot = seen.filter(F.col("_n") > DEFAULT_HOT_ROWS).select("symbol", "_n")
+        bucket_seconds = None if hot.isEmpty() else hot
+    hist = trailing_prices(prices, symbols, period=period, as_of=as_of)
     metrics = silver.symbol_metrics(hist, tiebreak=tiebreak, risk_free=risk_free, bucket_seconds=bucket_seconds)
     return silver.enrich(funds, metrics, reference_names=reference_names)
 
@@ -44,7 +51,10 @@ def profile_investors(forms: DataFrame, goals: DataFrame, scaler: DataFrame, mod
     ``forms`` are text form rows (``encode_form`` input) with ``investor_key``;
     ``goals`` carry ``investor_key`` and the goal fields of ``evaluate_goals``
     (``annual_return`` may be absent; ``goal_rate`` names an optional own-rate
-    column).  Returns ``(investors, allocations, evaluated_goals)``.
+    column).  Returns ``(investors, allocations, evaluated_goals, rejected)``;
+    ``rejected`` holds the investors with a field that doesn't parse and its
+    names.  Their goals are still evaluated when they bring an own rate, and
+    have no rate, hence no outcome by value, when they don't.
 
     The goal -> investor join is an equi-join on the investor key; the scored
     investor side has one row per investor, so AQE broadcasts it when small
@@ -58,15 +68,55 @@ def profile_investors(forms: DataFrame, goals: DataFrame, scaler: DataFrame, mod
     from marketflow.operators import models as M
 
     feats = E.feature_order(E.encode_form(forms), target=None, keep=(investor_key,))
-    scored = M.predict(model, E.scale(feats.dropna(subset=list(FEATURE_COLUMNS)), scaler),
+    failed = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in FEATURE_COLUMNS])
+    checked = feats.withColumn("failed_fields", failed)
+    rejected = checked.filter("failed_fields <> ''").select(investor_key, "failed_fields")
+    scored = M.predict(model, E.scale(checked.filter("failed_fields = ''").drop("failed_fields"), scaler),
                        "risk_aversion_estimate")
     investors = G.with_risk_bracket(scored.select(investor_key, "risk_aversion_estimate"), "risk_aversion_estimate")
     allocations = G.allocation_long(investors, "risk_aversion_estimate", keep=(investor_key,))
     rates = investors.select(investor_key, F.col("annual_return").alias("_bracket_return"))
     g = goals.drop("annual_return").join(rates, investor_key, "left")
     own = F.col(goal_rate) if goal_rate and goal_rate in goals.columns else F.lit(None).cast("double")
-    g = g.withColumn("annual_return", F.coalesce(own, F.col("_bracket_return"), F.lit(0.05))).drop("_bracket_return")
-    return investors, allocations, G.evaluate_goals(g)
+    g = g.withColumn("annual_return", F.coalesce(own, F.col("_bracket_return"))).drop("_bracket_return")
+    return investors, allocations, G.evaluate_goals(g), rejected
+
+
+def train_and_register(train: DataFrame, test: DataFrame, registry_path: str, model_path: str, label: str = "label",
+                       params: dict | None = None, model_name: str = "risk_aversion") -> DataFrame:
+    """E8 -> E10 -> E11 -> E12: fit the three kinds, compare them on the test
+    rows, store the best and register each run.
+
+    ``params`` maps a kind to its parameters.  A fifth of the training rows
+    (by row content hash) is the validation part on which ``boosted_b`` stops
+    early.  Returns ``model, ordinal, mse, rmse, n, best``.
+    """
+    from pyspark.sql import functions as F
+
+    from marketflow.constants import FEATURE_COLUMNS
+    from marketflow.operators import features as E
+    from marketflow.operators import models as M
+
+    spark = train.sparkSession
+    held = F.pmod(F.xxhash64(*FEATURE_COLUMNS, label), F.lit(5)) == 0
+    train = train.withColumn("_validation", held)
+    fitted, errors = {}, None
+    for i, kind in enumerate(M.MODEL_KINDS):
+        p = dict((params or {}).get(kind, {}))
+        if kind == "boosted_b":
+            p["validation_col"] = "_validation"
+        fitted[kind] = (M.train(train, kind, label=label, params=p), p)
+        pred = M.predict(fitted[kind][0], test.dropna(subset=[*FEATURE_COLUMNS, label]))
+        e = E.regression_error(pred.withColumns({"model": F.lit(kind), "ordinal": F.lit(i)}), label=label,
+                               group=("model", "ordinal"))
+        errors = e if errors is None else errors.unionByName(e)
+    errors = materialize(errors, "model-errors", partitions=None)
+    best = E.pick_best(errors).first()["best_model"]
+    fitted[best][0].write().overwrite().save(model_path)
+    for row in errors.orderBy("ordinal").collect():          # three rows
+        E.log_run(spark, registry_path, f"{model_name}_{row['model']}", fitted[row["model"]][1], row["mse"],
+                  model_path if row["model"] == best else "", "Production" if row["model"] == best else "None")
+    return errors.withColumn("best", F.col("model") == best)
 
 
 def write_bronze_batch(messages: DataFrame, path: str, mode: str = "append") -> None:

@@ -7,6 +7,8 @@ sides (see ``marketflow.plans.queries.rounded``).
 
 from __future__ import annotations
 
+from marketflow.functions.text import ENTITIES
+
 AMOUNT_RE = r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
 
 
@@ -135,8 +137,9 @@ V_GOALS_EVAL = """v_eval AS (
 
 V_SESSION = """v_session AS (
   SELECT user_id AS conv_id, ts, event_id, event_type,
-         CASE event_type WHEN 'signup' THEN 'initialize' WHEN 'purchase' THEN 'goal_achievable'
-           WHEN 'view' THEN 'goal_text' WHEN 'click' THEN 'preferences_confirmed' WHEN 'error' THEN 'reset' END
+         CASE WHEN event_type = 'signup' THEN 'initialize' WHEN event_type = 'purchase' THEN 'goal_achievable'
+              WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'smalltalk' WHEN event_type = 'view' THEN 'goal_text'
+              WHEN event_type = 'click' THEN 'preferences_confirmed' WHEN event_type = 'error' THEN 'reset' END
            AS intent
   FROM events)"""
 
@@ -199,21 +202,29 @@ V_STOCK_ROWS = f"""v_stock AS (
          '' AS country, ({SECTORS_LIST})[s_suppkey % 11 + 1] AS sector
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
+def displayed(x: str) -> str:
+    """SQL of an HTML fragment as displayed (tags, references, line breaks)."""
+    out = f"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '[ \\t]*[\\r\\n]+[ \\t]*', ' ', 'g')"
+    for name, char in ENTITIES.items():
+        out = f"replace({out}, '{name}', chr({ord(char)}))"
+    return f"trim({out})"
+
+
 V_LI_ROWS = r"""v_li AS (
   SELECT page_id, row_pos, row_html,
-         list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
-                        lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
+         list_transform(regexp_extract_all(row_html, '(?s)<a[^>]*>(.*?)</a>', 1),
+                        lambda x: @X@) AS cells
   FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
-        FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS l FROM pages) p) q)"""
+        FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li(?:\s[^>]*)?>(.*?)</li>', 1) AS l FROM pages) p) q)""".replace("@X@", displayed("x")).replace("@H@", displayed("row_html"))
 
 V_MIXED_ROWS = r"""v_mixed AS (
   SELECT page_id, row_pos, row_html,
-         list_transform(regexp_extract_all(row_html, '<a[^>]*>(.*?)</a>', 1),
-                        lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))) AS cells
+         list_transform(regexp_extract_all(row_html, '(?s)<a[^>]*>(.*?)</a>', 1),
+                        lambda x: @X@) AS cells
   FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
-        FROM (SELECT page_id, regexp_extract_all(html, '<(?:li|p)>(.*?)</(?:li|p)>', 1) AS l FROM pages) p) q)"""
+        FROM (SELECT page_id, regexp_extract_all(html, '<(?:li|p)>(.*?)</(?:li|p)>', 1) AS l FROM pages) p) q)""".replace("@X@", displayed("x")).replace("@H@", displayed("row_html"))
 
 V_PARA_ROWS = r"""v_para AS (
-  SELECT page_id, row_pos, trim(regexp_replace(row_html, '<[^>]*>', '', 'g')) AS para
+  SELECT page_id, row_pos, @H@ AS para
   FROM (SELECT page_id, unnest(l) AS row_html, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS row_pos
-        FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1) AS l FROM pages) p) q)"""
+        FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1) AS l FROM pages) p) q)""".replace("@X@", displayed("x")).replace("@H@", displayed("row_html"))

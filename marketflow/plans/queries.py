@@ -279,7 +279,8 @@ SELECT conv_id, event_id, ts, intent,
             AND coalesce(max(intent = 'goal_achievable') OVER wb, false) THEN 'fallback'
        WHEN intent IN ('goal_achievable', 'goal_text') THEN 'check_smart'
        WHEN intent = 'preferences_confirmed' THEN 'preferences_confirmation'
-       WHEN intent = 'reset' THEN 'reset_preferences' END AS route
+       WHEN intent = 'reset' THEN 'reset_preferences'
+       WHEN NOT coalesce(max(intent = 'goal_achievable') OVER wb, false) THEN 'fallback' END AS route
 FROM v_session
 WINDOW w AS (PARTITION BY conv_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
        wb AS (PARTITION BY conv_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
@@ -374,7 +375,9 @@ def q_e12(spark, sf):
 
 # ---------------------------------------------------- envelope & bronze ----
 
-from marketflow.constants import HEAVY_SECTORS, LIGHT_SECTORS, STOCK_LAYOUT  # noqa: E402
+from marketflow.constants import (COMMODITY_TYPES, FUND_TYPES, HEAVY_SECTORS, LIGHT_SECTORS, STOCK_COUNTRIES,  # noqa: E402
+                                  STOCK_LAYOUT)
+from marketflow.schemas import MODELS, RAW_FUND  # noqa: E402
 from marketflow.operators import pages as B  # noqa: E402
 from marketflow.operators import quality as C  # noqa: E402
 from marketflow.sources import envelope as A  # noqa: E402
@@ -400,7 +403,7 @@ def _published(spark, sf):
 
 @register("a5_publish_feed", """
 SELECT event_type AS message_type, count(*) AS n_records,
-       CAST(sum(strlen(json_object('event_id', event_id, 'user_id', user_id, 'props', props)::VARCHAR)) AS BIGINT) AS n_bytes,
+       CAST(sum(strlen(to_json(json_object('event_id', event_id, 'user_id', user_id, 'props', props)::VARCHAR)::VARCHAR) - 2) AS BIGINT) AS n_bytes,
        true AS all_fit
 FROM events GROUP BY event_type""")
 def q_a5(spark, sf):
@@ -458,7 +461,7 @@ def _conform_sql():
     from marketflow.schemas import STOCK
     cols, fails = [], []
     for f in STOCK.fields:
-        src = "feed" if f.name == "country" else f.name
+        src = {"country": "feed", "percent_change": "replace(percent_change, '%', '')"}.get(f.name, f.name)
         typ = {"DoubleType()": "DOUBLE", "IntegerType()": "INTEGER", "StringType()": "VARCHAR"}[repr(f.dataType)]
         e = src if typ == "VARCHAR" else f"TRY_CAST({src} AS {typ})"
         cols.append(f"{'round(' + e + ', 6)' if typ == 'DOUBLE' else e} AS {f.name}")
@@ -471,7 +474,7 @@ def _conform_sql():
 @register("c1_conform", _conform_sql())
 def q_c1(spark, sf):
     df = B.add_constants(_stock_rows(spark, sf), {"country": F.col("feed")})
-    return rounded(C.conform(df, "stock", keep=("row_id",)))
+    return rounded(C.conform(silver.percent_column(df, "percent_change"), "stock", keep=("row_id",)))
 
 
 _PAYLOAD_KEYS = ["age", "education", "occupation", "kids", "income", "net_worth", "risk"]
@@ -727,7 +730,7 @@ def q_b13(spark, sf):
 
 from marketflow.constants import MODEL_GRID, SURVEY_RENAMES  # noqa: E402
 from marketflow.operators import models as M  # noqa: E402
-from marketflow.session import scratch_path  # noqa: E402
+from marketflow.session import materialize, scratch_path  # noqa: E402
 from marketflow.sources import files as FS  # noqa: E402
 from marketflow.sources.prices import commodity_series  # noqa: E402
 
@@ -775,7 +778,10 @@ def _features_labelled(spark, sf):
     return f.withColumnRenamed("TrueRiskTol", "label")
 
 
-@register("e5_split")
+@register("e5_split", """
+SELECT c_custkey AS investor_id,
+       CASE WHEN CAST('0x' || substr(md5('42:' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000
+            THEN 'test' ELSE 'train' END AS part FROM customer""")
 def q_e5(spark, sf):
     f = _features_labelled(spark, sf)
     tr, te = E.split(f, "investor_id")
@@ -799,23 +805,39 @@ def q_e7(spark, sf):
     return rounded(E.scaler_long(E.load_scaler(spark, path)))
 
 
-@register("e8_train")
+# Model sizes of the training queries: the lower end of the search ranges (MLlib runs a job per tree level).
+_FOREST = {"n_estimators": 50, "max_depth": 10}
+_BOOSTED = {"n_estimators": 50, "max_depth": 3}
+_COMPLETE_ROW = " AND ".join(f"{c} IS NOT NULL" for c in E.FEATURE_COLUMNS)
+_IS_TEST = "CAST('0x' || substr(md5('42:' || CAST(investor_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000"
+
+
+@register("e8_train", _FEATURES_SQL + f"""
+SELECT m.model, CAST(m.ordinal AS INTEGER) AS ordinal, (SELECT count(*) FROM v_features WHERE {_COMPLETE_ROW} AND {_IS_TEST}) AS n,
+       true AS below_mean_predictor, CAST(3 AS BIGINT) AS n_distinct_errors
+FROM (VALUES ('forest', 0), ('boosted_a', 1), ('boosted_b', 2)) m(model, ordinal)""")
 def q_e8(spark, sf):
+    """The three models; a fitted error has no SQL counterpart, so each is
+    held against the error of always predicting the mean label."""
     f = _features_labelled(spark, sf)
     tr, te = E.split(f, "investor_id")
     sc = E.fit_scaler(tr)
-    trs, tes = E.scale(tr, sc), E.scale(te, sc)
+    trs, tes = E.scale(tr, sc), E.scale(te, sc).dropna()
+    mean = tr.dropna().agg(F.avg("label")).first()[0]
     out = None
     for i, kind in enumerate(M.MODEL_KINDS):
-        params = {"n_estimators": 30, "max_depth": 5}
-        m = M.train(trs, kind, params=params)
-        pred = M.predict(m, tes.dropna()).withColumn("model", F.lit(kind)).withColumn("ordinal", F.lit(i))
+        m = M.train(trs, kind, params=_FOREST if kind == "forest" else _BOOSTED)
+        pred = M.predict(m, tes).withColumn("model", F.lit(kind)).withColumn("ordinal", F.lit(i))
         err = E.regression_error(pred, group=("model", "ordinal"))
         out = err if out is None else out.unionByName(err)
-    return rounded(out)
+    out = materialize(out, "train-errors", partitions=None)
+    base = tes.agg(F.avg(F.pow(F.col("label") - mean, 2))).first()[0]
+    different = out.select(F.round("mse", 6)).distinct().count()
+    return out.select("model", "ordinal", "n", (F.col("mse") < base).alias("below_mean_predictor"),
+                      F.lit(different).cast("long").alias("n_distinct_errors"))
 
 
-@register("e9_tune")
+@register("e9_tune", "SELECT 'forest' AS model, CAST(2 AS BIGINT) AS n_trials, true AS is_trial, true AS below_mean_predictor")
 def q_e9(spark, sf):
     f = _features_labelled(spark, sf)
     tr, _te = E.split(f, "investor_id")
@@ -823,23 +845,34 @@ def q_e9(spark, sf):
     # two points of the training config grid (forest: 50 / 100 trees, depth 10)
     grid = [{"n_estimators": n, "max_depth": d} for n in MODEL_GRID["RandomForest"]["n_estimators"][:2]
             for d in MODEL_GRID["RandomForest"]["max_depth"][1:2]]
-    model, params, mse = M.tune(tr, "forest", trials=grid, folds=3)
-    return spark.createDataFrame([("forest", str(sorted(params.items())), float(mse))],
-                                 "model string, params string, cv_mse double")
+    _model, params, mse = M.tune(tr, "forest", trials=grid, folds=3)
+    spread = tr.dropna().agg(F.var_pop("label")).first()[0]          # error of the mean predictor
+    return spark.createDataFrame([("forest", len(grid), params in grid, float(mse) < spread)],
+                                 "model string, n_trials long, is_trial boolean, below_mean_predictor boolean")
 
 
-@register("e13_score")
+@register("e13_score", _FEATURES_SQL + f"""
+SELECT investor_id, {_COMPLETE_ROW} AS accepted, CASE WHEN {_COMPLETE_ROW} THEN true END AS in_label_range,
+       CASE WHEN {_COMPLETE_ROW} THEN true END AS bracket_fits
+FROM v_features""")
 def q_e13(spark, sf):
+    """Payloads with a missing field are rejected; an estimate lies within
+    the labels the forest was trained on, and its bracket is the estimate's."""
+    from marketflow.functions.finance import bracket_return
     f = _features_labelled(spark, sf)
     tr, _te = E.split(f, "investor_id")
     sc = E.fit_scaler(tr)
-    model = M.train(E.scale(tr, sc), "forest", params={"n_estimators": 30, "max_depth": 6})
-    payload = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                                   for c in E.FEATURE_COLUMNS]))
-    scored, _bad = M.score_payloads(f.select("investor_id", payload.alias("payload")), sc, model,
-                                    keep=("investor_id",))
-    return G.with_risk_bracket(scored, "risk_aversion_estimate").select(
-        "investor_id", "risk_aversion_estimate", "bracket", "annual_return")
+    model = M.train(E.scale(tr, sc), "forest", params=_FOREST)
+    payload = F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in E.FEATURE_COLUMNS]))
+    scored, bad = M.score_payloads(f.select("investor_id", payload.alias("payload")), sc, model, keep=("investor_id",))
+    low, high = tr.agg(F.min("label"), F.max("label")).first()
+    est = F.col("risk_aversion_estimate")
+    ok = G.with_risk_bracket(scored, "risk_aversion_estimate").select(
+        "investor_id", F.lit(True).alias("accepted"), est.between(low, high).alias("in_label_range"),
+        (bracket_return(est) == F.col("annual_return")).alias("bracket_fits"))
+    none = F.lit(None).cast("boolean")
+    return ok.unionByName(bad.select("investor_id", F.lit(False).alias("accepted"), none.alias("in_label_range"),
+                                     none.alias("bracket_fits")))
 
 
 # -------------------------------------------------------------- streaming --
@@ -856,7 +889,7 @@ def q_a3(spark, sf):
     """A1 -> A2 -> A3 as a bounded stream: envelope text files -> bronze JSON
     partitioned by message type, several micro-batches."""
     src, sink, ck = (scratch_path(spark, n) for n in ("bronze-src", "bronze", "bronze-ckpt"))
-    V.messages(spark, sf).select("value").repartition(4).write.text(src)
+    V.messages(spark, sf).select("value").write.text(src)
     q = SB.bronze_stream(spark, sink, ck, source_fmt="text", source_path=src,
                          source_options={"maxFilesPerTrigger": "1"}, available_now=True)
     q.awaitTermination()
@@ -878,10 +911,10 @@ def q_c4s(spark, sf):
                .withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1)
                                      .otherwise(F.col("value"))))
     src, sink, ck = (scratch_path(spark, n) for n in ("keepnew-src", "keepnew", "keepnew-ckpt"))
-    early.drop("ts").coalesce(2).write.parquet(f"{src}/b1")   # batch 1: two files
-    ev.drop("ts").coalesce(2).write.parquet(f"{src}/b2")      # batch 2: two files, written later
+    early.drop("ts").write.parquet(f"{src}/b1")   # the first snapshot
+    ev.drop("ts").write.parquet(f"{src}/b2")      # the second, written later
     schema = "event_id long, user_id long, event_type string, value double, props string"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
     SB.keep_new_stream(stream, sink, ck, keys=["event_id"], available_now=True).awaitTermination()
     return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
@@ -897,71 +930,142 @@ def q_c4st(spark, sf):
                .withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1)
                                      .otherwise(F.col("value"))))
     src, sink, ck = (scratch_path(spark, n) for n in ("keepstate-src", "keepstate", "keepstate-ckpt"))
-    early.drop("ts").coalesce(2).write.parquet(f"{src}/b1")
-    ev.drop("ts").coalesce(2).write.parquet(f"{src}/b2")
+    early.drop("ts").write.parquet(f"{src}/b1")
+    ev.drop("ts").write.parquet(f"{src}/b2")
     schema = "event_id long, user_id long, event_type string, value double, props string"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
     SB.keep_new_state_stream(stream, sink, ck, keys=["event_id"], available_now=True).awaitTermination()
     return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
 
 
+def _sliced_session_events(spark, sf, name, run):
+    """Session events as three time slices of several files each; a slice
+    arrives when the one before it has been processed (``run(stream)``)."""
+    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
+    src = scratch_path(spark, name)
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in ("2024-01-11", "2024-01-21")]
+    ts = F.col("ts")
+    for k, cond in enumerate([ts < cuts[0], (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]]):
+        ev.filter(cond).repartition(4).write.parquet(f"{src}/part{k}")
+        run(spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet").parquet(src)).awaitTermination()
+
+
+_SESSION_COLUMNS = ("conv_id", "event_id", "intent", "introduction_state", "profiling_state", "preferences_state", "route")
+
+
 @register("f10_session_stream", ORACLE["f10_session_state"].replace(
     "SELECT conv_id, event_id, ts, intent,", "SELECT conv_id, event_id, intent,"))
 def q_f10s(spark, sf):
-    """F10 with keyed streaming state: the session events as three time-ordered
-    files, one micro-batch each; output written to a parquet sink."""
-    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
-    src, sink, ck = (scratch_path(spark, n) for n in ("sess-src", "sess", "sess-ckpt"))
-    cuts = ["2024-01-11", "2024-01-21"]
-    ts = F.col("ts")
-    parts = [ts < F.lit(cuts[0]).cast("timestamp_ntz"),
-             (ts >= F.lit(cuts[0]).cast("timestamp_ntz")) & (ts < F.lit(cuts[1]).cast("timestamp_ntz")),
-             ts >= F.lit(cuts[1]).cast("timestamp_ntz")]
-    for k, cond in enumerate(parts):
-        ev.filter(cond).write.parquet(f"{src}/part{k}")
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    with SB.state_store(spark):        # keyed state in RocksDB, not in executor heap
-        q = (SS.session_state_stream(stream).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
-                                           "profiling_state", "preferences_state", "route")
+    """F10 with keyed streaming state: slice after slice of the session
+    events; output written to a parquet sink."""
+    sink, ck = (scratch_path(spark, n) for n in ("sess", "sess-ckpt"))
+
+    def run(stream):
+        with SB.state_store(spark):        # keyed state in RocksDB, not in executor heap
+            return (SS.session_state_stream(stream).writeStream.format("parquet").outputMode("append")
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
+    _sliced_session_events(spark, sf, "sess-src", run)
+    return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
 
 
 @register("f10_session_batches", ORACLE["f10_session_stream"])
 def q_f10b(spark, sf):
     """F10 on a stream, each micro-batch run by the skew-safe batch operator
-    seeded with the carried state table: the session events as three
-    time-ordered files, one micro-batch each."""
-    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
-    src, sink, state, ck = (scratch_path(spark, n) for n in ("sessb-src", "sessb", "sessb-state", "sessb-ckpt"))
-    cuts = ["2024-01-11", "2024-01-21"]
-    ts = F.col("ts")
-    parts = [ts < F.lit(cuts[0]).cast("timestamp_ntz"),
-             (ts >= F.lit(cuts[0]).cast("timestamp_ntz")) & (ts < F.lit(cuts[1]).cast("timestamp_ntz")),
-             ts >= F.lit(cuts[1]).cast("timestamp_ntz")]
-    for k, cond in enumerate(parts):
-        ev.filter(cond).write.parquet(f"{src}/part{k}")
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    SS.session_state_batches(stream, sink, state, ck, available_now=True).awaitTermination()
-    return spark.read.parquet(sink).select("conv_id", "event_id", "intent", "introduction_state",
-                                           "profiling_state", "preferences_state", "route")
+    seeded with the carried state, slice after slice."""
+    sink, state, ck = (scratch_path(spark, n) for n in ("sessb", "sessb-state", "sessb-ckpt"))
+    _sliced_session_events(spark, sf, "sessb-src", lambda stream: SS.session_state_batches(
+        stream, sink, state, ck, available_now=True, compact_every=2))
+    return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
+
+
+# Every key is split here (more than two rows are hot), so the bucketed plans meet the plain oracles.
+_SPLIT = {"hot_rows": 2, "rows_per_bucket": 500}
+
+
+@register("d9_daily_return_split", ORACLE["d9_daily_return"])
+def q_d9_split(spark, sf):
+    return rounded(silver.daily_returns(V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, **_SPLIT))
+
+
+@register("d13_symbol_metrics_split", ORACLE["d13_symbol_metrics"])
+def q_d13_split(spark, sf):
+    return rounded(silver.symbol_metrics(V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, **_SPLIT))
+
+
+@register("f10_session_state_split", ORACLE["f10_session_state"])
+def q_f10_split(spark, sf):
+    st = S.session_state(V.session_events(spark, sf), order=("ts", "event_id"), **_SPLIT)
+    return st.select("conv_id", "event_id", "ts", "intent", "introduction_state", "profiling_state",
+                     "preferences_state", "route")
+
+
+@register("b6_until_empty_page_split", ORACLE["b6_until_empty_page"])
+def q_b6_split(spark, sf):
+    p = V.pages(spark, sf).select(F.regexp_extract("url", _HOST_RE, 1).alias("feed"), F.col("page_id").alias("page"),
+                                  (~F.col("html").rlike('<li><a href="/[A-Z]')).alias("is_empty"))
+    return B.until_empty_page(p, cap=3, hot_rows=2, rows_per_bucket=20).select("feed", F.col("page").alias("page_id"))
+
+
+_FILL_SQL = O.with_(O.V_PRICES, """v_gaps AS (
+  SELECT symbol, ts, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE adj_close END AS p FROM v_prices)""",
+                    """v_fill AS (
+  SELECT symbol, ts, l_orderkey, l_linenumber,
+         last_value(p IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, l_orderkey, l_linenumber
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adj_close FROM v_gaps)""") + """
+SELECT symbol, ts, l_orderkey, l_linenumber, round(adj_close, 6) AS adj_close, round(prev, 6) AS prev_price,
+       round(adj_close / nullif(prev, 0) - 1, 6) AS daily_return
+FROM (SELECT *, lag(adj_close) OVER (PARTITION BY symbol ORDER BY ts, l_orderkey, l_linenumber) AS prev FROM v_fill) t"""
+
+
+def _gap_prices(spark, sf):
+    return V.prices(spark, sf).withColumn("adj_close", F.when(F.col("l_linenumber") % 3 != 0, F.col("adj_close")))
+
+
+@register("d9_daily_return_fill", _FILL_SQL)
+def q_d9_fill(spark, sf):
+    return rounded(silver.daily_returns(_gap_prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, fill=True))
+
+
+@register("d9_daily_return_fill_split", _FILL_SQL)
+def q_d9_fill_split(spark, sf):
+    return rounded(silver.daily_returns(_gap_prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, fill=True, **_SPLIT))
+
 
+_COMPLETE = " AND ".join(f"f.{c} IS NOT NULL" for c in E.FEATURE_COLUMNS)
 
-@register("profile_investors")
+
+@register("profile_investors", O.with_(O.V_FORMS, O.V_FEATURES, O.V_GOALS, O.V_GOALS_EVAL) + f"""
+SELECT e.goal_id, e.investor_id, NOT ({_COMPLETE}) AS rejected,
+       CASE WHEN {_COMPLETE} THEN '' ELSE concat_ws(',', {", ".join(f"CASE WHEN f.{c} IS NULL THEN '{c}' END" for c in E.FEATURE_COLUMNS)}) END
+         AS failed_fields,
+       CASE WHEN {_COMPLETE} THEN true END AS rate_fits_estimate, e.is_specific, e.is_measurable, e.is_time,
+       true AS outcome_fits_value
+FROM v_eval e JOIN v_features f ON f.investor_id = e.investor_id""")
 def q_profile(spark, sf):
     """SURVEY §3.3 end to end: forms -> model risk -> bracket; goals with the
-    bracket rate -> outcome (rows-only: the model is trained here)."""
+    bracket rate -> outcome.  The trained estimate has no SQL counterpart, so
+    the query checks what must hold for it: the label range, the bracket of
+    the estimate, the outcome by the future value, and who is rejected."""
+    from marketflow.functions.finance import bracket_return
     from marketflow.plans.jobs import profile_investors
     f = _features_labelled(spark, sf)
     tr, _te = E.split(f, "investor_id")
     sc = E.fit_scaler(tr)
-    model = M.train(E.scale(tr, sc), "forest", params={"n_estimators": 20, "max_depth": 5})
-    _inv, _alloc, ev = profile_investors(V.forms(spark, sf), V.goals(spark, sf), sc, model)
-    return ev.select("goal_id", "investor_id", "annual_return", "future_value", "outcome", "failed_criterion")
+    model = M.train(E.scale(tr, sc), "forest", params=_FOREST)
+    inv, _alloc, ev, rejected = profile_investors(V.forms(spark, sf), V.goals(spark, sf), sc, model)
+    low, high = tr.agg(F.min("label"), F.max("label")).first()
+    est = F.col("risk_aversion_estimate")
+    inv = inv.select("investor_id", (est.between(low, high) & (bracket_return(est) == F.col("annual_return"))).alias("_in_range"),
+                     F.col("annual_return").alias("_rate"))
+    j = ev.join(inv, "investor_id", "left").join(rejected, "investor_id", "left")
+    smart = F.col("is_specific") & F.col("is_measurable") & F.col("is_time") & (F.col("future_value") >= F.col("target_value"))
+    return j.select("goal_id", "investor_id", F.col("failed_fields").isNotNull().alias("rejected"),
+                    F.coalesce("failed_fields", F.lit("")).alias("failed_fields"),
+                    (F.col("_in_range") & F.col("annual_return").eqNullSafe(F.col("_rate"))).alias("rate_fits_estimate"),
+                    "is_specific", "is_measurable", "is_time",
+                    (F.coalesce(smart, F.lit(False)) == (F.col("outcome") == "smart")).alias("outcome_fits_value"))
 
 
 @register("medallion_funds", FLAGSHIP_SQL)
@@ -976,3 +1080,239 @@ def q_medallion(spark, sf):
     path = scratch_path(spark, "bronze-funds")
     write_bronze_batch(A.decode_envelope(packed), path)
     return rounded(silver_from_bronze(spark, path, V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK))
+
+
+_FEED_FUNDS = O.V_FUNDS.replace("p_brand", f"({FUND_TYPES!r})[p_partkey % 7 + 1]")
+
+
+@register("medallion_feeds", FLAGSHIP_SQL.replace(O.V_FUNDS, _FEED_FUNDS))
+def q_medallion_feeds(spark, sf):
+    """All seven fund feeds from their cells: layout (B10), feed constants
+    (B11), fund record, envelopes (A5), decoded (A2), bronze, unnested (D16),
+    silver job (D15)."""
+    from marketflow.plans.jobs import silver_from_bronze, write_bronze_batch
+    named = B.add_fund_constants(B.apply_fund_layout(V.fund_cells(spark, sf)))
+    packed = A.publish_feed(B.fund_records(named), "fund_type", [f.name for f in RAW_FUND.fields])
+    path = scratch_path(spark, "bronze-feeds")
+    write_bronze_batch(A.decode_envelope(packed), path)
+    return rounded(silver_from_bronze(spark, path, V.prices(spark, sf), message_types=FUND_TYPES,
+                                      tiebreak=V.PRICE_TIEBREAK))
+
+
+# ------------------------------------------------ further forms of operators --
+
+def _layout_sql():
+    from marketflow.constants import FEED_CONSTANTS, FEED_LAYOUTS
+    names = []
+    for cols in FEED_LAYOUTS.values():
+        names += [c for c in cols if c not in names]
+    value = {"adjusted_expense_ratio": "adjusted_expense_ratio", "asset_under_management": "asset_under_management",
+             "fund_size": "asset_under_management"}
+    out = []
+    for n in names:
+        feeds = ", ".join(f"'{t}'" for t, cols in FEED_LAYOUTS.items() if n in cols)
+        out.append(f"CASE WHEN fund_type IN ({feeds}) THEN {value.get(n, repr(n))} END AS {n}")
+    for i, c in ((0, "region"), (1, "funds_repartition_strategy")):
+        cases = " ".join(f"WHEN '{t}' THEN '{v[i]}'" for t, v in FEED_CONSTANTS.items() if v[i] is not None)
+        out.append(f"CASE fund_type {cases} END AS {c}")
+    return O.with_(_FEED_FUNDS) + "SELECT DISTINCT name, symbol, category, fund_type, " + ", ".join(out) + " FROM v_funds"
+
+
+@register("b10_fund_layouts", _layout_sql())
+def q_b10_funds(spark, sf):
+    """B10 and B11 for the seven fund feeds."""
+    return B.add_fund_constants(B.apply_fund_layout(V.fund_cells(spark, sf)))
+
+
+_TR_SQL = """
+SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag,
+                               l_linestatus) - 1 AS INTEGER) AS row_pos,
+       'F' || CAST(l_partkey AS VARCHAR) || ' & Co' AS name, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
+       CAST(l_linenumber AS VARCHAR) || '|<' || l_returnflag || '> ''n''|' || l_linestatus AS cells_text
+FROM lineitem"""
+
+
+@register("b1_table_rows", _TR_SQL)
+def q_b1_tables(spark, sf):
+    """B1 and B2 on table markup: a page per order, a row per line with
+    attributes, line breaks and character references in its cells."""
+    li = V.table(spark, sf, "lineitem")
+    row = F.concat(F.lit('<tr class="r"><th scope="row">\n<a href="#">F'), F.col("l_partkey").cast("string"),
+                   F.lit(" &amp; Co</a><div class='s'>\n S"), F.col("l_suppkey").cast("string"),
+                   F.lit("</div></th><td>"), F.col("l_linenumber").cast("string"), F.lit("</td>\n<td id='x'> &lt;<b>"),
+                   F.col("l_returnflag"), F.lit("</b>&gt; &#39;n&#x27; </td><td>\n"), F.col("l_linestatus"), F.lit("\n</td></tr>\n"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", row.alias("r")))), lambda x: x["r"]), "")
+    pages = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    got = B.extract_name_symbol(B.extract_rows(pages))
+    return got.select("page_id", "row_pos", "name", "symbol", F.array_join("cells", "|").alias("cells_text"))
+
+
+@register("b4_bad_rows", O.with_(O.V_MIXED_ROWS) + "SELECT page_id, row_pos FROM v_mixed WHERE len(cells) = 0")
+def q_b4_bad(spark, sf):
+    rows = B.extract_rows(V.pages(spark, sf), row_pattern=r"<(?:li|p)>(.*?)</(?:li|p)>", cell_pattern=B.LINK_CELL)
+    return B.drop_bad_rows(rows)[1].select("page_id", "row_pos")
+
+
+@register("b13_cache_misses", ORACLE["b13_cache"].replace("SELECT r.cache_key, c.url, c.url IS NOT NULL AS hit", "SELECT r.cache_key")
+          + " WHERE c.url IS NULL")
+def q_b13_misses(spark, sf):
+    plan, _rej = _crawl(spark, sf)
+    p = V.table(spark, sf, "part")
+    cache = B.cache_upsert(p.select(
+        F.concat(F.lit("nation_"), (F.col("p_partkey") % 23).cast("string"), F.lit("_"), F.lower("p_type")).alias("cache_key"),
+        F.col("p_name").alias("url"), F.col("p_partkey").alias("written_at")))
+    return B.cache_lookup(plan.select(B.cache_key("country", "sector").alias("cache_key")), cache)[1].select("cache_key")
+
+
+def _model_cells(spark, sf, name):
+    """Text cells of a typed model from the parts; every fifth row has a cell that doesn't parse."""
+    fields = MODELS[name].fields
+    numeric = [f.name for f in fields if not isinstance(f.dataType, T.StringType)]
+    bad = numeric[0] if numeric else fields[0].name
+
+    def cell(f):
+        good = (F.col("p_name") if isinstance(f.dataType, T.StringType) else
+                F.col("p_size").cast("string") if isinstance(f.dataType, T.IntegerType) else F.col("p_retailprice").cast("string"))
+        broken = F.lit("—") if numeric else F.lit(None).cast("string")
+        return F.when(F.col("p_partkey") % 5 == 0, broken).otherwise(good) if f.name == bad else good
+    p = V.table(spark, sf, "part")
+    return p.select("p_partkey", *[cell(f).alias(f.name) for f in fields]), bad
+
+
+def _etf_cells(spark, sf):
+    """The typed ETF record put together from its six screener tabs."""
+    from marketflow.constants import ETF_FIELD_NAMES, ETF_TABS
+    wide, bad = _model_cells(spark, sf, "etf")
+    tabs = []
+    for i, headers in enumerate(ETF_TABS):
+        cells = F.array(*[F.col(ETF_FIELD_NAMES[h]) for h in headers])
+        tabs.append(B.etf_tab(wide.select(F.lit("etf").alias("feed"), F.col("p_partkey").alias("pos"), cells.alias("cells")), i, typed=True))
+    merged = B.add_constants(B.merge_tabs(tabs), {"management": "passive"})
+    return merged.withColumnRenamed("pos", "p_partkey").drop("feed"), bad
+
+
+def _models_sql():
+    parts = []
+    for name, model in MODELS.items():
+        numeric = [f.name for f in model.fields if not isinstance(f.dataType, T.StringType)]
+        bad = numeric[0] if numeric else model.fields[0].name
+        parts.append(f"SELECT '{name}' AS model, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '{bad}' ELSE '' END AS failed_fields, "
+                     "p_partkey % 5 <> 0 AS is_valid FROM part")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("c1_conform_models", _models_sql())
+def q_c1_models(spark, sf):
+    """C1 for the six record models, rows of both outcomes."""
+    out = None
+    for name in MODELS:
+        cells, _bad = _etf_cells(spark, sf) if name == "etf" else _model_cells(spark, sf, name)
+        got = C.conform(cells, name, keep=("p_partkey",)).select(F.lit(name).alias("model"), "p_partkey", "failed_fields", "is_valid")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+_LISTS = {"fund": FUND_TYPES, "commodity": COMMODITY_TYPES, "country": STOCK_COUNTRIES}
+_MEMBER_SQL = """WITH v AS (
+  SELECT p_partkey AS id, 'fund' AS list, CASE WHEN p_partkey % 9 = 8 THEN p_brand ELSE ({funds})[p_partkey % 7 + 1] END AS value FROM part
+  UNION ALL SELECT p_partkey, 'commodity', CASE WHEN p_partkey % 9 = 8 THEN p_brand ELSE lower(({commodities})[p_partkey % 7 + 1]) END FROM part
+  UNION ALL SELECT c_custkey, 'country', CASE WHEN c_custkey % 25 >= 20 THEN 'atlantis' ELSE upper(({countries})[c_custkey % 25 + 1]) END FROM customer)
+SELECT id, list, value, coalesce(CASE list WHEN 'fund' THEN upper(value) IN (SELECT upper(unnest({funds})))
+    WHEN 'commodity' THEN upper(value) IN (SELECT unnest({commodities})) ELSE upper(value) IN (SELECT upper(unnest({countries}))) END, false) AS accepted
+FROM v""".format(funds=FUND_TYPES, commodities=COMMODITY_TYPES, countries=STOCK_COUNTRIES)
+
+
+@register("c3_member_lists", _MEMBER_SQL)
+def q_c3_lists(spark, sf):
+    """C3 in its join form with the fund, commodity and country lists."""
+    p, c = V.table(spark, sf, "part"), V.table(spark, sf, "customer")
+
+    def pick(values, key, n):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % n + 1).cast("int"))
+    odd = F.col("p_partkey") % 9 == 8
+    views = {
+        "fund": p.select(F.col("p_partkey").alias("id"), F.when(odd, F.col("p_brand")).otherwise(pick(FUND_TYPES, "p_partkey", 7)).alias("value")),
+        "commodity": p.select(F.col("p_partkey").alias("id"), F.when(odd, F.col("p_brand")).otherwise(
+            F.lower(pick(COMMODITY_TYPES, "p_partkey", 7))).alias("value")),
+        "country": c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 25 >= 20, F.lit("atlantis")).otherwise(
+            F.upper(pick(STOCK_COUNTRIES + ["-"] * 5, "c_custkey", 25))).alias("value"))}
+    out = None
+    for name, df in views.items():
+        for accepted, part in zip((True, False), C.check_member(spark, df, "value", _LISTS[name], fold="upper")):
+            part = part.select("id", F.lit(name).alias("list"), "value", F.lit(accepted).alias("accepted"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("d4_scale_units", """
+SELECT p_partkey, CASE p_partkey % 5
+         WHEN 0 THEN round(CAST(p_size AS DOUBLE) * 1000 * 1e9, 6) WHEN 1 THEN round((p_size + 0.5) * 1e6, 6)
+         WHEN 2 THEN round(CAST(p_size AS DOUBLE) * 1e3, 6) WHEN 3 THEN CAST(p_size AS DOUBLE) END AS amount FROM part""")
+def q_d4_units(spark, sf):
+    """D4 with billions, thousands separators, decimals, other units, no unit and no number."""
+    p = V.table(spark, sf, "part")
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    text = (F.when(k == 0, F.concat(size, F.lit(",000 Bil"))).when(k == 1, F.concat(size, F.lit(".5 mil")))
+             .when(k == 2, F.concat(size, F.lit("K"))).when(k == 3, size).otherwise(F.lit("n/a")))
+    return rounded(silver.amount_column(p.select("p_partkey", text.alias("amount")), "amount"))
+
+
+_TF = "CASE WHEN {} THEN 'True' ELSE 'False' END"
+
+
+@register("f7_goal_summary", _GOALS_SQL + f"""
+SELECT goal_id, printf('goal: %s | initial_investment: %.2f | monthly_contribution: %.2f | annual_return: %.4f | target_value: %.2f | time_horizon: %d | is_specific: %s | is_measurable: %s | is_time: %s',
+       goal, initial_investment, floor(monthly_contribution * 100) / 100, annual_return, target_value, time_horizon,
+       {_TF.format('is_specific')}, {_TF.format('is_measurable')}, {_TF.format('is_time')}) AS summary FROM v_eval""")
+def q_f7_summary(spark, sf):
+    # whole cents, since engines print half a cent differently
+    g = G.smt_flags(V.goals(spark, sf)).withColumn("monthly_contribution", F.floor(F.col("monthly_contribution") * 100) / 100)
+    return g.select("goal_id", G.goal_summary().alias("summary"))
+
+
+@register("e12_log_run", O.with_(O.V_PREDICTIONS) + """
+SELECT model AS model_name, CAST(2 AS BIGINT) AS latest_version, 'runs/' || model || '/2' AS model_uri FROM v_pred GROUP BY model""")
+def q_e12_log(spark, sf):
+    """E10 -> E12: each model's error is logged twice; the registry's newest version is read back."""
+    err = E.regression_error(V.predictions(spark, sf)).collect()        # one row per model
+    path = scratch_path(spark, "registry")
+    for version in (1, 2):
+        for r in err:
+            E.log_run(spark, path, r["model"], {"rule": r["model"]}, r["mse"], f"runs/{r['model']}/{version}")
+    return E.latest_version(spark.read.parquet(path))
+
+
+@register("d16_record_rejects", """
+SELECT 'k' AS message_type, '{"k":"' || event_type || '"}' AS record, 'k' AS failed_fields FROM events WHERE event_id % 4 = 0""")
+def q_d16_rejects(spark, sf):
+    """Records with a field that doesn't parse are kept apart."""
+    ev = V.table(spark, sf, "events")
+    bad = F.concat(F.lit('{"k":"'), F.col("event_type"), F.lit('"}'))
+    data = F.concat(F.lit('[{"k":1},'), F.when(F.col("event_id") % 4 == 0, bad).otherwise(F.lit('{"k":2}')), F.lit("]"))
+    bronze = ev.select(F.lit("k").alias("message_type"), data.alias("data"))
+    return silver.record_rejects(bronze, "k", T.StructType([T.StructField("k", T.LongType())]))
+
+
+_TEST_ROWS = (f"CAST('0x' || substr(md5('42:' || CAST(f.investor_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000")
+
+
+@register("train_and_register", _FEATURES_SQL + f"""
+SELECT m.model, CAST(m.ordinal AS INTEGER) AS ordinal, (SELECT count(*) FROM v_features f WHERE {_COMPLETE} AND {_TEST_ROWS}) AS n,
+       true AS below_mean_predictor, CAST(1 AS BIGINT) AS n_best, CAST(3 AS BIGINT) AS n_registered
+FROM (VALUES ('forest', 0), ('boosted_a', 1), ('boosted_b', 2)) m(model, ordinal)""")
+def q_train_register(spark, sf):
+    """E8 -> E10 -> E11 -> E12 as one job; the errors have no SQL counterpart,
+    so each is held against the error of always predicting the mean label."""
+    from marketflow.plans.jobs import train_and_register
+    f = _features_labelled(spark, sf)
+    tr, te = E.split(f, "investor_id")
+    sc = E.fit_scaler(tr)
+    path = scratch_path(spark, "runs")
+    got = train_and_register(E.scale(tr, sc), E.scale(te, sc), path, scratch_path(spark, "best-model"),
+                             params={"forest": _FOREST, "boosted_a": _BOOSTED, "boosted_b": _BOOSTED})
+    mean = tr.dropna().agg(F.avg("label")).first()[0]
+    base = te.dropna().agg(F.avg(F.pow(F.col("label") - mean, 2))).first()[0]
+    best = got.filter("best").count()
+    runs = spark.read.parquet(path).select("model_name").distinct().count()
+    return got.select("model", "ordinal", "n", (F.col("mse") < base).alias("below_mean_predictor"),
+                      F.lit(best).cast("long").alias("n_best"), F.lit(runs).cast("long").alias("n_registered"))

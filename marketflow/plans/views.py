@@ -131,11 +131,13 @@ _INTENT_BY_EVENT = {"signup": "initialize", "purchase": "goal_achievable", "view
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V_SESSION: events of each user as chat intents."""
+    """V_SESSION: events of each user as chat intents; every third view asks
+    something else."""
     ev = table(spark, sf_dir, "events")
     intent = F.create_map(*[x for k, v in _INTENT_BY_EVENT.items() for x in (F.lit(k), F.lit(v))])
+    other = (F.col("event_type") == "view") & (F.col("event_id") % 3 == 0)
     return ev.select(F.col("user_id").alias("conv_id"), "ts", "event_id", "event_type",
-                     intent[F.col("event_type")].alias("intent"))
+                     F.when(other, F.lit("smalltalk")).otherwise(intent[F.col("event_type")]).alias("intent"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +207,23 @@ def stock_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("s_suppkey").alias("row_id"), F.lower("n_name").alias("feed"), cells.alias("cells"))
 
 
+def fund_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_FUND_CELLS: a scraped fund row per part in the column layout of its
+    feed (one of the seven, by part key); other cells carry their column name."""
+    from marketflow.constants import FEED_LAYOUTS, FUND_TYPES
+    f = funds_raw(spark, sf_dir).distinct()
+    feed = F.element_at(F.array(*[F.lit(t) for t in FUND_TYPES]), (F.col("symbol").cast("long") % 7 + 1).cast("int"))
+    f = f.withColumn("fund_type", feed)
+
+    def cell(name):
+        return {"adjusted_expense_ratio": F.col("adjusted_expense_ratio"), "asset_under_management": F.col("asset_under_management"),
+                "fund_size": F.col("asset_under_management")}.get(name, F.lit(name))
+    cells = None
+    for t, names in FEED_LAYOUTS.items():
+        row = F.array(*[cell(n) for n in names])
+        cells = F.when(F.col("fund_type") == t, row) if cells is None else cells.when(F.col("fund_type") == t, row)
+    return f.select("name", "symbol", "category", "fund_type", cells.alias("cells"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")

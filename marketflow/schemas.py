@@ -1,4 +1,8 @@
-"""Typed record models of the instrument feeds (C1 registry) and envelope schemas."""
+"""Typed record models of the instrument feeds (C1 registry) and envelope schemas.
+
+FIXED VALUES: field names and types must equal the original records' for C1 to
+accept the same rows; they are stated in the records' order.
+"""
 
 from __future__ import annotations
 

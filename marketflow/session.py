@@ -43,11 +43,16 @@ def get_spark(master: str | None = None, app_name: str = "marketflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there.  Only when nothing is set (local
-    tests) a folder under the system temp dir is chosen.
+    The cluster names a shared folder there.  Only when nothing is set and the
+    driver runs everything itself (local tests) a folder under the system temp
+    dir is chosen; a cluster without the setting is an error, since its nodes
+    would not see each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by all nodes of {master}")
         import tempfile
         d = os.path.join(tempfile.gettempdir(), "marketflow-checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -59,7 +64,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/marketflow/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/marketflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any file system Spark reads.  Errors other
+    than a missing path are raised."""
+    fs, hpath = _file_system(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file (and its folders), or replace it."""
+    fs, hpath = _file_system(spark, path)
+    fs.create(hpath, True).close()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables.  Call it after the last
+    result that reads them has been written."""
+    fs, hpath = _file_system(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketflow/"
+                                    f"{spark.sparkContext.applicationId}")
+    fs.delete(hpath, True)
 
 
 def materialize(df, name: str, partitions: int | None = 1):
@@ -108,8 +140,7 @@ def ship_package(spark: SparkSession) -> None:
     sc._marketflow_shipped = True
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-               max_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Settings that size partitions for a given input volume.
 
     Shuffle partitions start at input / target (AQE then coalesces small
@@ -117,7 +148,7 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024
     same target so a task's working set stays well inside executor memory.
     Pass the result as ``extra`` to ``get_spark`` or to ``spark-submit --conf``.
     """
-    n = max(1, min(max_partitions, -(-int(input_bytes) // int(target_partition_bytes))))
+    n = max(1, -(-int(input_bytes) // int(target_partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),

@@ -21,7 +21,7 @@ def trailing_prices(prices: DataFrame, symbols: DataFrame | None = None, key: st
         df = df.join(symbols.select(key), key, "left_semi")
     if period is None:
         return df
-    ref = F.lit(as_of) if as_of is not None else prices.select(F.max(ts)).scalar()
+    ref = F.lit(as_of).cast(prices.schema[ts].dataType) if as_of is not None else prices.select(F.max(ts)).scalar()
     return df.filter(F.col(ts) > ref - F.expr(f"INTERVAL {period}"))
 
 

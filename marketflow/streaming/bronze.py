@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
 from marketflow.operators.quality import keep_new
+from marketflow.session import path_exists
 from marketflow.sources.envelope import decode_envelope, read_envelope_stream
 
 
@@ -61,11 +61,15 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.format(fmt).load(sink_path).filter(F.col("_batch_id") < batch_id)
-            new = keep_new(batch, stored.select(*keys, "_content_hash"), keys, content, keep_hash=True)
-        except AnalysisException:  # nothing written yet
-            new = keep_new(batch, batch.limit(0), keys, content, keep_hash=True)
+        if path_exists(spark, sink_path):
+            stored = spark.read.format(fmt).load(sink_path)
+            missing = [c for c in (*keys, "_content_hash", "_batch_id") if c not in stored.columns]
+            if missing:
+                raise ValueError(f"the sink {sink_path} has no column {missing}; it wasn't written by keep_new_stream")
+            stored = stored.filter(F.col("_batch_id") < batch_id).select(*keys, "_content_hash")
+        else:                      # the first batch
+            stored = batch.limit(0)
+        new = keep_new(batch, stored, keys, content, keep_hash=True)
         (new.withColumn("_batch_id", F.lit(batch_id).cast("long"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("_batch_id").format(fmt).save(sink_path))

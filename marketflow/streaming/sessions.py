@@ -16,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketflow.operators import sessions as S
+from marketflow.session import path_exists, touch
 
-OUTPUT_SCHEMA = ("conv_id long, event_id long, intent string, introduction_state boolean, "
-                 "profiling_state boolean, preferences_state boolean, route string")
-STATE_SCHEMA = "introduction boolean, profiling boolean, preferences boolean"
+OUTPUT_SCHEMA = ("{key} long, event_id long, intent string, introduction_state boolean, "
+                 "profiling_state boolean, preferences_state boolean, route string, late boolean")
+STATE_SCHEMA = "introduction boolean, profiling boolean, preferences boolean, last_ts long, last_event long"
 
 
 def apply_intent(state: tuple[bool, bool, bool], intent: str) -> tuple[tuple[bool, bool, bool], str | None]:
@@ -42,7 +42,7 @@ def apply_intent(state: tuple[bool, bool, bool], intent: str) -> tuple[tuple[boo
         return (intro, prof, True), S.ROUTE_PREFERENCES
     if intent == S.RESET:
         return (intro, prof, False), S.ROUTE_RESET
-    return (intro, prof, pref), None
+    return (intro, prof, pref), None if prof or intent is None else S.ROUTE_FALLBACK
 
 
 def apply_events(state: tuple[bool, bool, bool], intents) -> tuple[tuple[bool, bool, bool], dict]:
@@ -64,9 +64,10 @@ def apply_events(state: tuple[bool, bool, bool], intents) -> tuple[tuple[bool, b
     prof_before = np.concatenate([[prof0], prof[:-1]]) if len(it) else prof
     pref = (pd.Series(np.where(pref_on, 1.0, np.where(reset, 0.0, np.nan))).ffill()
               .fillna(1.0 if pref0 else 0.0).to_numpy() == 1.0)
-    route = np.select([init, goal & prof_before, goal, pref_on, reset],
+    other = it.notna().to_numpy() & ~prof_before.astype(bool)
+    route = np.select([init, goal & prof_before, goal, pref_on, reset, other],
                       [S.ROUTE_INITIALIZE, S.ROUTE_FALLBACK, S.ROUTE_CHECK_SMART, S.ROUTE_PREFERENCES,
-                       S.ROUTE_RESET], default=None).astype(object)
+                       S.ROUTE_RESET, S.ROUTE_FALLBACK], default=None).astype(object)
     last = (bool(intro[-1]), bool(prof[-1]), bool(pref[-1])) if len(it) else (intro0, prof0, pref0)
     return last, {"introduction_state": intro, "profiling_state": prof, "preferences_state": pref,
                   "route": route}
@@ -76,35 +77,53 @@ def apply_events(state: tuple[bool, bool, bool], intents) -> tuple[tuple[bool, b
 _OUT_ROWS = 10_000
 
 
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # Spark groups a key's rows but does not order them, and hands them over
-    # in Arrow chunks: the key's events of this micro-batch are sorted
-    # together before the flags run.  Their number is bounded by the trigger
-    # size (maxFilesPerTrigger / maxBytesPerTrigger).
-    cur = tuple(bool(x) for x in state.get) if state.exists else (False, False, False)
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable",
-                                                          ignore_index=True)
-    cur, cols = apply_events(cur, pdf["intent"].to_numpy(object))
-    state.update(cur)
-    out = pd.DataFrame({"conv_id": key[0], "event_id": pdf["event_id"].to_numpy(), "intent": pdf["intent"],
-                        **cols})
-    for start in range(0, len(out), _OUT_ROWS):
-        yield out.iloc[start:start + _OUT_ROWS]
+def _steps(key_name: str):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Spark groups a key's rows but does not order them, and hands them over
+        # in Arrow chunks: the key's events of this micro-batch are sorted
+        # together before the flags run.  Their number is bounded by the trigger
+        # size (maxFilesPerTrigger / maxBytesPerTrigger).
+        held = state.get if state.exists else (False, False, False, None, None)
+        cur, last = tuple(bool(x) for x in held[:3]), held[3:]
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        pdf["_at"] = pdf["ts"].astype("int64")
+        pdf = pdf.sort_values(["_at", "event_id"], kind="stable", ignore_index=True)
+        late = np.zeros(len(pdf), bool)
+        if last[0] is not None:
+            late = ((pdf["_at"] < last[0]) | ((pdf["_at"] == last[0]) & (pdf["event_id"] < last[1]))).to_numpy()
+        on_time = pdf[~late]
+        after, cols = apply_events(cur, on_time["intent"].to_numpy(object))
+        if len(on_time):
+            last = (int(on_time["_at"].iloc[-1]), int(on_time["event_id"].iloc[-1]))
+        state.update((*after, *last))
+        names = ("introduction_state", "profiling_state", "preferences_state")
+        done = pd.DataFrame({"event_id": on_time["event_id"].to_numpy(), "intent": on_time["intent"].to_numpy(object),
+                             **cols, "late": False})
+        missed = pd.DataFrame({"event_id": pdf["event_id"][late].to_numpy(), "intent": pdf["intent"][late].to_numpy(object),
+                               **dict(zip(names, cur)), "route": None, "late": True})
+        for out in (missed, done):
+            out.insert(0, key_name, key[0])
+            for start in range(0, len(out), _OUT_ROWS):
+                yield out.iloc[start:start + _OUT_ROWS]
+    return step
 
 
 def session_state_stream(events: DataFrame, key: str = "conv_id") -> DataFrame:
-    """F10 on a stream of ``(conv_id, ts, event_id, intent)`` rows (append mode).
+    """F10 on a stream of ``(key, ts, event_id, intent)`` rows (append mode).
 
-    Events of one conversation must arrive in order across micro-batches
-    (within a batch they are sorted by ts, event_id).
+    Within a micro-batch events are sorted by (ts, event_id).  The state keeps
+    the last event of each conversation; an event that arrives in a later
+    micro-batch but lies before it comes out with ``late`` true, the flags of
+    that moment and no route, and changes nothing: replay those rows through
+    the batch operator.
     """
     from marketflow.session import ship_package
     ship_package(events.sparkSession)
     ev = events.select(key, "ts", "event_id", "intent")
-    return ev.groupBy(key).applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+    return ev.groupBy(key).applyInPandasWithState(_steps(key), OUTPUT_SCHEMA.format(key=key), STATE_SCHEMA, "append",
                                                   GroupStateTimeout.NoTimeout)
 
 
@@ -119,54 +138,112 @@ def _seed_events(prior: DataFrame, types: dict, key: str, order, intent: str) ->
         key, *[F.lit(None).cast(types[c]).alias(c) for c in order], intent, F.lit(False).alias("_real"))
 
 
-def _read_or_none(spark, path: str):
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:   # nothing stored yet
-        return None
+_FLAGS = ("introduction", "profiling", "preferences")
+
+
+def _stored(spark, state_path: str, base: int, upto: int) -> DataFrame | None:
+    """State rows of the snapshot before batch ``base`` and of the changes of
+    the batches ``base`` to ``upto - 1`` (an empty batch has none)."""
+    names = [f"changes/_batch_id={b}" for b in range(base, upto)]
+    names = [n for n in names if path_exists(spark, f"{state_path}/{n}")]
+    if base and path_exists(spark, f"{state_path}/full/_batch_id={base - 1}"):
+        names.append(f"full/_batch_id={base - 1}")
+    out = None
+    for n in names:
+        part = spark.read.parquet(f"{state_path}/{n}").withColumn("_batch_id", F.lit(int(n.split("=")[1])).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _newest(state: DataFrame, key: str) -> DataFrame:
+    cols = [c for c in state.columns if c not in (key, "_batch_id")]
+    return state.groupBy(key).agg(F.max_by(F.struct(*cols), "_batch_id").alias("s")).select(key, "s.*")
+
+
+def _prior_state(spark, state_path: str, batch_id: int, keys: DataFrame, key: str, compact_every: int) -> DataFrame | None:
+    """The state before ``batch_id`` of the conversations in ``keys``; ``None``
+    if no batch before it stored any."""
+    stored = _stored(spark, state_path, (batch_id // compact_every) * compact_every, batch_id)
+    return None if stored is None else _newest(stored.join(keys, key, "left_semi"), key)
+
+
+def _check_gap(spark, state_path: str, batch_id: int, compact_every: int) -> None:
+    """Fail when a batch before ``batch_id`` that its state depends on was not stored."""
+    base = (batch_id // compact_every) * compact_every
+    missing = [f"done/{b}" for b in range(base, batch_id) if not path_exists(spark, f"{state_path}/done/{b}")]
+    if base and not any(path_exists(spark, f"{state_path}/{m}") for m in (f"full/_batch_id={base - 1}", f"done/none-{base - 1}")):
+        missing.append(f"full/_batch_id={base - 1}")
+    if missing:
+        raise FileNotFoundError(f"{missing} missing below {state_path}; going on would reset conversations")
 
 
 def session_state_batches(events: DataFrame, sink_path: str, state_path: str, checkpoint: str,
                           key: str = "conv_id", order=("ts", "event_id"), intent: str = "intent",
                           available_now: bool = False, bucket_seconds=S.DEFAULT_BUCKET_SECONDS,
                           hot_rows: int = S.DEFAULT_HOT_ROWS,
-                          rows_per_bucket: int = S.DEFAULT_ROWS_PER_BUCKET) -> StreamingQuery:
+                          rows_per_bucket: int = S.DEFAULT_ROWS_PER_BUCKET,
+                          compact_every: int = 50) -> StreamingQuery:
     """F10 on a stream with every micro-batch run by the batch operator.
 
     No conversation is handled by one task: a micro-batch goes through
-    ``operators.sessions.session_state`` (time buckets for hot
-    conversations), seeded with the state each of its conversations had
-    after the previous batch.  The state is a table of one row per
-    conversation (three flags), stored per batch id under ``state_path``;
-    the rows go to ``sink_path`` per batch id.  Both are written with dynamic
-    partition overwrite, so a batch re-run after a failure replaces its own
-    output and reads the same previous state.
+    ``operators.sessions.session_state`` (buckets for hot conversations),
+    seeded with the state each of its conversations had after the previous
+    batch.  Below ``state_path``:
+
+    * ``changes/_batch_id=N``: flags and last event of the conversations that
+      batch N touched;
+    * ``full/_batch_id=N``: the state of all conversations, written every
+      ``compact_every`` batches, so a batch reads one snapshot and the changes
+      after it, and writes only what changed;
+    * ``done/N``: marks that batch N is stored.  A batch whose predecessor has
+      no mark fails instead of resetting conversations.
+
+    Output rows go to ``sink_path`` per batch id; a batch re-run after a
+    failure replaces its own output and reads the same previous state.  Rows
+    before their conversation's last stored event go to ``sink_path`` + "-late".
+    An empty batch stores nothing but its mark.
     """
     order = list(order)
 
+    def put(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").parquet(path)
+
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ev = batch.select(key, *order, intent).withColumn("_real", F.lit(True))
+        batch = batch.select(key, *order, intent).persist()
+        try:
+            _check_gap(spark, state_path, batch_id, compact_every)
+            if not batch.isEmpty():
+                run(spark, batch, batch_id)
+            if (batch_id + 1) % compact_every == 0:
+                stored = _stored(spark, state_path, batch_id + 1 - compact_every, batch_id + 1)
+                if stored is None:                # no conversation so far
+                    touch(spark, f"{state_path}/done/none-{batch_id}")
+                else:
+                    put(_newest(stored, key), f"{state_path}/full/_batch_id={batch_id}")
+            touch(spark, f"{state_path}/done/{batch_id}")
+        finally:
+            batch.unpersist()
+
+    def run(spark, batch: DataFrame, batch_id: int) -> None:
+        ev = batch.withColumn("_real", F.lit(True))
         types = {c: ev.schema[c].dataType for c in order}
-        prior = _read_or_none(spark, f"{state_path}/_batch_id={batch_id - 1}") if batch_id > 0 else None
+        prior = _prior_state(spark, state_path, batch_id, ev.select(key).distinct(), key, compact_every)
         if prior is not None:
-            seeds = _seed_events(prior.join(ev.select(key).distinct(), key, "left_semi"), types, key, order, intent)
-            ev = ev.unionByName(seeds)
+            last = prior.select(key, F.col("last").alias("_last"))
+            ev = ev.join(last, key, "left")
+            late = F.coalesce(F.struct(*order) < F.col("_last"), F.lit(False))
+            put(ev.filter(late).drop("_last", "_real"), f"{sink_path}-late/_batch_id={batch_id}")
+            ev = ev.filter(~late).drop("_last").unionByName(_seed_events(prior, types, key, order, intent))
         out = (S.session_state(ev, key, order, intent, bucket_seconds, hot_rows, rows_per_bucket)
                 .filter(F.col("_real")).drop("_real"))
-        (out.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_batch_id").parquet(sink_path))
+        put(out, f"{sink_path}/_batch_id={batch_id}")
         written = spark.read.parquet(f"{sink_path}/_batch_id={batch_id}")
-        changed = (S.final_state(written, key, order)
-                   .select(key, F.col("introduction_state").alias("introduction"),
-                           F.col("profiling_state").alias("profiling"),
-                           F.col("preferences_state").alias("preferences")))
-        snap = changed if prior is None else \
-            prior.join(changed.select(key), key, "left_anti").unionByName(changed)
-        (snap.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("_batch_id").parquet(state_path))
+        at = F.struct(*order)
+        flags = F.struct("introduction_state", "profiling_state", "preferences_state")
+        changed = written.groupBy(key).agg(F.max_by(flags, at).alias("s"), F.max(at).alias("last")).select(
+            key, *[F.col(f"s.{f}_state").alias(f) for f in _FLAGS], "last")
+        put(changed, f"{state_path}/changes/_batch_id={batch_id}")
 
     w = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:

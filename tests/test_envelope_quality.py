@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,5 +105,19 @@ def test_write_messages_files(spark, scratch):
     A.write_messages(packed, fmt="text", path=scratch + "/out", max_bytes=400)
     back = A.decode_envelope(spark.read.text(scratch + "/out"))
     assert back.filter("message_type = 'feed'").count() == packed.count()
-    with pytest.raises(ValueError):
-        A.write_messages(packed, fmt="text", path=scratch + "/out2", max_bytes=10)
+
+
+def test_oversized_records_are_returned_and_a_rerun_makes_the_same_envelopes(spark, scratch):
+    recs = spark.range(0, 500).select(F.lit("feed").alias("t"), (F.col("id") % 100).alias("id"),
+                                      F.when(F.col("id") == 7, F.repeat(F.lit('"'), 3000)).otherwise(F.lit('"q"')).alias("pad"))
+    packed = A.publish_feed(recs, "t", ["id", "pad"], max_bytes=2000)
+    again = A.publish_feed(recs.repartition(7), "t", ["id", "pad"], max_bytes=2000)
+    key = lambda df: sorted((r.message_type, r.chunk, r.value) for r in df.collect())
+    assert key(packed) == key(again)
+    rest = A.write_messages(packed, fmt="text", path=scratch + "/out", max_bytes=2000)
+    assert rest.count() == packed.filter("NOT fits").count() >= 1
+    sent = silver.unnest_bronze(A.decode_envelope(spark.read.text(scratch + "/out")), None,
+                                T.StructType([T.StructField("id", T.LongType()), T.StructField("pad", T.StringType())]))
+    held = silver.unnest_bronze(A.decode_envelope(rest), None, T.StructType([T.StructField("id", T.LongType())]))
+    assert sent.count() + held.count() == 500
+    assert packed.filter("fits").agg(F.max(F.octet_length("value"))).first()[0] <= 2000

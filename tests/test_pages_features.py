@@ -142,6 +142,49 @@ def test_log_run_versions(spark, scratch):
     assert rows[0].rmse == 1.0
 
 
+def test_log_run_fails_on_an_unreadable_registry(spark, scratch):
+    import os
+
+    import pytest
+    reg = scratch + "/registry"
+    os.makedirs(reg)
+    with open(reg + "/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        E.log_run(spark, reg, "BestModel", {}, 1.0, "models:/BestModel/1")
+
+
+def test_model_kinds_differ_and_every_parameter_takes_effect():
+    import pytest
+    from marketflow.operators.models import _estimator
+    a, b = (_estimator(k, "label", 1) for k in ("boosted_a", "boosted_b"))
+    assert a.getStepSize() != b.getStepSize() and a.getSubsamplingRate() != b.getSubsamplingRate()
+    f = _estimator("forest", "label", 1, {"n_estimators": 7, "max_depth": None, "min_samples_split": 9, "min_samples_leaf": 2})
+    assert (f.getNumTrees(), f.getMaxDepth(), f.getMinInstancesPerNode()) == (7, 30, 5)
+    v = _estimator("boosted_b", "label", 1, {"validation_col": "held", "validation_tol": 0.5})
+    assert v.getValidationIndicatorCol() == "held" and v.getValidationTol() == 0.5
+    with pytest.raises(ValueError):
+        _estimator("forest", "label", 1, {"max_depth": 31})
+
+
+def test_cell_text_as_displayed(spark):
+    from marketflow.functions.text import strip_tags
+    cases = {" a &amp;lt; <b>b</b>\n  c ": "a &lt; b c", "&#39;x&#x2019;&#8217;": "'x\u2019\u2019", "&#;&#zz; &copy;": "&#;&#zz; \u00a9",
+             "": "", "&quot;q&quot;&nbsp;": '"q"\u00a0', "&#128512;": "\U0001f600"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.s for r in df.select("t", strip_tags("t").alias("s")).collect()}
+    assert got == {**cases, None: None}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+    from types import SimpleNamespace
+    from marketflow.session import ensure_checkpoint_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="shared"):
+        ensure_checkpoint_dir(cluster)
+
+
 def test_fund_layouts_constants_and_conform(spark):
     from marketflow.operators import quality as C
     cells = ["Gold", "4.1%", "3.9%", "6.2", "1.5", "2.5", "0.45", "1200"]

@@ -107,29 +107,78 @@ def test_unnest_bronze_quarantines_error_objects(spark):
     assert silver.bronze_rejects(b, sch).count() == 2
 
 
-def test_precomputed_hot_widths(spark):
-    from marketflow.operators.series import hot_key_widths
+def test_record_rejects_keep_unparsed_fields_apart(spark):
+    from pyspark.sql import types as T
+    b = spark.createDataFrame([("t", '[{"k":"abc"},{"k":2},{"k":null},{},5,null]')], "message_type string, data string")
+    sch = T.StructType([T.StructField("k", T.LongType())])
+    assert sorted((r.k is None, r.k) for r in silver.unnest_bronze(b, "t", sch).collect()) == [(False, 2), (True, None), (True, None)]
+    got = sorted((r.record or "", r.failed_fields) for r in silver.record_rejects(b, "t", sch).collect())
+    assert got == [("", "*"), ("5", "*"), ('{"k":"abc"}', "k")]
+
+
+def test_hot_keys_found_beforehand(spark):
+    from marketflow.operators.series import hot_keys
     data = [("hot", d, float(d % 13 + 1)) for d in range(300)] + [("c", d, 1.0 + d) for d in range(5)]
     p = _prices(spark, data)
-    widths = hot_key_widths(p, "symbol", "ts", hot_rows=100, rows_per_bucket=40)
-    assert widths is not None and [r.symbol for r in widths.collect()] == ["hot"]
+    hot = hot_keys(p, "symbol", hot_rows=100)
+    assert [r.symbol for r in hot.collect()] == ["hot"]
     a = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=None).collect()))
-    b = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=widths).collect()))
+    b = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=hot, rows_per_bucket=40).collect()))
     assert a == b
-    assert hot_key_widths(p, "symbol", "ts", hot_rows=1000) is None
+    assert hot_keys(p, "symbol", hot_rows=1000) is None
 
 
 def test_hot_key_buckets_are_bounded(spark):
-    """One symbol holds a third of all rows: after bucketing no (symbol,
-    bucket) group is much larger than ``rows_per_bucket``, and the other
-    symbols keep a single bucket."""
-    from pyspark.sql import functions as F
-    from marketflow.operators.series import hot_key_widths, with_buckets
-    data = [("hot", d, 1.0) for d in range(3000)]
-    data += [(f"s{i}", d, 1.0) for i in range(200) for d in range(30)]
-    p = _prices(spark, data)
-    widths = hot_key_widths(p, "symbol", "ts", hot_rows=1000, rows_per_bucket=200)
-    sizes = with_buckets(p, "symbol", "ts", widths=widths).groupBy("symbol", "_bucket").count()
+    """One symbol holds a third of all rows, most of them in one second: no
+    (symbol, bucket) group is much larger than ``rows_per_bucket``, and the
+    other symbols keep a single bucket."""
+    from marketflow.operators.series import hot_keys, split_hot
+    data = [("hot", d, 0, 1.0) for d in range(300)] + [("hot", 100, i, 1.0) for i in range(1, 3000)]
+    data += [(f"s{i}", d, 0, 1.0) for i in range(200) for d in range(30)]
+    p = spark.createDataFrame(data, "symbol string, ts long, n long, adj_close double")
+    cut = split_hot(p, "symbol", ["ts", "n"], hot_keys(p, "symbol", 1000), rows_per_bucket=200)
+    sizes = cut.groupBy("symbol", "_bucket").count()
     hot = sizes.filter("symbol = 'hot'").agg(F.max("count").alias("mx"), F.count("*").alias("n")).collect()[0]
-    assert hot.mx <= 2 * 200 and hot.n >= 3000 // 400
+    assert hot.mx <= 2 * 200 and hot.n >= 3300 // 400
     assert sizes.filter("symbol != 'hot'").groupBy("symbol").count().filter("count > 1").count() == 0
+
+
+def _odd_prices(spark):
+    """NULL symbols, NULL times, NULL prices, ties and one dense second."""
+    rows = [("a", None if i % 9 == 0 else i // 3, i, None if i % 7 == 0 else float(i % 11 + 1)) for i in range(60)]
+    rows += [(None, None if i % 5 == 0 else i, i, float(i + 1)) for i in range(40)]
+    rows += [("burst", 5, i, float(i % 13 + 1)) for i in range(80)] + [("b", 1, 1, 2.0), ("n", None, 1, None)]
+    return spark.createDataFrame(rows, "symbol string, ts long, n long, adj_close double")
+
+
+def test_split_and_plain_plans_agree_on_odd_rows(spark):
+    p = _odd_prices(spark)
+    key = lambda rs: sorted((tuple(r) for r in rs), key=str)
+    forms = [{"bucket_seconds": None}, {"hot_rows": 1, "rows_per_bucket": 7}, {"hot_rows": 50, "rows_per_bucket": 9},
+             {"bucket_seconds": 4}]
+    for fill in (False, True):
+        got = [key(silver.daily_returns(p, tiebreak=("n",), fill=fill, **f).collect()) for f in forms]
+        assert len(got[0]) == p.count() and all(g == got[0] for g in got)
+    got = [key(silver.symbol_metrics(p, tiebreak=("n",), **f).collect()) for f in forms]
+    plain = [[round(v, 9) if isinstance(v, float) else v for v in r] for r in got[0]]
+    assert len(plain) == 5
+    for g in got[1:]:
+        assert [[round(v, 9) if isinstance(v, float) else v for v in r] for r in g] == plain
+
+
+def test_split_session_state_and_pages_agree_on_odd_rows(spark):
+    from marketflow.operators import sessions as S
+    from marketflow.operators.pages import until_empty_page
+    names = [S.INITIALIZE, S.GOAL_TEXT, S.GOAL_ACHIEVABLE, S.PREFERENCES, S.RESET, "smalltalk", None]
+    rows = [(None if i % 4 == 0 else i % 3, None if i % 10 == 0 else i // 5, i, names[i * 5 % 7]) for i in range(150)]
+    ev = spark.createDataFrame(rows, "conv_id long, ts long, event_id long, intent string")
+    key = lambda rs: sorted((tuple(r) for r in rs), key=str)
+    plain = key(S.session_state(ev, order=("ts", "event_id"), bucket_seconds=None).collect())
+    assert len(plain) == 150
+    assert key(S.session_state(ev, order=("ts", "event_id"), hot_rows=1, rows_per_bucket=6).collect()) == plain
+    assert key(S.session_state(ev, order=("ts", "event_id"), bucket_seconds=3).collect()) == plain
+    pages = spark.createDataFrame([(None if i % 5 == 0 else f"f{i % 2}", i, i > 60 and i % 13 == 0) for i in range(120)],
+                                  "feed string, page long, is_empty boolean")
+    plain = key(until_empty_page(pages, cap=30, bucket_seconds=None).collect())
+    assert any(r[0] is None for r in plain)
+    assert key(until_empty_page(pages, cap=30, hot_rows=1, rows_per_bucket=8).collect()) == plain

@@ -132,8 +132,78 @@ def test_session_batches_equals_batch_with_hot_keys_and_restart(spark, scratch):
                                   .select(*cols).collect()))
     assert len(got) == 160
     assert got == want
-    last = spark.read.parquet(state).filter("_batch_id = 3").count()
-    assert last == 4
+    assert spark.read.parquet(os.path.join(state, "changes", "_batch_id=3")).count() == 4
+
+
+def _session_run(spark, src, sink, state, ck, **options):
+    stream = (spark.readStream.schema("conv_id long, ts long, event_id long, intent string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    session_state_batches(stream, sink, state, ck, available_now=True, **options).awaitTermination()
+
+
+def _slice(spark, src, name, rows):
+    spark.createDataFrame(rows, "conv_id long, ts long, event_id long, intent string").coalesce(1).write.parquet(os.path.join(src, name))
+
+
+def test_session_batches_survive_an_empty_batch_and_compact(spark, scratch):
+    src, sink, state, ck = (os.path.join(scratch, d) for d in ("e-src", "e-out", "e-state", "e-ck"))
+    intents = [S.INITIALIZE, S.GOAL_ACHIEVABLE, S.GOAL_TEXT, S.PREFERENCES, "smalltalk"]
+    rows = [(c, t, t * 10 + c, intents[(t + c) % 5]) for t in range(12) for c in range(3)]
+    _slice(spark, src, "f0", [])
+    _session_run(spark, src, sink, state, ck, compact_every=2)
+    for k in range(4):
+        _slice(spark, src, f"f{k + 1}", rows[k * 9:(k + 1) * 9])
+        _session_run(spark, src, sink, state, ck, compact_every=2)
+        _slice(spark, src, f"g{k}", [])
+        _session_run(spark, src, sink, state, ck, compact_every=2)
+    cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
+    df = spark.createDataFrame(rows, "conv_id long, ts long, event_id long, intent string")
+    got = sorted((tuple(r) for r in spark.read.parquet(sink).select(*cols).collect()), key=str)
+    assert got == sorted((tuple(r) for r in S.session_state(df, order=("ts", "event_id")).select(*cols).collect()), key=str)
+
+
+def test_session_batches_fail_on_a_lost_snapshot(spark, scratch):
+    import pytest
+    src, sink, state, ck = (os.path.join(scratch, d) for d in ("l-src", "l-out", "l-state", "l-ck"))
+    _slice(spark, src, "f0", [(1, 1, 1, S.INITIALIZE)])
+    _session_run(spark, src, sink, state, ck)
+    os.rename(os.path.join(state, "done", "0"), os.path.join(scratch, "lost"))
+    _slice(spark, src, "f1", [(1, 2, 2, S.GOAL_TEXT)])
+    with pytest.raises(Exception, match="reset conversations"):
+        _session_run(spark, src, sink, state, ck)
+
+
+def test_late_events_change_nothing_and_are_kept_apart(spark, scratch):
+    src, sink, state, ck = (os.path.join(scratch, d) for d in ("a-src", "a-out", "a-state", "a-ck"))
+    _slice(spark, src, "f0", [(1, 5, 50, S.GOAL_ACHIEVABLE), (2, 5, 51, S.GOAL_TEXT)])
+    _session_run(spark, src, sink, state, ck)
+    _slice(spark, src, "f1", [(1, 3, 30, S.PREFERENCES), (1, 6, 60, S.GOAL_TEXT), (2, 6, 61, S.INITIALIZE)])
+    _session_run(spark, src, sink, state, ck)
+    got = {r.event_id: r for r in spark.read.parquet(sink).collect()}
+    assert set(got) == {50, 51, 60, 61} and got[60].route == S.ROUTE_FALLBACK and not got[60].preferences_state
+    assert [r.event_id for r in spark.read.parquet(sink + "-late").collect()] == [30]
+
+    stream = (spark.readStream.schema("conv_id long, ts long, event_id long, intent string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    q = (session_state_stream(stream).writeStream.format("memory").queryName("late_out").outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ck2")).start())
+    q.processAllAvailable()
+    q.stop()
+    rows = {r.event_id: r for r in spark.sql("SELECT * FROM late_out").collect()}
+    if rows[30].late:       # files of equal age may come in either order
+        assert rows[30].route is None and not rows[60].preferences_state
+    assert not rows[60].late and not rows[61].late
+
+
+def test_keep_new_stream_refuses_a_foreign_sink(spark, scratch):
+    import pytest
+    src, sink, ck = (os.path.join(scratch, d) for d in ("r-src", "r-sink", "r-ck"))
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    df.write.parquet(sink)
+    df.write.parquet(src)
+    stream = spark.readStream.schema("k long, v string").parquet(src)
+    with pytest.raises(Exception, match="_content_hash"):
+        keep_new_stream(stream, sink, ck, keys=["k"], available_now=True).awaitTermination()
 
 
 def test_apply_intent_table():
