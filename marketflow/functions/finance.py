@@ -59,12 +59,6 @@ def bracket_lookup_allocation(bracket: Column) -> Column:
     return F.when(bracket.isNotNull(), F.element_at(_allocation_table(), bracket))
 
 
-def allocation_map(risk) -> Column:
-    """``map<string,double>`` asset class -> weight; NULL when no bracket."""
-    arr = allocation_array(risk)
-    return F.map_from_entries(arr)
-
-
 def future_value(initial, monthly, annual_return, years) -> Column:
     """Future value of an initial amount plus monthly contributions.
 

@@ -63,3 +63,19 @@ def test_ship_package_and_materialize_use_the_checkpoint_folder(spark):
     t = materialize(spark.range(10).withColumnRenamed("id", "k"), "test-table")
     assert sorted(r.k for r in t.collect()) == list(range(10))
     assert t.inputFiles() and all(local in f for f in t.inputFiles())
+
+
+def test_scale_conf_follows_the_input():
+    from marketflow.session import scale_conf
+    assert scale_conf(1)["spark.sql.shuffle.partitions"] == "1"
+    assert scale_conf(100 * 2 ** 40)["spark.sql.shuffle.partitions"] == "409600"
+
+
+def test_path_exists_and_touch(spark, scratch):
+    from marketflow.session import _file_system, path_exists, touch
+    assert not path_exists(spark, scratch + "/a/b")
+    touch(spark, scratch + "/a/b")
+    assert path_exists(spark, scratch + "/a/b")
+    fs, p = _file_system(spark, scratch + "/a")
+    fs.delete(p, True)
+    assert not path_exists(spark, scratch + "/a")
