@@ -61,10 +61,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Scratch paths handed out by this process, oldest first.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/marketflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    SCRATCH.append(f"{base}/marketflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    return SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no result still to be computed reads."""
+    for path in paths:
+        fs, hpath = _file_system(spark, path)
+        fs.delete(hpath, True)
+        if path in SCRATCH:
+            SCRATCH.remove(path)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -79,3 +79,12 @@ def test_path_exists_and_touch(spark, scratch):
     fs, p = _file_system(spark, scratch + "/a")
     fs.delete(p, True)
     assert not path_exists(spark, scratch + "/a")
+
+
+def test_dropped_scratch_is_gone(spark):
+    from marketflow.session import SCRATCH, drop_scratch, materialize, path_exists
+    materialize(spark.range(3), "to-drop")
+    path = SCRATCH[-1]
+    assert "to-drop" in path and path_exists(spark, path)
+    drop_scratch(spark, [path])
+    assert path not in SCRATCH and not path_exists(spark, path)
