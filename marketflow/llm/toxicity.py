@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketflow.llm.common import let
 from marketflow.session import materialize, ship_package
 
 SAMPLE_ROWS = 20_000
@@ -212,13 +213,14 @@ def learn_lexicon(sample: DataFrame, limit: int = MAX_LEARNED) -> Lexicon:
         return Lexicon(words, {})
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
 
-    def cut(n: int) -> Column:        # whole words (0) or their first n characters
-        return F.transform(tokens, lambda w: F.struct(F.lit(n).alias("n"), (F.substring(w, 1, n) if n else w).alias("u")))
-    units = F.array_distinct(F.concat(*[cut(n) for n in (0, *STEMS)]))
+    def cut(words: Column, n: int) -> Column:        # whole words (0) or their first n characters, as "n:text"
+        return F.transform(words, lambda w: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n) if n else w))
+    # distinct strings go through a hash set, distinct structs would be compared pairwise
+    units = let(tokens, lambda t: F.array_distinct(F.concat(*[cut(t, n) for n in (0, *STEMS)])))
     floor = max(MIN_TEXTS, MIN_SHARE * toxic)
-    counts = (sample.select("toxic", F.explode(units).alias("x")).filter(
-                  (F.length("x.u") >= F.greatest(F.col("x.n"), F.lit(3))))
-              .groupBy("x.n", "x.u").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = (sample.select("toxic", F.explode(units).alias("x")).groupBy("x").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+              .select(F.substring("x", 1, 1).cast("int").alias("n"), F.expr("substring(x, 3)").alias("u"), "t", "c")
+              .filter(F.length("u") >= F.greatest(F.col("n"), F.lit(3)))
               .filter((F.col("t") >= floor) & (F.col("t") / toxic >= MIN_TOXIC / (1 - MIN_TOXIC) * F.col("c") / clean)))
     n, base = F.col("t") + F.col("c"), toxic / (toxic + clean)
     evidence = 2 * (F.col("t") * F.log(F.col("t") / (n * base))
@@ -259,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Toxicit
     data = sample.select(F.col("toxic").cast("double").alias("label"), clause_features(F.col("text"), lexicon).alias("f"))
     data = data.select("label", *[c.alias(n) for n, c in zip(names, _features(F.col("f")))])
     data = VectorAssembler(inputCols=names, outputCol="features").transform(data)
-    model = LogisticRegression(regParam=1e-3, maxIter=50).fit(materialize(data, "toxicity-features", partitions=None))
+    model = LogisticRegression(regParam=1e-3, maxIter=50).fit(materialize(data, "toxicity-features"))   # at most `bound` rows
     return ToxicityModel(lexicon, tuple(float(x) for x in model.coefficients), float(model.intercept))
 
 
