@@ -4,10 +4,14 @@ Each line descends a tree of fixed depth: its token count, then its first
 ``DEPTH`` tokens (a token with a digit counts as variable).  A leaf collects
 lines of one shape.  In a leaf reached from at least ``min_docs`` different
 texts, a token is constant at its position if it stands there at least
-``min_docs`` times, else variable; a line with its variable tokens replaced by
-``<*>`` is its template.  Templates that recur in at least ``min_docs`` lines of
-different texts and are constant in at least ``CONSTANT`` of their tokens are
-boilerplate, and their lines are dropped from every document.
+``min_docs`` * 2**j times, else variable; a line with its variable tokens
+replaced by ``<*>`` is its template of level j.  All levels are asked, so a
+template is found whatever its own and its leaf's size: at some level its
+constants stay and its variables go if no value of them stands in over half of
+its lines (a commoner value may stay and makes a template of its own).
+Templates that recur in at least ``min_docs`` lines of different texts and are
+constant in at least ``CONSTANT`` of their tokens are boilerplate, and their
+lines are dropped from every document.
 
 The tree is a pair of aggregations, not a structure in memory: leaves are
 counted over all lines (as hashes); only lines of frequent leaves are then
@@ -92,13 +96,21 @@ def recurring_lines(docs: DataFrame, carry: list[str] | None = None, min_docs: i
     shapes = materialize(lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(texts, ["leaf", "line"]),
                          "line-shapes", partitions=None)
     tokens = shapes.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token"))
-    common = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("times")).filter(F.col("times") >= min_docs).drop("times")
+    doubled = F.floor(F.log2(F.col("times") / min_docs)).cast("int")
+    common = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("times")).filter(F.col("times") >= min_docs).select(
+        "leaf", "pos", "token", doubled.alias("level"))
     fixed = tokens.join(common, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
-    shaped = shapes.select("leaf", "line", "n", F.size("tokens").alias("length")).join(fixed, ["leaf", "line"]).filter(
-        F.size("fixed") >= constant * F.col("length"))
+        F.sort_array(F.collect_list(F.struct("pos", "token", "level"))).alias("fixed"))
+    # a line has a template for each level of its tokens; at the levels between it is the next one's
+    levels = F.array_distinct(F.transform("fixed", lambda x: x["level"]))
+    shaped = (shapes.select("leaf", "line", "n", F.size("tokens").alias("length")).join(fixed, ["leaf", "line"])
+              .filter(F.size("fixed") >= constant * F.col("length"))
+              .select("leaf", "line", "n", "length", "fixed", F.explode(levels).alias("least"))
+              .select("leaf", "line", "n", "length", F.filter("fixed", lambda x: x["level"] >= F.col("least")).alias("fixed"))
+              .filter(F.size("fixed") >= constant * F.col("length"))
+              .select("leaf", "line", "n", F.transform("fixed", lambda x: F.struct(x["pos"], x["token"])).alias("fixed")))
     frequent = shaped.groupBy("leaf", "fixed").agg(F.sum("n").alias("times")).filter(F.col("times") >= min_docs).drop("times")
-    bad = materialize(shaped.join(frequent, ["leaf", "fixed"]).select("leaf", "line"), "line-templates", partitions=None)
+    bad = materialize(shaped.join(frequent, ["leaf", "fixed"]).select("leaf", "line").distinct(), "line-templates", partitions=None)
     dropped = lines.select(RID, "no", "leaf", "line").join(bad, ["leaf", "line"]).groupBy(RID).agg(
         F.sort_array(F.collect_list("no")).alias("dropped"))
     return rows.select(ROW, RID, "n_lines").join(dropped, RID, "left").withColumn(

@@ -179,6 +179,15 @@ def test_templates_generalise_variable_fields(spark):
     assert all(r.dropped == [0] for r in got)
 
 
+@pytest.mark.parametrize("n", [30, 2000, 20_000])
+def test_templates_are_found_at_any_size(spark, n):
+    r = random.Random(n)
+    texts = [f"Page {r.randrange(100)} of 100 printed by user{r.randrange(200)} today\nbody{i} a{i} b{i} c{i}" for i in range(n)]
+    texts += [f"Page {i} of 100 sold by nobody{i} ever\nx{i} y{i} z{i}" for i in range(25)]       # a small template in the same leaf
+    got = lines.recurring_lines(frame(spark, texts)).groupBy("dropped").count().collect()
+    assert [(x.dropped, x["count"]) for x in got] == [([0], len(texts))]
+
+
 # ------------------------------------------------------------------ passages --
 
 def test_fenwick_prefix_maximum():
