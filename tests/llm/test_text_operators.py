@@ -253,6 +253,42 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert passages.repeated_passages(empty(df)).count() == 0
 
 
+def test_exact_passage_beside_a_shared_phrase_is_kept(spark):
+    r = random.Random(12)
+    words = [f"q{i}" for i in range(5000)]
+
+    def noise(n):
+        return [r.choice(words) for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        phrase, passage = noise(16), noise(50)
+        for _ in range(2):
+            texts.append(" ".join([*noise(40), *passage, *noise(20), *phrase, *noise(40)]))
+    got = collections.defaultdict(list)
+    for x in passages.repeated_passages(frame(spark, texts)).collect():
+        got[min(x.doc_id, x.other_id), max(x.doc_id, x.other_id)].append(x)
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(20)}
+    assert all(any(x.start <= 40 and x.end >= 90 and x.similarity >= 0.8 for x in v) for v in got.values())
+
+
+def test_segments_are_the_longest_good_parts():
+    r = random.Random(13)
+    for _ in range(200):
+        steps, a, b = [], 0, 0
+        for i in range(r.randrange(1, 12)):
+            n, m = (r.randrange(1, 60),) * 2 if i % 2 == 0 else (r.randrange(0, 30), r.randrange(0, 30))
+            steps.append((a, a + n, b, b + m, n if i % 2 == 0 else r.randrange(0, min(n, m) + 1)))
+            a, b = a + n, b + m
+        good = []
+        for i in range(len(steps)):
+            for j in range(i, len(steps)):
+                x, y, same = steps[j][1] - steps[i][0], steps[j][3] - steps[i][2], sum(s[4] for s in steps[i:j + 1])
+                if min(x, y) >= 50 and same >= 0.8 * max(x, y):
+                    good.append((i, j))
+        best = [(i, j) for i, j in good if not any((k, m) != (i, j) and k <= i and j <= m for k, m in good)]
+        assert [(s[0], s[1]) for s in passages.segments(steps)] == [(steps[i][0], steps[j][1]) for i, j in best]
+
+
 # ------------------------------------------------------------------ licenses --
 
 def test_license_scan_matches_brute_force(spark):
