@@ -271,6 +271,24 @@ def test_exact_passage_beside_a_shared_phrase_is_kept(spark):
     assert all(any(x.start <= 40 and x.end >= 90 and x.similarity >= 0.8 for x in v) for v in got.values())
 
 
+def test_passages_with_evenly_changed_words_are_found(spark):
+    r = random.Random(14)
+    words = [f"q{i}" for i in range(5000)]
+
+    def noise(n):
+        return [r.choice(words) for _ in range(n)]
+    texts, pairs = [], [(step, n) for step in (5, 6, 7, 8, 10, 20) for n in (55, 60, 100) for _ in range(6)]
+    for step, n in pairs:
+        passage = noise(n)
+        changed = [f"x{i}" if i % step == step - 1 else w for i, w in enumerate(passage)]
+        texts += [" ".join([*noise(30), *p, *noise(30)]) for p in (passage, changed)]
+    got = {}
+    for x in passages.repeated_passages(frame(spark, texts)).collect():
+        got.setdefault((min(x.doc_id, x.other_id), max(x.doc_id, x.other_id)), x)
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+    assert all(x.start >= 27 and x.similarity >= 0.8 for x in got.values())
+
+
 def test_segments_are_the_longest_good_parts():
     r = random.Random(13)
     for _ in range(200):
