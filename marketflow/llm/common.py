@@ -12,7 +12,10 @@ Conventions
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +72,20 @@ def without_rids(rows: DataFrame, rids: DataFrame, name: str) -> DataFrame:
 def hash_bitmap(spark: SparkSession, table: DataFrame, column: str, min_bits: int = 16, max_bits: int = 27):
     """Test for membership of 64-bit hashes in ``table.column``, without false
     negatives: a bitmap over the hashes' top bits, at most 2**max_bits of them
-    (16 MB) whatever the table's size, gathered as or-ed words and broadcast."""
+    (16 MB) whatever the table's size, gathered in packed pieces of 16 KB and broadcast."""
     bits = min(max(int(table.count() * 32).bit_length(), min_bits), max_bits)
     slot = F.shiftrightunsigned(column, 64 - bits)
     found = (table.groupBy(F.shiftright(slot, 5).alias("word"))
              .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 31 as int))")).alias("set")))
-    got = found.toPandas()                              # at most 2**(max_bits - 5) rows
-    words = np.zeros(1 << (bits - 5), np.uint32)
-    words[got["word"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).astype(np.uint32)
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << 12, np.uint32)
+        held[part["word"].to_numpy(np.int64) & 4095] = part["set"].to_numpy(np.int64).astype(np.uint32)
+        return pd.DataFrame({"chunk": [int(part["word"].iloc[0]) >> 12], "bits": [held.tobytes()]})
+
+    words = np.zeros(max(1 << (bits - 5), 1 << 12), np.uint32)
+    for row in found.groupBy(F.shiftright("word", 12)).applyInPandas(pack, "chunk bigint, bits binary").collect():
+        words[row["chunk"] << 12:(row["chunk"] + 1) << 12] = np.frombuffer(row["bits"], np.uint32)
     shared = spark.sparkContext.broadcast(words)
 
     def known(hashes: np.ndarray) -> np.ndarray:
@@ -85,6 +94,13 @@ def hash_bitmap(spark: SparkSession, table: DataFrame, column: str, min_bits: in
     return known
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans nobody holds any more; it does
+    so when the driver's garbage is collected, which may else come much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_rids(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """``rows`` whose ``RID`` is in ``listed`` (a stored table of row numbers)."""
     small = listed.count() <= BROADCAST_RIDS

@@ -289,6 +289,25 @@ def test_passages_with_evenly_changed_words_are_found(spark):
     assert all(x.start >= 27 and x.similarity >= 0.8 for x in got.values())
 
 
+@pytest.mark.parametrize("others", [1, 40])
+def test_a_passage_is_found_whatever_texts_hold_its_parts(spark, others):
+    r = random.Random(15)
+    words = [f"q{i}" for i in range(5000)]
+
+    def noise(n):
+        return [r.choice(words) for _ in range(n)]
+
+    def around(part):
+        return " ".join([*noise(40), *part, *noise(40)])
+    passage = noise(60)
+    # rows before and after the two texts hold one half each, so first and last texts of every seed are no partners
+    halves = [around(x) for _ in range(2 * others) for x in (passage[:30], passage[30:])]
+    texts = [*halves[:2 * others], around(passage), around(passage), *halves[2 * others:]]
+    got = passages.repeated_passages(frame(spark, texts)).collect()
+    assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((2 * others, 2 * others + 1))}
+    assert got[0].start <= 40 and got[0].end >= 100
+
+
 def test_segments_are_the_longest_good_parts():
     r = random.Random(13)
     for _ in range(200):
