@@ -129,3 +129,25 @@ def op10_license_scan(spark, sf_dir):
     got = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return got.select(F.col("__row.doc_id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"),
                       F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"))
+
+
+_DRAWS = ", ".join(f"('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+
+
+@register("op12_fill_in_middle", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, {_DRAWS} FROM documents),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p""")
+def op12_fill_in_middle(spark, sf_dir):
+    from marketflow.llm.fim import fill_in_middle, restored
+    got = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
