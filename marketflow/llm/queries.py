@@ -151,3 +151,12 @@ def op12_fill_in_middle(spark, sf_dir):
     return got.select(F.col("__row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
                       F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op11_quality_classifier")
+def op11_quality_classifier(spark, sf_dir):
+    from marketflow.llm.boosted import FOLDS, TEST_FOLD, classify
+    from marketflow.llm.toxicity import id_fold
+    got = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return got.select(F.col("__row.doc_id").alias("doc_id"),
+                      F.coalesce(id_fold(F.col("__row.doc_id"), FOLDS) == TEST_FOLD, F.lit(False)).alias("held_out"), "score", "predicted")
