@@ -160,3 +160,15 @@ def op11_quality_classifier(spark, sf_dir):
     got = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return got.select(F.col("__row.doc_id").alias("doc_id"),
                       F.coalesce(id_fold(F.col("__row.doc_id"), FOLDS) == TEST_FOLD, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op13_repaired_conversations")
+def op13_repaired_conversations(spark, sf_dir):
+    from marketflow.llm.turns import conversation_key, damage, digests, repair_conversations
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = repair_conversations(damage(turns))
+    got = (turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("key", conversation_key(F.col("conv_id")))
+           .join(repair.summary, "key", "left").join(digests(repair), "key", "left"))
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
