@@ -162,7 +162,49 @@ def op11_quality_classifier(spark, sf_dir):
                       F.coalesce(id_fold(F.col("__row.doc_id"), FOLDS) == TEST_FOLD, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@register("op13_repaired_conversations")
+_REPAIR_SQL = r"""
+WITH RECURSIVE
+k AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT *, xor(4294967295::BIGINT, list_reduce(
+          list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(key, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+          lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384::BIGINT))) % 20 AS f FROM k),
+damaged AS (SELECT id, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                   CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM crc, range(2) AS again(n) WHERE f <> 0 AND (n = 0 OR f = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), id) AS i,
+                  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM damaged),
+marked AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                          WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+                  left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+free(st, nxt, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+legal(st, letter, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+before(st, mid, c, e, line) AS (SELECT st, st, 0, '', '' FROM free UNION ALL SELECT st, nxt, 5, 'I', name || ':' || chr(10) FROM free),
+way(st, nxt, c, e, line, own, letter) AS (
+    SELECT p.st, p.mid, p.c + 2, p.e || 'D', p.line, NULL::VARCHAR, NULL::VARCHAR FROM before p
+    UNION ALL SELECT p.st, f.nxt, p.c + 1, p.e || 'R', p.line, f.name, NULL FROM before p JOIN free f ON f.st = p.mid
+    UNION ALL SELECT p.st, l.nxt, p.c, p.e || 'K', p.line, NULL, l.letter FROM before p JOIN legal l ON l.st = p.mid),
+dp(conv_id, i, st, best) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, 0, {'c': 0::BIGINT, 'a': '', 't': ''} FROM conversations
+    UNION ALL
+    SELECT d.conv_id, d.i + 1, w.nxt, min({'c': d.best.c + w.c + CASE WHEN r.fault = 'truncated' AND right(w.e, 1) <> 'D' THEN 5 ELSE 0 END,
+           'a': d.best.a || w.e, 't': d.best.t || w.line || CASE right(w.e, 1) WHEN 'D' THEN '' WHEN 'R' THEN w.own || ':' || r.text || chr(10)
+                                                            ELSE r.role || ':' || r.text || chr(10) END})
+    FROM dp d JOIN marked r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1
+    JOIN way w ON w.st = d.st AND (right(w.e, 1) = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (w.letter IS NULL OR w.letter = left(r.role, 1))
+    GROUP BY d.conv_id, d.i, w.nxt),
+closing(st, c, e, line) AS (VALUES (0, 0, '', ''), (1, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 5, 'I', 'assistant:' || chr(10)), (3, 0, '', '')),
+n AS (SELECT c.conv_id, count(m.i) AS n, coalesce(max(m.turn) - min(m.turn) + 1 - count(DISTINCT m.turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (m.fault = 'blank') AS blank, count(*) FILTER (m.fault = 'duplicate') AS duplicate,
+             count(*) FILTER (m.fault = 'truncated') AS truncated, count(*) FILTER (m.i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+last AS (SELECT n.conv_id, min({'c': best.c + z.c, 'a': best.a || z.e, 't': best.t || z.line}) AS best
+         FROM n JOIN dp ON dp.conv_id IS NOT DISTINCT FROM n.conv_id AND dp.i = n.n JOIN closing z ON z.st = dp.st GROUP BY n.conv_id)
+SELECT n.conv_id, gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(left(best.t, greatest(length(best.t) - 1, 0))) AS repaired_sha256
+FROM n JOIN last ON last.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
+@register("op13_repaired_conversations", _REPAIR_SQL)
 def op13_repaired_conversations(spark, sf_dir):
     from marketflow.llm.turns import conversation_key, damage, digests, repair_conversations
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
