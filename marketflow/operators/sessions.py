@@ -45,11 +45,43 @@ ROUTE_RESET = "reset_preferences"
 DEFAULT_BUCKET_SECONDS = "auto"
 
 
+def with_visits(events: DataFrame, key: str, order: Sequence[str], idle_seconds: float, bucket_seconds=DEFAULT_BUCKET_SECONDS,
+                hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """``events`` with ``_visit``: how many silences of more than
+    ``idle_seconds`` (of the first ``order`` column) lie before the event.
+
+    Hot conversations are cut into buckets: gaps and counts run within a bucket,
+    a table of one row per bucket carries the time before it and the count on."""
+    at = (F.unix_micros(F.col(order[0]).cast("timestamp"))).cast("long")
+    idle = int(idle_seconds * 1_000_000)
+    rows = plan_buckets(events, key, order, bucket_seconds, hot_rows, rows_per_bucket)
+    cut = rows is not None
+    rows = (rows if cut else events).withColumn("_at", at)
+    w = Window.partitionBy(key, *(["_bucket"] if cut else [])).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.coalesce(F.col("_at") - F.lag("_at").over(w) > idle, F.lit(False)).cast("long")
+    rows = rows.withColumn("_gap", gap).withColumn("_visit", F.sum("_gap").over(upto))
+    if not cut:
+        return rows.drop("_at", "_gap")
+    wb = Window.partitionBy(key).orderBy("_bucket")
+    carry = (rows.groupBy(key, "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.max("_visit").alias("_n"))
+             .withColumn("_jump", F.coalesce(F.col("_first") - F.lag("_last").over(wb) > idle, F.lit(False)).cast("long"))
+             .withColumn("_c_visit", F.sum(F.col("_jump") + F.col("_n")).over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
+             .select(key, "_bucket", "_c_visit"))
+    return (join_carry(rows, carry, key).withColumn("_visit", F.col("_visit") + F.col("_c_visit"))
+            .drop("_at", "_gap", "_bucket", "_c_visit"))
+
+
 def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str] = ("ts",),
                   intent: str = "intent", bucket_seconds=DEFAULT_BUCKET_SECONDS,
-                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                  hot_rows: int = DEFAULT_HOT_ROWS, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+                  idle_seconds: float | None = None) -> DataFrame:
     """flags after every event of each conversation, and the route taken.
 
+    With ``idle_seconds`` a conversation that was silent for longer (time of
+    the first ``order`` column; events without a time come first and don't
+    count as silence) starts anew.
+
     A flag set once stays set (running max); the preferences flag is the
     last explicit set/clear (``last(..., ignorenulls)``).
 
@@ -65,6 +97,10 @@ def session_state(events: DataFrame, key: str = "conv_id", order: Sequence[str]
     (conversation, bucket) - the partitioning the big side already has -
     combines both.  Both forms give the same rows.
     """
+    if idle_seconds is not None:
+        rows = with_visits(events, key, order, idle_seconds, bucket_seconds, hot_rows, rows_per_bucket)
+        rows = rows.withColumn("_visit_key", F.struct(F.col(key).alias("key"), F.col("_visit").alias("visit"))).drop("_visit")
+        return session_state(rows, "_visit_key", order, intent, bucket_seconds, hot_rows, rows_per_bucket).drop("_visit_key")
     i = F.col(intent)
     pref_set = F.when(i == PREFERENCES, F.lit(True)).when(i == RESET, F.lit(False))
     goal = (i == GOAL_ACHIEVABLE) | (i == GOAL_TEXT)

@@ -939,10 +939,10 @@ def q_c4st(spark, sf):
     return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
 
 
-def _sliced_session_events(spark, sf, name, run):
+def _sliced_session_events(spark, sf, name, run, change=lambda ev: ev):
     """Session events as three time slices of several files each; a slice
     arrives when the one before it has been processed (``run(stream)``)."""
-    ev = V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent")
+    ev = change(V.session_events(spark, sf).select("conv_id", "ts", "event_id", "intent"))
     src = scratch_path(spark, name)
     cuts = [F.lit(c).cast("timestamp_ntz") for c in ("2024-01-11", "2024-01-21")]
     ts = F.col("ts")
@@ -980,8 +980,74 @@ def q_f10b(spark, sf):
     return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
 
 
-# Every key is split here (more than two rows are hot), so the bucketed plans meet the plain oracles.
-_SPLIT = {"hot_rows": 2, "rows_per_bucket": 500}
+_SPLIT = {"hot_rows": 2, "rows_per_bucket": 500}      # every key is split, so the bucketed plans meet the plain oracles
+
+# Text keys, one conversation in eleven without a key: together they are the NULL conversation.
+_KEYED_SQL = O.with_(O.V_SESSION.replace("user_id AS conv_id", "CASE WHEN user_id % 11 <> 0 THEN 'c-' || user_id END AS conv_id"))
+
+
+def _keyed(ev):
+    return ev.withColumn("conv_id", F.when(F.col("conv_id") % 11 != 0, F.concat(F.lit("c-"), F.col("conv_id"))))
+
+
+_KEYED_ORACLE = ORACLE["f10_session_stream"].replace(O.with_(O.V_SESSION), _KEYED_SQL)
+
+
+@register("f10_session_stream_keys", _KEYED_ORACLE)
+def q_f10sk(spark, sf):
+    """The keyed stream with text keys and a NULL conversation of many events,
+    whose bursts are merged from pieces in the state store."""
+    sink, ck = (scratch_path(spark, n) for n in ("sessk", "sessk-ckpt"))
+
+    def run(stream):
+        with SB.state_store(spark):
+            return (SS.session_state_stream(stream, piece=500, fan=2).writeStream.format("parquet").outputMode("append")
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
+    _sliced_session_events(spark, sf, "sessk-src", run, _keyed)
+    return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
+
+
+@register("f10_session_batches_keys", _KEYED_ORACLE)
+def q_f10bk(spark, sf):
+    sink, state, ck = (scratch_path(spark, n) for n in ("sessbk", "sessbk-state", "sessbk-ckpt"))
+    _sliced_session_events(spark, sf, "sessbk-src", lambda stream: SS.session_state_batches(
+        stream, sink, state, ck, available_now=True, compact_every=2), _keyed)
+    return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
+
+
+_IDLE_DAYS = 2
+_IDLE_SQL = (O.with_(O.V_SESSION, f"""v_visit AS (
+  SELECT *, sum(gap) OVER (PARTITION BY conv_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visit
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY conv_id ORDER BY ts, event_id) > INTERVAL {_IDLE_DAYS} DAY THEN 1 ELSE 0 END AS gap
+        FROM v_session) g)""")
+             + ORACLE["f10_session_stream"][len(O.with_(O.V_SESSION)):].replace("FROM v_session", "FROM v_visit")
+             .replace("PARTITION BY conv_id", "PARTITION BY conv_id, visit"))
+
+
+@register("f10_session_idle", _IDLE_SQL)
+def q_f10i(spark, sf):
+    st = S.session_state(V.session_events(spark, sf), order=("ts", "event_id"), idle_seconds=_IDLE_DAYS * 86_400)
+    return st.select(*_SESSION_COLUMNS)
+
+
+@register("f10_session_idle_split", _IDLE_SQL)
+def q_f10is(spark, sf):
+    st = S.session_state(V.session_events(spark, sf), order=("ts", "event_id"), idle_seconds=_IDLE_DAYS * 86_400, **_SPLIT)
+    return st.select(*_SESSION_COLUMNS)
+
+
+@register("f10_session_stream_idle", _IDLE_SQL)
+def q_f10si(spark, sf):
+    """The keyed stream whose silent conversations are removed by event-time timers."""
+    sink, ck = (scratch_path(spark, n) for n in ("sessi", "sessi-ckpt"))
+
+    def run(stream):
+        stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+        with SB.state_store(spark):
+            return (SS.session_state_stream(stream, idle_seconds=_IDLE_DAYS * 86_400).writeStream.format("parquet").outputMode("append")
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start(sink))
+    _sliced_session_events(spark, sf, "sessi-src", run)
+    return spark.read.parquet(sink).select(*_SESSION_COLUMNS)
 
 
 @register("d9_daily_return_split", ORACLE["d9_daily_return"])

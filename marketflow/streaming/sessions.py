@@ -1,9 +1,13 @@
 """Chat session state as keyed streaming state (F10, stream form).
 
-``applyInPandasWithState`` keeps one small state row per conversation
-(three flags); each micro-batch's events of a conversation are sorted by
-time and applied with the same transition table as the batch operator
-(``marketflow.operators.sessions``), as running ORs and a forward fill.
+``session_state_stream`` runs a stateful processor (``transformWithState``):
+one typed state row per conversation holds its flags and last event.  A
+micro-batch's events of a conversation are sorted by time and applied with the
+same transition table as the batch operator (``marketflow.operators.sessions``).
+Events that fit one Arrow chunk are sorted in memory.  A longer burst is
+written to the state store as sorted runs of bounded pieces and merged from
+there, so memory per conversation is a few pieces however long the burst.
+Idle conversations expire by event-time timers or by a processing-time TTL.
 
 ``session_state_batches`` is the form without per-key Python: every
 micro-batch runs the batch operator (skew-safe time buckets), seeded with
@@ -12,23 +16,20 @@ the carried state table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DatetimeType, IntegralType
 
+from marketflow.functions.keys import key_text, key_value
 from marketflow.operators import sessions as S
 from marketflow.session import path_exists, touch
 
-OUTPUT_SCHEMA = ("{key} long, event_id long, intent string, introduction_state boolean, "
-                 "profiling_state boolean, preferences_state boolean, route string, late boolean")
-STATE_SCHEMA = "introduction boolean, profiling boolean, preferences boolean, last_ts long, last_event long"
-
-
 def apply_intent(state: tuple[bool, bool, bool], intent: str) -> tuple[tuple[bool, bool, bool], str | None]:
     """One transition: (introduction, profiling, preferences), intent -> new state, route."""
     intro, prof, pref = state
@@ -73,58 +74,172 @@ def apply_events(state: tuple[bool, bool, bool], intents) -> tuple[tuple[bool, b
                   "route": route}
 
 
-# Output rows per pandas frame handed back to Spark.
-_OUT_ROWS = 10_000
+FLAGS = ("introduction", "profiling", "preferences")
+_STATES = tuple(f"{f}_state" for f in FLAGS)
+_EVENT = ["at", "known", "eid"]              # order of a conversation's events
+
+
+class SessionProcessor(StatefulProcessor):
+    """Flags of one conversation, event after event.
 
+    ``eid``: type of the event ids (long or string).  ``piece``: rows of a
+    stored piece.  ``fan``: runs merged at once, so ``fan`` pieces are held.
+    ``idle``: microseconds after which a conversation starts anew.
+    """
 
-def _steps(key_name: str):
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Spark groups a key's rows but does not order them, and hands them over
-        # in Arrow chunks: the key's events of this micro-batch are sorted
-        # together before the flags run.  Their number is bounded by the trigger
-        # size (maxFilesPerTrigger / maxBytesPerTrigger).
-        held = state.get if state.exists else (False, False, False, None, None)
-        cur, last = tuple(bool(x) for x in held[:3]), held[3:]
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
+    def __init__(self, eid: str, piece: int, fan: int, idle: int | None = None, ttl_ms: int | None = None):
+        self.eid, self.piece, self.fan, self.idle, self.ttl_ms = eid, piece, fan, idle, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        flags = ", ".join(f"{f} boolean" for f in FLAGS)
+        self.handle = handle
+        self.state = handle.getValueState("session", f"{flags}, at long, known int, eid {self.eid}, timer long", self.ttl_ms)
+        self.runs = handle.getMapState("runs", "run int, piece int",
+                                       f"at array<long>, known array<int>, eid array<{self.eid}>, intent array<string>")
+
+    # -- sorted runs in the state store
+
+    def _put(self, run: int, number: int, frame: pd.DataFrame) -> None:
+        self.runs.updateValue((run, number), tuple(frame[c].tolist() for c in (*_EVENT, "intent")))
+
+    def _take(self, run: int, number: int) -> pd.DataFrame:
+        got = self.runs.getValue((run, number))
+        self.runs.removeKey((run, number))
+        return pd.DataFrame({c: list(v) for c, v in zip((*_EVENT, "intent"), got)}).astype({"intent": object})
+
+    def _store(self, run: int, blocks: Iterator[pd.DataFrame]) -> int:
+        """Write sorted blocks as a run; the number of its pieces."""
+        n = 0
+        for block in blocks:
+            for start in range(0, len(block), self.piece):
+                self._put(run, n, block.iloc[start:start + self.piece])
+                n += 1
+        return n
+
+    def _merged(self, runs: dict[int, int]) -> Iterator[pd.DataFrame]:
+        """Blocks of the runs' rows in order; one piece of each run is held.
+
+        All rows up to the least last row of the held pieces are complete."""
+        held = {r: (self._take(r, 0), 1) for r, n in runs.items() if n}
+        while held:
+            lasts = {r: tuple(frame[_EVENT].iloc[-1]) for r, (frame, _) in held.items()}
+            bound, ready = min(lasts.values()), []
+            for r, (frame, at) in list(held.items()):
+                n = len(frame) if lasts[r] == bound else int(np.count_nonzero([k <= bound for k in zip(*(frame[c] for c in _EVENT))]))
+                ready.append(frame.iloc[:n])
+                if n < len(frame):
+                    held[r] = (frame.iloc[n:], at)
+                elif at < runs[r]:
+                    held[r] = (self._take(r, at), at + 1)
+                else:
+                    del held[r]
+            yield pd.concat(ready, ignore_index=True).sort_values(_EVENT, kind="stable", ignore_index=True)
+
+    def _in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The micro-batch's rows of the conversation in order, in blocks."""
+        frames = (f.sort_values(_EVENT, kind="stable", ignore_index=True) for f in frames if len(f))
+        first, second = next(frames, None), next(frames, None)
+        if second is None:
+            if first is not None:
+                yield first
             return
-        pdf = pd.concat(frames, ignore_index=True)
-        pdf["_at"] = pdf["ts"].astype("int64")
-        pdf = pdf.sort_values(["_at", "event_id"], kind="stable", ignore_index=True)
-        late = np.zeros(len(pdf), bool)
-        if last[0] is not None:
-            late = ((pdf["_at"] < last[0]) | ((pdf["_at"] == last[0]) & (pdf["event_id"] < last[1]))).to_numpy()
-        on_time = pdf[~late]
-        after, cols = apply_events(cur, on_time["intent"].to_numpy(object))
-        if len(on_time):
-            last = (int(on_time["_at"].iloc[-1]), int(on_time["event_id"].iloc[-1]))
-        state.update((*after, *last))
-        names = ("introduction_state", "profiling_state", "preferences_state")
-        done = pd.DataFrame({"event_id": on_time["event_id"].to_numpy(), "intent": on_time["intent"].to_numpy(object),
-                             **cols, "late": False})
-        missed = pd.DataFrame({"event_id": pdf["event_id"][late].to_numpy(), "intent": pdf["intent"][late].to_numpy(object),
-                               **dict(zip(names, cur)), "route": None, "late": True})
-        for out in (missed, done):
-            out.insert(0, key_name, key[0])
-            for start in range(0, len(out), _OUT_ROWS):
-                yield out.iloc[start:start + _OUT_ROWS]
-    return step
-
-
-def session_state_stream(events: DataFrame, key: str = "conv_id") -> DataFrame:
+        runs: dict[int, int] = {}
+        for i, f in enumerate(itertools.chain([first, second], frames)):
+            runs[i] = self._store(i, iter([f]))
+        del first, second
+        while len(runs) > self.fan:
+            some = dict(itertools.islice(runs.items(), self.fan))
+            new = max(runs) + 1
+            runs = {r: n for r, n in runs.items() if r not in some} | {new: self._store(new, self._merged(some))}
+        yield from self._merged(runs)
+
+    # -- transitions
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        flags, last, timer = (tuple(held[:3]), tuple(held[3:6]), held[6]) if held else ((False,) * 3, None, None)
+        for block in self._in_order(rows):
+            places = list(zip(*(block[c] for c in _EVENT)))
+            n_late = 0 if last is None else int(np.count_nonzero([p < last for p in places]))   # they come first
+            if n_late:
+                yield self._rows(key, block.iloc[:n_late], {**dict(zip(_STATES, flags)), "route": None}, True)
+            block = block.iloc[n_late:]
+            if not len(block):
+                continue
+            at = block["at"].to_numpy()
+            cuts = [0, len(block)]
+            if self.idle is not None:
+                gaps = np.diff(at, prepend=at[:1] if last is None else last[0])
+                cuts = sorted({0, *np.flatnonzero(gaps > self.idle).tolist(), len(block)})
+                if gaps[0] > self.idle:
+                    flags = (False,) * 3
+            for start, stop in itertools.pairwise(cuts):
+                part = block.iloc[start:stop]
+                flags, cols = apply_events(flags if not start else (False,) * 3, part["intent"].to_numpy(object))
+                yield self._rows(key, part, cols, False)
+            last = tuple(x.item() if hasattr(x, "item") else x for x in places[-1])
+        if last is not None:
+            if self.idle is not None and (timer is None or timer <= last[0] // 1000 + self.idle // 1000):
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                timer = last[0] // 1000 + self.idle // 1000 + 1
+                self.handle.registerTimer(timer)
+            self.state.update((*flags, *last, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The conversation is over: an event after this would start anew anyway."""
+        self.state.clear()
+        yield from ()
+
+    def _rows(self, key, events: pd.DataFrame, cols: dict, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key_text": key[0], "eid": events["eid"].to_numpy(), "known": events["known"].to_numpy(),
+                             "intent": events["intent"].to_numpy(object), **cols, "late": late}, index=range(len(events)))
+
+    def close(self) -> None:
+        pass
+
+
+_LEAST = -(1 << 63)
+PIECE, FAN = 2_000, 16
+
+
+def session_state_stream(events: DataFrame, key: str = "conv_id", idle_seconds: float | None = None, ttl_seconds: float | None = None,
+                         piece: int = PIECE, fan: int = FAN) -> DataFrame:
     """F10 on a stream of ``(key, ts, event_id, intent)`` rows (append mode).
 
-    Within a micro-batch events are sorted by (ts, event_id).  The state keeps
-    the last event of each conversation; an event that arrives in a later
-    micro-batch but lies before it comes out with ``late`` true, the flags of
-    that moment and no route, and changes nothing: replay those rows through
-    the batch operator.
+    The key may be of any groupable type; the NULL conversation is one like
+    any other.  Within a micro-batch events are applied by (ts, event_id), NULLs
+    first.  The state keeps the last event of each conversation; an event that
+    arrives in a later micro-batch but lies before it comes out with ``late``
+    true, the flags of that moment and no route, and changes nothing: replay
+    those rows through the batch operator.
+
+    ``idle_seconds``: a conversation that is silent for longer starts anew with
+    its next event, as ``operators.sessions.session_state(idle_seconds=...)``
+    has it.  ``events`` then need a watermark on ``ts``: once it has passed the
+    end of the silence, a timer removes the state.  Rows older than the watermark
+    are Spark's late rows and don't reach the processor.
+    ``ttl_seconds``: state untouched for that long by the clock is removed.
     """
     from marketflow.session import ship_package
+    if idle_seconds is not None and ttl_seconds is not None:
+        raise ValueError("either event-time expiry (idle_seconds) or a processing-time TTL (ttl_seconds)")
     ship_package(events.sparkSession)
-    ev = events.select(key, "ts", "event_id", "intent")
-    return ev.groupBy(key).applyInPandasWithState(_steps(key), OUTPUT_SCHEMA.format(key=key), STATE_SCHEMA, "append",
-                                                  GroupStateTimeout.NoTimeout)
+    kind, id_kind, ts_kind = (events.schema[c].dataType for c in (key, "event_id", "ts"))
+    eid = "long" if isinstance(id_kind, IntegralType) else "string"
+    time = F.unix_micros(F.col("ts").cast("timestamp")) if isinstance(ts_kind, DatetimeType) else F.col("ts").cast("long")
+    if idle_seconds is not None and not isinstance(ts_kind, DatetimeType):
+        raise ValueError("idle_seconds needs a time column ts")
+    ev = events.select(key_text(F.col(key), kind).alias("key_text"), F.coalesce(time, F.lit(_LEAST)).alias("at"), F.col("event_id").isNotNull().cast("int").alias("known"),
+                       F.coalesce(F.col("event_id").cast(eid), F.lit(0 if eid == "long" else "").cast(eid)).alias("eid"), "intent",
+                       *(["ts"] if idle_seconds is not None else []))
+    processor = SessionProcessor(eid, piece, fan, None if idle_seconds is None else int(idle_seconds * 1_000_000),
+                                 None if ttl_seconds is None else int(ttl_seconds * 1_000))
+    out = ev.groupBy("key_text").transformWithStateInPandas(
+        processor, f"key_text string, eid {eid}, known int, intent string, {', '.join(f'{c} boolean' for c in _STATES)}, route string, late boolean",
+        "append", "eventTime" if idle_seconds is not None else "processingTime" if ttl_seconds is not None else "none")
+    return out.select(key_value(F.col("key_text"), kind).alias(key), F.when(F.col("known") == 1, F.col("eid")).cast(id_kind).alias("event_id"),
+                      "intent", *_STATES, "route", "late")
 
 
 def _seed_events(prior: DataFrame, types: dict, key: str, order, intent: str) -> DataFrame:
@@ -138,9 +253,6 @@ def _seed_events(prior: DataFrame, types: dict, key: str, order, intent: str) ->
         key, *[F.lit(None).cast(types[c]).alias(c) for c in order], intent, F.lit(False).alias("_real"))
 
 
-_FLAGS = ("introduction", "profiling", "preferences")
-
-
 def _stored(spark, state_path: str, base: int, upto: int) -> DataFrame | None:
     """State rows of the snapshot before batch ``base`` and of the changes of
     the batches ``base`` to ``upto - 1`` (an empty batch has none)."""
@@ -164,7 +276,7 @@ def _prior_state(spark, state_path: str, batch_id: int, keys: DataFrame, key: st
     """The state before ``batch_id`` of the conversations in ``keys``; ``None``
     if no batch before it stored any."""
     stored = _stored(spark, state_path, (batch_id // compact_every) * compact_every, batch_id)
-    return None if stored is None else _newest(stored.join(keys, key, "left_semi"), key)
+    return None if stored is None else _newest(stored.join(keys, stored[key].eqNullSafe(keys[key]), "left_semi"), key)
 
 
 def _check_gap(spark, state_path: str, batch_id: int, compact_every: int) -> None:
@@ -230,8 +342,8 @@ def session_state_batches(events: DataFrame, sink_path: str, state_path: str, ch
         types = {c: ev.schema[c].dataType for c in order}
         prior = _prior_state(spark, state_path, batch_id, ev.select(key).distinct(), key, compact_every)
         if prior is not None:
-            last = prior.select(key, F.col("last").alias("_last"))
-            ev = ev.join(last, key, "left")
+            last = prior.select(F.col(key).alias("_last_key"), F.col("last").alias("_last"))
+            ev = ev.join(last, ev[key].eqNullSafe(last["_last_key"]), "left").drop("_last_key")
             late = F.coalesce(F.struct(*order) < F.col("_last"), F.lit(False))
             put(ev.filter(late).drop("_last", "_real"), f"{sink_path}-late/_batch_id={batch_id}")
             ev = ev.filter(~late).drop("_last").unionByName(_seed_events(prior, types, key, order, intent))
@@ -242,7 +354,7 @@ def session_state_batches(events: DataFrame, sink_path: str, state_path: str, ch
         at = F.struct(*order)
         flags = F.struct("introduction_state", "profiling_state", "preferences_state")
         changed = written.groupBy(key).agg(F.max_by(flags, at).alias("s"), F.max(at).alias("last")).select(
-            key, *[F.col(f"s.{f}_state").alias(f) for f in _FLAGS], "last")
+            key, *[F.col(f"s.{f}_state").alias(f) for f in FLAGS], "last")
         put(changed, f"{state_path}/changes/_batch_id={batch_id}")
 
     w = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -1,11 +1,12 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketflow.operators import sessions as S
 from marketflow.sources.envelope import decode_envelope
-from marketflow.streaming.bronze import bronze_stream, keep_new_state_stream, keep_new_stream
+from marketflow.streaming.bronze import bronze_stream, keep_new_state_stream, keep_new_stream, state_store
 from marketflow.streaming.sessions import (apply_events, apply_intent, session_state_batches,
                                            session_state_stream)
 
@@ -84,6 +85,15 @@ def test_keep_new_state_exact_and_restarts(spark, scratch):
     assert spark.read.parquet(sink).count() == 27
 
 
+def _to_memory(spark, out, name, checkpoint):
+    with state_store(spark):          # typed state variables need RocksDB
+        q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).start()
+    q.processAllAvailable()
+    progress = q.recentProgress
+    q.stop()
+    return progress
+
+
 def test_session_stream_equals_batch(spark, scratch):
     src = os.path.join(scratch, "events")
     intents = ["initialize", "goal_text", "goal_achievable", "goal_achievable", "preferences_confirmed",
@@ -95,10 +105,7 @@ def test_session_stream_equals_batch(spark, scratch):
           .parquet(os.path.join(src, f"f{k}"))
     stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    q = (session_state_stream(stream).writeStream.format("memory").queryName("sess_out")
-         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ck")).start())
-    q.processAllAvailable()
-    q.stop()
+    _to_memory(spark, session_state_stream(stream), "sess_out", os.path.join(scratch, "ck"))
     cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
     got = sorted(map(tuple, spark.sql("SELECT * FROM sess_out").select(*cols).collect()))
     want = sorted(map(tuple, S.session_state(df, order=("ts", "event_id")).select(*cols).collect()))
@@ -185,10 +192,7 @@ def test_late_events_change_nothing_and_are_kept_apart(spark, scratch):
 
     stream = (spark.readStream.schema("conv_id long, ts long, event_id long, intent string").option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    q = (session_state_stream(stream).writeStream.format("memory").queryName("late_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ck2")).start())
-    q.processAllAvailable()
-    q.stop()
+    _to_memory(spark, session_state_stream(stream), "late_out", os.path.join(scratch, "ck2"))
     rows = {r.event_id: r for r in spark.sql("SELECT * FROM late_out").collect()}
     if rows[30].late:       # files of equal age may come in either order
         assert rows[30].route is None and not rows[60].preferences_state
@@ -255,10 +259,7 @@ def test_session_stream_hot_key_chunks_out_of_order(spark, scratch):
     try:
         stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
                   .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-        q = (session_state_stream(stream).writeStream.format("memory").queryName("sess_hot")
-             .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ck-hot")).start())
-        q.processAllAvailable()
-        q.stop()
+        _to_memory(spark, session_state_stream(stream), "sess_hot", os.path.join(scratch, "ck-hot"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
     cols = ["conv_id", "event_id", "introduction_state", "profiling_state", "preferences_state", "route"]
@@ -314,7 +315,7 @@ def test_keep_new_bounded_stream(spark, scratch):
 
 
 def test_state_store_restores_session_setting(spark):
-    from marketflow.streaming.bronze import ROCKSDB_PROVIDER, state_store
+    from marketflow.streaming.bronze import ROCKSDB_PROVIDER
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf, None)
     with state_store(spark):
@@ -322,3 +323,136 @@ def test_state_store_restores_session_setting(spark):
     assert spark.conf.get(conf, None) == before
     with state_store(spark, None):
         assert spark.conf.get(conf, None) == before
+
+
+def _events_in_files(spark, src, files, schema):
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
+    return (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+
+
+@pytest.mark.parametrize("kind, values", [("string", ["a", None, "", "=", "ü b"]), ("long", [1, None, -5]), ("binary", [b"\xff", None, b""]),
+                                          ("struct<a:int,b:string>", [(1, "x"), None, (None, None)])])
+def test_session_stream_takes_any_key(spark, scratch, kind, values):
+    schema = f"conv_id {kind}, ts long, event_id string, intent string"
+    intents = ["goal_text", "goal_achievable", "goal_text", "preferences_confirmed", "reset", None, "hello"]
+    rows = [(k, t // 2, None if t == 3 else f"e{t}", intents[(t + i) % 7]) for i, k in enumerate(values) for t in range(12)]
+    src, ck, name = os.path.join(scratch, "k"), os.path.join(scratch, "ck"), "keys_" + kind[:4]
+    for i, part in enumerate(([r for r in rows if r[1] < 3], [r for r in rows if r[1] >= 3])):
+        spark.createDataFrame(part, schema).write.parquet(os.path.join(src, f"f{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+        sink = os.path.join(scratch, "out")
+        with state_store(spark):
+            session_state_stream(stream).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(sink).awaitTermination()
+    cols = ["conv_id", "event_id", "intent", "introduction_state", "profiling_state", "preferences_state", "route"]
+    got = sorted((str(tuple(r)) for r in spark.read.parquet(sink).filter("NOT late").select(*cols).collect()))
+    want = sorted((str(tuple(r)) for r in S.session_state(spark.createDataFrame(rows, schema), order=("ts", "event_id")).select(*cols).collect()))
+    assert got == want
+
+
+@pytest.mark.parametrize("piece, fan", [(1, 2), (3, 2), (5, 16)])
+def test_a_long_burst_is_merged_from_bounded_pieces(spark, scratch, piece, fan):
+    import random
+    r = random.Random(piece)
+    names = [S.INITIALIZE, S.GOAL_ACHIEVABLE, S.GOAL_TEXT, S.PREFERENCES, S.RESET, "other", None]
+    rows = [(c, r.choice([None, *range(20)]), i, r.choice(names)) for c in (1, 2, None) for i in range(67)]
+    r.shuffle(rows)
+    schema = "conv_id long, ts long, event_id long, intent string"
+    stream = _events_in_files(spark, os.path.join(scratch, "b"), [rows], schema)
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        _to_memory(spark, session_state_stream(stream, piece=piece, fan=fan), f"burst_{piece}", os.path.join(scratch, "ck"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    cols = ["conv_id", "event_id", "intent", "introduction_state", "profiling_state", "preferences_state", "route"]
+    got = sorted(str(tuple(x)) for x in spark.sql(f"SELECT * FROM burst_{piece}").select(*cols).collect())
+    want = sorted(str(tuple(x)) for x in S.session_state(spark.createDataFrame(rows, schema), order=("ts", "event_id")).select(*cols).collect())
+    assert got == want
+
+
+def test_merge_holds_one_piece_of_each_run():
+    import numpy as np
+    import pandas as pd
+    from marketflow.streaming.sessions import SessionProcessor
+    p, stored, held = SessionProcessor("long", 4, 3), {}, [0]
+
+    class Runs:
+        def updateValue(self, k, v):
+            assert len(v[0]) <= 4
+            stored[k] = v
+
+        def getValue(self, k):
+            return stored[k]
+
+        def removeKey(self, k):
+            del stored[k]
+    p.runs = Runs()
+    r = np.random.default_rng(0)
+    frames = [pd.DataFrame({"at": r.integers(0, 9, 11), "known": r.integers(0, 2, 11), "eid": r.integers(0, 5, 11), "intent": "x"}) for _ in range(20)]
+    got = list(p._in_order(iter(frames)))
+    assert max(map(len, got)) <= 3 * 4 and not stored and held
+    want = pd.concat(frames).sort_values(["at", "known", "eid"], ignore_index=True)
+    assert pd.concat(got, ignore_index=True).equals(want)
+
+
+def _at(day):
+    import datetime
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+
+
+def test_silent_conversations_expire(spark, scratch):
+    schema = "conv_id string, ts timestamp, event_id long, intent string"
+    one = [("a", _at(0), 1, "goal_achievable"), ("b", _at(0), 2, "goal_achievable"), ("b", _at(0.5), 3, "goal_text")]
+    two = [("c", _at(9), 4, "initialize")]                              # time passes: a and b are over
+    three = [("b", _at(9), 5, "goal_text"), ("c", _at(9.5), 6, "goal_text"), ("c", _at(30), 7, "goal_text"), (None, _at(30), 8, "reset")]
+    src, ck, sink = (os.path.join(scratch, d) for d in ("src", "ck", "sink"))
+    left = []
+    for i, rows in enumerate((one, two, three)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+        out = session_state_stream(stream.withWatermark("ts", "1 hour"), idle_seconds=3 * 86_400)
+        with state_store(spark):
+            q = out.writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(sink)
+        q.awaitTermination()
+        held = spark.read.format("statestore").option("path", ck).option("stateVarName", "session").load()
+        left.append({r["key"].key_text for r in held.collect()})
+    cols = ["conv_id", "event_id", "profiling_state", "route"]
+    got = sorted((tuple(r) for r in spark.read.parquet(sink).select(*cols).collect()), key=lambda r: r[1])
+    df = spark.createDataFrame(one + two + three, schema)
+    want = sorted((tuple(r) for r in S.session_state(df, order=("ts", "event_id"), idle_seconds=3 * 86_400).select(*cols).collect()), key=lambda r: r[1])
+    assert got == want and dict((r[1], r[3]) for r in got)[5] == S.ROUTE_CHECK_SMART
+    assert left[0] == {"=a", "=b"} and "=a" not in left[2], left           # a is over and left the state store
+    split = S.session_state(df, order=("ts", "event_id"), idle_seconds=3 * 86_400, hot_rows=1, rows_per_bucket=1)
+    assert sorted((tuple(r) for r in split.select(*cols).collect()), key=lambda r: r[1]) == want
+
+
+def test_state_untouched_by_the_clock_expires(spark, scratch):
+    import time
+    schema = "conv_id string, ts long, event_id long, intent string"
+    src, ck, sink = (os.path.join(scratch, d) for d in ("src", "ck", "sink"))
+    for i in range(2):
+        spark.createDataFrame([("a", i, i, "goal_achievable")], schema).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+        with state_store(spark):
+            session_state_stream(stream, ttl_seconds=1).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True) \
+                .start(sink).awaitTermination()
+        time.sleep(1.5)
+    assert {r.event_id: r.route for r in spark.read.parquet(sink).collect()} == {0: S.ROUTE_CHECK_SMART, 1: S.ROUTE_CHECK_SMART}
+    with pytest.raises(ValueError):
+        session_state_stream(stream, ttl_seconds=1, idle_seconds=1)
+
+
+def test_session_batches_keep_the_null_and_text_conversations(spark, scratch):
+    schema = "conv_id string, ts long, event_id long, intent string"
+    src, sink, state, ck = (os.path.join(scratch, d) for d in ("src", "sink", "state", "ck"))
+    rows = []
+    for i, part in enumerate(([(None, 0, 0, "goal_achievable"), ("a", 0, 1, "goal_achievable")], [(None, 1, 2, "goal_text"), ("a", 1, 3, "goal_text"), ("b", 1, 4, "x")],
+                              [(None, 0, 5, "goal_text"), (None, 2, 6, "hello")])):
+        spark.createDataFrame(part, schema).write.parquet(os.path.join(src, f"f{i}"))
+        rows += part
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+        session_state_batches(stream, sink, state, ck, available_now=True, compact_every=2).awaitTermination()
+    got = {r.event_id: r.route for r in spark.read.parquet(sink).collect()}
+    assert got == {0: "check_smart", 1: "check_smart", 2: "fallback", 3: "fallback", 4: "fallback", 6: None}
+    assert [r.event_id for r in spark.read.parquet(sink + "-late").collect()] == [5]
