@@ -220,6 +220,8 @@ def session_state_stream(events: DataFrame, key: str = "conv_id", idle_seconds:
     end of the silence, a timer removes the state.  Rows older than the watermark
     are Spark's late rows and don't reach the processor.
     ``ttl_seconds``: state untouched for that long by the clock is removed.
+    Spark then looks at the clock batch after batch, with or without data, so
+    such a query runs until it is stopped (an ``availableNow`` trigger never ends).
     """
     from marketflow.session import ship_package
     if idle_seconds is not None and ttl_seconds is not None:

@@ -430,15 +430,21 @@ def test_silent_conversations_expire(spark, scratch):
 def test_state_untouched_by_the_clock_expires(spark, scratch):
     import time
     schema = "conv_id string, ts long, event_id long, intent string"
-    src, ck, sink = (os.path.join(scratch, d) for d in ("src", "ck", "sink"))
-    for i in range(2):
-        spark.createDataFrame([("a", i, i, "goal_achievable")], schema).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
-        with state_store(spark):
-            session_state_stream(stream, ttl_seconds=1).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True) \
-                .start(sink).awaitTermination()
-        time.sleep(1.5)
-    assert {r.event_id: r.route for r in spark.read.parquet(sink).collect()} == {0: S.ROUTE_CHECK_SMART, 1: S.ROUTE_CHECK_SMART}
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+    with state_store(spark):
+        q = session_state_stream(stream, ttl_seconds=1).writeStream.format("memory").queryName("ttl_out").option("checkpointLocation", os.path.join(scratch, "ck")).start()
+    try:
+        for i in range(2):
+            spark.createDataFrame([("a", i, i, "goal_achievable")], schema).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
+            until = time.time() + 40
+            while spark.table("ttl_out").count() <= i and time.time() < until and q.isActive:
+                time.sleep(0.5)
+            time.sleep(1.5)
+    finally:
+        q.stop()
+    assert {r.event_id: r.route for r in spark.table("ttl_out").collect()} == {0: S.ROUTE_CHECK_SMART, 1: S.ROUTE_CHECK_SMART}
     with pytest.raises(ValueError):
         session_state_stream(stream, ttl_seconds=1, idle_seconds=1)
 
