@@ -13,11 +13,11 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +120,126 @@ def tune(df: DataFrame, kind: str = "forest", label: str = "label", features: Se
     return m.bestModel, dict(trials[best]), float(m.avgMetrics[best])
 
 
+def _guided(kind: str, finished: Sequence[tuple[float, Mapping]], rng: random.Random) -> dict:
+    """A draw near one of the better half of the finished trials: numbers move
+    by up to a quarter of their range, choices change one time in three."""
+    better = sorted(finished, key=lambda t: t[0])[:max(1, len(finished) // 2)]
+    near = dict(rng.choice(better)[1])
+    for name, span in SEARCH_RANGES["forest" if kind == "forest" else "boosted"].items():
+        if isinstance(span, list):
+            near[name] = rng.choice(span) if rng.random() < 1 / 3 else near[name]
+        else:
+            moved = near[name] + rng.uniform(-0.25, 0.25) * (span[1] - span[0])
+            moved = min(max(moved, span[0]), span[1])
+            near[name] = round(moved) if isinstance(span[0], int) else moved
+    return near
+
+
+def halving(df: DataFrame, kind: str = "forest", label: str = "label", features: Sequence[str] = FEATURE_COLUMNS, n_trials: int = N_TRIALS,
+            folds: int = 3, first_trees: int = 2, eta: int = 4, parallelism: int = 4, seed: int = SPLIT_SEED) -> list[dict]:
+    """E9 by successive halving: the whole number of trials, few of them at full size.
+
+    Every trial is fitted with ``first_trees`` trees and measured by k-fold MSE
+    over all rows; the best ``1 / eta`` go on with ``eta`` times the trees, and so
+    on until one is left or its own number of trees is reached.  The second
+    half of the trials is drawn near the better ones of the first.  The rows
+    are cached once, features assembled, with their fold (a hash of the row, so a
+    re-run measures the same).  Returns one dict per trial and rung: ``rung``,
+    ``trees``, ``params``, ``mse``, ``n`` (rows); the last one is the best.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+    rng = random.Random(seed)
+    rows = df.dropna(subset=[*features, label])
+    fold = F.pmod(F.xxhash64(F.lit(seed), *features, label), F.lit(folds)).cast("int")
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.withColumn("_fold", fold)).select("features", label, "_fold")
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    out: list[dict] = []
+    try:
+        sizes = {r["_fold"]: r["count"] for r in data.groupBy("_fold").count().collect()}         # `folds` rows
+        total = sum(sizes.values())
+
+        def squares(job):
+            params, trees, k = job
+            model = _estimator(kind, label, seed, {**params, "n_estimators": trees}).fit(data.filter(F.col("_fold") != k))
+            return model.transform(data.filter(F.col("_fold") == k)).agg(F.sum(F.pow(F.col("prediction") - F.col(label), 2))).first()[0] or 0.0
+
+        def measure(rung: int, trees: int, trials: list[dict]) -> None:
+            trees_of = [min(trees, int(t["n_estimators"])) for t in trials]
+            jobs = [(t, n, k) for t, n in zip(trials, trees_of) for k in sorted(sizes)]
+            with ThreadPool(parallelism) as pool:
+                got = pool.map(inheritable_thread_target(data.sparkSession)(squares), jobs, chunksize=1)
+            for i, t in enumerate(trials):
+                mse = sum(got[i * len(sizes):(i + 1) * len(sizes)]) / total
+                out.append({"rung": rung, "trees": trees_of[i], "params": t, "mse": float(mse), "n": total})
+
+        if total and len(sizes) > 1:
+            free = random_trials(kind, -(-n_trials // 2), seed)
+            measure(0, first_trees, free)
+            measure(0, first_trees, [_guided(kind, [(o["mse"], o["params"]) for o in out], rng) for _ in range(n_trials - len(free))])
+            rung, trees, held = 0, first_trees, list(out)
+            while len(held) > 1:
+                held = sorted(held, key=lambda o: o["mse"])[:max(1, len(held) // eta)]
+                rung, trees, done = rung + 1, trees * eta, len(out)
+                if len(held) > 1 or trees <= max(int(o["params"]["n_estimators"]) for o in held):
+                    measure(rung, trees, [o["params"] for o in held])
+                    held = out[done:]
+            out.append(out.pop(out.index(min(held, key=lambda o: o["mse"]))))
+    finally:
+        data.unpersist()
+    return out
+
+
+def cut_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The first ``rounds`` trees of a boosted model as a model."""
+    sc = SparkContext._active_spark_context
+    trees, weights = model._call_java("trees"), model.treeWeights
+    kept = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    scale = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], scale[i] = trees[i], float(weights[i])
+    java = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, kept, scale, int(model.numFeatures))
+    cut = GBTRegressionModel(model._java_obj.copyValues(java, java.extractParamMap()))
+    return cut.setPredictionCol(model.getPredictionCol()).setFeaturesCol(model.getFeaturesCol())
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """How many rounds to keep: those up to the least error seen before
+    ``patience`` rounds in a row brought nothing better."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def train_with_patience(df: DataFrame, kind: str = "boosted_a", label: str = "label", features: Sequence[str] = FEATURE_COLUMNS,
+                        params: Mapping | None = None, patience: int = 10, validation: str | None = None,
+                        seed: int = SPLIT_SEED) -> tuple[PipelineModel, int, list[float]]:
+    """E8 for a boosted model that stops when ``patience`` rounds brought no
+    lower error on the validation rows (boolean column ``validation``; by
+    default a fifth of the rows by hash), and keeps the trees up to the best.
+
+    Returns (model, rounds kept, validation error after each round)."""
+    if kind == "forest":
+        raise ValueError("a forest has no rounds")
+    held = F.col(validation) if validation else F.pmod(F.xxhash64(*features, label), F.lit(5)) == 0
+    data = df.dropna(subset=[*features, label]).withColumn("_held", F.coalesce(held, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+        ready = asm.transform(data)
+        model = _estimator(kind, label, seed, params).fit(ready.filter("NOT _held"))
+        test = ready.filter("_held")
+        errors = [float(x) for x in model.evaluateEachIteration(test, "squared")] if not test.isEmpty() else []
+        rounds = best_round(errors, patience) if errors else model.getNumTrees
+        return PipelineModel([asm, cut_rounds(model, rounds)]), rounds, errors
+    finally:
+        data.unpersist()
+
+
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     pred = model.transform(df)
     drop = [c for c in ("features",) if c in pred.columns]

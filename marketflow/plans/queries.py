@@ -728,7 +728,7 @@ def q_b13(spark, sf):
 
 # ----------------------------------------------------- files & models -----
 
-from marketflow.constants import MODEL_GRID, SURVEY_RENAMES  # noqa: E402
+from marketflow.constants import N_TRIALS, SEARCH_RANGES, SURVEY_RENAMES  # noqa: E402
 from marketflow.operators import models as M  # noqa: E402
 from marketflow.session import materialize, scratch_path  # noqa: E402
 from marketflow.sources import files as FS  # noqa: E402
@@ -837,18 +837,27 @@ def q_e8(spark, sf):
                       F.lit(different).cast("long").alias("n_distinct_errors"))
 
 
-@register("e9_tune", "SELECT 'forest' AS model, CAST(2 AS BIGINT) AS n_trials, true AS is_trial, true AS below_mean_predictor")
+@register("e9_tune", _FEATURES_SQL + f"""
+SELECT m.model, r.rung, r.trees, r.n_trials, n.n, true AS in_search_range, true AS best_below_mean_predictor
+FROM (VALUES ('forest'), ('boosted_a'), ('boosted_b')) m(model),
+     (VALUES (0, 2, CAST({N_TRIALS} AS BIGINT)), (1, 8, CAST({N_TRIALS // 4} AS BIGINT)), (2, 32, CAST(1 AS BIGINT))) r(rung, trees, n_trials),
+     (SELECT count(*) AS n FROM v_features WHERE {_COMPLETE_ROW} AND NOT ({_IS_TEST})) n""")
 def q_e9(spark, sf):
-    f = _features_labelled(spark, sf)
-    tr, _te = E.split(f, "investor_id")
+    """All trials of the three kinds by successive halving; a fitted error has no
+    SQL counterpart, so the best is held against the mean predictor's."""
+    tr, _te = E.split(_features_labelled(spark, sf), "investor_id")
     tr = E.scale(tr, E.fit_scaler(tr))
-    # two points of the training config grid (forest: 50 / 100 trees, depth 10)
-    grid = [{"n_estimators": n, "max_depth": d} for n in MODEL_GRID["RandomForest"]["n_estimators"][:2]
-            for d in MODEL_GRID["RandomForest"]["max_depth"][1:2]]
-    _model, params, mse = M.tune(tr, "forest", trials=grid, folds=3)
     spread = tr.dropna().agg(F.var_pop("label")).first()[0]          # error of the mean predictor
-    return spark.createDataFrame([("forest", len(grid), params in grid, float(mse) < spread)],
-                                 "model string, n_trials long, is_trial boolean, below_mean_predictor boolean")
+    out = []
+    for kind in M.MODEL_KINDS:
+        runs = M.halving(tr, kind, parallelism=8)
+        ranges = SEARCH_RANGES["forest" if kind == "forest" else "boosted"]
+        for rung in sorted({r["rung"] for r in runs}):
+            mine = [r for r in runs if r["rung"] == rung]
+            fits = all(v in span if isinstance(span, list) else span[0] <= v <= span[1]
+                       for r in mine for name, span in ranges.items() for v in [r["params"][name]])
+            out.append((kind, rung, max(r["trees"] for r in mine), len(mine), mine[0]["n"], fits, runs[-1]["mse"] < spread))
+    return spark.createDataFrame(out, "model string, rung int, trees int, n_trials long, n long, in_search_range boolean, best_below_mean_predictor boolean")
 
 
 @register("e13_score", _FEATURES_SQL + f"""
