@@ -25,10 +25,10 @@ MAX_HOT_KEYS_BROADCAST = 200_000
 
 _TIME_TYPES = ("timestamp", "timestamp_ntz", "date")
 # Bucket of rows without an order value: before all others, as in the windows.
-_NULL_BUCKET = -(1 << 62)
+NULL_BUCKET = -(1 << 62)
 
 
-def _seconds(ts: str, df: DataFrame) -> Column:
+def seconds(ts: str, df: DataFrame) -> Column:
     """Order position as a number: seconds for time columns, the value itself
     for numeric order columns (page numbers, turns)."""
     if dict(df.dtypes).get(ts) not in _TIME_TYPES:
@@ -83,8 +83,8 @@ def plan_buckets(df: DataFrame, key: str, order: Sequence[str], bucket_seconds,
     if bucket_seconds == "auto":
         hot = hot_keys(df, key, hot_rows)
         return None if hot is None else split_hot(df, key, order, hot, rows_per_bucket)
-    b = F.floor(_seconds(order[0], df) / F.lit(float(bucket_seconds)))
-    return df.withColumn("_bucket", F.coalesce(b, F.lit(_NULL_BUCKET)))
+    b = F.floor(seconds(order[0], df) / F.lit(float(bucket_seconds)))
+    return df.withColumn("_bucket", F.coalesce(b, F.lit(NULL_BUCKET)))
 
 
 def join_carry(rows: DataFrame, carry: DataFrame, key: str) -> DataFrame:

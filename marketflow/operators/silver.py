@@ -1,7 +1,8 @@
 """Silver layer: fund cleaning, per-symbol price metrics, enrichment.
 
-All operators are lazy DataFrame -> DataFrame functions built from Spark SQL
-expressions; none collects to the driver.
+All operators are DataFrame -> DataFrame functions built from Spark SQL
+expressions; none collects to the driver.  All are lazy but ``daily_returns``,
+which counts the rows of each symbol when called.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketflow.functions.text import percent_to_number, scale_amount
-from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, join_carry, plan_buckets
+from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, NULL_BUCKET, join_carry, plan_buckets, seconds
 
 FUND_COLUMNS = ["adjusted_expense_ratio", "asset_under_management", "category", "fund_type", "name", "symbol"]
 METRIC_COLUMNS = ["total_return_pct", "std_dev", "sharpe_ratio"]
@@ -174,32 +175,68 @@ def daily_returns(prices: DataFrame, key: str = "symbol", ts: str = "ts", price:
     return out.withColumn("daily_return", F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0))
 
 
+# Width of the pieces that a symbol's series is cut into (seconds, or units of a numeric order column).
+DEFAULT_PIECE = 30 * 86_400.0
+
+
+def series_pieces(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close", tiebreak: Sequence[str] = (),
+                  piece: float = DEFAULT_PIECE) -> DataFrame:
+    """The mergeable summary of each piece of a symbol's series, one row per
+    (symbol, ``_piece``): ``first`` and ``last`` price in order, and ``n``,
+    ``mean`` and ``m2`` (sum of squared differences from the mean) of the
+    returns between its rows.
+
+    A piece is a fixed stretch of time, so a symbol of any size is spread over
+    as many tasks as it has pieces, without counting rows first.  Rows without a
+    time are a piece of their own, before all others."""
+    order = [ts, *tiebreak]
+    rows = prices.select(key, *order, price)
+    rows = rows.withColumn("_piece", F.coalesce(F.floor(seconds(ts, rows) / F.lit(float(piece))), F.lit(NULL_BUCKET)))
+    w = Window.partitionBy(key, "_piece").orderBy(*order)
+    rows = rows.withColumn("_ret", F.try_divide(F.col(price), F.lag(price).over(w)) - F.lit(1.0)) \
+               .withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    return rows.groupBy(key, "_piece").agg(
+        F.max(F.when(F.col("_first"), F.col(price))).alias("first"), F.max(F.when(F.col("_last"), F.col(price))).alias("last"),
+        F.count("_ret").alias("n"), F.coalesce(F.avg("_ret"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("_ret") * F.count("_ret"), F.lit(0.0)).alias("m2"))
+
+
+def merged_pieces(pieces: DataFrame, key: str = "symbol") -> DataFrame:
+    """Pieces of a symbol in order -> one summary: the return from each piece's
+    last price to the next one's first joins that piece, then counts, means and
+    squared differences are merged by Chan's formula around the common mean."""
+    w = Window.partitionBy(key)
+    step = F.try_divide(F.col("first"), F.lag("last").over(w.orderBy("_piece"))) - F.lit(1.0)
+    p = pieces.withColumn("_step", step)
+    n2 = F.col("n") + F.col("_step").isNotNull().cast("long")
+    delta = F.coalesce(F.col("_step") - F.col("mean"), F.lit(0.0))
+    p = p.select(key, "_piece", "first", "last", n2.alias("n"), (F.col("mean") + F.coalesce(F.try_divide(delta, n2), F.lit(0.0))).alias("mean"),
+                 (F.col("m2") + F.coalesce(F.try_divide(delta * delta * F.col("n"), n2), F.lit(0.0))).alias("m2"))
+    p = p.withColumn("_mean", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w)))
+    off = F.col("mean") - F.col("_mean")
+    return p.groupBy(key).agg(F.min_by("first", "_piece").alias("first"), F.max_by("last", "_piece").alias("last"), F.sum("n").alias("n"),
+                              F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
+
+
 def symbol_metrics(prices: DataFrame, key: str = "symbol", ts: str = "ts", price: str = "adj_close",
-                   tiebreak: Sequence[str] = (), risk_free: float = 0.0,
-                   bucket_seconds=DEFAULT_BUCKET_SECONDS, hot_rows: int = DEFAULT_HOT_ROWS,
-                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """D7-D13 in one aggregate over the daily returns of every symbol.
+                   tiebreak: Sequence[str] = (), risk_free: float = 0.0, piece: float = DEFAULT_PIECE) -> DataFrame:
+    """D7-D13 in one read of the prices.
 
     Columns: key, first_price, last_price, total_return_pct (D8),
     mean_return (D11), std_dev (D10, sample deviation), sharpe_ratio (D12,
     ``(mean - rf) / sd``, NULL when sd is 0 or undefined), n_returns.
-    First and last prices come from row flags, so the final aggregate only
-    holds fixed-width buffers (hash aggregate with map-side partials).
+
+    Each symbol's series is summarised piece by piece (``series_pieces``) and
+    the pieces are merged (``merged_pieces``), so the rows are shuffled once, by
+    (symbol, piece), and only one row per piece goes on by symbol.  Any
+    ``piece`` width gives the same metrics.
     """
-    order = [ts, *tiebreak]
-    r = _lagged(prices, key, order, price, bucket_seconds, hot_rows, rows_per_bucket)
-    ret = F.try_divide(F.col(price), F.col("prev_price")) - F.lit(1.0)
-    g = r.groupBy(key).agg(
-        F.max(F.when(F.col("_sym_first"), F.col(price))).alias("first_price"),
-        F.max(F.when(F.col("_sym_last"), F.col(price))).alias("last_price"),
-        F.avg(ret).alias("mean_return"),
-        F.stddev_samp(ret).alias("std_dev"),
-        F.count(ret).alias("n_returns"),
-    )
-    return (g.withColumn("total_return_pct", total_return("first_price", "last_price"))
-             .withColumn("sharpe_ratio",
-                         F.when(F.col("std_dev") != 0,
-                                F.try_divide(F.col("mean_return") - F.lit(float(risk_free)), F.col("std_dev")))))
+    g = merged_pieces(series_pieces(prices, key, ts, price, tiebreak, piece), key)
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return (g.select(key, F.col("first").alias("first_price"), F.col("last").alias("last_price"), F.col("mean").alias("mean_return"),
+                     sd.alias("std_dev"), F.col("n").alias("n_returns"))
+             .withColumn("total_return_pct", total_return("first_price", "last_price"))
+             .withColumn("sharpe_ratio", sharpe("mean_return", "std_dev", risk_free)))
 
 
 def sharpe(mean_return, std_dev, risk_free: float = 0.0) -> Column:

@@ -7,38 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from marketflow.operators import silver
-from marketflow.operators.series import DEFAULT_HOT_ROWS
 from marketflow.session import materialize
 from marketflow.sources.prices import trailing_prices
 
 
 def process_funds(raw_funds: DataFrame, prices: DataFrame, tiebreak: Sequence[str] = (),
                   period: str | None = "1 year", as_of=None, compat: bool = False,
-                  risk_free: float = 0.0, bucket_seconds=silver.DEFAULT_BUCKET_SECONDS,
-                  reference_names: bool = False) -> DataFrame:
+                  risk_free: float = 0.0, reference_names: bool = False) -> DataFrame:
     """Raw fund records -> cleaned funds enriched with price metrics.
 
     clean (D1-D5) -> symbols (D6) -> trailing prices of those symbols (A9) ->
     per-symbol metrics (D7-D13) -> left join (D14).  The symbol set restricts
-    the prices by a semi join.  The cleaned funds are written once and read
-    twice; the prices are read twice (newest time and hot symbols in one
-    aggregate, then the metrics).  The first two steps run when called.
+    the prices by a semi join.  The cleaned funds are written once, when
+    called, and read twice; the newest price time is a scalar subquery, for
+    which only the time column is read.
     """
-    from pyspark.sql import functions as F
-
     funds = materialize(silver.clean_funds(raw_funds, compat=compat), "clean-funds", partitions=None)
     symbols = silver.distinct_symbols(funds)
-    if isinstance(bucket_seconds, str) and bucket_seconds == "auto":
-        # one pass over the prices finds the newest time and the row counts of
-        # symbols (over all history, an upper bound of the trailing ones)
-        seen = materialize(prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_newest")),
-                           "price-counts", partitions=None)
-        if as_of is None and period is not None:
-            as_of = seen.agg(F.max("_newest")).first()[0]
-        hot = seen.filter(F.col("_n") > DEFAULT_HOT_ROWS).select("symbol", "_n")
-        bucket_seconds = None if hot.isEmpty() else hot
     hist = trailing_prices(prices, symbols, period=period, as_of=as_of)
-    metrics = silver.symbol_metrics(hist, tiebreak=tiebreak, risk_free=risk_free, bucket_seconds=bucket_seconds)
+    metrics = silver.symbol_metrics(hist, tiebreak=tiebreak, risk_free=risk_free)
     return silver.enrich(funds, metrics, reference_names=reference_names)
 
 

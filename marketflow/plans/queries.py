@@ -150,7 +150,7 @@ def q_d13(spark, sf):
     "v_pev AS (SELECT CAST(user_id AS VARCHAR) AS symbol, ts, value AS adj_close FROM events)",
     O.returns_cte("r", "v_pev", "ts"), O.metrics_cte("m", "r")) + _METRIC_SELECT)
 def q_d13_ev(spark, sf):
-    return rounded(silver.symbol_metrics(V.prices_events(spark, sf), bucket_seconds=86400))
+    return rounded(silver.symbol_metrics(V.prices_events(spark, sf), piece=86400))
 
 
 @register("d14_enrich", _METRICS_SQL.replace("WITH ", "WITH " + O.V_FUNDS + ",\n" + O.V_CLEAN + ",\n", 1) + """
@@ -1066,7 +1066,7 @@ def q_d9_split(spark, sf):
 
 @register("d13_symbol_metrics_split", ORACLE["d13_symbol_metrics"])
 def q_d13_split(spark, sf):
-    return rounded(silver.symbol_metrics(V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, **_SPLIT))
+    return rounded(silver.symbol_metrics(V.prices(spark, sf), tiebreak=V.PRICE_TIEBREAK, piece=5 * 86_400))
 
 
 @register("f10_session_state_split", ORACLE["f10_session_state"])

@@ -74,15 +74,42 @@ def test_bucketed_lag_equals_plain_lag(spark):
     for b in (86400, 7 * 86400, 90 * 86400, "auto"):
         got = silver.daily_returns(p, bucket_seconds=b, hot_rows=50, rows_per_bucket=30).select(*cols).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, a))
-    m_plain = silver.symbol_metrics(p, bucket_seconds=None).collect()
-    m_auto = silver.symbol_metrics(p, hot_rows=50, rows_per_bucket=30).collect()
-    assert sorted(map(tuple, m_plain)) == sorted(map(tuple, m_auto))
 
 
-def test_plain_metrics_plan_has_one_exchange(spark):
-    p = _prices(spark, [("a", 0, 1.0), ("a", 1, 2.0)])
-    plan = silver.symbol_metrics(p, bucket_seconds=None)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def _close(rows):
+    return sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in rows), key=str)
+
+
+def test_metrics_are_the_same_for_any_piece(spark):
+    """Against the returns of the whole series, also for NULL keys, times and prices."""
+    import random
+    import statistics
+    rnd = random.Random(3)
+    data = [("hot", d, rnd.uniform(1, 100)) for d in range(400)] + [(f"s{i}", d, rnd.uniform(1, 100)) for i in range(20) for d in rnd.sample(range(300), 7)]
+    p = _prices(spark, data)
+    got = [silver.symbol_metrics(p, piece=w).collect() for w in (86_400.0, 7 * 86_400.0, 30 * 86_400.0, 1e12)]
+    assert all(_close(g) == _close(got[0]) for g in got)
+    by = {}
+    for s, d, v in sorted(data):
+        by.setdefault(s, []).append(v)
+    for r in got[0]:
+        series = by[r.symbol]
+        ret = [b / a - 1 for a, b in zip(series, series[1:])]
+        assert (r.first_price, r.last_price, r.n_returns) == (series[0], series[-1], len(ret))
+        assert math.isclose(r.mean_return, statistics.fmean(ret)) and math.isclose(r.std_dev, statistics.stdev(ret))
+    odd = _odd_prices(spark)
+    forms = [silver.symbol_metrics(odd, tiebreak=("n",), piece=w).collect() for w in (1, 4, 17, 1e9)]
+    assert len(forms[0]) == 5 and all(_close(f) == _close(forms[0]) for f in forms)
+    whole = silver.daily_returns(odd, tiebreak=("n",), bucket_seconds=None).groupBy("symbol").agg(
+        F.count("daily_return"), F.avg("daily_return"), F.when(F.count("daily_return") > 1, F.stddev_samp("daily_return")))
+    assert _close((r.symbol, r.n_returns, r.mean_return, r.std_dev) for r in forms[0]) == _close(map(tuple, whole.collect()))
+    assert silver.symbol_metrics(p.limit(0)).count() == 0
+
+
+def test_metrics_plan_reads_once_and_counts_nothing(spark, scratch):
+    _prices(spark, [("a", 0, 1.0), ("a", 1, 2.0)]).write.parquet(f"{scratch}/p")
+    plan = silver.symbol_metrics(spark.read.parquet(f"{scratch}/p"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 1
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
@@ -122,8 +149,8 @@ def test_hot_keys_found_beforehand(spark):
     p = _prices(spark, data)
     hot = hot_keys(p, "symbol", hot_rows=100)
     assert [r.symbol for r in hot.collect()] == ["hot"]
-    a = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=None).collect()))
-    b = sorted(map(tuple, silver.symbol_metrics(p, bucket_seconds=hot, rows_per_bucket=40).collect()))
+    a = sorted(map(str, silver.daily_returns(p, bucket_seconds=None).collect()))
+    b = sorted(map(str, silver.daily_returns(p, bucket_seconds=hot, rows_per_bucket=40).select("symbol", "ts", "adj_close", "prev_price", "daily_return").collect()))
     assert a == b
     assert hot_keys(p, "symbol", hot_rows=1000) is None
 
@@ -159,11 +186,6 @@ def test_split_and_plain_plans_agree_on_odd_rows(spark):
     for fill in (False, True):
         got = [key(silver.daily_returns(p, tiebreak=("n",), fill=fill, **f).collect()) for f in forms]
         assert len(got[0]) == p.count() and all(g == got[0] for g in got)
-    got = [key(silver.symbol_metrics(p, tiebreak=("n",), **f).collect()) for f in forms]
-    plain = [[round(v, 9) if isinstance(v, float) else v for v in r] for r in got[0]]
-    assert len(plain) == 5
-    for g in got[1:]:
-        assert [[round(v, 9) if isinstance(v, float) else v for v in r] for r in g] == plain
 
 
 def test_split_session_state_and_pages_agree_on_odd_rows(spark):
