@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,37 +43,68 @@ def scale_amount(c, compat: bool = False) -> Column:
     return number * F.try_element_at(scale, unit)
 
 
-# Named character references seen in the pages (HTML's own names); "&amp;" comes last, so that
-# an escaped reference such as "&amp;lt;" becomes "&lt;" and no more.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9",
-            "&reg;": "\u00ae", "&middot;": "\u00b7", "&ndash;": "\u2013", "&mdash;": "\u2014",
-            "&hellip;": "\u2026", "&euro;": "\u20ac", "&amp;": "&"}
+# HTML's named character references (as "amp;" or, for the old ones, also "amp"), from the standard library.
+_NAMES = "\x01".join(f"{n}\x02{c}" for n, c in html5.items())
+# The old names that count without a semicolon, longest first.
+_OLD = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# Numbers 0x80 to 0x9F mean the characters of Windows-1252, where it has any.
+_C1 = "".join(bytes([i]).decode("cp1252", "replace") if bytes([i]).decode("cp1252", "ignore") else chr(i) for i in range(0x80, 0xA0))
+_NOTHING = ((1, 8), (0x0B, 0x0B), (0x0E, 0x1F), (0x7F, 0x7F), (0xFDD0, 0xFDEF))   # numbers of no character
+LOST = "\ufffd"
+_OFTEN = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;")
+_ALL = 2147483647
+
 
+def _character(value: Column) -> Column:
+    """Character of a numeric reference (NULL: too long a number)."""
+    return F.transform(F.array(value), _one_character)[0]
 
-def _code_point(ref: Column) -> Column:
-    """Character of a numeric reference's body (``39`` or ``x27``)."""
-    digits = F.when(F.lower(ref).startswith("x"), F.lower(F.substring(ref, 2, 8))).otherwise(
-        F.lower(F.conv(ref, 10, 16)))
-    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+def _one_character(number: Column) -> Column:
+    lost = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    none = (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    for low, high in _NOTHING:
+        none = none | number.between(low, high)
+    return (F.when(lost, LOST).when(number.between(0x80, 0x9F), F.substr(F.lit(_C1), (number - 0x7F).cast("int"), F.lit(1)))
+             .when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
 
 
 def decode_entities(c) -> Column:
-    """Text as displayed: numeric and named character references resolved.
+    """Text as displayed: numeric and named character references resolved, each once.
 
-    The text is cut at ``&#``; a piece that starts with a valid reference body
-    gives its character, any other keeps its ``&#``.
+    The text is cut at ``&`` and each piece looks at its own beginning, so a
+    reference made by another one ("&amp;lt;", "&#38;lt;") is left alone.  A
+    number of no character gives U+FFFD, an unknown name keeps its ``&``; as in
+    HTML, numbers and the old names may stand without a semicolon.  A text
+    without ``&`` costs one search.
     """
-    pattern = r"^([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
-    pieces = F.split(as_col(c), "&#")
-
-    def piece(x, i):
-        ref = F.regexp_extract(x, pattern, 1)
-        return (F.when(i == 0, x).when(ref == "", F.concat(F.lit("&#"), x))
-                 .otherwise(F.concat(_code_point(ref), F.substr(x, F.length(ref) + F.lit(2)))))
-    out = F.when(as_col(c).contains("&#"), F.array_join(F.transform(pieces, piece), "")).otherwise(as_col(c))
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    names = F.str_to_map(F.lit(_NAMES), F.lit("\x01"), F.lit("\x02"))       # folded to one literal, searched from its start
+    often = F.create_map(*[x for n in _OFTEN for x in (F.lit(n), F.lit(html5[n]))])
+
+    def begun(x, i):             # what the piece starts with, found once
+        return F.struct(x.alias("x"), (i == 0).alias("first"), F.regexp_extract(x, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("number"),
+                        F.regexp_extract(x, "^[^\\t\\n\\f <&#;]{1,32};?", 0).alias("name"))
+
+    def valued(p):
+        hexed = F.lower(F.substring(p["number"], 2, 1)) == "x"
+        digits = F.ltrim(F.rtrim(F.when(hexed, F.substring(p["number"], 3, _ALL)).otherwise(F.substring(p["number"], 2, _ALL)), F.lit(";")), F.lit("0"))
+        return F.struct(*[p[n].alias(n) for n in ("x", "first", "number", "name")], F.when(p["number"] != "", F.struct(hexed.alias("hexed"), digits.alias("digits"))).alias("n"),
+                        F.when(p["name"] != "", F.coalesce(F.try_element_at(often, p["name"]), F.try_element_at(names, p["name"]))).alias("known"))
+
+    def resolved(p):
+        digits = F.when(F.length(p["n"]["digits"]) <= 8, F.concat(F.lit("0"), p["n"]["digits"]))
+        value = F.when(p["n"]["hexed"], F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        old = F.regexp_extract(p["name"], f"^(?:{_OLD})", 0)
+        return (F.when(p["first"], p["x"])
+                 .when(p["number"] != "", F.concat(_character(value), F.substring(p["x"], F.length(p["number"]) + 1, F.lit(_ALL))))
+                 .when(p["known"].isNotNull(), F.concat(p["known"], F.substring(p["x"], F.length(p["name"]) + 1, F.lit(_ALL))))
+                 .when(old != "", F.concat(F.try_element_at(names, old), F.substring(p["x"], F.length(old) + 1, F.lit(_ALL))))
+                 .otherwise(F.concat(F.lit("&"), p["x"])))
+
+    def piece_texts(text):
+        return F.transform(F.transform(F.transform(F.split(text, "&"), begun), valued), resolved)
+    c = as_col(c)
+    return F.when(c.contains("&"), F.array_join(piece_texts(c), "")).otherwise(c)
 
 
 def strip_tags(c) -> Column:

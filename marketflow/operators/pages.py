@@ -16,7 +16,9 @@ from marketflow.constants import (BOND_QUOTE_HEADERS, COUNTRY_TIERS, ETF_FIELD_N
                                   FEED_LAYOUTS_COMPAT, FUND_RECORD_NAMES, HEAVY_SECTORS, LIGHT_SECTORS, ROWS_PER_STOCK_PAGE,
                                   TIER_PAGE_CAPS)
 from marketflow.functions.text import strip_tags
+from marketflow.operators.quality import conform
 from marketflow.schemas import RAW_FUND
+from marketflow.session import materialize
 from marketflow.operators.series import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, join_carry, plan_buckets
 
 TABLE_ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
@@ -132,6 +134,48 @@ def dedupe_first(rows: DataFrame, key: str = "name", order: Sequence[str] = ("pa
     return rows.groupBy(key).agg(best.alias("_r")).select(key, "_r.*")
 
 
+def number_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Gapless places 0, 1, 2, ... of the rows of each group in ``order``, for
+    groups of any size: no window runs over a whole group.
+
+    The rows are range-partitioned by (group, order) and written once; within
+    a partition each counts its predecessors, and a table of one row per
+    (group, partition) carries on the counts of the partitions before.  Rows
+    equal in every order column may stand either way.  NULLs come first.  Runs
+    one job when called."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "numbered-rows", partitions=None)
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+              .withColumnsRenamed({c: f"_of_{c}" for c in ("_part", *by)}))
+    same = inside["_part"] == counts["_of__part"]
+    for c in by:
+        same = same & inside[c].eqNullSafe(counts[f"_of_{c}"])
+    return inside.join(counts, same).select(*rows.columns, (F.col("_at") + F.col("_before")).cast("long").alias(out))
+
+
+def etf_records(pages: DataFrame, feed: str = "feed", tab: str = "tab", page: str = "page", html: str = "html") -> DataFrame:
+    """ETF screener pages -> typed ETF records.
+
+    Each tab lists the funds of a ``feed`` over several pages.  Rows come from
+    the pages' outer tables; of the rows of a name the first in (page, place)
+    stays; the rest are numbered without gaps, and the tabs are merged by that
+    place.  ``management`` is the feed.  Fields are typed by the ETF model with
+    ``failed_fields`` and ``is_valid``; ``pos`` is the place in the listing."""
+    from marketflow.operators.markup import table_rows
+    rows = table_rows(pages.select(feed, tab, page, html), html, keep=(feed, tab, page))
+    rows = rows.filter("parent_pos IS NULL AND size(cells) > 0").select(
+        F.struct(F.col(feed), F.col(tab), F.col("cells")[0].alias("name")).alias("_who"), feed, tab, page, "table_pos", "row_pos", "cells")
+    first = dedupe_first(rows, "_who", (page, "table_pos", "row_pos")).drop("_who")
+    placed = number_rows(first, (feed, tab), (page, "table_pos", "row_pos"))
+    placed = materialize(placed, "etf-rows", partitions=None)           # each tab reads it
+    merged = merge_tabs([etf_tab(placed.filter(F.col(tab) == i), i, feed, typed=True) for i in range(len(ETF_TABS))], on=(feed, "pos"))
+    return conform(merged.withColumn("management", F.col(feed)), "etf", keep=("pos",))
+
+
 def merge_tabs(tabs: Sequence[DataFrame], on: Sequence[str] = ("feed", "pos")) -> DataFrame:
     """Stitch column groups of the same listing into one wide record.
 

@@ -7,7 +7,6 @@ sides (see ``marketflow.plans.queries.rounded``).
 
 from __future__ import annotations
 
-from marketflow.functions.text import ENTITIES
 
 AMOUNT_RE = r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
 
@@ -202,6 +201,10 @@ V_STOCK_ROWS = f"""v_stock AS (
          '' AS country, ({SECTORS_LIST})[s_suppkey % 11 + 1] AS sector
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
+# The character references that the given tables hold; "&amp;" last, so that "&amp;lt;" becomes "&lt;" and no more.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
 def displayed(x: str) -> str:
     """SQL of an HTML fragment as displayed (tags, references, line breaks)."""
     out = f"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '[ \\t]*[\\r\\n]+[ \\t]*', ' ', 'g')"

@@ -728,7 +728,7 @@ def q_b13(spark, sf):
 
 # ----------------------------------------------------- files & models -----
 
-from marketflow.constants import N_TRIALS, SEARCH_RANGES, SURVEY_RENAMES  # noqa: E402
+from marketflow.constants import ETF_FIELD_NAMES, ETF_TABS, N_TRIALS, SEARCH_RANGES, SURVEY_RENAMES  # noqa: E402
 from marketflow.operators import models as M  # noqa: E402
 from marketflow.session import materialize, scratch_path  # noqa: E402
 from marketflow.sources import files as FS  # noqa: E402
@@ -1222,6 +1222,79 @@ def q_b1_tables(spark, sf):
     return got.select("page_id", "row_pos", "name", "symbol", F.array_join("cells", "|").alias("cells_text"))
 
 
+_NESTED_SQL = """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i FROM lineitem)
+SELECT l_orderkey AS page_id, CAST(0 AS INTEGER) AS table_pos, CAST(NULL AS INTEGER) AS parent_pos, CAST(i AS INTEGER) AS row_pos,
+       'F' || l_partkey || ' & Co' AS name, 'S' || l_suppkey AS symbol, l_linenumber || '|' || l_linestatus || chr(233) AS cells_text FROM l
+UNION ALL
+SELECT l_orderkey, CAST(i + 1 AS INTEGER), 0, 0, NULL, NULL, 'in ' || l_returnflag FROM l"""
+
+
+@register("b1_nested_tables", _NESTED_SQL)
+def q_b1_nested(spark, sf):
+    """B1 and B2 by the parser: a table in a cell of each row, row ends left
+    out, a comment, a script and an attribute that hold markup."""
+    from marketflow.operators.markup import table_rows
+    li = V.table(spark, sf, "lineitem")
+    row = F.concat(F.lit('<tr><th><a title="a>b" href="#">F'), F.col("l_partkey").cast("string"), F.lit(" &amp; Co</a>\n<div>S"), F.col("l_suppkey").cast("string"),
+                   F.lit("</div><td>"), F.col("l_linenumber").cast("string"), F.lit("<table><tr><td>in "), F.col("l_returnflag"),
+                   F.lit("<!-- <tr><td>no</td></tr> --></table><td>"), F.col("l_linestatus"), F.lit('<script>var t = "</td></tr></table>";</script>&eacute;\n'))
+    key = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, row.alias("r")))), lambda x: x["r"]), "")
+    pages = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    return table_rows(pages).select("page_id", "table_pos", "parent_pos", "row_pos", "name", "symbol", F.array_join("cells", "|").alias("cells_text"))
+
+
+_ETF_PLACES = [(t, j, ETF_FIELD_NAMES[n]) for t, names in enumerate(ETF_TABS) for j, n in enumerate(names) if j]
+
+
+def _etf_sql():
+    kinds = {f.name: f.dataType.simpleString() for f in MODELS["etf"].fields}
+    def cell(t, j, f):
+        v = f"CAST((t{t}.k * {t + 1} + {j}) % 1000 AS VARCHAR)"
+        if kinds[f] == "string":
+            return f"'x' || {v} AS {f}"
+        return f"CAST({f'CASE WHEN t{t}.k % 13 <> 0 THEN {v} END' if (t, j) == (2, 1) else v} AS {kinds[f].upper()}) AS {f}"
+    joins = " ".join(f"LEFT JOIN n t{t} ON t{t}.tab = {t} AND t{t}.feed = t0.feed AND t{t}.pos = t0.pos" for t in range(1, 6))
+    names = ", ".join(f"t{t}.name" for t in range(5, -1, -1))
+    fields = [f.name for f in MODELS["etf"].fields]
+    return f"""
+WITH l AS (SELECT p_brand AS feed, p_partkey AS k, tab, p_partkey // 50 AS page, 0 AS again FROM part, range(6) r(tab)
+           UNION ALL SELECT p_brand, p_partkey, tab, p_partkey // 50 - 1, 1 FROM part, range(6) r(tab) WHERE p_partkey % 50 < 3 AND p_partkey >= 50),
+f AS (SELECT *, row_number() OVER (PARTITION BY feed, tab, k ORDER BY page, again) AS nth FROM l WHERE NOT (tab = 5 AND k % 7 = 0)),
+n AS (SELECT feed, tab, k, 'E & F ' || k AS name, row_number() OVER (PARTITION BY feed, tab ORDER BY page, again, k) - 1 AS pos FROM f WHERE nth = 1),
+m AS (SELECT t0.pos, coalesce({names}) AS name, {", ".join(cell(*p) for p in _ETF_PLACES)}, t0.feed AS management FROM n t0 {joins} WHERE t0.tab = 0),
+x AS (SELECT pos, {", ".join(fields)}, concat_ws(',', {", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in fields)}) AS failed_fields FROM m)
+SELECT *, failed_fields = '' AS is_valid FROM x"""
+
+
+@register("etf_records", _etf_sql())
+def q_etf(spark, sf):
+    """ETF pages to typed records: six tabs, a page per fifty funds, the first
+    funds of a page also at the end of the page before; the last tab lacks some
+    funds, so names move up as the merge by place has it."""
+    p = V.table(spark, sf, "part").select(F.col("p_brand").alias("feed"), F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("tab"))
+    p = p.filter("NOT (tab = 5 AND k % 7 = 0)")
+    pages = [F.struct(F.expr("k div 50").alias("page"), F.lit(0).alias("again"))]
+    shown = F.when((F.col("k") % 50 < 3) & (F.col("k") >= 50), F.array(*pages, F.struct(F.expr("k div 50 - 1").alias("page"), F.lit(1).alias("again")))).otherwise(F.array(*pages))
+    p = p.withColumn("at", F.explode(shown)).select("feed", "k", "tab", "at.*")
+    kinds = {f.name: f.dataType.simpleString() for f in MODELS["etf"].fields}
+
+    def tab_row(t):
+        cells = []
+        for _, j, f in [x for x in _ETF_PLACES if x[0] == t]:
+            v = ((F.col("k") * (t + 1) + j) % 1000).cast("string")
+            v = F.when(F.col("k") % 13 == 0, "&mdash;").otherwise(v) if (t, j) == (2, 1) else F.concat(F.lit("x"), v) if kinds[f] == "string" else v
+            cells += [F.lit("<td>"), v, F.lit("</td>")]
+        return F.concat(F.lit("<tr><td><b>E &amp; F "), F.col("k").cast("string"), F.lit("</b></td>"), *cells, F.lit("</tr>"))
+    row = tab_row(0)
+    for t in range(1, 6):
+        row = F.when(F.col("tab") == t, tab_row(t)).otherwise(row)
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("again", "k", row.alias("r")))), lambda x: x["r"]), "\n")   # a page's rows
+    html = F.concat(F.lit("<table><tr><th>Name</th></tr>"), rows, F.lit("</table>"))
+    return B.etf_records(p.groupBy("feed", "tab", "page").agg(html.alias("html")))
+
+
 @register("b4_bad_rows", O.with_(O.V_MIXED_ROWS) + "SELECT page_id, row_pos FROM v_mixed WHERE len(cells) = 0")
 def q_b4_bad(spark, sf):
     rows = B.extract_rows(V.pages(spark, sf), row_pattern=r"<(?:li|p)>(.*?)</(?:li|p)>", cell_pattern=B.LINK_CELL)
@@ -1256,7 +1329,6 @@ def _model_cells(spark, sf, name):
 
 def _etf_cells(spark, sf):
     """The typed ETF record put together from its six screener tabs."""
-    from marketflow.constants import ETF_FIELD_NAMES, ETF_TABS
     wide, bad = _model_cells(spark, sf, "etf")
     tabs = []
     for i, headers in enumerate(ETF_TABS):
