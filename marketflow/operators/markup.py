@@ -146,6 +146,7 @@ def table_rows(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pag
                 if len(rows) >= OUT_ROWS:
                     yield frame(own, rows)
                     own, rows = [], []
-            yield frame(own, rows)
+            if rows:
+                yield frame(own, rows)
     ship_package(pages.sparkSession)
     return kept.mapInPandas(run, schema).select("kept.*", *_FIELDS.names)
