@@ -11,7 +11,7 @@ from marketflow.constants import (EDUCATION_CODES, FEATURE_COLUMNS, FORM_FIELDS,
                                   SPLIT_SEED, SURVEY_DROP_COLUMNS, SURVEY_RENAMES, SURVEY_TARGET,
                                   TEST_FRACTION)
 from marketflow.functions.util import as_col
-from marketflow.session import path_exists
+from marketflow.session import create_exclusive, path_exists
 
 
 def encode_label(c, mapping: Mapping[str, int], default: int = 0) -> Column:
@@ -165,14 +165,26 @@ RUN_SCHEMA = ("run_id string, model_name string, version long, stage string, par
               "rmse double, model_uri string")
 
 
+def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
+    """The registry's rows; none where only claims have been made so far."""
+    return spark.read.schema(RUN_SCHEMA).parquet(registry_path)
+
+
+def _newest_version(spark: SparkSession, registry_path: str, model_name: str) -> int:
+    runs = read_registry(spark, registry_path).filter(F.col("model_name") == model_name)
+    return int(runs.agg(F.max("version")).first()[0] or 0)
+
+
 def log_run(spark: SparkSession, registry_path: str, model_name: str, params: Mapping, mse: float,
             model_uri: str, stage: str = "None", run_id: str | None = None) -> DataFrame:
     """Append one run to a registry table (parquet) with the next version
     number of the model; returns the appended row.
 
     The registry is an append-only table in shared storage; ``latest_version``
-    reads it back.  Versions come from the table itself (max + 1), so
-    concurrent writers should use distinct model names.  Only a missing table
+    reads it back.  A version is claimed by creating its file below
+    ``_versions`` exclusively, the next one if another writer was faster, so
+    two writers never register the same version of a model.  A claim whose
+    writer ended before the row was written leaves a gap.  Only a missing table
     starts at version 1; a table that can't be read is an error.
     """
     import json
@@ -180,8 +192,9 @@ def log_run(spark: SparkSession, registry_path: str, model_name: str, params: Ma
     import uuid
     version = 1
     if path_exists(spark, registry_path):
-        newest = spark.read.parquet(registry_path).filter(F.col("model_name") == model_name).agg(F.max("version")).first()[0]
-        version = (newest or 0) + 1
+        version = _newest_version(spark, registry_path, model_name) + 1
+    while not create_exclusive(spark, f"{registry_path}/_versions/{model_name.encode().hex()}/{version}"):
+        version += 1
     rec = [(run_id or uuid.uuid4().hex, model_name, int(version), stage, json.dumps(dict(params), sort_keys=True),
             float(mse), math.sqrt(float(mse)), model_uri)]
     df = spark.createDataFrame(rec, RUN_SCHEMA)

@@ -19,9 +19,10 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from marketflow.constants import FEATURE_COLUMNS, N_TRIALS, SEARCH_RANGES, SPLIT_SEED
 from marketflow.operators import features as E
@@ -264,3 +265,40 @@ def score_payloads(payloads: DataFrame, scaler: DataFrame, model: PipelineModel,
     else:
         scaled = E.scale(ordered, scaler, features)
     return predict(model, scaled, "risk_aversion_estimate"), bad
+
+
+def load_registered(spark: SparkSession, registry_path: str, model_name: str, stages: Sequence[str] | None = None) -> tuple[PipelineModel, int]:
+    """The newest registered version of a model (among ``stages``) and its number."""
+    newest = E.latest_version(E.read_registry(spark, registry_path).filter(F.col("model_name") == model_name), stages).first()
+    if newest is None:
+        raise LookupError(f"no model {model_name} in {registry_path}")
+    return PipelineModel.load(newest["model_uri"]), int(newest["latest_version"])
+
+
+def score_stream(payloads: DataFrame, registry_path: str, model_name: str, scaler: DataFrame, sink_path: str, checkpoint: str,
+                 payload: str = "payload", keep: Sequence[str] = (), stages: Sequence[str] | None = None,
+                 available_now: bool = False) -> StreamingQuery:
+    """E13 on a stream with the registry's newest model.
+
+    Before each micro-batch the registry is asked for the newest version; a new
+    one is loaded and takes over with that batch.  Scored rows go to
+    ``sink_path`` with ``model_version``, rejected ones to ``sink_path`` +
+    "-rejected", both per batch id, so a batch run again replaces itself."""
+    held: dict[str, object] = {"version": None}
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = E.latest_version(E.read_registry(spark, registry_path).filter(F.col("model_name") == model_name), stages).first()
+        if newest is None:
+            raise LookupError(f"no model {model_name} in {registry_path}")
+        if held["version"] != newest["latest_version"]:
+            held.update(model=PipelineModel.load(newest["model_uri"]), version=newest["latest_version"])
+        batch = batch.persist()
+        try:
+            scored, bad = score_payloads(batch, scaler, held["model"], payload, keep)
+            scored.withColumn("model_version", F.lit(held["version"]).cast("long")).write.mode("overwrite").parquet(f"{sink_path}/_batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{sink_path}-rejected/_batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+    w = payloads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()

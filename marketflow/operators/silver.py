@@ -263,21 +263,52 @@ def enrich(funds: DataFrame, metrics: DataFrame, key: str = "symbol", reference_
     return out
 
 
+_TEXTS = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def _payload(data_col: str) -> Column:
+    """The payload's elements as an array of variants, parsed once; NULL unless it is a JSON array."""
+    return F.expr(f"try_variant_get(try_parse_json(CASE WHEN startswith(ltrim(`{data_col}`), '[') THEN `{data_col}` END), '$', 'array<variant>')")
+
+
+def _field(f: T.StructField) -> tuple[Column, Column]:
+    """(value, whether there is a value of another kind) of a record's field.
+
+    JSON says of each value whether it is a text, a whole number or another
+    number; a text is no number and 1.5 no whole number, as in ``from_json``."""
+    part = f"try_variant_get(_v, '$[\\'{f.name}\\']', 'variant')"
+    value, kind = F.expr(f"try_variant_get({part}, '$', '{f.dataType.simpleString()}')"), F.expr(f"schema_of_variant({part})")
+    if isinstance(f.dataType, T.IntegralType):
+        fits = kind == "BIGINT"
+    elif isinstance(f.dataType, _TEXTS):
+        fits = F.lit(True) if isinstance(f.dataType, T.StringType) else kind == "STRING"
+    elif isinstance(f.dataType, T.BooleanType):
+        fits = kind == "BOOLEAN"
+    else:
+        fits = ~kind.isin("STRING", "BOOLEAN")
+    value = F.when(fits, value)
+    return value, value.isNull() & F.expr(f"NOT coalesce(is_variant_null({part}), true) AND {part} IS NOT NULL")
+
+
 def bronze_records(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
-                   type_col: str = "message_type", data_col: str = "data") -> DataFrame:
-    """Every record of the JSON-array payloads with its typed fields,
-    ``_record`` (its text) and ``_failed`` (fields that have a value which
-    doesn't parse, comma separated; ``*`` for an element that is no object)."""
+                   type_col: str = "message_type", data_col: str = "data", text: bool = False) -> DataFrame:
+    """Every record of the JSON-array payloads with its typed fields and
+    ``_failed`` (fields that have a value of another kind, comma separated; ``*``
+    for an element that is no object).  ``text``: also ``_record``, its text.
+
+    A payload is parsed once, into a variant; fields are read out of that.  An
+    object with a key twice is no JSON for Spark's variants: the message is a
+    reject (``bronze_rejects``)."""
     df = bronze if message_type is None else bronze.filter(F.col(type_col) == message_type)
-    items = F.from_json(F.col(data_col), T.ArrayType(T.StringType()))
-    df = (df.filter(F.ltrim(F.col(data_col)).startswith("["))
-            .select(F.col(type_col).alias(type_col), F.explode(items).alias("_record")))
-    raw = F.from_json("_record", T.MapType(T.StringType(), T.StringType()))
-    df = df.select(type_col, "_record", raw.alias("_raw"), F.from_json("_record", record_schema).alias("_r"))
-    failed = [F.when(F.col("_r").getField(f.name).isNull() & F.try_element_at("_raw", F.lit(f.name)).isNotNull(), F.lit(f.name))
-              for f in record_schema.fields]
-    bad = F.when(F.col("_raw").isNull(), F.lit("*")).otherwise(F.concat_ws(",", *failed))
-    return df.select(type_col, "_r.*", "_record", bad.alias("_failed"))
+    items = _payload(data_col)
+    if text:                                   # the elements as they were written, for the quarantine
+        items = F.arrays_zip(items.alias("v"), F.from_json(F.col(data_col), T.ArrayType(T.StringType())).alias("t"))
+    df = df.select(F.col(type_col).alias(type_col), F.explode(items).alias("_e"))
+    df = df.select(type_col, *([F.col("_e.v").alias("_v"), F.col("_e.t").alias("_record")] if text else [F.col("_e").alias("_v")]))
+    fields = [(f.name, *_field(f)) for f in record_schema.fields]
+    is_object = F.coalesce(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), F.lit(False))
+    bad = F.when(~is_object, F.lit("*")).otherwise(F.concat_ws(",", *[F.when(wrong, F.lit(n)) for n, _v, wrong in fields]))
+    return df.select(type_col, *[v.alias(n) for n, v, _w in fields], *(["_record"] if text else []), bad.alias("_failed"))
 
 
 def unnest_bronze(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
@@ -289,19 +320,17 @@ def unnest_bronze(bronze: DataFrame, message_type: str | None, record_schema: T.
     of whose fields parse; see ``bronze_rejects`` and ``record_rejects`` for
     the rest.
     """
-    return bronze_records(bronze, message_type, record_schema, type_col, data_col).filter("_failed = ''").drop("_record", "_failed")
+    return bronze_records(bronze, message_type, record_schema, type_col, data_col).filter("_failed = ''").drop("_failed")
 
 
 def record_rejects(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
                    type_col: str = "message_type", data_col: str = "data") -> DataFrame:
     """Records with a field that doesn't parse: type, ``record`` text, ``failed_fields`` (quarantine)."""
-    got = bronze_records(bronze, message_type, record_schema, type_col, data_col).filter("_failed <> ''")
+    got = bronze_records(bronze, message_type, record_schema, type_col, data_col, text=True).filter("_failed <> ''")
     return got.select(type_col, F.col("_record").alias("record"), F.col("_failed").alias("failed_fields"))
 
 
 def bronze_rejects(bronze: DataFrame, record_schema: T.StructType, type_col: str = "message_type",
                    data_col: str = "data") -> DataFrame:
     """Messages whose payload is not a JSON array of records (quarantine)."""
-    arr = F.from_json(F.col(data_col), T.ArrayType(T.StringType()))
-    bad = F.col(data_col).isNull() | ~F.ltrim(F.col(data_col)).startswith("[") | arr.isNull()
-    return bronze.filter(bad)
+    return bronze.filter(_payload(data_col).isNull())

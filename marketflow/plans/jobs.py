@@ -70,14 +70,20 @@ def profile_investors(forms: DataFrame, goals: DataFrame, scaler: DataFrame, mod
 
 
 def train_and_register(train: DataFrame, test: DataFrame, registry_path: str, model_path: str, label: str = "label",
-                       params: dict | None = None, model_name: str = "risk_aversion") -> DataFrame:
-    """E8 -> E10 -> E11 -> E12: fit the three kinds, compare them on the test
-    rows, store the best and register each run.
-
-    ``params`` maps a kind to its parameters.  A fifth of the training rows
-    (by row content hash) is the validation part on which ``boosted_b`` stops
-    early.  Returns ``model, ordinal, mse, rmse, n, best``.
+                       params: dict | None = None, model_name: str = "risk_aversion", tune_trials: int = 0, patience: int = 10) -> DataFrame:
+    """E9 -> E8 -> E10 -> E11 -> E12: fit the three kinds, compare them on the
+    test rows, store and register each under its own name and the best one also
+    as ``<model_name>_best``, which ``score_stream`` scores with.
+
+    ``params`` maps a kind to its parameters; with ``tune_trials`` those of
+    successive halving over that many trials come on top.  The boosted kinds stop
+    after ``patience`` rounds without a lower error on a fifth of the training
+    rows (by content hash).  Models are stored below ``model_path``, one folder
+    a registration.  Returns ``model, ordinal, mse, rmse, n, best, version``
+    (of the model's own name).
     """
+    import uuid
+
     from pyspark.sql import functions as F
 
     from marketflow.constants import FEATURE_COLUMNS
@@ -85,25 +91,32 @@ def train_and_register(train: DataFrame, test: DataFrame, registry_path: str, mo
     from marketflow.operators import models as M
 
     spark = train.sparkSession
-    held = F.pmod(F.xxhash64(*FEATURE_COLUMNS, label), F.lit(5)) == 0
-    train = train.withColumn("_validation", held)
     fitted, errors = {}, None
     for i, kind in enumerate(M.MODEL_KINDS):
         p = dict((params or {}).get(kind, {}))
-        if kind == "boosted_b":
-            p["validation_col"] = "_validation"
-        fitted[kind] = (M.train(train, kind, label=label, params=p), p)
+        if tune_trials:
+            p |= M.halving(train, kind, label=label, n_trials=tune_trials)[-1]["params"]
+        if kind == "forest":
+            fitted[kind] = (M.train(train, kind, label=label, params=p), p)
+        else:
+            model, rounds, _errors = M.train_with_patience(train, kind, label=label, params=p, patience=patience)
+            fitted[kind] = (model, {**p, "rounds_kept": rounds})
         pred = M.predict(fitted[kind][0], test.dropna(subset=[*FEATURE_COLUMNS, label]))
         e = E.regression_error(pred.withColumns({"model": F.lit(kind), "ordinal": F.lit(i)}), label=label,
                                group=("model", "ordinal"))
         errors = e if errors is None else errors.unionByName(e)
     errors = materialize(errors, "model-errors", partitions=None)
     best = E.pick_best(errors).first()["best_model"]
-    fitted[best][0].write().overwrite().save(model_path)
+    versions = []
     for row in errors.orderBy("ordinal").collect():          # three rows
-        E.log_run(spark, registry_path, f"{model_name}_{row['model']}", fitted[row["model"]][1], row["mse"],
-                  model_path if row["model"] == best else "", "Production" if row["model"] == best else "None")
-    return errors.withColumn("best", F.col("model") == best)
+        kind, uri = row["model"], f"{model_path}/{row['model']}-{uuid.uuid4().hex[:12]}"
+        fitted[kind][0].write().save(uri)
+        logged = E.log_run(spark, registry_path, f"{model_name}_{kind}", fitted[kind][1], row["mse"], uri).first()
+        versions.append((kind, logged["version"]))
+        if kind == best:
+            E.log_run(spark, registry_path, f"{model_name}_best", {**fitted[kind][1], "kind": kind}, row["mse"], uri, "Production")
+    own = spark.createDataFrame(versions, "model string, version long")
+    return errors.join(F.broadcast(own), "model").withColumn("best", F.col("model") == best)     # three rows
 
 
 def write_bronze_batch(messages: DataFrame, path: str, mode: str = "append") -> None:

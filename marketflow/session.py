@@ -94,6 +94,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def create_exclusive(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; False if somebody else had it
+    first.  The file system decides, so of two callers only one gets True."""
+    from py4j.protocol import Py4JJavaError
+    fs, hpath = _file_system(spark, path)
+    fs.mkdirs(hpath.getParent())
+    try:
+        fs.create(hpath, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(hpath):
+            return False
+        raise
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """Create an empty marker file (and its folders), or replace it."""
     fs, hpath = _file_system(spark, path)

@@ -63,3 +63,46 @@ def test_boosting_keeps_the_rounds_up_to_the_best(spark, rows, scratch):
     assert M.cut_rounds(plain.stages[-1], 1).getNumTrees == 1
     with pytest.raises(ValueError):
         M.train_with_patience(rows, "forest")
+
+
+def test_two_writers_get_two_versions(spark, scratch, monkeypatch):
+    from marketflow.operators import features as E
+    path = f"{scratch}/reg"
+    assert [E.log_run(spark, path, "m", {}, 1.0, f"u{i}").first().version for i in (1, 2)] == [1, 2]
+    monkeypatch.setattr(E, "_newest_version", lambda *a: 1)         # a writer that has not seen version 2
+    assert E.log_run(spark, path, "m", {}, 1.0, "u3").first().version == 3
+    monkeypatch.undo()
+    assert E.log_run(spark, path, "n/..", {"a": 1}, 4.0, "v").first().version == 1
+    got = {r.model_name: (r.latest_version, r.model_uri) for r in E.latest_version(E.read_registry(spark, path)).collect()}
+    assert got == {"m": (3, "u3"), "n/..": (1, "v")}
+
+
+def test_models_load_back_by_name_and_a_new_one_takes_over_mid_stream(spark, rows, scratch):
+    import os
+
+    from marketflow.operators import features as E
+    from marketflow.plans.jobs import train_and_register
+    reg, store, src, sink, ck = (os.path.join(scratch, d) for d in ("reg", "store", "src", "sink", "ck"))
+    small = {"forest": {"n_estimators": 2, "max_depth": 3}, "boosted_a": {"n_estimators": 2, "max_depth": 2}, "boosted_b": {"n_estimators": 2, "max_depth": 2}}
+    scaler = E.fit_scaler(rows)
+    data = E.scale(rows, scaler)
+    got = train_and_register(data, data, reg, store, params=small).collect()
+    best = [r for r in got if r.best]
+    assert len(got) == 3 and len(best) == 1 and best[0].mse == min(r.mse for r in got) and all(r.version == 1 for r in got)
+    for kind in M.MODEL_KINDS:
+        assert M.load_registered(spark, reg, f"risk_aversion_{kind}")[1] == 1
+    model, version = M.load_registered(spark, reg, "risk_aversion_best")
+    assert version == 1
+    body = "{" + ", ".join(f'"{c}": 0.5' for c in FEATURE_COLUMNS) + "}"
+    for i in range(2):
+        spark.createDataFrame([(i, body), (i + 10, "{}")], "id long, payload string").coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
+        stream = spark.readStream.schema("id long, payload string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src)
+        M.score_stream(stream, reg, "risk_aversion_best", scaler, sink, ck, keep=("id",), available_now=True).awaitTermination()
+        other = M.load_registered(spark, reg, "risk_aversion_forest" if best[0].model != "forest" else "risk_aversion_boosted_a")[0]
+        other.write().overwrite().save(f"{store}/next")
+        E.log_run(spark, reg, "risk_aversion_best", {}, 1.0, f"{store}/next", "Production")
+    out = {r.id: r for r in spark.read.parquet(sink).collect()}
+    assert {i: r.model_version for i, r in out.items()} == {0: 1, 1: 2} and out[0].risk_aversion_estimate != out[1].risk_aversion_estimate
+    assert sorted(r.id for r in spark.read.parquet(sink + "-rejected").collect()) == [10, 11]
+    with pytest.raises(LookupError):
+        M.load_registered(spark, reg, "nobody")

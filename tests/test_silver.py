@@ -204,3 +204,21 @@ def test_split_session_state_and_pages_agree_on_odd_rows(spark):
     plain = key(until_empty_page(pages, cap=30, bucket_seconds=None).collect())
     assert any(r[0] is None for r in plain)
     assert key(until_empty_page(pages, cap=30, hot_rows=1, rows_per_bucket=8).collect()) == plain
+
+
+def test_record_fields_by_their_json_kind(spark):
+    """One parse per payload; a text is no number, 1.5 is no whole number, any scalar is a text."""
+    from pyspark.sql import types as T
+    data = '[{"k":"12"}, {"k":1.5}, {"k":12, "s":5, "d":1, "b":true}, {"k":null,"s":"x","d":"1","t":"2024-01-02"},{"o":{"a":1},"s":{"a" : 1}}, [1], "x", {}]'
+    b = spark.createDataFrame([("t", data), ("t", '[{"k":1},'), ("t", '{"k":1}'), ("t", None), ("u", " [{\"k\": 7}]"), ("t", '[{"k":1,"k":2}]')], "message_type string, data string")
+    sch = T.StructType().add("k", T.LongType()).add("s", T.StringType()).add("d", T.DoubleType()).add("b", T.BooleanType()).add("t", T.DateType())
+    got = silver.bronze_records(b, "t", sch).collect()
+    assert [(r.k, r.s, r.d, r.b, str(r.t), r._failed) for r in got] == [
+        (None, None, None, None, "None", "k"), (None, None, None, None, "None", "k"), (12, "5", 1.0, True, "None", ""),
+        (None, "x", None, None, "2024-01-02", "d"), (None, '{"a":1}', None, None, "None", ""), (None,) * 4 + ("None", "*"), (None,) * 4 + ("None", "*"),
+        (None,) * 4 + ("None", "")]
+    assert [r.k for r in silver.unnest_bronze(b, "u", sch).collect()] == [7]
+    assert silver.bronze_rejects(b, sch).count() == 4
+    assert [r.record for r in silver.record_rejects(b, "t", sch).collect()] == ['{"k":"12"}', '{"k":1.5}', '{"k":null,"s":"x","d":"1","t":"2024-01-02"}', "[1]", "x"]
+    plan = silver.unnest_bronze(b, "t", sch)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") <= 2 and "from_json" not in plan
