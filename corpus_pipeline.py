@@ -50,7 +50,9 @@ def _stage(fn):
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the likelihood ratio."""
-    return unpacked(quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
+    got = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # the row number keeps the filter above the scores: pushed below them, it would score every document again
+    return unpacked(got.withColumn("__at", F.monotonically_increasing_id()).filter("kept AND __at >= 0"))
 
 
 @_stage
