@@ -9,6 +9,8 @@ from marketflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+# the parser of nested tables is Python by design, one node of it
+PARSED = {"b1_nested_tables"}
 # queries that train a model or run a stream (MLlib / keyed Python state by design)
 SKIP = {"e8_train", "train_and_register", "e9_tune", "e13_score", "profile_investors", "f10_session_stream", "a3_bronze_stream",
         "c4_keep_new_stream", "e7_scaler_roundtrip", "a4_read_ndjson", "a7_read_survey_csv"}
@@ -22,7 +24,10 @@ def _plan(df):
 def test_batch_plan_has_no_cartesian_and_no_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert not any(n in plan for n in PY_NODES)
+    if name in PARSED:
+        assert plan.count("MapInPandas") == 1
+    else:
+        assert not any(n in plan for n in PY_NODES)
 
 
 def test_fixed_lookups_are_broadcast(spark):
