@@ -840,7 +840,7 @@ def q_e8(spark, sf):
 @register("e9_tune", _FEATURES_SQL + f"""
 SELECT m.model, r.rung, r.trees, r.n_trials, n.n, true AS in_search_range, true AS best_below_mean_predictor
 FROM (VALUES ('forest'), ('boosted_a'), ('boosted_b')) m(model),
-     (VALUES (0, 2, CAST({N_TRIALS} AS BIGINT)), (1, 8, CAST({N_TRIALS // 4} AS BIGINT)), (2, 32, CAST(1 AS BIGINT))) r(rung, trees, n_trials),
+     (VALUES (0, 1, CAST({N_TRIALS} AS BIGINT)), (1, 4, CAST({N_TRIALS // 4} AS BIGINT)), (2, 16, CAST(1 AS BIGINT))) r(rung, trees, n_trials),
      (SELECT count(*) AS n FROM v_features WHERE {_COMPLETE_ROW} AND NOT ({_IS_TEST})) n""")
 def q_e9(spark, sf):
     """All trials of the three kinds by successive halving; a fitted error has no
@@ -850,7 +850,7 @@ def q_e9(spark, sf):
     spread = tr.dropna().agg(F.var_pop("label")).first()[0]          # error of the mean predictor
     out = []
     for kind in M.MODEL_KINDS:
-        runs = M.halving(tr, kind, parallelism=8)
+        runs = M.halving(tr, kind, first_trees=1, parallelism=8)
         ranges = SEARCH_RANGES["forest" if kind == "forest" else "boosted"]
         for rung in sorted({r["rung"] for r in runs}):
             mine = [r for r in runs if r["rung"] == rung]
