@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketflow.constants import FEATURE_COLUMNS
+from marketflow.constants import FEATURE_COLUMNS, FEED_LAYOUTS, OTHER_MESSAGE_TYPES, STOCK_COUNTRIES
 from marketflow.schemas import MODELS
 
 
@@ -89,6 +89,19 @@ def check_member(spark: SparkSession, df: DataFrame, column: str, allowed: Seque
     return df.join(aset, cond, "left_semi"), df.join(aset, cond, "left_anti")
 
 
+def message_classes(spark: SparkSession) -> DataFrame:
+    """Dimension ``message_type, asset_class``: a message is named after its
+    country (stocks) or its feed (funds), or by a constant.  Fixed size."""
+    rows = [(c, "stock") for c in STOCK_COUNTRIES] + [(f, "fund") for f in FEED_LAYOUTS] + list(OTHER_MESSAGE_TYPES.items())
+    return F.broadcast(spark.createDataFrame(rows, "message_type string, asset_class string"))
+
+
+def with_asset_class(df: DataFrame, message_type: str = "message_type") -> DataFrame:
+    """Adds ``asset_class`` of each row's message type; NULL for unknown and NULL types."""
+    m = message_classes(df.sparkSession).withColumnRenamed("message_type", "_type")
+    return df.join(m, F.col(message_type) == F.col("_type"), "left").drop("_type")
+
+
 def keep_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str],
              content: Sequence[str] | None = None, dedupe_batch: bool = True,
              keep_hash: bool = False) -> DataFrame:

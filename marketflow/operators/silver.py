@@ -302,13 +302,44 @@ def bronze_records(bronze: DataFrame, message_type: str | None, record_schema: T
     df = bronze if message_type is None else bronze.filter(F.col(type_col) == message_type)
     items = _payload(data_col)
     if text:                                   # the elements as they were written, for the quarantine
-        items = F.arrays_zip(items.alias("v"), F.from_json(F.col(data_col), T.ArrayType(T.StringType())).alias("t"))
+        items = _with_texts(items, data_col)
     df = df.select(F.col(type_col).alias(type_col), F.explode(items).alias("_e"))
     df = df.select(type_col, *([F.col("_e.v").alias("_v"), F.col("_e.t").alias("_record")] if text else [F.col("_e").alias("_v")]))
+    values, bad = _judged(record_schema)
+    return df.select(type_col, *values, *(["_record"] if text else []), bad.alias("_failed"))
+
+
+def _with_texts(items: Column, data_col: str) -> Column:
+    return F.arrays_zip(items.alias("v"), F.from_json(F.col(data_col), T.ArrayType(T.StringType())).alias("t"))
+
+
+def _judged(record_schema: T.StructType) -> tuple[list[Column], Column]:
+    """Typed fields of the variant ``_v``, and the names of those that have a value of another kind."""
     fields = [(f.name, *_field(f)) for f in record_schema.fields]
     is_object = F.coalesce(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), F.lit(False))
     bad = F.when(~is_object, F.lit("*")).otherwise(F.concat_ws(",", *[F.when(wrong, F.lit(n)) for n, _v, wrong in fields]))
-    return df.select(type_col, *[v.alias(n) for n, v, _w in fields], *(["_record"] if text else []), bad.alias("_failed"))
+    return [v.alias(n) for n, v, _w in fields], bad
+
+
+def bronze_verdicts(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,
+                    type_col: str = "message_type", data_col: str = "data", out: str = "verdict") -> DataFrame:
+    """Records and refused messages together, each message parsed once.
+
+    Column ``out`` says ``accepted``, ``record`` or ``message``; ``_record`` has
+    the text of what was refused, ``_failed`` the fields (``split_bronze`` writes them)."""
+    df = bronze if message_type is None else bronze.filter(F.col(type_col) == message_type)
+    df = df.select(F.col(type_col).alias(type_col), F.col(data_col).alias("_data"), _payload(data_col).alias("_items"))
+    refused = F.col("_items").isNull()
+    one = F.array(F.struct(F.lit(None).cast("variant").alias("v"), F.col("_data").alias("t")))
+    items = F.when(refused, one).otherwise(_with_texts(F.col("_items"), "_data"))
+    df = df.select(type_col, refused.alias("_refused"), F.explode(items).alias("_e"))
+    df = df.select(type_col, "_refused", F.col("_e.v").alias("_v"), F.col("_e.t").alias("_record"))
+    values, bad = _judged(record_schema)
+    failed = F.when(~F.col("_refused"), bad)
+    verdict = F.when(F.col("_refused"), "message").when(F.col("_failed") == "", "accepted").otherwise("record")
+    return (df.select(type_col, *values, "_record", failed.alias("_failed"), "_refused")
+              .select(type_col, *[f.name for f in record_schema.fields], F.when(verdict != "accepted", F.col("_record")).alias("_record"),
+                      F.when(verdict == "record", F.col("_failed")).alias("_failed"), verdict.alias(out)))
 
 
 def unnest_bronze(bronze: DataFrame, message_type: str | None, record_schema: T.StructType,

@@ -496,12 +496,15 @@ SELECT investor_id,
          AS extra
 FROM k""".replace('"', "'") + "")
 def q_c2(spark, sf):
+    return C.check_keys(_investor_payloads(spark, sf)).select("investor_id", "missing", "extra")
+
+
+def _investor_payloads(spark, sf):
     c = V.table(spark, sf, "customer")
     base = [F.col("c_nationkey").alias(k) for k in _PAYLOAD_KEYS]
     payload = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.to_json(F.struct(*base, F.lit(1).alias("spouse")))) \
                .otherwise(F.to_json(F.struct(*base, F.lit(1).alias("married"))))
-    df = c.select(F.col("c_custkey").alias("investor_id"), payload.alias("payload"))
-    return C.check_keys(df).select("investor_id", "missing", "extra")
+    return c.select(F.col("c_custkey").alias("investor_id"), payload.alias("payload"))
 
 
 _ALLOWED_TYPES = ["CLICK", "PURCHASE", "SIGNUP", "VIEW"]
@@ -730,7 +733,9 @@ def q_b13(spark, sf):
 
 from marketflow.constants import ETF_FIELD_NAMES, ETF_TABS, N_TRIALS, SEARCH_RANGES, SURVEY_RENAMES  # noqa: E402
 from marketflow.operators import models as M  # noqa: E402
+from marketflow.operators.split import split_bronze, split_payload_keys  # noqa: E402
 from marketflow.session import materialize, scratch_path  # noqa: E402
+from marketflow.sources.cache import fill_cache, read_cache, store_cache  # noqa: E402
 from marketflow.sources import files as FS  # noqa: E402
 from marketflow.sources.prices import commodity_series  # noqa: E402
 
@@ -1463,3 +1468,104 @@ def q_train_register(spark, sf):
     runs = spark.read.parquet(path).select("model_name").distinct().count()
     return got.select("model", "ordinal", "n", (F.col("mse") < base).alias("below_mean_predictor"),
                       F.lit(best).cast("long").alias("n_best"), F.lit(runs).cast("long").alias("n_registered"))
+
+
+@register("b13_stored_cache", _CRAWL_SQL + """,
+cache AS (SELECT 'nation_' || CAST(p_partkey % 23 AS VARCHAR) || '_' || lower(p_type) AS cache_key,
+                 arg_max('https://screener.example/q/' || CAST(p_partkey AS VARCHAR) || '?offset={i}&count=250', p_partkey) AS url
+          FROM part GROUP BY 1),
+r AS (SELECT lower(country) || '_' || lower(sector) AS cache_key FROM plan)
+SELECT r.cache_key, coalesce(c.url, 'https://screener.example/new/' || r.cache_key) AS url, c.url IS NOT NULL AS hit,
+       true AS hit_next_time
+FROM r LEFT JOIN cache c ON r.cache_key = c.cache_key""")
+def q_b13_stored(spark, sf):
+    """B13 stored: two rounds of writes, then requests that fill the cache, then the same requests again."""
+    root = scratch_path(spark, "url-cache")
+    writes = V.table(spark, sf, "part").select(
+        F.concat(F.lit("nation_"), (F.col("p_partkey") % 23).cast("string"), F.lit("_"), F.lower("p_type")).alias("cache_key"),
+        F.concat(F.lit("https://screener.example/q/"), F.col("p_partkey").cast("string"), F.lit("?offset={i}&count=250")).alias("url"),
+        F.col("p_partkey").cast("long").alias("written_at"))
+    first = F.col("written_at") % 2 == 0
+    store_cache(writes.filter(~first), root)             # the later writes of some keys come first
+    store_cache(writes.filter(first), root)
+    requests = _crawl(spark, sf)[0].select(B.cache_key("country", "sector").alias("cache_key"))
+
+    def generate(missing):
+        return missing.select("cache_key", F.concat(F.lit("https://screener.example/new/"), F.col("cache_key")).alias("url"))
+
+    filled = fill_cache(requests, root, generate)
+    known = read_cache(spark, root).select("cache_key", F.lit(True).alias("_known"))
+    return (filled.join(known, "cache_key", "left")
+            .select("cache_key", "url", "hit", F.coalesce("_known", F.lit(False)).alias("hit_next_time")))
+
+
+_C2_SPLIT = ORACLE["c2_check_keys"].replace("WITH p AS", "WITH q AS (WITH p AS", 1) + ")"
+
+
+@register("c2_split", _C2_SPLIT + """
+SELECT investor_id, missing, extra, CASE WHEN missing = '' AND extra = '' THEN 'accepted' ELSE 'rejected' END AS verdict FROM q""")
+def q_c2_split(spark, sf):
+    """Both sides written by one job and read back."""
+    got = split_payload_keys(_investor_payloads(spark, sf), scratch_path(spark, "payload-keys"))
+    return got.table.select("investor_id", "missing", "extra", "verdict")
+
+
+@register("c2_split_counts", _C2_SPLIT + f"""
+SELECT 'accepted' AS rule, count(*) FILTER (missing = '' AND extra = '') AS n FROM q
+UNION ALL SELECT 'rejected', count(*) FILTER (missing <> '' OR extra <> '') FROM q
+UNION ALL SELECT 'extra', count(*) FILTER (extra <> '') FROM q
+UNION ALL SELECT 'missing ' || k, count(*) FILTER (list_contains(string_split(missing, ','), k))
+FROM q, (SELECT unnest({E.FEATURE_COLUMNS!r}) AS k) GROUP BY k""")
+def q_c2_counts(spark, sf):
+    """Rows of each rule, observed while the split is written."""
+    got = split_payload_keys(_investor_payloads(spark, sf), scratch_path(spark, "payload-keys"))
+    return spark.createDataFrame(list(got.counts.items()), "rule string, n long")
+
+
+def _mixed_bronze(spark, sf):
+    """One message per event: two records, the second of another kind for
+    every fourth event; error events arrive as text that is not JSON."""
+    ev = V.table(spark, sf, "events")
+    bad = F.concat(F.lit('{"k":"'), F.col("event_type"), F.lit('"}'))
+    data = F.concat(F.lit('[{"k":'), F.col("event_id").cast("string"), F.lit("},"),
+                    F.when(F.col("event_id") % 4 == 0, bad).otherwise(F.lit('{"k":-1}')), F.lit("]"))
+    text = F.concat(F.lit("not json "), F.col("event_id").cast("string"))
+    return ev.select(F.col("event_type").alias("message_type"), F.when(F.col("event_type") == "error", text).otherwise(data).alias("data"))
+
+
+_D16_SPLIT = """WITH q AS (
+  SELECT event_type AS message_type, 'message' AS verdict, CAST(NULL AS BIGINT) AS k, 'not json ' || CAST(event_id AS VARCHAR) AS record,
+         CAST(NULL AS VARCHAR) AS failed_fields FROM events WHERE event_type = 'error'
+  UNION ALL SELECT event_type, 'accepted', event_id, NULL, NULL FROM events WHERE event_type <> 'error'
+  UNION ALL SELECT event_type, 'accepted', -1, NULL, NULL FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0
+  UNION ALL SELECT event_type, 'record', NULL, '{"k":"' || event_type || '"}', 'k' FROM events WHERE event_type <> 'error' AND event_id % 4 = 0)
+"""
+_K_RECORD = T.StructType([T.StructField("k", T.LongType())])
+
+
+@register("d16_split", _D16_SPLIT + "SELECT message_type, verdict, k, record, failed_fields FROM q")
+def q_d16_split(spark, sf):
+    """Records, refused records and refused messages written by one job."""
+    got = split_bronze(_mixed_bronze(spark, sf), scratch_path(spark, "bronze-split"), None, _K_RECORD)
+    return got.table.select("message_type", "verdict", "k", F.col("_record").alias("record"), F.col("_failed").alias("failed_fields"))
+
+
+@register("d16_split_counts", _D16_SPLIT + """
+SELECT v AS rule, count(*) FILTER (verdict = v) AS n FROM q, (SELECT unnest(['accepted', 'record', 'message']) AS v) GROUP BY v
+UNION ALL SELECT 'failed k', count(*) FILTER (failed_fields = 'k') FROM q""")
+def q_d16_counts(spark, sf):
+    """Rows of each verdict and failing field, observed while the split is written."""
+    got = split_bronze(_mixed_bronze(spark, sf), scratch_path(spark, "bronze-split"), None, _K_RECORD)
+    return spark.createDataFrame(list(got.counts.items()), "rule string, n long")
+
+
+@register("c3_asset_class", """
+WITH m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'bonds' WHEN s_suppkey % 5 = 1 THEN 'commodity' WHEN s_suppkey % 5 = 2 THEN 'Bond_Funds'
+                             WHEN s_suppkey % 5 = 3 THEN 'unknown' ELSE 'usa' END AS message_type FROM supplier)
+SELECT s_suppkey, message_type, CASE message_type WHEN 'bonds' THEN 'bond' WHEN 'commodity' THEN 'commodity' WHEN 'Bond_Funds' THEN 'fund'
+                                                  WHEN 'usa' THEN 'stock' END AS asset_class FROM m""")
+def q_asset_class(spark, sf):
+    """Q16: message types with their asset class, the unknown ones kept."""
+    key = F.col("s_suppkey") % 5
+    kinds = (F.when(key == 0, "bonds").when(key == 1, "commodity").when(key == 2, "Bond_Funds").when(key == 3, "unknown").otherwise("usa"))
+    return C.with_asset_class(V.table(spark, sf, "supplier").select("s_suppkey", kinds.alias("message_type")))

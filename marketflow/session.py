@@ -115,6 +115,56 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(hpath, True).close()
 
 
+def file_times(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names in a folder and when they were changed (milliseconds); none if
+    the folder doesn't exist."""
+    fs, hpath = _file_system(spark, folder)
+    if not fs.exists(hpath):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(hpath)}
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it exists."""
+    fs, hpath = _file_system(spark, path)
+    fs.delete(hpath, True)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, hpath = _file_system(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small text file in place, whole or not at all; False if there is
+    one already.  It is written beside and renamed without overwriting."""
+    from py4j.protocol import Py4JJavaError
+    fs, hpath = _file_system(spark, path)
+    fs.mkdirs(hpath.getParent())
+    jvm = spark.sparkContext._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(hpath.getParent(), f".{hpath.getName()}-{uuid.uuid4().hex[:12]}")
+    stream = fs.create(beside, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(hpath), plain)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(beside, False)
+        return False
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables.  Call it after the last
     result that reads them has been written."""
