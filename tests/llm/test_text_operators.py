@@ -4,6 +4,7 @@ import collections
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -308,6 +309,35 @@ def test_a_passage_is_found_whatever_texts_hold_its_parts(spark, others):
     assert got[0].start <= 40 and got[0].end >= 100
 
 
+def test_longer_shingles_are_chosen_by_their_words():
+    r = random.Random(16)
+    words = [b"w%d" % i for i in range(400)]
+    for size, window in [*passages.LONGER.items(), (passages.MIN_WORDS, 1)]:
+        for _ in range(40):
+            stretch = [r.choice(words) for _ in range(size + window - 1)]
+            found = []
+            for _ in range(2):
+                text = [r.choice(words) for _ in range(r.randrange(60))] + stretch + [r.choice(words) for _ in range(r.randrange(60))]
+                n = len(text) - passages.SEED + 1
+                got = passages.longer(text, np.ones(n, bool), np.ones(n, bool), [size])
+                assert len(set(got[0].tolist())) == len(got[0]) and all(got[2] == size)
+                found.append(set(got[0].tolist()))
+            assert found[0] & found[1]
+    same = passages.longer([b"w"] * 500, np.ones(497, bool), np.ones(497, bool), [50])
+    assert [x.tolist() for x in same[1:]] == [[0], [50]]
+    h = np.array([5, 3, 3, 9, 1], np.uint64)
+    assert passages.least(h, 2).tolist() == [False, True, True, False, True] and passages.least(h[:1], 2).tolist() == [True]
+
+
+def test_a_text_that_repeats_itself_is_linked_once_its_words_stand_elsewhere(spark):
+    r = random.Random(17)
+    block, noise = [f"b{i}" for i in range(60)], [f"n{i}" for i in range(4000)]
+    texts = [" ".join(block * 30), " ".join(r.sample(noise, 80)), " ".join([*r.sample(noise, 40), *block, *r.sample(noise, 40)]), " ".join(["z"] * 3000)]
+    got = passages.repeated_passages(frame(spark, texts)).collect()
+    assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((0, 2))}
+    assert any(x.words >= 60 for x in got)
+
+
 def test_segments_are_the_longest_good_parts():
     r = random.Random(13)
     for _ in range(200):
