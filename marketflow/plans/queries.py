@@ -917,7 +917,7 @@ WHERE ts < TIMESTAMP '2024-01-15'
 UNION ALL
 SELECT event_id, user_id, event_type, round(value, 6) AS value, props FROM events
 WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'click'""")
-def q_c4s(spark, sf):
+def q_c4s(spark, sf, buckets=None):
     """C4 exact, streaming: an early snapshot, then the full snapshot re-sent
     with changed clicks; only unseen or changed records reach the sink."""
     ev = V.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
@@ -930,10 +930,16 @@ def q_c4s(spark, sf):
     schema = "event_id long, user_id long, event_type string, value double, props string"
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
-    SB.keep_new_stream(stream, sink, ck, keys=["event_id"], available_now=True).awaitTermination()
+    SB.keep_new_stream(stream, sink, ck, keys=["event_id"], available_now=True, buckets=buckets).awaitTermination()
     return rounded(spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "props"))
 
 
+@register("c4_keep_new_buckets", ORACLE["c4_keep_new_stream"])
+def q_c4b(spark, sf):
+    """C4 exact, streaming, from a sink in hash buckets of the key."""
+    return q_c4s(spark, sf, buckets=8)
+
+
 @register("c4_keep_new_state", ORACLE["c4_keep_new_stream"])
 def q_c4st(spark, sf):
     """C4 exact, streaming, with keyed state (RocksDB): the same two

@@ -49,7 +49,7 @@ def bronze_stream(spark: SparkSession, sink_path: str, checkpoint: str, source_f
 
 def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequence[str],
                     content: Sequence[str] | None = None, fmt: str = "parquet",
-                    available_now: bool = False) -> StreamingQuery:
+                    available_now: bool = False, buckets: int | None = None) -> StreamingQuery:
     """C4 (stream, exact): pass only records not stored in the sink yet.
 
     Each micro-batch is anti-joined (key + content hash) against everything
@@ -58,21 +58,35 @@ def keep_new_stream(df: DataFrame, sink_path: str, checkpoint: str, keys: Sequen
     ``_batch_id`` partition with dynamic partition overwrite, so a batch
     re-run after a failure replaces its own output and never duplicates.
     State is the sink itself: exact, and not bounded by memory.
+
+    ``buckets``: the sink is also partitioned by a hash of the keys
+    (``_bucket``), and a batch reads back only the folders its own keys fall
+    into, at most ``buckets`` of them.  Choose it well above the keys of a
+    usual batch, and keep it for the life of the sink.
     """
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(buckets)).cast("int") if buckets else None
+    folders = (["_bucket"] if buckets else []) + ["_batch_id"]
+
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if path_exists(spark, sink_path):
             stored = spark.read.format(fmt).load(sink_path)
-            missing = [c for c in (*keys, "_content_hash", "_batch_id") if c not in stored.columns]
+            missing = [c for c in (*keys, "_content_hash", *folders) if c not in stored.columns]
             if missing:
                 raise ValueError(f"the sink {sink_path} has no column {missing}; it wasn't written by keep_new_stream")
-            stored = stored.filter(F.col("_batch_id") < batch_id).select(*keys, "_content_hash")
+            if not buckets and "_bucket" in stored.columns:
+                raise ValueError(f"the sink {sink_path} was written with buckets; name the same number again")
+            stored = stored.filter(F.col("_batch_id") < batch_id)
+            if buckets:
+                touched = [r["_bucket"] for r in batch.select(bucket.alias("_bucket")).distinct().collect()]
+                stored = stored.filter(F.col("_bucket").isin(touched))
+            stored = stored.select(*keys, "_content_hash")
         else:                      # the first batch
             stored = batch.limit(0)
         new = keep_new(batch, stored, keys, content, keep_hash=True)
-        (new.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_batch_id").format(fmt).save(sink_path))
+        new = new.withColumn("_batch_id", F.lit(batch_id).cast("long"))
+        (new.withColumn("_bucket", bucket) if buckets else new).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*folders).format(fmt).save(sink_path)
 
     w = df.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:

@@ -62,6 +62,33 @@ def test_keep_new_stream_exact(spark, scratch):
     assert out.filter("k = 3").count() == 2
 
 
+def test_keep_new_stream_in_buckets_gives_the_same_rows(spark, scratch):
+    src, sink, ckpt = (os.path.join(scratch, d) for d in ("src", "sink", "ckpt"))
+    schema = "k long, part string, v string"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
+
+    def run(buckets):
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+        keep_new_stream(stream, sink, ckpt, keys=["k", "part"], available_now=True, buckets=buckets).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(sink).select("k", "part", "v").collect()))
+
+    first = [(i, "ab"[i % 2], f"v{i}") for i in range(40)]
+    put("b1", first * 2)
+    assert run(16) == sorted(first)
+    folders = {d for d in os.listdir(sink) if d.startswith("_bucket=")}
+    assert 8 < len(folders) <= 16
+    put("b2", [(3, "b", "v3"), (3, "b", "changed"), (3, "a", "v3"), (99, "a", "v99")])     # resent, changed, new, new
+    assert run(16) == sorted([*first, (3, "b", "changed"), (3, "a", "v3"), (99, "a", "v99")])
+    stored = spark.read.parquet(sink).filter("_batch_id = 1")
+    assert 1 <= stored.select("_bucket").distinct().count() <= 3
+    put("b3", [(5, "b", "v5")])
+    with pytest.raises(Exception, match="written with buckets"):
+        run(None)
+
+
 def test_keep_new_state_exact_and_restarts(spark, scratch):
     src, sink, ckpt = (os.path.join(scratch, d) for d in ("src-st", "sink-st", "ckpt-st"))
     schema = "k long, v string"
