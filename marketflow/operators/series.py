@@ -20,6 +20,8 @@ from marketflow.session import materialize
 DEFAULT_HOT_ROWS = 1_000_000
 # ... into buckets of about this many rows each.
 DEFAULT_ROWS_PER_BUCKET = 100_000
+# Rows of hot keys that one task sorts and cuts into buckets.
+ROWS_PER_TASK = 250_000
 # At most N / hot_rows keys can be hot; beyond this many the join stays a shuffle join.
 MAX_HOT_KEYS_BROADCAST = 200_000
 
@@ -51,20 +53,25 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataF
 def split_hot(df: DataFrame, key: str, order: Sequence[str], hot: DataFrame,
               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``_bucket``: 0 for cold keys; rows of hot keys are range-partitioned
-    by (key, order), and the partition number is the bucket.
+    by (key, order) and sorted, and every ``rows_per_bucket`` rows of a range
+    are a bucket.
 
     The ranges are quantiles of the whole order tuple, so a burst of events in
-    one second is split by the tie-breakers.  Only rows that are equal in key
-    and every order column stay together.  The hot rows are written once with
-    their bucket, so all readers see the same cut.
+    one second is split by the tie-breakers.  The number of ranges follows the
+    rows and the cores, not the size of a bucket, so small buckets cost no
+    tasks.  A bucket's number is that of its first row (range, then place in
+    it).  The hot rows are written once with their bucket, so all readers see
+    the same cut, also of rows that are equal in key and every order column.
     """
     n = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     listed = hot.select(F.col(key).alias("_hot_key"))
     listed = F.broadcast(listed) if n[0] <= MAX_HOT_KEYS_BROADCAST else listed
     same = df[key].eqNullSafe(listed["_hot_key"])
     buckets = max(2, -(-int(n[1]) // int(rows_per_bucket)))
-    split = (df.join(listed, same, "left_semi").repartitionByRange(buckets, key, *order)
-               .withColumn("_bucket", F.spark_partition_id().cast("long")))
+    ranges = min(buckets, max(df.sparkSession.sparkContext.defaultParallelism, -(-int(n[1]) // ROWS_PER_TASK)))
+    place = F.monotonically_increasing_id()          # the range above 33 bits, the place in it below
+    split = (df.join(listed, same, "left_semi").repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+               .withColumn("_bucket", place).withColumn("_bucket", F.col("_bucket") - F.col("_bucket").bitwiseAND(F.lit((1 << 33) - 1)) % int(rows_per_bucket)))
     split = materialize(split, "hot-rows", partitions=None)
     cold = df.join(listed, same, "left_anti").withColumn("_bucket", F.lit(0).cast("long"))
     return cold.unionByName(split)

@@ -222,3 +222,17 @@ def test_record_fields_by_their_json_kind(spark):
     assert [r.record for r in silver.record_rejects(b, "t", sch).collect()] == ['{"k":"12"}', '{"k":1.5}', '{"k":null,"s":"x","d":"1","t":"2024-01-02"}', "[1]", "x"]
     plan = silver.unnest_bronze(b, "t", sch)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") <= 2 and "from_json" not in plan
+
+
+def test_small_buckets_cost_no_tasks(spark):
+    """The ranges of hot rows follow rows and cores; a bucket holds ``rows_per_bucket`` rows of its key at most."""
+    from marketflow.operators.series import hot_keys, split_hot
+    p = spark.range(4000).selectExpr("concat('s', id % 50) AS symbol", "id DIV 7 AS ts", "id AS n", "cast(id % 13 + 1 AS double) AS adj_close")
+    cut = split_hot(p, "symbol", ["ts", "n"], hot_keys(p, "symbol", 2), rows_per_bucket=5)
+    held = cut.groupBy("symbol", "_bucket").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    assert cut.count() == 4000 and held.agg(F.max("rows")).first()[0] <= 5
+    assert cut.select(F.shiftright("_bucket", 33)).distinct().count() <= spark.sparkContext.defaultParallelism
+    last = {}
+    for r in held.orderBy("symbol", "_bucket").collect():
+        assert r.low > last.get(r.symbol, -1)
+        last[r.symbol] = r.high
