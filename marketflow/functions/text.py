@@ -81,9 +81,11 @@ def decode_entities(c) -> Column:
     names = F.str_to_map(F.lit(_NAMES), F.lit("\x01"), F.lit("\x02"))       # folded to one literal, searched from its start
     often = F.create_map(*[x for n in _OFTEN for x in (F.lit(n), F.lit(html5[n]))])
 
-    def begun(x, i):             # what the piece starts with, found once
-        return F.struct(x.alias("x"), (i == 0).alias("first"), F.regexp_extract(x, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("number"),
-                        F.regexp_extract(x, "^[^\\t\\n\\f <&#;]{1,32};?", 0).alias("name"))
+    def begun(x, i):             # what the piece starts with, found once; a "#" begins numbers only
+        hashed = x.startswith("#")
+        return F.struct(x.alias("x"), (i == 0).alias("first"),
+                        F.when((i > 0) & hashed, F.regexp_extract(x, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)).otherwise("").alias("number"),
+                        F.when((i > 0) & ~hashed, F.regexp_extract(x, "^[^\\t\\n\\f <&#;]{1,32};?", 0)).otherwise("").alias("name"))
 
     def valued(p):
         hexed = F.lower(F.substring(p["number"], 2, 1)) == "x"
@@ -103,8 +105,8 @@ def decode_entities(c) -> Column:
 
     def piece_texts(text):
         return F.transform(F.transform(F.transform(F.split(text, "&"), begun), valued), resolved)
-    c = as_col(c)
-    return F.when(c.contains("&"), F.array_join(piece_texts(c), "")).otherwise(c)
+    # the text is bound once: in a lambda or a generator each mention would compute it again
+    return F.transform(F.array(as_col(c)), lambda text: F.when(text.contains("&"), F.array_join(piece_texts(text), "")).otherwise(text))[0]
 
 
 def strip_tags(c) -> Column:

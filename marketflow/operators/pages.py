@@ -16,6 +16,7 @@ from marketflow.constants import (BOND_QUOTE_HEADERS, COUNTRY_TIERS, ETF_FIELD_N
                                   FEED_LAYOUTS_COMPAT, FUND_RECORD_NAMES, HEAVY_SECTORS, LIGHT_SECTORS, ROWS_PER_STOCK_PAGE,
                                   TIER_PAGE_CAPS)
 from marketflow.functions.text import strip_tags
+from marketflow.functions.util import with_once
 from marketflow.operators.quality import conform
 from marketflow.schemas import RAW_FUND
 from marketflow.session import materialize
@@ -34,7 +35,7 @@ def extract_rows(pages: DataFrame, html: str = "html", row_pattern: str = TABLE_
     rows = F.regexp_extract_all(F.col(html), F.lit(row_pattern), 1)
     out = pages.select(*keep, F.posexplode(rows).alias("row_pos", "row_html"))
     cells = F.transform(F.regexp_extract_all(F.col("row_html"), F.lit(cell_pattern), 1), strip_tags)
-    return out.withColumn("cells", cells)
+    return with_once(out, cells=cells)
 
 
 def extract_name_symbol(rows: DataFrame, row_html: str = "row_html",
@@ -46,7 +47,7 @@ def extract_name_symbol(rows: DataFrame, row_html: str = "row_html",
     names, fails and is dropped (see ``name_symbol_rejects``)."""
     name = strip_tags(F.regexp_extract(F.col(row_html), name_pattern, 1))
     symbol = strip_tags(F.regexp_extract(F.col(row_html), symbol_pattern, 1))
-    df = rows.withColumn("name", name).withColumn("symbol", symbol)
+    df = with_once(rows, name=name, symbol=symbol)
     for i, c in enumerate(columns):
         df = df.withColumn(c, F.get(F.col(cells), i))
     return df.filter(_name_symbol_ok(len(columns), cells))

@@ -224,3 +224,14 @@ def test_reference_configs(spark):
                                          "feed string, pos int, cells array<string>"), 1)
     m = B.merge_tabs([t0, t1]).collect()[0]
     assert m["Symbol"] == "SYM" and m["6-Month Yield"] == "0.5"
+
+
+def test_cells_and_names_are_cut_once(spark):
+    """The filter on names and cells reads what was cut, it doesn't cut again."""
+    from marketflow.operators import pages as B
+    html = '<table><tr><th><a>N &amp; &#65;</a><div>S</div></th><td>1 &lt;</td><td></td></tr><tr><th><a></a><div>T</div></th></tr></table>'
+    df = spark.createDataFrame([(1, html), (2, None), (1, html)], "page_id long, html string").repartition(2)
+    got = B.extract_name_symbol(B.extract_rows(df), columns=("a",))
+    assert sorted((r.page_id, r.row_pos, r.name, r.symbol, r.a, r.cells) for r in got.collect()) == [(1, 0, "N & A", "S", "1 <", ["1 <", ""])] * 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in (B.TABLE_CELL, "<a[^>]*>(.*?)</a>", "<div[^>]*>(.*?)</div>")] == [1, 1, 1]
