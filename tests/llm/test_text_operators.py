@@ -309,6 +309,37 @@ def test_a_passage_is_found_whatever_texts_hold_its_parts(spark, others):
     assert got[0].start <= 40 and got[0].end >= 100
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_a_passage_of_common_seeds_is_found_whatever_texts_hold_them(spark, monkeypatch, block):
+    r = random.Random(18)
+    words = [f"q{i}" for i in range(5000)]
+
+    def noise(n):
+        return [r.choice(words) for _ in range(n)]
+    # seven equal words, then a changed one: no longer shingle is shared, and each run is common with ends of its own
+    runs = [noise(7) for _ in range(8)]
+    pair = [" ".join([*noise(30), *[w for i, x in enumerate(runs) for w in [*x, f"{side}{i}"]], *noise(30)]) for side in "xy"]
+    others, behind = ([" ".join([*noise(30), *x, *noise(30)]) for x in runs for _ in range(10)] for _ in range(2))
+    # two of the runs as far apart as in the pair, with nothing else in common
+    apart = [" ".join([*noise(20), *runs[0], *noise(49), *runs[7], *noise(20)]) for _ in range(9)]
+    texts = [*others, *apart, *pair, *behind]
+    monkeypatch.setattr(passages.the_rest, "__defaults__", (block,))
+    got = passages.repeated_passages(frame(spark, texts)).collect()
+    at = len(others) + len(apart)
+    assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((at, at + 1))}
+    assert any(x.end - x.start >= 60 and x.similarity >= 0.8 for x in got)
+
+
+def test_marks_and_matches_equal_the_plain_versions():
+    r = random.Random(19)
+    for _ in range(60):
+        a, b = ([(r.randrange(9), p) for p in sorted(r.sample(range(60), r.randrange(1, 20)))] for _ in range(2))
+        (ha, pa), (hb, pb) = ([np.array(x, t) for x, t in zip(zip(*s), (np.uint64, np.int64))] for s in (a, b))
+        assert sorted(map(tuple, passages.matched(ha, pa, hb, pb).tolist())) == sorted((p, q) for h, p in a for g, q in b if h == g)
+        shared = {(h, g) for h, p in a for g, q in a if 5 <= q - p <= 12} & {(h, g) for h, p in b for g, q in b if 5 <= q - p <= 12}
+        assert len(np.intersect1d(passages.marks(ha, pa, 5, 12), passages.marks(hb, pb, 5, 12))) == len(shared)
+
+
 def test_longer_shingles_are_chosen_by_their_words():
     r = random.Random(16)
     words = [b"w%d" % i for i in range(400)]
