@@ -297,3 +297,15 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, docs, rows):
             got = stage(spark, odd, SF)
             assert got.count() <= 3 * len(rows), name
             assert ROW not in got.columns
+
+
+def test_repeated_words_with_and_without_repeated_windows(spark):
+    from marketflow.llm.quality import repeated_words, word_hashes
+    texts = [None, "", "a b", "a b c", "a a a a", "a b c d e f", "a b c x a b c", "a b c a b c a", " ".join(f"w{i}" for i in range(500)),
+             " ".join(f"w{i % 499}" for i in range(1000)), " ".join([f"w{i}" for i in range(300)] + ["w7", "w8", "w9"])]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", repeated_words(word_hashes(F.col("t"))).alias("n"))
+    for x in got.collect():
+        w = (texts[x.i] or "").split()
+        windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        assert x.n == len({i + j for i, v in enumerate(windows) if windows.count(v) > 1 for j in range(3)})
+    assert "array_distinct" in got._jdf.queryExecution().analyzed().toString()       # no sorting where no window repeats
