@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -340,6 +341,48 @@ def test_marks_and_matches_equal_the_plain_versions():
         assert len(np.intersect1d(passages.marks(ha, pa, 5, 12), passages.marks(hb, pb, 5, 12))) == len(shared)
 
 
+@pytest.mark.parametrize("lot", [passages.COUNTED, 50])
+def test_hashes_of_several_texts_are_counted_from_packed_parts(spark, monkeypatch, lot):
+    r = np.random.default_rng(20)
+    pool = r.integers(0, 2 ** 64, 300, np.uint64)
+    texts = [np.concatenate([r.choice(pool, 60), r.integers(0, 2 ** 64, 40, np.uint64), np.array([2 ** 64 - 1, 0], np.uint64)]) for _ in range(40)]
+    texts += [np.repeat(np.uint64(77 << 40), 5), np.empty(0, np.uint64)]          # often, but in one text
+    monkeypatch.setattr(passages, "COUNTED", lot)
+    for bits in (1, 6, 16):
+        batches = list(passages.by_parts((passages.runs(np.sort(x)) for x in texts), bits))
+        assert (len(batches) > 1) == (lot == 50)
+        parts = spark.createDataFrame([tuple(x.values()) for b in batches for x in b.to_pylist()], passages.PARTS_SQL)
+        got = {x.hash: x.n for x in passages.several_texts(parts, bits).collect()}
+        held = collections.Counter(h for x in texts for h in set(x.tolist()))
+        n = collections.Counter(h for x in texts for h in x.tolist())
+        cut = np.array([h >> (32 - bits) << (32 - bits) for h in n if held[h] > 1], np.uint64)
+        assert got == dict(zip(cut.view(np.int64).tolist(), [n[h] for h in n if held[h] > 1]))
+    assert list(passages.by_parts(iter([texts[-1:] * 2]), 6)) == []
+
+
+def test_what_is_shuffled_of_a_hash_of_one_text_is_small():
+    h = np.random.default_rng(21).integers(0, 2 ** 64, 200_000, np.uint64)
+    batch, = passages.by_parts(iter([passages.runs(np.sort(h))]), 6)
+    assert len(zlib.compress(b"".join(batch.column(1).to_pylist()), 1)) < 3.5 * len(h)      # a row of hash and number took 16 bytes
+
+
+def test_pairs_that_cannot_chain_are_told_from_their_matches():
+    r = random.Random(22)
+    for low in (0, 46):
+        ms, asked = [], []
+        for _ in range(600):
+            at, d = r.randrange(200), r.randrange(50)
+            m = [(r.randrange(400), r.randrange(400)) for _ in range(r.randrange(1, 9))]
+            m += [(at + x, at + d + x + r.choice([0, 0, 1])) for x in r.sample(range(r.choice([12, 90])), r.randrange(8))]
+            ms.append(np.array(m))
+            paths = passages.chain([tuple(x) for x in passages.thinned(ms[-1]).tolist()], 4)
+            asked.append(any(passages._seeds_of(p) >= 4 and min(p[-1][0] - p[0][0], p[-1][1] - p[0][1]) >= low for p in paths))
+        hope = passages.may_chain(ms, 4, 4, low)
+        assert all(hope[np.array(asked)]) and any(asked) and hope.sum() < 0.9 * len(ms)
+        got = passages.flat_paths(iter(ms), 4, 4, low)
+        assert [len(x) > 0 for x in got["path"]] == asked
+
+
 def test_longer_shingles_are_chosen_by_their_words():
     r = random.Random(16)
     words = [b"w%d" % i for i in range(400)]
