@@ -1,6 +1,7 @@
 """Toxicity, lines, passages, personal data and licenses against plain Python versions."""
 
 import collections
+import itertools
 import os
 import random
 import zlib
@@ -11,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marketflow import session
 from marketflow.llm import licenses, lines, passages, pii, queries, toxicity
 
 from . import brute
@@ -366,6 +368,19 @@ def test_what_is_shuffled_of_a_hash_of_one_text_is_small():
     assert len(zlib.compress(b"".join(batch.column(1).to_pylist()), 1)) < 3.5 * len(h)      # a row of hash and number took 16 bytes
 
 
+def test_texts_are_aligned_in_slices_and_stored_tables_go_once_read(spark):
+    r = random.Random(23)
+    words = [f"q{i}" for i in range(5000)]
+    passage = r.sample(words, 60)
+    texts = [" ".join([*r.sample(words, 40), *passage, *r.sample(words, 40)]) for _ in range(7)]
+    before = set(session.SCRATCH)
+    got = passages.repeated_passages(frame(spark, texts)).collect()
+    assert sorted((min(x.doc_id, x.other_id), max(x.doc_id, x.other_id)) for x in got) == list(itertools.combinations(range(7), 2))
+    left = [os.path.basename(x).rsplit("-", 1)[0] for x in session.SCRATCH if x not in before]
+    assert left.count("passage-links") >= 3                    # 21 pairs of 7 rows: three slices
+    assert not {"passage-seeds", "passage-occurrences", "passage-held", "passage-near", "passage-few", "passage-rooted"} & set(left)
+
+
 def test_pairs_that_cannot_chain_are_told_from_their_matches():
     r = random.Random(22)
     for low in (0, 46):
