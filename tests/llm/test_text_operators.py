@@ -4,9 +4,11 @@ import collections
 import itertools
 import os
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -398,6 +400,34 @@ def test_pairs_that_cannot_chain_are_told_from_their_matches():
         assert [len(x) > 0 for x in got["path"]] == asked
 
 
+@pytest.mark.parametrize("lot", [passages.LOT, 30])
+def test_pairs_are_chained_in_lots_and_those_without_a_chain_left_out(monkeypatch, lot):
+    r = random.Random(24)
+    ms = [np.array([(x, x + r.randrange(2)) for x in range(r.randrange(1, 40))]) for _ in range(80)]
+    monkeypatch.setattr(passages, "LOT", lot)
+    a, b = pa.array(range(80)), pa.array(range(100, 180))
+    batches = list(passages.chained(a, b, iter(ms), 4, 4, 20))
+    assert (len(batches) > 1) == (lot == 30)
+    want = passages.flat_paths(ms, 4, 4, 20)
+    want = [(i, 100 + i, *[list(want[x][i]) for x in ("path", "a", "b")]) for i in range(80) if len(want["path"][i])]
+    assert [tuple(x.values()) for y in batches for x in y.to_pylist()] == want and 0 < len(want) < 80
+
+
+def test_pairs_are_chained_once(spark, monkeypatch):
+    plans, stored = {}, passages.materialize
+
+    def watched(df, name, partitions=1):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, partitions)
+
+    monkeypatch.setattr(passages, "materialize", watched)
+    passage = " ".join(f"w{i}" for i in range(80))
+    got = passages.repeated_passages(frame(spark, [f"{passage} x y z", f"q r {passage}"])).collect()
+    assert [(x.start, x.end, x.words) for x in got] == [(0, 80, 80)]
+    for name in ("passage-chains", "passage-rest"):
+        assert len(re.findall(r"ArrowEvalPython|MapInArrow|MapInPandas", plans[name])) == 1
+
+
 def test_longer_shingles_are_chosen_by_their_words():
     r = random.Random(16)
     words = [b"w%d" % i for i in range(400)]
