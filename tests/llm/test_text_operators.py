@@ -335,6 +335,53 @@ def test_a_passage_of_common_seeds_is_found_whatever_texts_hold_them(spark, monk
     assert any(x.end - x.start >= 60 and x.similarity >= 0.8 for x in got)
 
 
+def test_texts_that_one_passage_links_are_compared_over_what_it_leaves_uncovered(spark):
+    r = random.Random(18)
+    words = [f"q{i}" for i in range(5000)]
+
+    def noise(n):
+        return [r.choice(words) for _ in range(n)]
+    runs, own = [noise(7) for _ in range(8)], noise(60)
+    pair = [" ".join([*own, *noise(60), *[w for i, x in enumerate(runs) for w in [*x, f"{side}{i}"]], *noise(30)]) for side in "xy"]
+    others, behind = ([" ".join([*noise(30), *x, *noise(30)]) for x in runs for _ in range(10)] for _ in range(2))
+    got = passages.repeated_passages(frame(spark, [*others, *pair, *behind])).collect()
+    assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((80, 81))}
+    spans = sorted((x.start, x.end, x.other_start, x.other_end) for x in got)
+    assert len(spans) == 2                                     # the first passage once, though the pair is compared twice
+    assert spans[0] == (0, 60, 0, 60) and all(x <= 120 and y >= 180 for x, y in (spans[1][:2], spans[1][2:]))
+
+
+def test_stretches_of_a_text_are_rooted_apart(spark):
+    def link(a, b, *at):
+        return (a, b, dict(zip(("start", "end", "other_start", "other_end"), at)))
+    links = spark.createDataFrame([link(1, 2, 0, 60, 10, 70), link(1, 3, 5, 62, 0, 57), link(1, 4, 100, 160, 0, 60), link(4, 5, 30, 90, 0, 60),
+                                   link(2, 6, 60, 120, 0, 60)], "a long, b long, p struct<start:int,end:int,other_start:int,other_end:int>")
+    got = sorted((x[passages.RID], x.low, x.high, x.root) for x in passages.stretches(links, 4, 50).collect())
+    assert [x[:3] for x in got] == [(1, -3, 62), (1, 97, 160), (2, 7, 57), (2, 57, 120), (3, -3, 57), (4, -3, 90), (5, -3, 60), (6, -3, 60)]
+    roots = {x[:2]: x[3] for x in got}
+    together = [{(1, -3), (2, 7), (3, -3)}, {(1, 97), (4, -3), (5, -3)}, {(2, 57), (6, -3)}]
+    assert [len({roots[x] for x in group}) for group in together] == [1, 1, 1] and len(set(roots.values())) == 3
+
+
+def test_rows_of_a_pair_that_is_compared_again_stand_once(spark):
+    schema = "a long, b long, p struct<start:int,end:int,other_start:int,other_end:int,words:int>"
+    first = [(1, 2, (0, 60, 0, 60, 55)), (1, 2, (100, 150, 100, 150, 50)), (1, 2, (200, 260, 0, 60, 50)), (3, 4, (0, 50, 0, 50, 50)), (3, 4, (0, 50, 0, 50, 50))]
+    again = [(1, 2, (0, 60, 0, 60, 56)), (1, 2, (90, 150, 90, 150, 58)), (1, 2, (200, 260, 0, 60, 50)), (5, 6, (0, 50, 0, 50, 50))]
+    got = passages.with_again(*[spark.createDataFrame(x, schema) for x in (first, again)]).collect()
+    assert sorted((x.a, x.b, tuple(x.p)) for x in got) == sorted([again[0], again[1], first[2], *first[3:], again[3]])
+
+
+def test_marks_with_roots_are_given_once_for_each_two():
+    r = random.Random(20)
+    for _ in range(30):
+        seeds = [(r.randrange(9), p, r.randrange(3)) for p in sorted(r.sample(range(60), r.randrange(1, 20)))]
+        h, pos, roots = (np.array(x, t) for x, t in zip(zip(*seeds), (np.uint64, np.int64, np.int64)))
+        m, of = passages.marks(h, pos, 5, 12, roots)
+        assert np.unique(m).tolist() == passages.marks(h, pos, 5, 12).tolist()
+        want = {(x, y, u, v) for x, p, u in seeds for y, q, v in seeds if 5 <= q - p <= 12}
+        assert len(m) == len(set(zip(m.tolist(), of.tolist()))) == len({(x, y, u) if u == v else (x, y, u, v) for x, y, u, v in want})
+
+
 def test_marks_and_matches_equal_the_plain_versions():
     r = random.Random(19)
     for _ in range(60):
